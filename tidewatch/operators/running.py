@@ -42,14 +42,14 @@ def running_stats(
          .rowsBetween(Window.unboundedPreceding, -1))
     rows = (base
             .withColumn("_n", F.count("_v").over(w))
-            .withColumn("_mean", F.avg("_v").over(w))
+            .withColumn("_sum", F.sum("_v").over(w))
             .withColumn("_var", F.var_pop("_v").over(w))
             .withColumn("_lo", F.min("_v").over(w))
             .withColumn("_hi", F.max("_v").over(w)))
 
     # one summary row per chunk, combined over the earlier chunks of the key
     chunks = base.groupBy(*part).agg(
-        F.count("_v").alias("n"), F.avg("_v").alias("mean"),
+        F.count("_v").alias("n"), F.sum("_v").alias("sum"),
         (F.var_pop("_v") * F.count("_v")).alias("m2"),
         F.min("_v").alias("lo"), F.max("_v").alias("hi"))
     if stored is not None:
@@ -57,7 +57,8 @@ def running_stats(
         history = stored.join(base.select(*keys).distinct(), keys, "left_semi")
         chunks = chunks.unionByName(history.select(
             *keys, F.lit(-(2 ** 62)).cast("long").alias(CHUNK),
-            F.col("sample_count").cast("long").alias("n"), "mean",
+            F.col("sample_count").cast("long").alias("n"),
+            (F.col("mean") * F.col("sample_count")).alias("sum"),
             (F.col("std_dev") ** 2 * (F.col("sample_count") - 1)).alias("m2"),
             # stored moments carry no extremes; unequal bounds mark "not constant"
             F.when(flat, F.col("mean")).otherwise(F.col("mean") - 1).alias("lo"),
@@ -66,12 +67,12 @@ def running_stats(
     before = whole.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     # sums are taken around the key's overall mean, which keeps them small
     carried = (chunks
-               .withColumn("_c", F.sum(F.col("n") * F.col("mean")).over(whole)
-                           / F.nullif(F.sum("n").over(whole), F.lit(0)))
-               .withColumn("_d", F.col("mean") - F.col("_c"))
+               .withColumn("_c", F.sum("sum").over(whole) / F.nullif(F.sum("n").over(whole), F.lit(0)))
+               .withColumn("_d", F.col("sum") / F.nullif(F.col("n"), F.lit(0)) - F.col("_c"))
                .select(
                    *part, "_c",
                    F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_pn"),
+                   F.sum("sum").over(before).alias("_psum"),
                    F.sum(F.col("n") * F.col("_d")).over(before).alias("_p1"),
                    F.sum(F.col("m2") + F.col("n") * F.col("_d") * F.col("_d"))
                    .over(before).alias("_p2"),
@@ -80,13 +81,12 @@ def running_stats(
 
     joined = rows.join(carried, part, "left")
     pn, n = F.col("_pn"), F.col("_n")
-    pmean = F.col("_c") + F.col("_p1") / F.nullif(pn, F.lit(0))
     pm2 = F.greatest(F.col("_p2") - F.col("_p1") * F.col("_p1") / F.nullif(pn, F.lit(0)), F.lit(0.0))
     total = pn + n
+    mean = ((F.coalesce("_psum", F.lit(0.0)) + F.coalesce("_sum", F.lit(0.0)))
+            / F.nullif(total, F.lit(0)))
     m2 = F.col("_var") * n
-    delta = F.col("_mean") - pmean
-    mean = (F.when(n == 0, pmean).when(pn == 0, F.col("_mean"))
-            .otherwise((pmean * pn + F.col("_mean") * n) / total))
+    delta = F.col("_sum") / F.nullif(n, F.lit(0)) - F.col("_psum") / F.nullif(pn, F.lit(0))
     all_m2 = (F.when(n == 0, pm2).when(pn == 0, m2)
               .otherwise(pm2 + m2 + delta * delta * pn * n / total))
     constant = F.least("_lo", "_plo") == F.greatest("_hi", "_phi")

@@ -275,7 +275,7 @@ def arrival_latency(spark, sf):
 # ---- D schema contracts ---------------------------------------------------------
 
 def _both(spark, sf):
-    rows = inputs.snapshots(spark, sf)
+    rows = storage.checkpointed(inputs.snapshots(spark, sf))
     return rows, contracts.bootstrap_contracts(rows)
 
 
@@ -478,14 +478,18 @@ def _named_models(spark, sf):
     return inputs.anomalies(spark, sf).filter("model_name IS NOT NULL").select("model_name").distinct()
 
 
+def _catalog(spark, sf):
+    """(models, edges, exposures) of the manifests, which are read once."""
+    found = artifacts.manifests_from(storage.checkpointed(inputs.manifests(spark, sf)))
+    return storage.checkpointed(found[0]), storage.checkpointed(found[2]), storage.checkpointed(found[1])
+
+
 def _catalog_blast(spark, sf, lists=False):
-    parts = artifacts.manifests_from(inputs.manifests(spark, sf))
-    return lineage.blast_radius(_named_models(spark, sf), parts[0], parts[2], parts[1], lists=lists)
+    return lineage.blast_radius(_named_models(spark, sf), *_catalog(spark, sf), lists=lists)
 
 
 def _catalog_members(spark, sf):
-    parts = artifacts.manifests_from(inputs.manifests(spark, sf))
-    return lineage.blast_members(_named_models(spark, sf), parts[0], parts[2], parts[1])
+    return lineage.blast_members(_named_models(spark, sf), *_catalog(spark, sf))
 
 
 def blast_radius_lists(spark, sf):
@@ -571,13 +575,15 @@ def hypothesis_requests(spark, sf):
     asked = correlate.hypothesis_requests(buckets, correlate.correlate(buckets))
     listed = F.from_json("signals_json", "array<struct<severity:string,confidence:double>>")
     return (asked.withColumn("s", F.explode(listed)).groupBy("bucket_id")
-            .agg(F.count(F.lit(1)).alias("n_signals"), F.round(F.sum("s.confidence"), 3).alias("total_confidence"),
+            .agg(F.count(F.lit(1)).alias("n_signals"), F.sum(F.round(F.col("s.confidence") * 10000).cast("bigint")).alias("total_confidence"),
                  F.count_if(F.col("s.severity") == "LOW").alias("n_low")))
 
 
 def _enriched(spark, sf):
-    incidents = correlate.confirmed_incidents(_buckets(spark, sf))
-    return correlate.enriched_incidents(incidents, _catalog_members(spark, sf))
+    """The incident table, written once for the steps that read it several times."""
+    incidents = storage.checkpointed(correlate.confirmed_incidents(_buckets(spark, sf)))
+    members = storage.checkpointed(_catalog_members(spark, sf))
+    return storage.checkpointed(correlate.enriched_incidents(incidents, members))
 
 
 def enriched_incidents(spark, sf):
@@ -640,7 +646,7 @@ def _log(spark, sf):
     results = (disposed.join(incidents.select("incident_id", "opened_at"), "incident_id").select(
         "incident_id", "action_seq", ok.alias("success"), F.when(~ok, "timed out").alias("error_message"),
         F.timestamp_micros(F.unix_micros("opened_at") + F.col("action_seq") * 1_000_000).alias("at")))
-    return remediate.action_log(disposed, results, F.col("at"))
+    return storage.checkpointed(remediate.action_log(disposed, results, F.col("at")))
 
 
 def _flat_log(df, *columns):
@@ -725,6 +731,7 @@ def _replayed(spark, name, df, start, bounds=DAYS, column="ts", format="parquet"
     Each run goes on from the checkpoint of the one before. Returns the stream's folders.
     """
     base = storage.fresh_folder(spark, name)
+    df = storage.checkpointed(df)
     lo, hi = bounds
     t = F.col(column)
     for part in (t < lo, (t >= lo) & (t < hi), t >= hi):
