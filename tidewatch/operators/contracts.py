@@ -5,10 +5,10 @@ criticality, version_hash); a contract is (source, column_name, dtype, nullable,
 criticality).
 """
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewatch.functions.keys import stable_id
-from tidewatch.functions.severity import escalate_critical, max_severity
+from tidewatch.functions.severity import escalate_critical, max_severity, severity_name, severity_rank
 
 SNAPSHOT_KEY = ["source", "run_id", "column_name"]
 CONTRACT_COLUMNS = ["source", "column_name", "dtype", "nullable", "criticality"]
@@ -151,10 +151,10 @@ def new_columns(snapshot: DataFrame, contracts: DataFrame) -> DataFrame:
 
 def schema_diff(snapshot: DataFrame, contracts: DataFrame) -> DataFrame:
     """All changes plus the highest severity of their snapshot."""
-    changes = column_changes(snapshot, contracts)
-    overall = changes.groupBy("source", "run_id").agg(
-        max_severity(F.col("severity")).alias("overall_severity"))
-    return changes.join(overall, ["source", "run_id"])
+    of_snapshot = Window.partitionBy("source", "run_id")
+    return (column_changes(snapshot, contracts)
+            .withColumn("_top", F.max(severity_rank(F.col("severity"))).over(of_snapshot))
+            .withColumn("overall_severity", severity_name(F.col("_top"))).drop("_top"))
 
 
 def schema_drift_anomalies(diff: DataFrame, snapshot_times: DataFrame | None = None) -> DataFrame:

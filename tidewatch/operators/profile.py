@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewatch.functions.keys import stable_id
+from tidewatch.sources.storage import checkpointed
 
 
 def _text(columns: list) -> Column:
@@ -51,16 +52,19 @@ def calendar_spine(counts: DataFrame, step: str) -> DataFrame:
                 "span.lo", "span.hi", F.expr(f"INTERVAL {step}"))).alias("partition")))
 
 
+def fill_calendar(counts: DataFrame, step: str) -> DataFrame:
+    """Adds the missing partitions with 0 rows. Reads `counts` three times: pass a stored one."""
+    return (calendar_spine(counts, step)
+            .join(counts.select("source", "partition", "row_count"), ["source", "partition"], "left")
+            .select("source", "partition", F.coalesce("row_count", F.lit(0)).alias("row_count")))
+
+
 def partition_row_count(
     table: DataFrame, source: Column, partition: Column, step: str | None = None,
 ) -> DataFrame:
     """Rows per partition; with `step` ('1 HOUR'), missing partitions count 0."""
     counts = profile_partitions(table, source, partition)
-    if step is None:
-        return counts
-    return (calendar_spine(counts, step)
-            .join(counts, ["source", "partition"], "left")
-            .select("source", "partition", F.coalesce("row_count", F.lit(0)).alias("row_count")))
+    return counts if step is None else fill_calendar(checkpointed(counts, "profile"), step)
 
 
 def partition_checksum(table: DataFrame, source: Column, partition: Column, columns: list) -> DataFrame:

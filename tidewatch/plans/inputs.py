@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidewatch.functions.keys import stable_id
 from tidewatch.operators import contracts, lineage, profile, quality
+from tidewatch.sources.storage import checkpointed
 from tidewatch.types import MANIFEST, RUN_RESULTS
 
 
@@ -29,21 +30,22 @@ def events(spark, sf_dir) -> DataFrame:
 
 
 def signals(spark, sf_dir) -> DataFrame:
-    """One signal per event type and hour, empty hours included."""
+    """One signal per event type and hour, empty hours included.
+
+    The profile is stored: the events are read once, all later steps see one row per
+    partition.
+    """
     ev = events(spark, sf_dir)
-    measured = profile.profile_partitions(
-        ev, F.col("event_type"), F.date_trunc("hour", "ts"), EVENT_CHECKSUM, ["amount"])
-    counts = measured.select("source", "partition", "row_count")
-    spined = (profile.calendar_spine(counts, "1 HOUR")
-              .join(counts, ["source", "partition"], "left")
-              .select("source", "partition", F.coalesce("row_count", F.lit(0)).alias("row_count")))
-    return profile.build_signals(spined, measured, null_columns=["amount"])
+    measured = checkpointed(profile.profile_partitions(
+        ev, F.col("event_type"), F.date_trunc("hour", "ts"), EVENT_CHECKSUM, ["amount"]), "profile")
+    return profile.build_signals(profile.fill_calendar(measured, "1 HOUR"), measured, null_columns=["amount"])
 
 
 def signals_orders(spark, sf_dir) -> DataFrame:
     """One signal per order priority and day with orders."""
     orders = table(spark, sf_dir, "orders")
-    counts = profile.profile_partitions(orders, F.col("o_orderpriority"), F.date_trunc("day", "o_orderdate"))
+    counts = checkpointed(profile.profile_partitions(
+        orders, F.col("o_orderpriority"), F.date_trunc("day", "o_orderdate")), "profile")
     run_id = F.concat_ws("@", "source", F.date_format("partition", "yyyyMMddHHmm"))
     none = F.lit(None)
     return counts.select(
@@ -77,7 +79,7 @@ def schema_log(spark, sf_dir) -> DataFrame:
     line = table(spark, sf_dir, "lineitem")
     entries = (line.groupBy("l_suppkey", F.date_trunc("month", "l_shipdate").alias("ts"),
                             "l_linenumber", "l_returnflag", "l_linestatus")
-               .agg(F.max(F.struct("l_shipdate", "l_orderkey", "l_partkey")).alias("k")))
+               .agg(F.max("l_orderkey").alias("k")))
     in_snapshot = Window.partitionBy("l_suppkey", "ts").orderBy("k", "l_linenumber", "l_returnflag", "l_linestatus")
     return entries.select(
         F.concat(F.lit("supplier_"), F.col("l_suppkey").cast("string")).alias("source"),
@@ -95,13 +97,13 @@ def _declared(rows: DataFrame) -> DataFrame:
 
 
 def snapshots(spark, sf_dir) -> DataFrame:
-    rows = contracts.last_per_column(schema_log(spark, sf_dir))
+    rows = checkpointed(contracts.last_per_column(schema_log(spark, sf_dir)), "snapshots")
     return rows.join(_declared(rows), ["source", "run_id"])
 
 
 def snapshot_signals(spark, sf_dir) -> DataFrame:
     """Signals carrying their snapshot as an array, repeated names included."""
-    log = schema_log(spark, sf_dir)
+    log = checkpointed(schema_log(spark, sf_dir), "schema-log")
     packed = log.groupBy("source", "run_id", "ts").agg(F.transform(
         F.array_sort(F.collect_list(F.struct("position", "column_name", "dtype", "nullable", "criticality"))),
         lambda e: F.struct(

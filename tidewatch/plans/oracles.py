@@ -106,17 +106,11 @@ msg AS (
 
 SCHEMA_LOG = """log AS (
   SELECT 'supplier_' || l_suppkey AS source, strftime(m, '%Y%m') AS run_id, m AS ts,
-         row_number() OVER (PARTITION BY l_suppkey, m ORDER BY d, o, p, l_linenumber, l_returnflag, l_linestatus) - 1 AS position,
+         row_number() OVER (PARTITION BY l_suppkey, m ORDER BY k, l_linenumber, l_returnflag, l_linestatus) - 1 AS position,
          'c' || l_linenumber AS column_name, l_returnflag AS dtype, l_linestatus = 'O' AS nullable,
          CASE WHEN l_linenumber = 1 THEN 'critical' ELSE 'standard' END AS criticality
   FROM (SELECT l_suppkey, date_trunc('month', l_shipdate)::TIMESTAMP AS m, l_linenumber, l_returnflag, l_linestatus,
-               k.d AS d, k.o AS o, k.p AS p
-        FROM (SELECT l_suppkey, l_shipdate, l_linenumber, l_returnflag, l_linestatus,
-                     max({'d': l_shipdate, 'o': l_orderkey, 'p': l_partkey}) OVER g AS k,
-                     row_number() OVER g AS rn
-              FROM lineitem
-              WINDOW g AS (PARTITION BY l_suppkey, date_trunc('month', l_shipdate), l_linenumber, l_returnflag, l_linestatus))
-        WHERE rn = 1))"""
+               max(l_orderkey) AS k FROM lineitem GROUP BY ALL))"""
 SNAPSHOTS = """last_rows AS (
   SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY source, run_id, column_name ORDER BY position DESC) = 1),
 items AS (

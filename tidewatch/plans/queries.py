@@ -132,7 +132,7 @@ def upsert_latest(spark, sf):
 
 def append_history(spark, sf):
     """Test history appended in two batches, the second one replayed."""
-    history = quality.test_history(inputs.test_results(spark, sf))
+    history = quality.test_history(storage.checkpointed(inputs.test_results(spark, sf), "tests"))
     folder = storage.fresh_folder(spark, "history")
     first, second = history.filter("run_at < '1998-01-01'"), history.filter("run_at >= '1998-01-01'")
     for batch_id, df in ((0, first), (1, second), (1, second)):
@@ -380,7 +380,7 @@ def flakiness(spark, sf):
 
 
 def _scored(spark, sf):
-    tests = inputs.test_results(spark, sf)
+    tests = storage.checkpointed(inputs.test_results(spark, sf), "tests")
     return quality.test_severity(quality.failed_tests(tests), quality.flakiness(quality.test_history(tests)))
 
 
@@ -668,7 +668,7 @@ def incident_actions(spark, sf):
 # ---- I reports ------------------------------------------------------------------
 
 def _incident_table(spark, sf):
-    return correlate.confirmed_incidents(_buckets(spark, sf)).select(
+    return storage.checkpointed(correlate.confirmed_incidents(_buckets(spark, sf)), "incidents").select(
         "incident_id", "root_cause", "severity",
         F.when(F.col("n_signals") > 1, "open").otherwise("resolved").alias("status"),
         F.col("opened_at").alias("created_at"))
