@@ -55,7 +55,7 @@ def schema_hash(snapshot: DataFrame) -> DataFrame:
 
     item = F.concat(F.lit('{"dtype": '), text("dtype"), F.lit(', "name": '), text("column_name"),
                     F.lit(', "nullable": '), F.col("nullable").cast("string"), F.lit("}"))
-    listed = F.array_sort(F.collect_list(F.struct("position", item.alias("item"))))
+    listed = F.sort_array(F.collect_list(F.struct("position", item.alias("item"))))
     body = F.concat(F.lit("["), F.array_join(F.transform(listed, lambda e: e["item"]), ", "), F.lit("]"))
     return (snapshot.groupBy("source", "run_id")
             .agg(F.substring(F.sha2(body, 256), 1, 16).alias("computed_hash")))
@@ -171,7 +171,7 @@ def schema_drift_anomalies(diff: DataFrame, snapshot_times: DataFrame | None = N
         max_severity(F.col("severity")).alias("severity"),
         F.count(F.lit(1)).alias("total_changes"),
         *[F.count_if(F.col("change_type") == kind).alias(kind) for kind in CHANGE_ORDER],
-        F.array_sort(F.collect_list(change)).alias("changes"))
+        F.sort_array(F.collect_list(change)).alias("changes"))
 
     def part(kind):
         return F.when(F.col(kind) > 0,

@@ -33,7 +33,7 @@ def _fold_starts(times: DataFrame, width: int) -> DataFrame:
         return F.when(t >= opened + width, F.concat(acc, F.array(t))).otherwise(acc)
 
     return (times.groupBy("run_id", "session")
-            .agg(F.array_sort(F.collect_set("us")).alias("t"))
+            .agg(F.sort_array(F.collect_set("us")).alias("t"))
             .select("run_id", F.explode(F.aggregate("t", F.slice("t", 1, 1), step)).alias("start")))
 
 
@@ -158,7 +158,7 @@ def bucket_facts(bucketed: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_signals"),
         F.bool_and(low).alias("suppressed"),
         F.min(F.struct("ts", "signal_id", "anomaly_type", "confidence", "model_name")).alias("first"),
-        F.array_sort(F.collect_set(F.when(F.col("model_name") != "", F.col("model_name")))).alias("models"))
+        F.sort_array(F.collect_set(F.when(F.col("model_name") != "", F.col("model_name")))).alias("models"))
 
 
 def _with_types(facts: DataFrame) -> DataFrame:
@@ -229,7 +229,7 @@ def hypothesis_requests(bucketed: DataFrame, correlated: DataFrame, part_size: i
             .groupBy("bucket_id", "part")
             .agg(F.count(F.lit(1)).alias("n_signals"),
                  F.to_json(F.transform(
-                     F.array_sort(F.collect_list(F.struct("ts", "signal_id", signal.alias("s")))),
+                     F.sort_array(F.collect_list(F.struct("ts", "signal_id", signal.alias("s")))),
                      lambda e: e["s"])).alias("signals_json")))
 
 
@@ -250,17 +250,16 @@ def enriched_incidents(incidents: DataFrame, members: DataFrame) -> DataFrame:
     kinds = union.groupBy("incident_id").agg(*[
         F.count_if(F.col("kind") == kind).alias(name) for kind, name in (
             ("affected_model", "n_downstream"), ("dashboard", "n_dashboards"),
-            ("ml_feature", "n_ml"), ("sla_breach", "n_sla"))])
+            ("ml_feature", "n_ml"), ("sla_breach", "n_sla"))],
+        F.sort_array(F.collect_list(F.when(F.col("kind") == "sla_breach", F.col("member")))).alias("_sla"))
     by_name = Window.partitionBy("incident_id").orderBy("member")
     targets = (union.filter(F.col("kind") == "affected_model")
                .withColumn("_r", F.row_number().over(by_name)).filter(F.col("_r") <= 5)
-               .groupBy("incident_id").agg(F.array_sort(F.collect_list("member")).alias("pause_targets")))
-    sla = (union.filter(F.col("kind") == "sla_breach").groupBy("incident_id")
-           .agg(F.concat(F.lit("SLA at risk: "),
-                         F.array_join(F.array_sort(F.collect_set("member")), ", ")).alias("sla_impact")))
+               .groupBy("incident_id").agg(F.sort_array(F.collect_list("member")).alias("pause_targets")))
     counts = ["n_downstream", "n_dashboards", "n_ml", "n_sla"]
     joined = (incidents.join(kinds, "incident_id", "left").join(targets, "incident_id", "left")
-              .join(sla, "incident_id", "left"))
+              .withColumn("sla_impact", F.when(F.size("_sla") > 0, F.concat(
+                  F.lit("SLA at risk: "), F.array_join("_sla", ", ")))).drop("_sla"))
     for c in counts:
         joined = joined.withColumn(c, F.coalesce(c, F.lit(0)))
     multiplier = severity_multiplier(F.col("n_downstream"), F.col("n_dashboards"), F.col("n_sla"))

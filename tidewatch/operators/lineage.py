@@ -87,7 +87,9 @@ def reachable(starts: DataFrame, all_edges: DataFrame, hops: int = 4) -> DataFra
     while True:
         layers, layer = [], frontier
         for hop in range(1, hops + 1):
-            layer = layer.join(step, "node").select("start", F.col("_next").alias("node")).distinct()
+            layer = layer.join(step, "node").select("start", F.col("_next").alias("node"))
+            if hop < hops:  # the last layer is made distinct by the grouping below
+                layer = layer.distinct()
             layers.append(layer.withColumn("hop", F.lit(hop)))
         candidates = layers[0]
         for layer in layers[1:]:
@@ -167,13 +169,13 @@ def blast_radius(model_names: DataFrame, all_models: DataFrame, all_edges: DataF
     has_sla = F.coalesce(F.col("sla") != "", F.lit(False))
 
     def names(condition, text):
-        return F.array_sort(F.collect_list(F.when(condition, text)))
+        return F.sort_array(F.collect_list(F.when(condition, text)))
 
     down_aggs = [F.count(F.lit(1)).alias("n_downstream")]
     hit_aggs = [F.count_if(is_dash).alias("n_dashboards"), F.count_if(is_ml).alias("n_ml"),
                 F.count_if(has_sla).alias("n_sla")]
     if lists:
-        down_aggs.append(F.array_sort(F.collect_list("name")).alias("affected_models"))
+        down_aggs.append(F.sort_array(F.collect_list("name")).alias("affected_models"))
         hit_aggs += [names(is_dash, F.col("name")).alias("dashboards"),
                      names(is_ml, F.col("name")).alias("ml_features"),
                      names(has_sla, F.concat("name", F.lit(" ("), "sla", F.lit(")"))).alias("sla_breaches")]

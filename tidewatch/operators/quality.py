@@ -121,7 +121,7 @@ def flakiness(history: DataFrame, window: int = 20, threshold: float = 0.20, min
     tails = (rows.withColumn("_r", F.row_number().over(newest))
              .filter(F.col("_r") <= window - 1)
              .groupBy(*part)
-             .agg(F.transform(F.array_sort(F.collect_list(F.struct(-F.col("_r"), "failed"))),
+             .agg(F.transform(F.sort_array(F.collect_list(F.struct(-F.col("_r"), "failed"))),
                               lambda e: e["failed"]).alias("tail")))
     earlier = Window.partitionBy(*keys).orderBy(running.CHUNK).rowsBetween(-(window - 1), -1)
     carried = tails.select(*part, F.flatten(F.collect_list("tail").over(earlier)).alias("before"))

@@ -105,7 +105,7 @@ def snapshot_signals(spark, sf_dir) -> DataFrame:
     """Signals carrying their snapshot as an array, repeated names included."""
     log = checkpointed(schema_log(spark, sf_dir), "schema-log")
     packed = log.groupBy("source", "run_id", "ts").agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("position", "column_name", "dtype", "nullable", "criticality"))),
+        F.sort_array(F.collect_list(F.struct("position", "column_name", "dtype", "nullable", "criticality"))),
         lambda e: F.struct(
             e["column_name"].alias("name"), e["dtype"].alias("type"),
             F.lit(None).cast("string").alias("dtype"), e["nullable"].alias("nullable"),
@@ -203,7 +203,7 @@ def run_artifacts(spark, sf_dir) -> DataFrame:
                                         ("agent_severity", "blast_radius", "oncall_team")]).distinct()
     packed = (tests.unionByName(models).select("run_id", "run_at", "position", "unique_id", result.alias("r"))
               .groupBy("run_id", "run_at")
-              .agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "unique_id", "r"))),
+              .agg(F.transform(F.sort_array(F.collect_list(F.struct("position", "unique_id", "r"))),
                                lambda e: e["r"]).alias("results")))
     return packed.select(
         "run_id", F.struct(F.lit("1.8.0").alias("dbt_version"),
@@ -316,11 +316,11 @@ def manifests(spark, sf_dir) -> DataFrame:
     links = [("region", "nation"), ("nation", "snap"), ("nation", "test"), ("snap", "cust")]
     children = (used.select("r", F.explode(F.array(*[
                     F.struct(uid[a].alias("parent"), uid[b].alias("child")) for a, b in links])).alias("l"))
-                .groupBy("r", F.col("l.parent").alias("key")).agg(F.array_sort(F.collect_set("l.child")).alias("value"))
+                .groupBy("r", F.col("l.parent").alias("key")).agg(F.sort_array(F.collect_set("l.child")).alias("value"))
                 .groupBy("r").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("child_map")))
     segment_kind = F.create_map(*[F.lit(x) for kv in SEGMENT_KIND.items() for x in kv])
     segment_sla = F.create_map(*[F.lit(x) for kv in SEGMENT_SLA.items() for x in kv])
-    by_segment = used.groupBy("r", "s").agg(F.array_sort(F.collect_set(uid["cust"])).alias("needs")).select(
+    by_segment = used.groupBy("r", "s").agg(F.sort_array(F.collect_set(uid["cust"])).alias("needs")).select(
         "r", F.concat(F.lit("exposure.shop."), "s", F.lit("_"), "r").alias("key"),
         F.concat("s", F.lit("_"), "r").alias("name"), F.try_element_at(segment_kind, F.col("s")).alias("type"),
         "needs", F.try_element_at(segment_sla, F.col("s")).alias("sla"))

@@ -105,7 +105,7 @@ def _merge_facts(stored: DataFrame, new: DataFrame) -> DataFrame:
     merged.append((F.coalesce(a("suppressed"), F.lit(True)) & F.coalesce(b("suppressed"), F.lit(True))).alias("suppressed"))
     merged.append(F.least(a("first"), b("first")).alias("first"))
     none = F.array().cast("array<string>")
-    merged.append(F.array_sort(F.array_union(F.coalesce(a("models"), none), F.coalesce(b("models"), none))).alias("models"))
+    merged.append(F.sort_array(F.array_union(F.coalesce(a("models"), none), F.coalesce(b("models"), none))).alias("models"))
     return both.select(*_BUCKET_KEY, *merged)
 
 
