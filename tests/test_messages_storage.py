@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import profile
 from tidewatch.sources import messages, storage
+from tidewatch.streaming import live
 
 GOOD = {"stage": "ingestion", "source": "orders_api", "metrics": {"row_count": 5, "extra": [1]},
         "pipeline_run_id": "run-1", "ts": "2026-04-22T03:00:00+02:00"}
@@ -65,6 +66,19 @@ def test_incidents_round_trip(spark):
     assert sent.key == "i" and json.loads(sent.value)["root_cause"] == "schema_drift"
 
 
+def test_messages_are_written(spark, tmp_path):
+    df = messages.decode_signals(raw(spark, [GOOD])).select("run_id", "row_count")
+    messages.write_messages(messages.encode_messages(df, "run_id"), "json", path=str(tmp_path / "batch"))
+    df.write.parquet(str(tmp_path / "in"))
+    for mode in ("shadow", "alert_only"):
+        stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+        live.stream_messages(stream, "run_id", "json", str(tmp_path / f"cp-{mode}"), mode,
+                             path=str(tmp_path / mode)).awaitTermination()
+    read = lambda name: spark.read.schema("key string, value string").json(str(tmp_path / name)).collect()
+    assert [(r.key, r.value) for r in read("batch")] == [("run-1", '{"run_id":"run-1","row_count":5}')]
+    assert read("alert_only") == read("batch") and read("shadow") == []
+
+
 def test_upsert_latest(spark):
     schema = "k int, v string, at int"
     now = spark.createDataFrame([(1, "old", 5), (2, "keep", 5), (3, "tie", 5)], schema)

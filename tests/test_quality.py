@@ -128,3 +128,16 @@ def test_table_tests(spark):
     assert one(quality.test_accepted_values(df, run, "s", ["a", "b"])) == {"r": (1, "fail"), "q": (0, "pass")}
     assert one(quality.test_between(df, run, "v", 0, 10)) == {"r": (2, "fail"), "q": (0, "pass")}
     assert one(quality.test_between(df, run, "v", lo=0)) == {"r": (1, "fail"), "q": (0, "pass")}
+
+
+def test_bare_results_find_their_model_in_the_lineage(spark, tests):
+    edges = spark.createDataFrame([("model.shop.b", "test.shop.bare"), ("model.shop.a", "test.shop.bare"),
+                                   ("snapshot.shop.x", "test.shop.bare")], "parent string, child string")
+    got = {r.unique_id: r.model_name for r in artifacts.resolve_test_models(tests, edges).collect()}
+    assert got["test.shop.bare"] == "a"
+    assert got["test.shop.unique_fct_revenue_revenue_id"] == "fct_revenue"
+
+
+def test_histories_can_be_split_by_column(tests):
+    names = {r.test_name for r in quality.per_column(tests).collect()}
+    assert {"not_null:order_id", "not_null:amount"} <= names

@@ -91,6 +91,12 @@ def failed_tests(tests: DataFrame) -> DataFrame:
     return tests.filter(F.col("status").isin("fail", "error"))
 
 
+def per_column(tests: DataFrame) -> DataFrame:
+    """Names every test after its column too, so that equal tests of two columns of a model
+    keep separate histories (by default they share one)."""
+    return tests.withColumn("test_name", F.concat_ws(":", "test_name", "column_name"))
+
+
 def test_history(tests: DataFrame) -> DataFrame:
     """History rows of all results, passed or not."""
     failed = F.col("status").isin("fail", "error")
@@ -103,7 +109,7 @@ test_history.__test__ = False
 
 
 def flakiness(history: DataFrame, window: int = 20, threshold: float = 0.20, min_runs: int = 5,
-              chunk_seconds: int = 90 * running.DAY) -> DataFrame:
+              chunk_seconds: int = 7 * running.DAY) -> DataFrame:
     """Per (run, model, test): failures among the last `window` results, this run included.
 
     A window frame over (model, test) would put one test's whole history in one task.

@@ -53,6 +53,11 @@ def stage_counters(signals: DataFrame, anomalies: DataFrame, buckets: DataFrame,
             .unionByName(buckets_by).unionByName(actions_by))
 
 
+def observed(df: DataFrame, stage: str) -> DataFrame:
+    """Counts the rows passing a stage while the job runs; read from the query's metrics."""
+    return df.observe(f"{stage}_counters", F.count(F.lit(1)).alias("processed"))
+
+
 def reconcile_partitions(left: DataFrame, right: DataFrame, keys: list) -> DataFrame:
     """Compares row counts and checksums of two copies per partition.
 

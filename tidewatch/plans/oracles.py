@@ -543,6 +543,7 @@ ORACLES = {
     "test_unique": f"SELECT run_id, test_name, column_name, failures, CASE WHEN failures > 0 THEN 'fail' ELSE 'pass' END AS status FROM ({UNIQUE})",
     "test_accepted_values": f"SELECT run_id, test_name, column_name, failures, CASE WHEN failures > 0 THEN 'fail' ELSE 'pass' END AS status FROM ({ACCEPTED})",
     "test_between": f"SELECT run_id, test_name, column_name, failures, CASE WHEN failures > 0 THEN 'fail' ELSE 'pass' END AS status FROM ({BETWEEN})",
+    "resolve_test_models": _with(TESTS) + "SELECT run_id, 'test.' || model_name || '.' || test_name || '.' || column_name AS unique_id, model_name, failures FROM tests",
     "failed_tests": _with(TESTS) + f"SELECT {FLAT_TEST} FROM tests WHERE status = 'fail'",
     "test_history": _with(TESTS) + f"SELECT model_name, test_name, run_id, status = 'pass' AS passed, CAST(failures AS DOUBLE) AS failure_rate, {_ts('run_at')} AS run_at, position FROM tests",
     "flakiness": _with(TESTS, FLAKY) + "SELECT * REPLACE (round(flakiness_rate, 4) AS flakiness_rate) FROM flaky",

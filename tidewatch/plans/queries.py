@@ -106,6 +106,15 @@ def parse_test_results(spark, sf):
     return _flat_tests(artifacts.parse_test_results(inputs.raw_run_results(spark, sf)))
 
 
+def resolve_test_models(spark, sf):
+    """Test results without nodes, their models looked up in the lineage."""
+    tests = storage.checkpointed(inputs.test_results(spark, sf), "tests")
+    bare = tests.withColumn("model_name", F.lit("unknown"))
+    links = tests.select(F.concat(F.lit("model.shop."), "model_name").alias("parent"),
+                         F.col("unique_id").alias("child")).distinct()
+    return artifacts.resolve_test_models(bare, links).select("run_id", "unique_id", "model_name", "failures")
+
+
 def run_ids(spark, sf):
     return artifacts.run_ids(inputs.raw_run_results(spark, sf)).select(
         "run_id", ts_text("generated_at").alias("generated_at"), "dbt_version")
@@ -838,7 +847,7 @@ QUERIES = {
     "new_columns": new_columns, "escalate_critical": escalate_critical, "schema_diff": schema_diff,
     "schema_drift_anomalies": schema_drift_anomalies,
     "test_not_null": test_not_null, "test_unique": test_unique, "test_accepted_values": test_accepted_values,
-    "test_between": test_between, "parse_test_results": parse_test_results, "run_ids": run_ids,
+    "test_between": test_between, "resolve_test_models": resolve_test_models, "parse_test_results": parse_test_results, "run_ids": run_ids,
     "failed_tests": failed_tests, "test_history": test_history, "flakiness": flakiness,
     "test_severity": test_severity, "quality_anomalies": quality_anomalies,
     "quality_anomaly_tests": quality_anomaly_tests, "run_summary": run_summary,

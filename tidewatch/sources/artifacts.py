@@ -36,6 +36,18 @@ def parse_test_results(raw: DataFrame, received_at: Column | None = None) -> Dat
         F.col("r.node.config.meta.oncall_team").alias("oncall_team"))
 
 
+def resolve_test_models(tests: DataFrame, edges: DataFrame) -> DataFrame:
+    """Finds the model of results that came without their node, from the lineage edges.
+
+    A test is a child of the models it checks; of several, the first by id is taken.
+    """
+    checked = (edges.filter(F.col("parent").startswith(lineage.MODEL_PREFIX))
+               .groupBy(F.col("child").alias("unique_id")).agg(F.min("parent").alias("_uid")))
+    found = F.when(F.col("model_name") == "unknown", F.element_at(F.split("_uid", r"\."), -1))
+    return (tests.join(checked, "unique_id", "left")
+            .withColumn("model_name", F.coalesce(found, "model_name")).select(*tests.columns))
+
+
 def read_test_results(spark: SparkSession, path: str) -> DataFrame:
     """Test rows of all run-results artifacts under a path or glob."""
     return parse_test_results(spark.read.schema(RUN_RESULTS).option("multiLine", "true").json(path))
