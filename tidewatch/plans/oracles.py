@@ -178,13 +178,13 @@ LINE_MONTH = "strftime(date_trunc('month', l_shipdate), 'dbt-run-%Y%m%d%H%M%S')"
 
 def _check(table, run, position, name, column, failing):
     model = "orders" if table == "orders" else "lineitem"
-    return (f"SELECT {run} AS run_id, {position} AS position, '{name}' AS test_name, '{column}' AS column_name, "
+    return (f"SELECT {run} AS run_id, {position}::BIGINT AS position, '{name}' AS test_name, '{column}' AS column_name, "
             f"count(*) FILTER ({failing}) AS failures, '{model}' AS model_name FROM {table} GROUP BY 1")
 
 
 def _unique(table, run, position, keys):
     columns = ", ".join(keys)
-    return (f"SELECT run_id, {position} AS position, 'unique' AS test_name, '{','.join(keys)}' AS column_name, "
+    return (f"SELECT run_id, {position}::BIGINT AS position, 'unique' AS test_name, '{','.join(keys)}' AS column_name, "
             f"count(*) FILTER (n > 1) AS failures, '{table}' AS model_name FROM "
             f"(SELECT {run} AS run_id, {columns}, count(*) AS n FROM {table} GROUP BY ALL) GROUP BY 1")
 
@@ -445,7 +445,7 @@ ORACLES = {
                         "WHERE NOT (substr(signal_id, 1, 2) IN ('00', '01', '02'))",
     "decode_incidents": _with(*SMALL, BLAST, ANOMALIES, recursive=True) +
         f"SELECT 'i' || signal_id AS incident_id, run_id, {_ts('ts')} AS opened_at, anomaly_type AS root_cause, severity, "
-        "1 AS n_signals, a.model_name AS primary_model, coalesce(n_downstream, 0) AS n_affected, signal_id "
+        "1::BIGINT AS n_signals, a.model_name AS primary_model, coalesce(n_downstream, 0) AS n_affected, signal_id "
         "FROM anomalies a LEFT JOIN blast b USING (model_name) WHERE model_name IS NOT NULL",
     "encode_messages": _with(ANOMALIES) + "SELECT run_id AS key, signal_id, anomaly_type, severity, run_id FROM anomalies",
     "upsert_latest": f"SELECT o_custkey, o_orderkey, o_orderstatus, {_ts('o_orderdate')} AS o_orderdate FROM orders "
@@ -469,7 +469,7 @@ ORACLES = {
         for name, c in (("l_quantity", "l_quantity"), ("l_extendedprice", "l_extendedprice"),
                         ("l_discount", "l_discount"), ("tax", "nullif(l_tax, 0.0)"))),
     "schema_snapshot": " UNION ALL ".join(
-        f"SELECT 'lineitem' AS source, {i} AS position, '{c}' AS column_name, '{t}' AS dtype, true AS nullable, "
+        f"SELECT 'lineitem' AS source, {i}::BIGINT AS position, '{c}' AS column_name, '{t}' AS dtype, true AS nullable, "
         f"round(count(*) FILTER ({e} IS NULL) / count(*)::DOUBLE, 6) AS null_rate FROM lineitem"
         for i, (c, t, e) in enumerate([
             ("l_orderkey", "BIGINT", "l_orderkey"), ("l_partkey", "BIGINT", "l_partkey"), ("l_suppkey", "BIGINT", "l_suppkey"),
@@ -548,7 +548,7 @@ ORACLES = {
     "test_history": _with(TESTS) + f"SELECT model_name, test_name, run_id, status = 'pass' AS passed, CAST(failures AS DOUBLE) AS failure_rate, {_ts('run_at')} AS run_at, position FROM tests",
     "flakiness": _with(TESTS, FLAKY) + "SELECT * REPLACE (round(flakiness_rate, 4) AS flakiness_rate) FROM flaky",
     "test_severity": _with(TESTS, FLAKY, TEST_SCORED) + "SELECT run_id, model_name, test_name, column_name, failures, severity, is_flaky, is_new_test FROM scored",
-    "quality_anomalies": QUALITY, "stream_quality": QUALITY, "new_artifacts": QUALITY,
+    "quality_anomalies": QUALITY, "stream_quality": QUALITY,
     "quality_anomaly_tests": _with(TESTS, FLAKY, TEST_SCORED) + "SELECT sha256('quality|' || run_id || '|' || model_name) AS signal_id, run_id, model_name, test_name, column_name, failures, severity, is_flaky, 'high' AS blast_radius, 'data-platform' AS oncall_team, 'Got ' || failures || ' results' AS message FROM scored",
     "run_summary": _with(TESTS) + "SELECT run_id, count(*) AS total_tests, count(*) FILTER (status = 'fail') AS failed_tests, count(DISTINCT model_name) FILTER (status = 'fail') AS n_signals FROM tests GROUP BY 1",
     # F
@@ -629,5 +629,6 @@ _ARTIFACT_TESTS = _with(TESTS) + f"""
 SELECT {FLAT_TEST.replace(' position,', ' seq AS position,')} FROM (
   SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY position) - 1
             + count(DISTINCT model_name) OVER (PARTITION BY run_id) AS seq FROM tests)"""
-ORACLES["parse_test_results"] = ORACLES["read_test_results"] = _ARTIFACT_TESTS
+for _name in ("parse_test_results", "read_test_results", "new_artifacts"):
+    ORACLES[_name] = _ARTIFACT_TESTS
 ORACLES["merge_baselines"] = ORACLES["baseline_table"]

@@ -787,10 +787,28 @@ def stream_buckets(spark, sf):
     return _flat_incidents(emitted.unionByName(live.flush_buckets(spark, f"{base}/state", 2)))
 
 
-def stream_quality(spark, sf):
+def _replayed_runs(spark, sf, name, start):
+    """Test runs published as one artifact file each, in three rounds."""
     runs = inputs.run_artifacts(spark, sf).withColumn("run", F.substring("run_id", 9, 6))
-    base = _replayed(spark, "quality", runs, lambda s, b: live.stream_quality(
-        s, f"{b}/state", f"{b}/out", f"{b}/checkpoint"), ("199701", "199901"), "run", "json", RUN_RESULTS, "run_id")
+    return _replayed(spark, name, runs, start, ("199701", "199901"), "run", "json", RUN_RESULTS, "run_id")
+
+
+def new_artifacts(spark, sf):
+    """Test rows of the artifacts, each read once in the round it was published in."""
+    def begin(stream, base):
+        return live.start(stream, lambda batch, batch_id: storage.append_history(
+            artifacts.parse_test_results(batch), f"{base}/out", batch_id), f"{base}/checkpoint")
+
+    base = _replayed_runs(spark, sf, "published", begin)
+    return _flat_tests(storage.read_history(spark, f"{base}/out", (
+        "run_id string, run_at timestamp, position int, unique_id string, test_name string, model_name string, "
+        "column_name string, status string, failures bigint, message string, agent_severity string, "
+        "oncall_team string")))
+
+
+def stream_quality(spark, sf):
+    base = _replayed_runs(spark, sf, "quality", lambda s, b: live.stream_quality(
+        s, f"{b}/state", f"{b}/out", f"{b}/checkpoint"))
     return flat_anomalies(storage.read_history(spark, f"{base}/out", _ANOMALY_SCHEMA + (
         ", total_failed_tests bigint, genuine_failures bigint, flaky_failures bigint")),
         "total_failed_tests", "genuine_failures", "flaky_failures")
@@ -868,6 +886,6 @@ QUERIES = {
     "agent_status": agent_status, "missing_agents": missing_agents, "stage_counters": stage_counters,
     "reconcile_partitions": reconcile_partitions,
     "stream_ingestion_anomalies": stream_ingestion_anomalies, "stream_schema_drift": stream_schema_drift,
-    "stream_buckets": stream_buckets, "stream_quality": stream_quality, "new_artifacts": stream_quality,
+    "stream_buckets": stream_buckets, "stream_quality": stream_quality, "new_artifacts": new_artifacts,
     "stream_lineage": stream_lineage, "emit_gate": emit_gate, "late_signals": late_signals,
 }
