@@ -129,7 +129,7 @@ def _impact(model_names: DataFrame, all_models: DataFrame, all_edges: DataFrame,
     # names, and the count, only cover uids the manifest describes
     known = down.join(all_models.select(F.col("uid").alias("node"), "name"), "node")
     own = starts.select("start", F.col("start").alias("node"))
-    hit = exposures_for_models(down.unionByName(own).distinct(), all_exposures)
+    hit = exposures_for_models(down.unionByName(own), all_exposures)
     return named, known, hit
 
 

@@ -490,7 +490,7 @@ def _named_models(spark, sf):
 def _catalog(spark, sf):
     """(models, edges, exposures) of the manifests, which are read once."""
     found = artifacts.manifests_from(storage.checkpointed(inputs.manifests(spark, sf)))
-    return storage.checkpointed(found[0]), storage.checkpointed(found[2]), storage.checkpointed(found[1])
+    return found[0], found[2], found[1]
 
 
 def _catalog_blast(spark, sf, lists=False):
