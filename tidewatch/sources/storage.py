@@ -9,15 +9,26 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in spark.checkpoint.dir.
 
-    Only where that is unset, as in local tests, a temporary folder takes its place.
+    Where that is unset, as in local tests, a temporary folder takes its place, but only if
+    the master is local: elsewhere executors would each write to a disk of their own.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="tidewatch-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a stored step that no later read needs."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
