@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import substring_dedup
+from tidewatch.llm import jaccard_join, lm_score, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_lm_score": lm_score.op4_lm_score,
+    "op5_jaccard_join": jaccard_join.op5_jaccard_join,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
 }
 
