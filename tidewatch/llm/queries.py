@@ -6,12 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import jaccard_join, lm_score, substring_dedup
+from tidewatch.llm import decontaminate, jaccard_join, lm_score, mixing, sharding, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_lm_score": lm_score.op4_lm_score,
     "op5_jaccard_join": jaccard_join.op5_jaccard_join,
+    "op7_mixing": mixing.op7_mixing,
+    "op8_sharding": sharding.op8_sharding,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_decontaminate": decontaminate.ORACLE,
+    "op7_mixing": mixing.ORACLE,
+    "op8_sharding": sharding.ORACLE,
+}
