@@ -109,19 +109,28 @@ class Slice:
         return np.concatenate([found, whole])[order], rows[order]
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", lower: bool = True,
-           size: int = SLICE_BYTES) -> Iterator[Slice]:
-    """The batch in slices of whole rows; a null text has no words."""
+def raw_slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES,
+               rows: int = 1 << 30) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The batch in pieces of whole rows: first row, bytes of their texts, offsets of each row. A null text is empty."""
     texts = batch.column(column)
+    if not len(texts):
+        return
     if texts.null_count:
         texts = texts.fill_null("")
     if not pa.types.is_large_string(texts.type):
         texts = texts.cast(pa.large_string())
     _, ends, data = texts.buffers()
-    ends = np.frombuffer(ends, dtype=np.int64, count=len(texts) + texts.offset + 1)[texts.offset:] if len(texts) else np.zeros(1, np.int64)
+    ends = np.frombuffer(ends, dtype=np.int64, count=len(texts) + texts.offset + 1)[texts.offset:]
     data = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
     first = 0
     while first < len(texts):
-        last = max(first + 1, int(np.searchsorted(ends, ends[first] + size, "right")) - 1)
-        yield Slice(data[ends[first]:ends[last]], ends[first:last + 1] - ends[first], first, lower)
+        last = min(first + rows, max(first + 1, int(np.searchsorted(ends, ends[first] + size, "right")) - 1))
+        yield first, data[ends[first]:ends[last]], ends[first:last + 1] - ends[first]
         first = last
+
+
+def slices(batch: pa.RecordBatch, column: str = "text", lower: bool = True,
+           size: int = SLICE_BYTES) -> Iterator[Slice]:
+    """The batch in slices of whole rows; a null text has no words."""
+    for first, data, offsets in raw_slices(batch, column, size):
+        yield Slice(data, offsets, first, lower)
