@@ -6,7 +6,8 @@
 - A set of n shingles that must share at least `need` of them with a partner shares l or more within the first
   n - need + l. Each document lengthens its prefix (l = 1, 2, ...) while the estimated cost, postings read
   plus verifications they can lead to, falls; a pair then needs as many common prefix shingles as the smaller l of
-  the two. Shingles estimated to occur once have no partner and are not emitted.
+  the two before it is verified. The join finds pairs by the first common one, which stands within n - need + 1.
+  Shingles estimated to occur once have no partner and are not emitted.
 - Copies would meet in all pairs. So before the join, each node is verified against one node of its posting lists,
   the one that looks nearest to all; lists whose nodes are already in one component are done. The join then
   emits only pairs of different components that pass the size, position and count filters, and verifies all.
@@ -105,24 +106,29 @@ def _prefixes(docs: DataFrame, k: int, percent: int, text_col: str, sketch: coun
 
 
 def _joined(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
-    """Pairs of entries under one token that can belong to a link: a and b with their smaller l."""
+    """Pairs of entries under one token that can be the first common one of a link: a and b.
+
+    The first common token of two sets leaves at most the shorter rest to share, besides itself.
+    """
     both = left.select("token", *[F.col(c).alias(f"a_{c}") for c in left.columns if c != "token"]).join(
         right.select("token", *[F.col(c).alias(f"b_{c}") for c in right.columns if c != "token"]), "token")
-    l = F.least("a_l", "b_l")
-    inside = lambda x: F.col(f"{x}_place") - F.col(f"{x}_n") + F.ceil(F.col(f"{x}_n") * percent / 100) < l
-    rest = F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place")) - 1
+    reach = F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place"))
     return both.where((F.col("a_label") != F.col("b_label"))
                       & (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
-                      & inside("a") & inside("b")
-                      & ((100 + percent) * (l + rest) >= percent * (F.col("a_n") + F.col("b_n")))).withColumn("l", l)
+                      & ((100 + percent) * reach >= percent * (F.col("a_n") + F.col("b_n"))))
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    sets = nodes.select("node", "n", "shingles")
-    return (pairs.select("a", "b")
-            .join(sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb")), "b")
-            .join(sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa")), "a")
-            .where((100 + percent) * F.size(F.array_intersect("sa", "sb")) >= percent * (F.col("na") + F.col("nb")))
+    """The pairs with enough common tokens in the prefixes of the smaller l, and then enough common shingles."""
+    side = lambda x: nodes.select(F.col("node").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("n", "l", "tokens", "places", "shingles")])
+    l = F.least("a_l", "b_l")
+
+    def prefix(x):
+        size = F.col(f"{x}_n") - F.ceil(F.col(f"{x}_n") * percent / 100) + l
+        return F.slice(F.col(f"{x}_tokens"), 1, F.size(F.filter(f"{x}_places", lambda p: p < size)))
+    return (pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a")
+            .where(F.size(F.array_intersect(prefix("a"), prefix("b"))) >= l)
+            .where((100 + percent) * F.size(F.array_intersect("a_shingles", "b_shingles")) >= percent * (F.col("a_n") + F.col("b_n")))
             .select("a", "b"))
 
 
@@ -154,17 +160,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     nodes = checkpointed(_prefixes(docs, k, percent, text_col, sketch).dropDuplicates(["fa", "fb"])
                          .withColumn("node", F.monotonically_increasing_id()), "nodes")
     remove_folder(spark, sketch.folder)
-    entries = nodes.select("node", "n", "l", F.explode(F.arrays_zip("tokens", "places")).alias("e")).select(
-        "node", "n", "l", F.col("e.tokens").alias("token"), F.col("e.places").alias("place"))
+    entries = nodes.select("node", "n", F.explode(F.arrays_zip("tokens", "places")).alias("e")).select(
+        "node", "n", F.col("e.tokens").alias("token"), F.col("e.places").alias("place"))
+    entries = entries.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100))  # the first common one is there
     shared = entries.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
     entries = checkpointed(entries.join(shared, "token", "left_semi"), "entries")
 
     links, labels = None, None
     for _ in range(rounds):
         open_ = _open(_labelled(entries, labels))
-        centres = open_.groupBy("token").agg(F.min_by(F.struct("node", "n", "l", "place", "label"), F.struct("place", "node")).alias("r")).select("token", "r.*")
-        pairs = (_joined(open_, centres, percent).groupBy("a_node", "b_node").agg(F.count("*").alias("c"), F.first("l").alias("l"))
-                 .where("c >= l").groupBy(F.col("a_node").alias("a")).agg(F.max_by("b_node", F.struct("c", "b_node")).alias("b")))
+        centres = open_.groupBy("token").agg(F.min_by(F.struct("node", "n", "place", "label"), F.struct("place", "node")).alias("r")).select("token", "r.*")
+        pairs = (_joined(open_, centres, percent).groupBy("a_node", "b_node").agg(F.count("*").alias("c"))
+                 .groupBy(F.col("a_node").alias("a")).agg(F.max_by("b_node", F.struct("c", "b_node")).alias("b")))
         found = checkpointed(_verified(pairs, nodes, percent), "links")
         links = found if links is None else links.unionByName(found)
         labels = graph.components(links)
@@ -174,8 +181,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
             .agg(F.max_by("label", F.struct("c", "label")).alias("most")))
     rest = open_.join(most, "token").where("label <> most")  # every pair of two labels has a row outside the largest
     pairs = (_joined(rest, open_, percent).where("b_label = a_most OR a_node < b_node")
-             .groupBy(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
-             .agg(F.count("*").alias("c"), F.first("l").alias("l")).where("c >= l"))
+             .select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct())
     links = links.unionByName(checkpointed(_verified(pairs, nodes, percent), "links"))
     labels = graph.components(links)
 
