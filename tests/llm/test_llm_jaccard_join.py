@@ -41,7 +41,7 @@ def run(spark, rows, k, percent):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     for c in ("node", "label", "id", "fa"):
         docs = docs.withColumn(c, F.lit(None).cast("string"))
-    return sorted(map(tuple, jaccard_join.near_duplicates(docs, k, percent).collect()), key=str)
+    return sorted(map(tuple, jaccard_join.near_duplicates(docs, k, percent).select("doc_id", "n_shingles", "component_id").collect()), key=str)
 
 
 @pytest.mark.parametrize("k,percent,seed", [(3, 90, 1), (5, 80, 2), (2, 50, 3)])
@@ -65,6 +65,16 @@ def test_equals_brute_force(spark, k, percent, seed):
     assert run(spark, rows, k, percent) == brute(rows, k, percent)
 
 
+def test_keeps_one_of_each_component(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(3, base), (1, base + " end"), (2, base), (1, base + " end"), (7, "quite different words stand here"), (None, "w1 w2"), (7, "a"),
+            (8, None), (8, None), (9, ""), (1, "another text under the same id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("id", F.lit("x")).withColumn("fa", F.lit(2))
+    got = jaccard_join.keep_one(docs, 5, 80)
+    assert got.columns == docs.columns
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in got.collect()) == sorted((str(i), str(t)) for i, t in [rows[1], *rows[4:]])
+
+
 def test_empty_table(spark):
     assert run(spark, [], 3, 90) == []
 

@@ -50,20 +50,21 @@ def _fingerprint(hashes, starts, counts):
             _sums(words.mix(hashes ^ np.uint64(0x9FB21C651E98DF25)), starts, counts))
 
 
-def shingle_sets(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles and fingerprint (fa, fb) of each row's set of k-word shingles."""
+def shingle_sets(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """id, n_shingles and fingerprint (fa, fb) of each row's set of k-word shingles, with `carry` also the row as struct `row`."""
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in words.slices(batch, text_col):
+            for part in words.slices(batch, "_text"):
                 hashes, rows = _distinct(part, k)
                 counts = np.bincount(rows, minlength=part.rows)
                 fa, fb = _fingerprint(hashes, np.cumsum(counts) - counts, counts)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.first, part.rows), pa.array(counts.astype(np.int64)),
-                                                  pa.array(fa), pa.array(fb)], names=["id", "n_shingles", "fa", "fb"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(part.first, part.rows) for i in range(1, batch.num_columns)),
+                                                  pa.array(counts.astype(np.int64)), pa.array(fa), pa.array(fb)],
+                                                 names=[*batch.schema.names[1:], "n_shingles", "fa", "fb"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return (docs.select(F.col(id_col).alias("id"), F.col(text_col))
-            .mapInArrow(sets, f"id {kind}, n_shingles long, fa long, fb long"))
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
+    some = docs.select(F.col(text_col).alias("_text"), F.col(id_col).alias("id"), *row)
+    return some.mapInArrow(sets, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in some.schema.fields[1:]) + ", n_shingles long, fa long, fb long")
 
 
 def _prefixes(docs: DataFrame, k: int, percent: int, text_col: str, sketch: countmin.Sketch) -> DataFrame:
@@ -140,7 +141,8 @@ def _labelled(entries: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text",
                     rounds: int = 2) -> DataFrame:
-    """One row per row of `docs`: id, n_shingles, component_id.
+    """One row per row of `docs`: id, n_shingles, component_id; further fa and fb (the set's fingerprint) and `first`, true for the
+    rows of the component's smallest id that have its first set.
 
     Sets of distinct k-word shingles over lower-cased (A-Z) words `[^\\x20\\x09-\\x0D]+`; fewer words are one
     shingle. Two rows link when 100 * intersection >= percent * union, so rows of equal sets do;
@@ -185,15 +187,31 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     links = links.unionByName(checkpointed(_verified(pairs, nodes, percent), "links"))
     labels = graph.components(links)
 
-    smallest = info.groupBy("fa", "fb", "n_shingles").agg(F.min("id").alias("least"))
-    placed = (smallest.join(nodes.select("fa", "fb", "node"), ["fa", "fb"]).join(labels, "node")
-              .select("fa", "fb", "label", "least"))
-    whole = placed.groupBy("label").agg(F.min("least").alias("component_id"))
-    classes = smallest.join(placed.join(whole, "label").select("fa", "fb", "component_id"), ["fa", "fb"], "left")
-    classes = classes.select("fa", "fb", F.coalesce("component_id", "least").alias("component_id"))
+    smallest = info.groupBy("fa", "fb").agg(F.min("id").alias("least"))
+    labelled = (smallest.join(nodes.select("fa", "fb", "node"), ["fa", "fb"]).join(labels, "node")
+                .select("fa", "fb", "label", "least"))
+    rank = F.struct(F.col("least").isNull(), "least", "fa", "fb")
+    whole = labelled.groupBy("label").agg(F.min_by(F.struct("least", "fa", "fb"), rank).alias("top"))
+    classes = smallest.join(labelled.join(whole, "label").select("fa", "fb", "top"), ["fa", "fb"], "left")
+    classes = classes.select("fa", "fb", F.coalesce("top", F.struct("least", "fa", "fb")).alias("top"))
     alone = F.col("n_shingles") == 0
+    component = F.when(alone, F.col("id")).otherwise(F.col("top.least"))
+    first = alone | ((F.col("top.fa") == F.col("fa")) & (F.col("top.fb") == F.col("fb")) & F.col("id").eqNullSafe(F.col("top.least")))
     return (info.join(classes, ["fa", "fb"])
-            .select(F.col("id").alias(id_col), "n_shingles", F.when(alone, F.col("id")).otherwise(F.col("component_id")).alias("component_id")))
+            .select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), "fa", "fb", first.alias("first")))
+
+
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` without near duplicates: of each component the row of the smallest id, of equal such rows one.
+
+    Rows without words are linked with nothing and all stay.
+    """
+    kept = (near_duplicates(docs, k, percent, id_col, text_col).where("first AND n_shingles > 0")
+            .select(F.col(id_col).alias("_id"), F.col("fa").alias("_fa"), F.col("fb").alias("_fb")).distinct())
+    rows = shingle_sets(docs, k, id_col, text_col, carry=True)
+    ones = (rows.join(kept, F.col("id").eqNullSafe(F.col("_id")) & (F.col("fa") == F.col("_fa")) & (F.col("fb") == F.col("_fb")), "left_semi")
+            .dropDuplicates(["id", "fa", "fb"]))
+    return ones.select("row.*").unionByName(rows.where("n_shingles = 0").select("row.*"))
 
 
 def _open(entries: DataFrame) -> DataFrame:
@@ -203,4 +221,5 @@ def _open(entries: DataFrame) -> DataFrame:
 
 
 def op5_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=3, percent=90)
+    found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=3, percent=90)
+    return found.select("doc_id", "n_shingles", "component_id")
