@@ -17,7 +17,7 @@ def anomalies(spark, rows):
          for i, (run, sec, t, sev, conf, model) in enumerate(rows)], ROW)
 
 
-def simple(run, sec, kind="row_count_anomaly", sev="HIGH", conf=0.9, model="fct_orders"):
+def simple(run, sec, kind="row_count_anomaly", sev="HIGH", conf=0.9, model="tide_daily"):
     return (run, sec, kind, sev, conf, model)
 
 
@@ -32,8 +32,7 @@ def brute(rows):
     return out
 
 
-@pytest.mark.parametrize("limit", [20000, 5, 0])
-def test_buckets_equal_a_plain_loop(spark, limit):
+def test_buckets_equal_a_plain_loop(spark):
     rnd = random.Random(1)
     rows = [simple("golden", s) for s in (0, 100, 299, 300, 310, 700)]
     for run, span, n in (("dense", 9000, 400), ("sparse", 90000, 120), ("burst", 200, 60), ("micro", 4000, 50),
@@ -42,7 +41,7 @@ def test_buckets_equal_a_plain_loop(spark, limit):
                  for _ in range(n)]
     rows += [simple("edge", 300 * k) for k in range(40)] + [simple("edge2", 299 * k) for k in range(40)]
     got = {r.signal_id: (r.opened_at - T0).total_seconds() for r in
-           correlate.signal_buckets(anomalies(spark, rows), fold_limit=limit).collect()}
+           correlate.signal_buckets(anomalies(spark, rows)).collect()}
     assert got == brute(rows)
 
 
@@ -84,15 +83,17 @@ def test_summary_suppression_and_incidents(spark):
                          "e": ("schema_drift", "HIGH", "unknown")}
 
 
-@pytest.mark.parametrize("size, parts", [(500, 1), (3, None)])
-def test_hypothesis_requests_are_whole(spark, size, parts):
+@pytest.mark.parametrize("size", [2, 499, 501, 1200])
+def test_hypothesis_requests_have_every_signal(spark, size):
     import json
-    bucketed = one_bucket(spark, ["row_count_anomaly"] * 40)
-    got = correlate.hypothesis_requests(bucketed, correlate.correlate(bucketed), size).collect()
-    assert sum(r.n_signals for r in got) == 40
-    listed = [s for r in got for s in json.loads(r.signals_json)]
-    assert sorted(s["model_name"] for s in listed) == sorted(f"m{i}" for i in range(40))
-    assert len(got) == parts or parts is None and len(got) > 5
+    bucketed = one_bucket(spark, ["row_count_anomaly"] * size) if size < 300 else correlate.signal_buckets(
+        anomalies(spark, [simple("r", i / 10, model=f"m{i}") for i in range(size)]))
+    rows = correlate.hypothesis_requests(bucketed, correlate.correlate(bucketed))
+    assert rows.count() == size and rows.select("bucket_id").distinct().count() == 1
+    packed = correlate.packed_requests(rows).collect()
+    listed = json.loads(packed[0].signals_json)
+    assert (len(packed), packed[0].n_signals, [s["model_name"] for s in listed]) == (1, size, [f"m{i}" for i in range(size)])
+    assert all(s["details"] == {} for s in listed)
 
 
 def test_clock_buckets(spark):
@@ -107,7 +108,9 @@ def test_enrichment_unites_the_models(spark):
                                                                ("a", "dashboard", "d"), ("a", "sla_breach", "d (1h)")],
         "model_name string, kind string, member string")
     incidents = correlate.confirmed_incidents(correlate.signal_buckets(anomalies(spark, rows)))
-    got = correlate.enriched_incidents(incidents, members).first()
+    enriched = correlate.enriched_incidents(incidents, members)
+    got = correlate.with_pause_targets(enriched, members).first()
     assert (got.n_downstream, got.n_dashboards, got.n_sla, got.severity_multiplier) == (8, 1, 1, 2.5)
     assert got.severity == "CRITICAL" and got.sla_impact == "SLA at risk: d (1h)"
     assert got.pause_targets == ["x0", "x1", "x2", "x3", "x4"]
+    assert correlate.incident_members(incidents, members).count() == 10

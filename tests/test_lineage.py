@@ -9,102 +9,116 @@ from tidewatch.operators import lineage
 from tidewatch.sources import artifacts
 
 
-def node(name, kind="model"):
-    return {"unique_id": f"{kind}.shop.{name}", "name": name, "resource_type": kind, "schema": "analytics",
+def node(uid):
+    kind, _, name = uid.split(".")
+    return {"unique_id": uid, "name": name, "resource_type": kind, "schema": "water",
             "database": "prod", "description": "", "tags": ["t"], "config": {"meta": {"owner": "x"}}}
 
 
-NAMES = ["stg_orders", "fct_orders", "fct_revenue", "dim_customers", "rpt_weekly_sales"]
-CHILDREN = {
-    "model.shop.stg_orders": ["model.shop.fct_orders", "test.shop.not_null"],
-    "model.shop.fct_orders": ["model.shop.fct_revenue", "model.shop.dim_customers"],
-    "model.shop.fct_revenue": ["model.shop.rpt_weekly_sales"],
-    "model.shop.dim_customers": [], "model.shop.rpt_weekly_sales": [], "test.shop.not_null": []}
-EXPOSURES = {
-    "exposure.shop.dash": {"unique_id": "exposure.shop.dash", "name": "executive_revenue_dashboard",
-                           "type": "dashboard", "depends_on": {"nodes": ["model.shop.fct_revenue",
-                                                                         "model.shop.fct_orders", "source.shop.x"]},
-                           "owner": {"name": "Finance"}, "url": "u", "meta": {"sla": "daily_08:00_UTC"}},
-    "exposure.shop.churn": {"unique_id": "exposure.shop.churn", "name": "churn_model_features", "type": "ml",
-                            "depends_on": {"nodes": ["model.shop.dim_customers", "model.shop.fct_orders"]},
-                            "owner": "Data Science", "meta": {}}}
+# a chain into a loop, a model of a shared package that feeds both, and a second project that uses the package
+SEA = {
+    "model.sea.tide_raw": ["model.sea.tide_clean"], "model.sea.tide_clean": ["test.sea.in_range", "model.sea.tide_daily"],
+    "model.common.calendar": ["model.sea.tide_daily", "model.sea.port_calls"], "model.sea.tide_daily": ["model.sea.port_calls"],
+    "model.sea.port_calls": ["model.sea.berth_plan"], "model.sea.berth_plan": ["model.sea.port_calls"], "test.sea.in_range": []}
+LAND = {"model.common.calendar": ["model.land.rail"], "model.land.rail": ["model.land.tide_daily"], "model.land.tide_daily": []}
+BOARD = {"exposure.sea.board": {"name": "harbour_board", "type": "dashboard", "owner": {"name": "Pilots"}, "url": "u", "meta": {"sla": "before_noon"},
+                                "depends_on": {"nodes": ["model.sea.tide_daily", "source.sea.gauge"]}}}
+EXPOSURES = {**BOARD, "exposure.sea.planner": {"name": "berth_forecast", "type": "ml", "owner": "Dockers", "meta": {},
+                                               "depends_on": {"nodes": ["model.sea.berth_plan"]}},
+             "exposure.sea.notes": {"name": "notes", "type": "notebook", "depends_on": {"nodes": ["model.sea.port_calls"]}}}
 
 
-def manifest(children=CHILDREN, parents=None):
-    nodes = [node(n) for n in NAMES] + [node("not_null", "test")]
-    return {"nodes": {n["unique_id"]: n for n in nodes}, "exposures": EXPOSURES,
-            "child_map": children, "parent_map": parents or {}}
+def manifest(project, children, exposures, parents=None):
+    uids = sorted({*children, *(c for cs in children.values() for c in cs)})
+    return {"metadata": {"project_name": project}, "nodes": {u: node(u) for u in uids}, "exposures": exposures,
+            "child_map": {} if parents else children, "parent_map": parents or {}}
 
 
 @pytest.fixture(scope="module")
 def parsed(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("manifest")
-    (folder / "manifest.json").write_text(json.dumps(manifest(), indent=1))
+    (folder / "manifest.json").write_text(json.dumps(manifest("sea", SEA, EXPOSURES), indent=1))
     return artifacts.read_manifest(spark, str(folder))
 
 
 def test_manifest_tables(parsed):
     models, exposures, edges = parsed
-    assert {m.name for m in models.collect()} == set(NAMES)
-    assert models.filter("name = 'fct_orders'").first().meta == {"owner": "x"}
+    assert {m.uid for m in models.collect()} == {u for u in SEA if u.startswith("model.")}
+    assert models.filter("name = 'tide_daily'").first().meta == {"owner": "x"}
     got = {e.name: (e.exposure_type, e.depends_on, e.owner, e.sla) for e in exposures.collect()}
-    assert got["executive_revenue_dashboard"] == (
-        "dashboard", ["model.shop.fct_revenue", "model.shop.fct_orders"], "Finance", "daily_08:00_UTC")
-    assert got["churn_model_features"][2:] == ("Data Science", None)
-    assert edges.count() == 5
+    assert got["harbour_board"] == ("dashboard", ["model.sea.tide_daily"], "Pilots", "before_noon")
+    assert got["berth_forecast"][2:] == ("Dockers", None)
+    assert edges.count() == sum(map(len, SEA.values()))
     counts = lineage.manifest_counts(models, exposures).first()
-    assert (counts.n_models, counts.n_exposures) == (5, 2)
+    assert (counts.n_models, counts.n_exposures) == (6, 3)
 
 
 def test_parent_map_replaces_an_empty_child_map(spark, tmp_path):
     parents = {}
-    for parent, children in CHILDREN.items():
+    for parent, children in SEA.items():
         for child in children:
             parents.setdefault(child, []).extend([parent, parent])
-    (tmp_path / "m.json").write_text(json.dumps(manifest({}, parents)))
+    (tmp_path / "m.json").write_text(json.dumps(manifest("sea", SEA, {}, parents)))
     edges = artifacts.read_manifest(spark, str(tmp_path))[2]
-    assert sorted((e.parent, e.child) for e in edges.collect()) == sorted(
-        (p, c) for p, cs in CHILDREN.items() for c in cs)
+    assert sorted((e.parent, e.child) for e in edges.collect()) == sorted((p, c) for p, cs in SEA.items() for c in cs)
+
+
+def impact(spark, tables, names):
+    models, exposures, edges = tables
+    names = spark.createDataFrame([(n,) for n in names], "model_name string")
+    blast = lineage.blast_radius(names, models, edges, exposures)
+    return {r.model_name: r for r in lineage.impact_text(blast).collect()}
 
 
 def test_blast_radius_of_each_model(spark, parsed):
-    models, exposures, edges = parsed
-    names = spark.createDataFrame([(n,) for n in [*NAMES, "nowhere"]], "model_name string")
-    got = {r.model_name: r for r in lineage.blast_radius(names, models, edges, exposures).collect()}
+    got = impact(spark, parsed, ["tide_raw", "tide_daily", "calendar", "port_calls", "nowhere"])
     table = {n: (r.n_downstream, r.n_dashboards, r.n_ml, r.n_sla, r.severity_multiplier) for n, r in got.items()}
-    assert table == {"stg_orders": (4, 1, 1, 1, 2.5), "fct_orders": (3, 1, 1, 1, 2.5), "fct_revenue": (1, 1, 0, 1, 2.0),
-                     "dim_customers": (0, 0, 1, 0, 1.0), "rpt_weekly_sales": (0, 0, 0, 0, 1.0), "nowhere": (0, 0, 0, 0, 1.0)}
-    assert got["fct_orders"].affected_models == ["dim_customers", "fct_revenue", "rpt_weekly_sales"]
-    assert got["fct_orders"].sla_breaches == ["executive_revenue_dashboard (daily_08:00_UTC)"]
-    text = {r.model_name: r for r in lineage.impact_text(lineage.blast_radius(names, models, edges, exposures)).collect()}
-    assert text["fct_revenue"].sla_impact == "SLA at risk: executive_revenue_dashboard (daily_08:00_UTC)"
-    assert text["nowhere"].sla_impact is None
-    assert text["dim_customers"].summary == (
-        "Model 'dim_customers' failure affects:\n  • 0 downstream models\n  • ML features: churn_model_features")
-    members = lineage.blast_members(names, models, edges, exposures).filter("model_name = 'fct_revenue'")
+    assert table == {"tide_raw": (4, 1, 1, 1, 2.5), "tide_daily": (2, 1, 1, 1, 2.0), "calendar": (3, 1, 1, 1, 2.5),
+                     "port_calls": (2, 0, 1, 0, 1.0), "nowhere": (0, 0, 0, 0, 1.0)}
+    assert got["tide_raw"].affected_models == ["berth_plan", "port_calls", "tide_clean", "tide_daily"]
+    assert got["calendar"].sla_breaches == ["harbour_board (before_noon)"]
+    assert got["tide_daily"].sla_impact == "SLA at risk: harbour_board (before_noon)"
+    assert got["nowhere"].sla_impact is None
+    assert got["port_calls"].summary == (
+        "Model 'port_calls' failure affects:\n  • 2 downstream models\n  • ML features: berth_forecast")
+    models, exposures, edges = parsed
+    members = lineage.blast_members(spark.createDataFrame([("tide_daily",)], "model_name string"), models, edges, exposures)
     assert {(m.kind, m.member) for m in members.collect()} == {
-        ("affected_model", "rpt_weekly_sales"), ("dashboard", "executive_revenue_dashboard"),
-        ("sla_breach", "executive_revenue_dashboard (daily_08:00_UTC)")}
+        ("affected_model", "port_calls"), ("affected_model", "berth_plan"), ("dashboard", "harbour_board"),
+        ("ml_feature", "berth_forecast"), ("sla_breach", "harbour_board (before_noon)")}
+
+
+def test_what_two_manifests_share_counts_once(spark, tmp_path):
+    both = {**LAND, "model.common.calendar": [*LAND["model.common.calendar"], "model.sea.tide_daily"], "model.sea.tide_daily": []}
+    (tmp_path / "a.json").write_text(json.dumps(manifest("sea", SEA, EXPOSURES)))
+    (tmp_path / "b.json").write_text(json.dumps(manifest("land", both, BOARD)))
+    tables = artifacts.read_manifest(spark, str(tmp_path))
+    assert tables[0].filter("name = 'calendar'").count() == 2
+    got = impact(spark, tables, ["calendar", "rail"])
+    assert got["calendar"].affected_models == ["berth_plan", "port_calls", "rail", "tide_daily", "tide_daily"]  # two projects have a tide_daily
+    assert (got["calendar"].n_downstream, got["calendar"].n_dashboards, got["calendar"].n_ml, got["calendar"].n_sla) == (5, 1, 1, 1)
+    assert got["rail"].affected_models == ["tide_daily"] and got["rail"].n_dashboards == 0
 
 
 def test_lineage_incidents(spark, parsed):
     models, exposures, edges = parsed
     anomalies = spark.createDataFrame(
-        [("s1", "row_count_anomaly", "r", "fct_orders", "HIGH", 0.9), ("s2", "schema_drift", "r", None, "HIGH", 1.0),
+        [("s1", "row_count_anomaly", "r", "tide_daily", "HIGH", 0.9), ("s2", "schema_drift", "r", None, "HIGH", 1.0),
          ("s3", "schema_drift", "r", "nowhere", "LOW", 1.0), ("s4", "schema_drift", "r", "", "LOW", 1.0)],
         "signal_id string, anomaly_type string, run_id string, model_name string, severity string, confidence double"
     ).withColumn("ts", F.current_timestamp())
     names = anomalies.select("model_name").filter("model_name <> ''")
     blast = lineage.blast_radius(names, models, edges, exposures, lists=False)
     got = {(r.primary_model, r.root_cause, r.severity) for r in lineage.lineage_incidents(anomalies, blast).collect()}
-    assert got == {("fct_orders", "row_count_anomaly", "CRITICAL"), ("nowhere", "schema_drift", "LOW")}
+    assert got == {("tide_daily", "row_count_anomaly", "CRITICAL"), ("nowhere", "schema_drift", "LOW")}
 
 
-@pytest.mark.parametrize("down, dash, sla, expected", [
-    (0, 0, 0, 1.0), (3, 0, 0, 1.5), (3, 1, 0, 2.0), (3, 1, 1, 2.5), (10, 1, 1, 3.0), (100, 10, 10, 3.0)])
-def test_multiplier(spark, down, dash, sla, expected):
-    got = spark.range(1).select(severity_multiplier(F.lit(down), F.lit(dash), F.lit(sla))).first()[0]
-    assert got == expected
+def test_multiplier_at_its_thresholds(spark):
+    """Half a step from 3 models, a whole one from 10, half for any dashboard and any SLA, 3 at most."""
+    grid = [(d, b, s) for d in (2, 3, 9, 10) for b in (0, 1, 2) for s in (0, 1)]
+    want = [min(3.0, 1 + (1 if d >= 10 else 0.5 if d >= 3 else 0) + 0.5 * min(b, 1) + 0.5 * min(s, 1)) for d, b, s in grid]
+    df = spark.createDataFrame(grid, "d int, b int, s int").select("d", "b", "s", severity_multiplier(F.col("d"), F.col("b"), F.col("s")).alias("m"))
+    assert {(r.d, r.b, r.s): r.m for r in df.collect()} == dict(zip(grid, want))
 
 
 def test_escalation(spark):

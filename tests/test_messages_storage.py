@@ -7,7 +7,7 @@ from tidewatch.operators import profile
 from tidewatch.sources import messages, storage
 from tidewatch.streaming import live
 
-GOOD = {"stage": "ingestion", "source": "orders_api", "metrics": {"row_count": 5, "extra": [1]},
+GOOD = {"stage": "ingestion", "source": "tide_gauge", "metrics": {"row_count": 5, "extra": [1]},
         "pipeline_run_id": "run-1", "ts": "2026-04-22T03:00:00+02:00"}
 
 
@@ -20,7 +20,7 @@ def without(key):
 
 
 @pytest.mark.parametrize("document, reason", [
-    ("no json", "no known field"), (without("source"), "missing source"), (without("metrics"), "missing metrics"),
+    ("no json", "not json"), ('{"stage": "inges', "not json"), ("{}", "no known field"), (without("source"), "missing source"), (without("metrics"), "missing metrics"),
     (without("pipeline_run_id"), "missing pipeline_run_id"), ({**GOOD, "stage": "archive"}, "unknown stage"),
     ({**GOOD, "ts": "yesterday"}, "bad ts"),
     ({**GOOD, "schema_snapshot": {"columns": []}}, "incomplete snapshot")])
@@ -30,14 +30,14 @@ def test_bad_signals_go_to_the_dead_letters(spark, document, reason):
     bad = messages.split_malformed(df).collect()
     assert [b.reason for b in bad] == [reason]
     text = document if isinstance(document, str) else json.dumps(document)
-    assert bad[0].value_head == text[:200]
+    assert (bad[0].value, bad[0].value_head) == (text, text[:200])
 
 
 def test_good_signal_and_defaults(spark):
     snapshot = {"columns": [{"name": "a", "type": "INT"}], "version_hash": "h"}
     row = messages.decode_signals(raw(spark, [{**GOOD, "schema_snapshot": snapshot}])).first()
     assert (row.event_type, row.stage, row.source, row.run_id, row.row_count) == (
-        "pipeline.stage.completed", "ingestion", "orders_api", "run-1", 5)
+        "pipeline.stage.completed", "ingestion", "tide_gauge", "run-1", 5)
     assert str(row.ts) == "2026-04-22 01:00:00" and len(row.event_id) == 64
     assert row.columns[0]["name"] == "a" and row.version_hash == "h"
     untimed = messages.decode_signals(raw(spark, [without("ts")]), F.timestamp_seconds(F.lit(0))).first()

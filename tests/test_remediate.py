@@ -11,7 +11,7 @@ SCHEMA = ("incident_id string, run_id string, severity string, root_cause string
 
 def incident(spark, severity, cause="row_count_anomaly", targets=(), **more):
     return spark.createDataFrame(
-        [("i1", "run-1", severity, cause, "fct_orders", list(targets), more.get("down", 0), more.get("dash", 0),
+        [("i1", "run-1", severity, cause, "tide_daily", list(targets), more.get("down", 0), more.get("dash", 0),
           more.get("sla"), more.get("hypothesis"))], SCHEMA)
 
 
@@ -31,7 +31,7 @@ def test_high_quarantines(spark, mode, approval):
     rows = plan(spark, "HIGH", mode=mode)
     assert [(r.action_type, r.requires_approval) for r in rows] == [
         ("notify_slack", False), ("quarantine_partition", approval)]
-    assert rows[1].reason == "row_count_anomaly detected — severity HIGH" and rows[1].target == "fct_orders"
+    assert rows[1].reason == "row_count_anomaly detected — severity HIGH" and rows[1].target == "tide_daily"
 
 
 def test_critical(spark):
@@ -65,7 +65,7 @@ def test_incident_text(spark):
     row = remediate.incident_fields(df).first()
     assert row.blast_summary == "3 models, 1 dashboards, SLA: SLA at risk: d (1h)"
     assert row.alert_text == (
-        "🔴 *[HIGH] Data Pipeline Incident*\n*Root cause:* `row_count_anomaly`\n*Model:* `fct_orders` | *Run:* `run-1`\n"
+        "🔴 *[HIGH] Data Pipeline Incident*\n*Root cause:* `row_count_anomaly`\n*Model:* `tide_daily` | *Run:* `run-1`\n"
         "*Blast radius:* 3 models, 1 dashboards, SLA: SLA at risk: d (1h)\n*Hypothesis:* " + "x" * 300 + "\n")
     bare = remediate.incident_fields(df.drop("n_downstream", "llm_hypothesis")).first()
     assert bare.blast_summary == "blast radius unknown" and "Hypothesis" not in bare.alert_text

@@ -26,17 +26,6 @@ RULES = [
 
 # ---- anchored windows -------------------------------------------------------
 
-def _fold_starts(times: DataFrame, width: int) -> DataFrame:
-    """Window starts of sessions small enough to hold as one sorted array."""
-    def step(acc, t):
-        opened = F.element_at(acc, -1)
-        return F.when(t >= opened + width, F.concat(acc, F.array(t))).otherwise(acc)
-
-    return (times.groupBy("run_id", "session")
-            .agg(F.sort_array(F.collect_set("us")).alias("t"))
-            .select("run_id", F.explode(F.aggregate("t", F.slice("t", 1, 1), step)).alias("start")))
-
-
 def _jump_starts(times: DataFrame, blocks: DataFrame, width: int, most: int) -> DataFrame:
     """Window starts of sessions of any size, by pointer doubling.
 
@@ -73,14 +62,14 @@ def _jump_starts(times: DataFrame, blocks: DataFrame, width: int, most: int) ->
     return starts.select("run_id", F.col("us").alias("start"))
 
 
-def signal_buckets(anomalies: DataFrame, seconds: int = 300, fold_limit: int = 20000) -> DataFrame:
+def signal_buckets(anomalies: DataFrame, seconds: int = 300) -> DataFrame:
     """Adds bucket_id and opened_at to every anomaly.
 
     1. Rows are counted per (run, block), a block being a clock interval as long as a
        window. A gap of a window's length or more always starts a new one, and only
        shows between blocks, so sessions come from the small block table.
     2. A session shorter than a window is one bucket. Longer ones need the chain of
-       starts: an array fold for up to `fold_limit` rows, pointer doubling beyond.
+       starts, found by pointer doubling.
     3. Two starts never share a block, so a row's start is that of its own block or the
        one before: one join on (run, block) places all rows, and no run is ever
        gathered in one task. Skewed (run, block) pairs can be split by AQE.
@@ -89,7 +78,7 @@ def signal_buckets(anomalies: DataFrame, seconds: int = 300, fold_limit: int = 2
     rows = (anomalies.withColumn("_us", F.unix_micros("ts"))
             .withColumn("_blk", F.floor(F.col("_us") / width)))
     blocks = rows.groupBy("run_id", F.col("_blk").alias("blk")).agg(
-        F.min("_us").alias("lo"), F.max("_us").alias("hi"), F.count(F.lit(1)).alias("n"))
+        F.min("_us").alias("lo"), F.max("_us").alias("hi"))
     by_run = Window.partitionBy("run_id").orderBy("blk")
     before = F.lag("hi").over(by_run)
     opens = F.when(before.isNull() | (F.col("lo") - before >= width), F.col("blk"))
@@ -98,28 +87,19 @@ def signal_buckets(anomalies: DataFrame, seconds: int = 300, fold_limit: int = 2
             by_run.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_opens")
     session = Window.partitionBy("run_id", "session")
     blocks = (blocks.withColumn("s_lo", F.min("lo").over(session))
-              .withColumn("s_hi", F.max("hi").over(session))
-              .withColumn("s_n", F.sum("n").over(session)))
+              .withColumn("s_hi", F.max("hi").over(session)))
     blocks = checkpointed(blocks)
 
     is_long = F.col("s_hi") - F.col("s_lo") >= width
-    is_big = F.col("s_n") > fold_limit
     windows = F.floor((F.col("s_hi") - F.col("s_lo")) / width) + 1
-    # one row: are there sessions of each kind, and how many windows at most
-    some = blocks.filter(is_long).agg(
-        F.max(F.when(~is_big, windows)).alias("small"), F.max(F.when(is_big, windows)).alias("big")).first()
-
-    def times(part):
-        return (rows.select("run_id", F.col("_us").alias("us"), F.col("_blk").alias("blk"))
-                .join(part.select("run_id", "blk", "session"), ["run_id", "blk"]).distinct())
-
+    # one row: the number of windows of the longest session, if any needs the chain
+    most = blocks.filter(is_long).agg(F.max(windows)).first()[0]
     starts = blocks.filter(~is_long).select("run_id", F.col("s_lo").alias("start")).distinct()
-    if some["small"] is not None:
-        small = blocks.filter(is_long & ~is_big)
-        starts = starts.unionByName(_fold_starts(times(small), width))
-    if some["big"] is not None:
-        big = blocks.filter(is_long & is_big)
-        starts = starts.unionByName(_jump_starts(times(big), big, width, some["big"]))
+    if most is not None:
+        long = blocks.filter(is_long)
+        times = (rows.select("run_id", F.col("_us").alias("us"), F.col("_blk").alias("blk"))
+                 .join(long.select("run_id", "blk", "session"), ["run_id", "blk"]).distinct())
+        starts = starts.unionByName(_jump_starts(times, long, width, most))
     starts = starts.select("run_id", F.floor(F.col("start") / width).alias("blk"), "start")
     placed = (blocks.select("run_id", "blk").join(starts, ["run_id", "blk"], "left")
               .withColumn("earlier", F.last("start", ignorenulls=True).over(
@@ -214,55 +194,76 @@ def incident_signals(bucketed: DataFrame) -> DataFrame:
     return bucketed.withColumn("incident_id", stable_id(F.lit("incident"), "bucket_id"))
 
 
-def hypothesis_requests(bucketed: DataFrame, correlated: DataFrame, part_size: int = 500) -> DataFrame:
-    """Signal lists of undecided buckets as JSON, for an outside model to explain.
+def hypothesis_requests(bucketed: DataFrame, correlated: DataFrame) -> DataFrame:
+    """The signals of undecided buckets, for an outside model to explain: one row each, in the order (ts, signal_id).
+
+    `signal_json` is the signal as the request lists it, its details an object inside.
+    """
+    asked = correlated.filter("needs_llm").select("bucket_id")
+    signal = F.struct("anomaly_type", "model_name", "severity", "confidence",
+                      F.try_parse_json("details").alias("details"))
+    return (bucketed.join(asked, "bucket_id", "left_semi")
+            .select("bucket_id", "ts", "signal_id", "anomaly_type", "model_name", "severity", "confidence", "details",
+                    F.to_json(signal).alias("signal_json")))
+
+
+def packed_requests(requests: DataFrame) -> DataFrame:
+    """(bucket_id, n_signals, signals_json): each bucket's request as the one list that a sink sends.
 
-    A bucket gives one list; above `part_size` signals it gives several parts of about
-    that size, which together are whole.
+    A message holds all signals of its bucket, so this is for the sink alone; steps in between use the rows.
     """
-    asked = correlated.filter("needs_llm").join(
-        bucketed.groupBy("bucket_id").agg(F.count(F.lit(1)).alias("_n")), "bucket_id")
-    parts = F.ceil(F.col("_n") / part_size)
-    signal = F.struct("anomaly_type", "model_name", "severity", "confidence", "details")
-    return (bucketed.join(asked.select("bucket_id", "_n"), "bucket_id")
-            .withColumn("part", F.pmod(F.xxhash64("signal_id"), parts))
-            .groupBy("bucket_id", "part")
-            .agg(F.count(F.lit(1)).alias("n_signals"),
-                 F.to_json(F.transform(
-                     F.sort_array(F.collect_list(F.struct("ts", "signal_id", signal.alias("s")))),
-                     lambda e: e["s"])).alias("signals_json")))
+    return (requests.groupBy("bucket_id").agg(
+        F.count(F.lit(1)).alias("n_signals"),
+        F.sort_array(F.collect_list(F.struct("ts", "signal_id", "signal_json"))).alias("s"))
+        .select("bucket_id", "n_signals", F.concat(F.lit("["), F.array_join(
+            F.transform("s", lambda e: e["signal_json"]), ","), F.lit("]")).alias("signals_json")))
+
+
+def _model_sets(incidents: DataFrame) -> DataFrame:
+    """The distinct sets of models of the incidents: many incidents share one."""
+    return incidents.select("models").distinct().withColumn("set_id", stable_id(F.array_join("models", "\n")))
+
+
+def set_members(incidents: DataFrame, members: DataFrame) -> DataFrame:
+    """Blast members of each distinct set of models: (set_id, kind, member). Its size follows the catalog, not the incidents."""
+    of = _model_sets(incidents).select("set_id", F.explode("models").alias("model_name"))
+    return of.join(members, "model_name").select("set_id", "kind", "member").distinct()
 
 
 def incident_members(incidents: DataFrame, members: DataFrame) -> DataFrame:
     """Blast members of all models of each incident, distinct: (incident_id, kind, member)."""
-    of = incidents.select("incident_id", F.explode("models").alias("model_name"))
-    return of.join(members, "model_name").select("incident_id", "kind", "member").distinct()
+    sets = incidents.select("incident_id", stable_id(F.array_join("models", "\n")).alias("set_id"))
+    return sets.join(set_members(incidents, members), "set_id").select("incident_id", "kind", "member")
 
 
 def enriched_incidents(incidents: DataFrame, members: DataFrame) -> DataFrame:
-    """Incidents with the union of their models' blast radii, and the severity it implies.
+    """Incidents with the counts of the union of their models' blast radii, and the severity it implies.
 
-    `members` is the long-form blast radius (lineage.blast_members). The counts are over
-    distinct members; `pause_targets` are the first five affected models by name, which
-    is all the playbook asks for.
+    `members` is the long-form blast radius (lineage.blast_members); `incident_members` has the members
+    themselves. Everything is found once per distinct set of models and joined to the incidents.
     """
-    union = incident_members(incidents, members)
-    kinds = union.groupBy("incident_id").agg(*[
+    union = set_members(incidents, members)
+    kinds = union.groupBy("set_id").agg(*[
         F.count_if(F.col("kind") == kind).alias(name) for kind, name in (
             ("affected_model", "n_downstream"), ("dashboard", "n_dashboards"),
             ("ml_feature", "n_ml"), ("sla_breach", "n_sla"))],
         F.sort_array(F.collect_list(F.when(F.col("kind") == "sla_breach", F.col("member")))).alias("_sla"))
-    by_name = Window.partitionBy("incident_id").orderBy("member")
-    targets = (union.filter(F.col("kind") == "affected_model")
-               .withColumn("_r", F.row_number().over(by_name)).filter(F.col("_r") <= 5)
-               .groupBy("incident_id").agg(F.sort_array(F.collect_list("member")).alias("pause_targets")))
     counts = ["n_downstream", "n_dashboards", "n_ml", "n_sla"]
-    joined = (incidents.join(kinds, "incident_id", "left").join(targets, "incident_id", "left")
+    joined = (incidents.withColumn("set_id", stable_id(F.array_join("models", "\n"))).join(kinds, "set_id", "left")
               .withColumn("sla_impact", F.when(F.size("_sla") > 0, F.concat(
-                  F.lit("SLA at risk: "), F.array_join("_sla", ", ")))).drop("_sla"))
+                  F.lit("SLA at risk: "), F.array_join("_sla", ", ")))).drop("_sla", "set_id"))
     for c in counts:
         joined = joined.withColumn(c, F.coalesce(c, F.lit(0)))
     multiplier = severity_multiplier(F.col("n_downstream"), F.col("n_dashboards"), F.col("n_sla"))
-    return (joined.withColumn("pause_targets", F.coalesce("pause_targets", F.array().cast("array<string>")))
-            .withColumn("severity_multiplier", multiplier)
+    return (joined.withColumn("severity_multiplier", multiplier)
             .withColumn("severity", escalate_by_blast(F.col("severity"), F.col("severity_multiplier"))))
+
+
+def with_pause_targets(incidents: DataFrame, members: DataFrame, most: int = 5) -> DataFrame:
+    """Adds `pause_targets`, the first affected models by name: the playbook pauses at most five."""
+    by_name = Window.partitionBy("set_id").orderBy("member")
+    targets = (set_members(incidents, members).filter(F.col("kind") == "affected_model")
+               .withColumn("_r", F.row_number().over(by_name)).filter(F.col("_r") <= most)
+               .groupBy("set_id").agg(F.sort_array(F.collect_list("member")).alias("pause_targets")))
+    return (incidents.withColumn("set_id", stable_id(F.array_join("models", "\n"))).join(targets, "set_id", "left").drop("set_id")
+            .withColumn("pause_targets", F.coalesce("pause_targets", F.array().cast("array<string>"))))

@@ -67,9 +67,21 @@ def manifest_counts(all_models: DataFrame, all_exposures: DataFrame) -> DataFram
                     F.coalesce("n_exposures", F.lit(0)).alias("n_exposures")))
 
 
+def _in_order(rows: DataFrame):
+    """The order of manifests and of the nodes inside one, as far as the table has it."""
+    return F.struct(*[c for c in ("project", "pos", "uid") if c in rows.columns])
+
+
+def one_per_uid(rows: DataFrame) -> DataFrame:
+    """Models or exposures, each uid once: what several manifests share is one node, as its first manifest has it."""
+    rest = [c for c in rows.columns if c != "uid"]
+    return (rows.groupBy("uid").agg(F.min_by(F.struct(*rest), _in_order(rows)).alias("r"))
+            .select("uid", "r.*").select(*rows.columns))
+
+
 def resolve_model(names: DataFrame, all_models: DataFrame) -> DataFrame:
-    """Short name -> uid; the first model in manifest order, NULL if there is none."""
-    first = all_models.groupBy("name").agg(F.min(F.struct("pos", "uid")).alias("m"))
+    """Short name -> uid; the first model in the order of manifests and nodes, NULL if there is none."""
+    first = all_models.groupBy("name").agg(F.min(_in_order(all_models)).alias("m"))
     return (names.select("name").distinct()
             .join(first, "name", "left").select("name", F.col("m.uid").alias("uid")))
 
@@ -81,7 +93,7 @@ def reachable(starts: DataFrame, all_edges: DataFrame, hops: int = 4) -> DataFra
     out once, so a graph of depth d takes d/hops rounds and the plan does not grow.
     Pairs found before are dropped, hence cycles end; a start on a cycle finds itself.
     """
-    step = all_edges.select(F.col("parent").alias("node"), F.col("child").alias("_next"))
+    step = checkpointed(all_edges.select(F.col("parent").alias("node"), F.col("child").alias("_next")).distinct(), "steps")
     frontier = starts.select("start").distinct().withColumn("node", F.col("start"))
     found = None
     while True:
@@ -122,18 +134,18 @@ def exposures_for_models(affected: DataFrame, all_exposures: DataFrame) -> DataF
 
 def _impact(model_names: DataFrame, all_models: DataFrame, all_edges: DataFrame,
             all_exposures: DataFrame, hops: int):
+    all_exposures = one_per_uid(all_exposures)
     named = resolve_model(model_names.select(F.col("model_name").alias("name")), all_models).select(
         F.col("name").alias("model_name"), F.col("uid").alias("model_uid"))
     starts = named.filter(F.col("model_uid").isNotNull()).select(F.col("model_uid").alias("start"))
     down = downstream_models(starts, all_edges, hops)
-    # names, and the count, only cover uids the manifest describes
-    known = down.join(all_models.select(F.col("uid").alias("node"), "name"), "node")
+    # names, and the count, only cover uids a manifest describes
+    known = down.join(one_per_uid(all_models).select(F.col("uid").alias("node"), "name"), "node")
     own = starts.select("start", F.col("start").alias("node"))
     hit = exposures_for_models(down.unionByName(own), all_exposures)
     return named, known, hit
 
 
-
 def blast_members(model_names: DataFrame, all_models: DataFrame, all_edges: DataFrame,
                   all_exposures: DataFrame, hops: int = 4) -> DataFrame:
     """The blast radius in long form: (model_name, kind, member), kind being affected_model,

@@ -282,7 +282,7 @@ def table_exposures(spark, sf_dir) -> DataFrame:
 # Kind and SLA of the catalog's exposures by market segment.
 SEGMENT_KIND = {"AUTOMOBILE": "dashboard", "BUILDING": "dashboard", "FURNITURE": "notebook",
                 "HOUSEHOLD": "analysis", "MACHINERY": "dashboard"}
-SEGMENT_SLA = {"BUILDING": "daily_08:00_UTC", "MACHINERY": "hourly"}
+SEGMENT_SLA = {"BUILDING": "by_breakfast", "MACHINERY": "hourly"}
 
 
 def manifests(spark, sf_dir) -> DataFrame:

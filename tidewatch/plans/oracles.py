@@ -255,7 +255,7 @@ needs AS (
   SELECT DISTINCT 'region_' || r AS project, 'exposure.shop.' || s || '_' || r AS uid, s || '_' || r AS name,
          CASE s WHEN 'AUTOMOBILE' THEN 'dashboard' WHEN 'BUILDING' THEN 'dashboard' WHEN 'FURNITURE' THEN 'notebook'
                 WHEN 'HOUSEHOLD' THEN 'analysis' WHEN 'MACHINERY' THEN 'dashboard' END AS kind,
-         CASE s WHEN 'BUILDING' THEN 'daily_08:00_UTC' WHEN 'MACHINERY' THEN 'hourly' ELSE '' END AS sla,
+         CASE s WHEN 'BUILDING' THEN 'by_breakfast' WHEN 'MACHINERY' THEN 'hourly' ELSE '' END AS sla,
          'model.shop.cust_' || n || '_' || s AS node, r AS owner FROM used
   UNION SELECT 'region_' || r, 'exposure.shop.churn_' || n, 'churn_' || n, 'ml', '', 'model.shop.nation_' || n, 'science' FROM used)"""
 
@@ -437,7 +437,7 @@ ORACLES = {
     "decode_signals": _with(*SIG, RAW) + f"SELECT 'pipeline.stage.completed' AS event_type, {FLAT_SIGNAL} FROM raw "
                       "WHERE kind NOT IN ('00', '01', '02', '03', '04')",
     "split_malformed": _with(*SIG, RAW) + "SELECT substr(CASE WHEN kind = '00' THEN substr(body, 1, 60) ELSE body END, 1, 200) "
-                       "AS value_head, CASE kind WHEN '00' THEN 'no known field' WHEN '01' THEN 'unknown stage' "
+                       "AS value_head, CASE WHEN kind = '00' THEN substr(body, 1, 60) ELSE body END AS value, CASE kind WHEN '00' THEN 'not json' WHEN '01' THEN 'unknown stage' "
                        "WHEN '02' THEN 'missing source' WHEN '03' THEN 'missing pipeline_run_id' ELSE 'missing metrics' END "
                        "AS reason FROM msg WHERE kind IN ('00', '01', '02', '03', '04')",
     "ingestion_stage_only": _with(*SIG) + f"SELECT {FLAT_SIGNAL} FROM signals WHERE row_count % 2 = 0",
@@ -566,7 +566,7 @@ ORACLES = {
     "blast_members": _with(*BIG, MEMBERS, recursive=True) + "SELECT model_name, kind, member FROM members",
     "blast_radius_lists": _with(*SMALL, BLAST, ANOMALIES, NAMED_BLAST, recursive=True) + "SELECT * FROM named",
     "severity_multiplier": _with(*BIG, BLAST, recursive=True) + "SELECT severity_multiplier, count(*) AS n FROM blast GROUP BY 1",
-    "escalate_by_blast": _with(*SMALL, BLAST, ANOMALIES, NAMED_BLAST, recursive=True) + f"SELECT severity, severity_multiplier, {ESCALATED} AS escalated, count(*) AS n FROM anomalies JOIN named USING (model_name) GROUP BY 1, 2, 3",
+    "escalate_by_blast": _with(*SMALL, BLAST, ANOMALIES, NAMED_BLAST, recursive=True) + f"SELECT severity, severity_multiplier, {ESCALATED} AS escalated, count(*) AS n FROM (SELECT a.severity, coalesce(n.severity_multiplier, 1.0::DOUBLE) AS severity_multiplier FROM anomalies a LEFT JOIN named n USING (model_name)) GROUP BY 1, 2, 3",
     "lineage_incidents": LINEAGE, "stream_lineage": LINEAGE,
     "impact_text": _with(*SMALL, BLAST, ANOMALIES, NAMED_BLAST, recursive=True) + """SELECT model_name,
   CASE WHEN sla_breaches <> '' THEN 'SLA at risk: ' || replace(sla_breaches, ',', ', ') ELSE '' END AS sla_impact,
@@ -582,14 +582,18 @@ ORACLES = {
     "correlate": _with(*CORR, recursive=True) + "SELECT bucket_id, root_cause, round(confidence, 4) AS confidence, root_cause = 'unknown' AS needs_llm FROM ruled",
     "confirmed_incidents": INCIDENTS, "stream_buckets": INCIDENTS,
     "incident_signals": _with(*CORR, recursive=True) + "SELECT sha256('incident|' || bucket_id) AS incident_id, signal_id FROM bucketed",
-    "hypothesis_requests": _with(*CORR, recursive=True) + "SELECT bucket_id, count(*) AS n_signals, sum(CAST(round(b.confidence * 10000) AS BIGINT))::BIGINT AS total_confidence, count(*) FILTER (b.severity = 'LOW') AS n_low FROM bucketed b JOIN ruled r USING (bucket_id) WHERE r.root_cause = 'unknown' GROUP BY 1",
-    "enriched_incidents": _with(*RESPONSE, recursive=True) + """SELECT e.incident_id, root_cause, severity, n_downstream, n_dashboards, n_ml, n_sla, severity_multiplier,
-  coalesce(t.names, '') AS pause_targets, coalesce(sla_impact, '') AS sla_impact
-FROM enriched e LEFT JOIN (SELECT incident_id, string_agg(member, ',' ORDER BY member) AS names FROM targets WHERE k <= 5 GROUP BY 1) t USING (incident_id)""",
+    "hypothesis_requests": _with(*CORR, recursive=True) + f"""SELECT bucket_id, signal_id, {_ts('b.ts')} AS ts, anomaly_type,
+  coalesce(b.model_name, '') AS model_name, b.severity, round(b.confidence, 4) AS confidence, true AS details_object, true AS json_agrees
+FROM bucketed b JOIN ruled r USING (bucket_id) WHERE r.root_cause = 'unknown'""",
+    "enriched_incidents": _with(*RESPONSE, recursive=True) + """SELECT incident_id, root_cause, severity, n_downstream, n_dashboards, n_ml, n_sla, severity_multiplier,
+  coalesce(sla_impact, '') AS sla_impact FROM enriched""",
+    "incident_members": _with(*RESPONSE, recursive=True) + "SELECT incident_id, kind, member FROM unions",
     # H
     "plan_actions": _with(*RESPONSE, PLAN, recursive=True) + "SELECT incident_id, action_seq, action_type, target, full_refresh, reason, touching AS requires_approval, description FROM plan",
     "requires_approval": _with(*RESPONSE, PLAN, recursive=True) + "SELECT action_type, mode, count(*) FILTER (touching AND mode = 'supervised') AS n_approvals, count(*) AS n FROM plan, (SELECT unnest(['shadow', 'alert_only', 'supervised', 'full_autonomy']) AS mode) GROUP BY 1, 2",
-    "action_disposition": _with(*RESPONSE, PLAN, recursive=True) + "SELECT action_type, CASE WHEN touching THEN 'skipped' ELSE 'executed' END AS disposition, count(*) AS n FROM plan GROUP BY 1, 2",
+    "action_disposition": _with(*RESPONSE, PLAN, recursive=True) + """SELECT action_type, mode, CASE WHEN mode = 'shadow' THEN 'logged'
+  WHEN mode = 'alert_only' AND action_type <> 'notify_slack' THEN 'skipped' WHEN mode = 'supervised' AND touching THEN 'skipped' ELSE 'executed' END AS disposition,
+  count(*) AS n FROM plan, (SELECT unnest(['shadow', 'alert_only', 'supervised', 'full_autonomy']) AS mode) GROUP BY 1, 2, 3""",
     "incident_fields": _with(*RESPONSE, recursive=True) + """SELECT incident_id, primary_model, blast_summary,
   CASE severity WHEN 'CRITICAL' THEN '🚨' WHEN 'HIGH' THEN '🔴' WHEN 'MEDIUM' THEN '🟡' ELSE '🟢' END || ' *[' || severity
   || '] Data Pipeline Incident*' || chr(10) || '*Root cause:* `' || root_cause || '`' || chr(10) || '*Model:* `' || primary_model
@@ -617,7 +621,7 @@ UNION ALL SELECT 'remediation', CASE WHEN touching THEN 'skipped' ELSE 'executed
         + "SELECT source, partition, left_count, right_count, left_count - right_count AS diff, lost = 0 AS checksum_equal FROM sides",
     # J
     "stream_ingestion_anomalies": INGESTION,
-    "emit_gate": _with(ANOMALIES) + "SELECT severity, count(*) AS n, 'alert_only' AS mode FROM anomalies GROUP BY 1",
+    "emit_gate": _with(ANOMALIES) + "SELECT severity, count(*) AS n, mode FROM anomalies, (SELECT unnest(['alert_only', 'supervised', 'full_autonomy']) AS mode) GROUP BY 1, 3",
     "late_signals": _with(*SIG) + """SELECT source, hour(ts) % 3 = 0 AND CASE
     WHEN ts + INTERVAL 10 DAY < TIMESTAMP '2024-01-11' THEN false
     WHEN ts + INTERVAL 10 DAY < TIMESTAMP '2024-01-21' THEN ts < TIMESTAMP '2024-01-10 23:00:00' - INTERVAL 1 DAY

@@ -4,6 +4,8 @@ Every query runs over its whole input and returns flat rows: texts, whole number
 rounded doubles, booleans.
 """
 
+import functools
+
 from pyspark.sql import DataFrame, functions as F
 
 from tidewatch.functions import severity as sev
@@ -514,7 +516,8 @@ def severity_multiplier(spark, sf):
 
 
 def escalate_by_blast(spark, sf):
-    hit = inputs.anomalies(spark, sf).join(_catalog_blast(spark, sf), "model_name")
+    hit = inputs.anomalies(spark, sf).join(_catalog_blast(spark, sf), "model_name", "left").withColumn(
+        "severity_multiplier", F.coalesce("severity_multiplier", F.lit(1.0)))
     return tally(hit, "severity", "severity_multiplier",
                  sev.escalate_by_blast(F.col("severity"), F.col("severity_multiplier")).alias("escalated"))
 
@@ -582,24 +585,33 @@ def incident_signals(spark, sf):
 def hypothesis_requests(spark, sf):
     buckets = _buckets(spark, sf)
     asked = correlate.hypothesis_requests(buckets, correlate.correlate(buckets))
-    listed = F.from_json("signals_json", "array<struct<severity:string,confidence:double>>")
-    return (asked.withColumn("s", F.explode(listed)).groupBy("bucket_id")
-            .agg(F.count(F.lit(1)).alias("n_signals"), F.sum(F.round(F.col("s.confidence") * 10000).cast("bigint")).alias("total_confidence"),
-                 F.count_if(F.col("s.severity") == "LOW").alias("n_low")))
+    detail = F.get_json_object("signal_json", "$.details")
+    return asked.select("bucket_id", "signal_id", ts_text("ts").alias("ts"), "anomaly_type", F.coalesce("model_name", F.lit("")).alias("model_name"),
+                        "severity", r("confidence"), (detail.startswith("{")).alias("details_object"),
+                        (F.get_json_object("signal_json", "$.severity") == F.col("severity")).alias("json_agrees"))
+
+
+def _members(spark, sf):
+    return storage.checkpointed(_catalog_members(spark, sf), "members")
 
 
-def _enriched(spark, sf):
+def _enriched(spark, sf, targets=True):
     """The incident table, written once for the steps that read it several times."""
-    incidents = storage.checkpointed(correlate.confirmed_incidents(_buckets(spark, sf)))
-    members = storage.checkpointed(_catalog_members(spark, sf))
-    return storage.checkpointed(correlate.enriched_incidents(incidents, members))
+    incidents = storage.checkpointed(correlate.confirmed_incidents(_buckets(spark, sf)), "incidents")
+    members = _members(spark, sf)
+    enriched = correlate.enriched_incidents(incidents, members)
+    return storage.checkpointed(correlate.with_pause_targets(enriched, members) if targets else enriched, "enriched")
 
 
 def enriched_incidents(spark, sf):
-    return _enriched(spark, sf).select(
+    return _enriched(spark, sf, targets=False).select(
         "incident_id", "root_cause", "severity", "n_downstream", "n_dashboards", "n_ml", "n_sla",
-        "severity_multiplier", F.array_join("pause_targets", ",").alias("pause_targets"),
-        F.coalesce("sla_impact", F.lit("")).alias("sla_impact"))
+        "severity_multiplier", F.coalesce("sla_impact", F.lit("")).alias("sla_impact"))
+
+
+def incident_members(spark, sf):
+    incidents = storage.checkpointed(correlate.confirmed_incidents(_buckets(spark, sf)), "incidents")
+    return correlate.incident_members(incidents, _members(spark, sf))
 
 
 # ---- H remediation --------------------------------------------------------------
@@ -627,8 +639,10 @@ def requires_approval(spark, sf):
 
 
 def action_disposition(spark, sf):
-    planned = _planned(spark, sf)
-    return tally(remediate.action_disposition(planned, "supervised"), "action_type", "disposition")
+    enriched = _enriched(spark, sf)
+    parts = [tally(remediate.action_disposition(remediate.plan_actions(enriched, mode), mode), "action_type", "disposition")
+             .withColumn("mode", F.lit(mode)) for mode in MODES]
+    return functools.reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def incident_fields(spark, sf):
@@ -828,8 +842,8 @@ def stream_lineage(spark, sf):
 def emit_gate(spark, sf):
     found = inputs.anomalies(spark, sf)
     parts = [tally(live.emit_gate(found, mode), "severity").withColumn("mode", F.lit(mode))
-             for mode in ("shadow", "alert_only")]
-    return parts[0].unionByName(parts[1])
+             for mode in MODES]
+    return functools.reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def late_signals(spark, sf):
@@ -879,6 +893,7 @@ QUERIES = {
     "suppress_buckets": suppress_buckets, "correlate": correlate_buckets,
     "confirmed_incidents": confirmed_incidents, "incident_signals": incident_signals,
     "hypothesis_requests": hypothesis_requests, "enriched_incidents": enriched_incidents,
+    "incident_members": incident_members,
     "plan_actions": plan_actions, "requires_approval": requires_approval,
     "action_disposition": action_disposition, "incident_fields": incident_fields,
     "quarantine_split": quarantine_split, "action_log": action_log, "incident_actions": incident_actions,

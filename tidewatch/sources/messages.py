@@ -5,7 +5,7 @@ or a table. A message that does not satisfy the contract is left out by the deco
 kept by `split_malformed`.
 """
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidewatch.functions.keys import stable_id
 from tidewatch.types import (
@@ -25,10 +25,13 @@ def _bad_time(field: str) -> Column:
 
 
 def _parsed_signals(raw: DataFrame) -> DataFrame:
-    parsed = raw.withColumn("m", F.from_json("value", SIGNAL_MESSAGE, _JSON))
+    # text that is no JSON object, or ends inside one, also fills the corrupt field
+    kept = T.StructType([*SIGNAL_MESSAGE.fields, T.StructField("_corrupt", T.StringType())])
+    parsed = raw.withColumn("m", F.from_json("value", kept, {**_JSON, "columnNameOfCorruptRecord": "_corrupt"}))
     snapshot = F.col("m.schema_snapshot")
+    broken = F.col("m").isNull() | (F.col("m._corrupt").isNotNull() & F.try_parse_json("value").isNull())
     reason = (
-        F.when(F.col("m").isNull(), "not json")
+        F.when(broken, "not json")
         .when(F.coalesce("m.stage", "m.source", "m.pipeline_run_id").isNull()
               & F.col("m.metrics").isNull(), "no known field")
         .when(_missing("m.stage", "m.source", "m.metrics", "m.pipeline_run_id").isNotNull(),
@@ -56,9 +59,9 @@ def decode_signals(raw: DataFrame, received_at: Column | None = None) -> DataFra
 
 
 def split_malformed(raw: DataFrame) -> DataFrame:
-    """The messages `decode_signals` leaves out: first 200 characters and why."""
+    """The messages `decode_signals` leaves out: whole, so they can be sent again, their first 200 characters, and why."""
     return _parsed_signals(raw).filter(F.col("reason").isNotNull()).select(
-        F.substring("value", 1, 200).alias("value_head"), "reason")
+        "value", F.substring("value", 1, 200).alias("value_head"), "reason")
 
 
 def decode_anomalies(raw: DataFrame, received_at: Column | None = None) -> DataFrame:
