@@ -40,7 +40,7 @@ def test_shadow_mode_publishes_nothing_but_learns(spark, tmp_path):
     feed(spark, base, [df], lambda s: live.stream_ingestion_anomalies(
         s, f"{base}/state", f"{base}/out", f"{base}/cp", mode="shadow"))
     assert storage.read_history(spark, f"{base}/out", ANOMALY).count() == 0
-    state = spark.read.parquet(f"{base}/state/baselines/slot=0").first()
+    state = spark.read.parquet(f"{base}/state/baselines/data").first()
     assert (state.mean, state.sample_count) == (10.0, 3)
 
 
@@ -60,7 +60,7 @@ def test_bucket_stream_equals_batch_and_joins_late_signals(spark, tmp_path):
               df.filter("signal_id >= 's00071'")]
     feed(spark, base, bounds, lambda s: live.stream_buckets(s, f"{base}/state", f"{base}/out", f"{base}/cp"))
     emitted = storage.read_history(spark, f"{base}/out", INCIDENT)
-    got = emitted.unionByName(live.flush_buckets(spark, f"{base}/state", 2)).drop("bucket_id")
+    got = emitted.unionByName(live.flush_buckets(spark, f"{base}/state")).drop("bucket_id")
     want = correlate.confirmed_incidents(correlate.signal_buckets(df)).drop("bucket_id")
     assert sorted(got.collect()) == sorted(want.collect())
 
@@ -68,7 +68,7 @@ def test_bucket_stream_equals_batch_and_joins_late_signals(spark, tmp_path):
     late = str(tmp_path / "late")
     feed(spark, late, [anomalies(spark, [simple("x", 1000), simple("x", 1100)]), anomalies(spark, [simple("x", 900)])],
          lambda s: live.stream_buckets(s, f"{late}/state", f"{late}/out", f"{late}/cp"))
-    flushed = live.flush_buckets(spark, f"{late}/state", 1).collect()
+    flushed = live.flush_buckets(spark, f"{late}/state").collect()
     assert [(r.n_signals, r.run_id) for r in flushed] == [(3, "x")]
 
 
@@ -108,3 +108,52 @@ def test_late_signals_are_flagged_and_kept(spark, tmp_path):
     rows = storage.read_history(spark, f"{base}/out", SIGNAL + ", is_late boolean").collect()
     assert sorted((r.ts.hour * 60 + r.ts.minute - 180, r.is_late) for r in rows) == [
         (0, False), (500, True), (590, False), (600, False), (700, False)]
+
+
+def test_a_batch_rewrites_only_the_buckets_it_touches(spark, tmp_path):
+    table = storage.StateTable(spark, str(tmp_path), "k string, n bigint", ("k",))
+    many = spark.range(500).selectExpr("concat('k', id) AS k", "id AS n")
+    table.before(0, many)
+    table.write(many, 0)
+    for batch_id in range(1, 6):
+        one = spark.createDataFrame([("k7", 1000 + batch_id)], "k string, n bigint")
+        for _ in range(2):  # a replay changes nothing
+            stored = table.before(batch_id, one)
+            assert 0 < stored.count() < 50
+            table.write(stored.filter("k <> 'k7'").unionByName(one), batch_id)
+        assert len([n for n in storage.list_folder(spark, f"{tmp_path}/data/batch={batch_id}") if n.startswith("bucket=")]) == 1
+        state = {r.k: r.n for r in table.after(batch_id).collect()}
+        assert len(state) == 500 and state["k7"] == 1000 + batch_id and state["k8"] == 8
+    assert table.latest() == 5 and table.after(5, touched=True).count() < 50
+    gone = table.before(6, one).filter("false")
+    table.write(gone, 6)
+    assert 450 < table.after(6).count() < 500
+    assert storage.list_folder(spark, f"{tmp_path}/data/batch=3") in ([], ["_SUCCESS"]) or not [
+        n for n in storage.list_folder(spark, f"{tmp_path}/data/batch=3") if n.startswith("bucket=")]
+
+
+def test_old_checksum_days_leave_the_state(spark, tmp_path):
+    base = str(tmp_path)
+    rows = signals(spark, [("a", 0, 1, "c"), ("a", 60 * 24 * 50, 1, "d"), ("a", 60 * 24 * 51, 1, "e")])
+    feed(spark, base, [rows], lambda s: live.stream_ingestion_anomalies(s, f"{base}/state", f"{base}/out", f"{base}/cp", keep_days=10))
+    assert {r.checksum for r in spark.read.parquet(f"{base}/state/checksums/data").collect()} == {"d", "e"}
+
+
+def test_lineage_stream_follows_new_manifests(spark, tmp_path):
+    from test_lineage import EXPOSURES, SEA, manifest
+    base = str(tmp_path)
+    (tmp_path / "m").mkdir()
+
+    def publish(children):
+        (tmp_path / "m" / "manifest.json").write_text(json.dumps(manifest("sea", children, EXPOSURES)))
+        return live.publish_blast(spark, f"{base}/m", f"{base}/blast")
+
+    found = []
+    for i, children in enumerate((SEA, {**SEA, "model.sea.tide_daily": []}, SEA)):
+        assert publish(children) == i + 1
+        feed(spark, base, [anomalies(spark, [simple(f"r{i}", i, model="tide_daily")])],
+             lambda s: live.stream_lineage(s, f"{base}/blast", f"{base}/out", f"{base}/cp"))
+        rows = storage.read_history(spark, f"{base}/out", "run_id string, n_downstream bigint").collect()
+        found = sorted((r.run_id, r.n_downstream) for r in rows)
+    assert found == [("r0", 2), ("r1", 0), ("r2", 2)]
+    assert sorted(storage.list_folder(spark, f"{base}/blast")) == ["version=2", "version=3"]

@@ -798,7 +798,7 @@ def stream_buckets(spark, sf):
     base = _replayed(spark, "buckets", inputs.anomalies(spark, sf), lambda s, b: live.stream_buckets(
         s, f"{b}/state", f"{b}/out", f"{b}/checkpoint"), ("2024-01-10 06:31:00", "2024-01-20 18:42:30"))
     emitted = storage.read_history(spark, f"{base}/out", _INCIDENT_SCHEMA)
-    return _flat_incidents(emitted.unionByName(live.flush_buckets(spark, f"{base}/state", 2)))
+    return _flat_incidents(emitted.unionByName(live.flush_buckets(spark, f"{base}/state")))
 
 
 def _replayed_runs(spark, sf, name, start):
@@ -830,7 +830,7 @@ def stream_quality(spark, sf):
 
 def stream_lineage(spark, sf):
     blast = storage.fresh_folder(spark, "blast")
-    _catalog_blast(spark, sf).write.parquet(blast)
+    _catalog_blast(spark, sf).write.parquet(f"{blast}/version=1")
     base = _replayed(spark, "lineage", inputs.anomalies(spark, sf), lambda s, b: live.stream_lineage(
         s, blast, f"{b}/out", f"{b}/checkpoint"))
     return _flat_lineage_incidents(storage.read_history(spark, f"{base}/out", (

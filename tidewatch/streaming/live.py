@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tidewatch.operators import contracts, correlate, ingestion, lineage, quality
 from tidewatch.functions.severity import severity_name, severity_rank
-from tidewatch.sources.artifacts import parse_test_results
+from tidewatch.sources.artifacts import parse_test_results, read_manifest
 from tidewatch.sources.messages import encode_messages
-from tidewatch.sources.storage import StateTable, append_history, checkpointed
+from tidewatch.sources.storage import StateTable, append_history, checkpointed, list_folder, remove_folder
 from tidewatch.types import ANOMALY_TYPES
 
 
@@ -32,28 +32,31 @@ def start(stream: DataFrame, each_batch: Callable, checkpoint: str, once: bool =
 
 def stream_ingestion_anomalies(
     signals: DataFrame, state: str, out: str, checkpoint: str, mode: str = "alert_only",
-    threshold: float = 2.5, once: bool = True,
+    threshold: float = 2.5, keep_days: int = 35, once: bool = True,
 ):
     """Ingestion checks on a signal stream. State: baseline per source, last checksum per
-    (source, day). Rows of a micro-batch are taken in (ts, event_id) order."""
+    (source, day), of which days more than `keep_days` before the newest day of the batch are
+    dropped. Rows of a micro-batch are taken in (ts, event_id) order."""
     spark = signals.sparkSession
     baselines = StateTable(spark, f"{state}/baselines",
                            "model_name string, source string, metric string, mean double, "
-                           "std_dev double, sample_count bigint")
+                           "std_dev double, sample_count bigint", ("source",))
     sightings = StateTable(spark, f"{state}/checksums",
-                           "source string, partition_date string, checksum string")
+                           "source string, partition_date string, checksum string", ("source",))
 
     def each_batch(batch: DataFrame, batch_id: int) -> None:
         loads = ingestion.ingestion_stage_only(batch).persist()
-        stored, seen = baselines.before(batch_id), sightings.before(batch_id)
+        stored, seen = baselines.before(batch_id, loads), sightings.before(batch_id, loads)
         found = ingestion.ingestion_anomalies(loads, threshold, stored=stored, last_seen=seen)
         append_history(emit_gate(found, mode), out, batch_id)
         baselines.write(ingestion.merge_baselines(stored, loads), batch_id)
         newest = (loads.filter(F.col("checksum").isNotNull())
                   .groupBy("source", F.date_format("ts", "yyyy-MM-dd").alias("partition_date"))
                   .agg(F.max_by("checksum", F.struct("ts", "event_id")).alias("_new")))
+        oldest = F.date_sub(F.lit(loads.agg(F.max(F.to_date("ts"))).scalar()), keep_days)
         sightings.write(seen.join(newest, ["source", "partition_date"], "full_outer").select(
-            "source", "partition_date", F.coalesce("_new", "checksum").alias("checksum")), batch_id)
+            "source", "partition_date", F.coalesce("_new", "checksum").alias("checksum"))
+            .filter(F.coalesce(F.to_date("partition_date") >= oldest, F.lit(True))), batch_id)
         loads.unpersist()
 
     return start(signals, each_batch, checkpoint, once)
@@ -67,14 +70,14 @@ def stream_schema_drift(
     source; a source's first snapshot becomes its contract."""
     registered = StateTable(signals.sparkSession, f"{state}/contracts",
                             "source string, column_name string, dtype string, nullable boolean, "
-                            "criticality string")
+                            "criticality string", ("source",))
 
     def each_batch(batch: DataFrame, batch_id: int) -> None:
         snapshot = contracts.normalize_snapshot(batch).persist()
-        known = registered.before(batch_id)
+        known = registered.before(batch_id, snapshot)
         fresh = snapshot.join(known.select("source").distinct(), "source", "left_anti")
         registered.write(known.unionByName(contracts.bootstrap_contracts(fresh)), batch_id)
-        current = registered.after(batch_id)
+        current = registered.after(batch_id, touched=True)
         checked = contracts.hash_gate(snapshot, current) if gate else snapshot
         drift = contracts.schema_drift_anomalies(contracts.schema_diff(checked, current), snapshot)
         append_history(emit_gate(drift, mode), out, batch_id)
@@ -114,7 +117,8 @@ def stream_buckets(
     seconds: int = 300, delay_seconds: int = 0, once: bool = True,
 ):
     """Incidents from an anomaly stream. State: the open bucket of each run, as facts of
-    fixed size. A bucket is emitted when the newest event time seen has passed its end by
+    fixed size and its distinct model names; all open buckets are looked at in every batch, as the
+    clock may close any. A bucket is emitted when the newest event time seen has passed its end by
     `delay_seconds`, or its run has moved on to a later one. A signal older than its run's
     open bucket joins that bucket; after the bucket was emitted it opens a new one.
     """
@@ -123,6 +127,7 @@ def stream_buckets(
     clock = StateTable(spark, f"{state}/clock", "seen timestamp")
 
     def each_batch(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()  # read once from the source
         stored = opened.before(batch_id)
         anchors = stored.select("run_id", F.col("opened_at").alias("_anchor"))
         rows = (batch.join(anchors, "run_id", "left")
@@ -143,13 +148,15 @@ def stream_buckets(
         incidents = correlate.incidents_from_facts(marked.filter("_done").drop("_done"))
         append_history(emit_gate(incidents, mode), out, batch_id)
         opened.write(marked.filter(~F.col("_done")).drop("_done"), batch_id)
+        batch.unpersist()
 
     return start(anomalies, each_batch, checkpoint, once)
 
 
-def flush_buckets(spark, state: str, batch_id: int) -> DataFrame:
-    """Incidents of the buckets still open after `batch_id`, at the end of the input."""
-    return correlate.incidents_from_facts(StateTable(spark, f"{state}/open", _OPEN_SCHEMA).after(batch_id))
+def flush_buckets(spark, state: str) -> DataFrame:
+    """Incidents of the buckets still open after the last batch, at the end of the input."""
+    opened = StateTable(spark, f"{state}/open", _OPEN_SCHEMA)
+    return correlate.incidents_from_facts(opened.after(opened.latest()))
 
 
 def stream_quality(
@@ -160,11 +167,12 @@ def stream_quality(
     of each (model, test)."""
     recent = StateTable(artifacts.sparkSession, f"{state}/history",
                         "model_name string, test_name string, run_id string, passed boolean, "
-                        "failure_rate double, run_at timestamp, position int")
+                        "failure_rate double, run_at timestamp, position int", ("model_name", "test_name"))
 
     def each_batch(batch: DataFrame, batch_id: int) -> None:
         tests = parse_test_results(batch).persist()
-        history = recent.before(batch_id).unionByName(quality.test_history(tests))
+        new = quality.test_history(tests)
+        history = recent.before(batch_id, new).unionByName(new)
         scores = quality.flakiness(history, window)
         scored = quality.test_severity(quality.failed_tests(tests), scores)
         append_history(emit_gate(quality.quality_anomalies(scored), mode), out, batch_id)
@@ -178,17 +186,43 @@ def stream_quality(
 
 def stream_lineage(anomalies: DataFrame, blast_path: str, out: str, checkpoint: str,
                    mode: str = "alert_only", once: bool = True):
-    """Lineage incidents of an anomaly stream. The blast table is read anew in every
-    micro-batch, so a job that rewrites it after a manifest change takes effect at once."""
+    """Lineage incidents of an anomaly stream. `blast_path` holds the versions that `publish_blast`
+    writes; every micro-batch takes the newest, so a new manifest takes effect at once."""
     spark = anomalies.sparkSession
 
     def each_batch(batch: DataFrame, batch_id: int) -> None:
-        incidents = lineage.lineage_incidents(batch, spark.read.parquet(blast_path))
+        incidents = lineage.lineage_incidents(batch, latest_blast(spark, blast_path))
         append_history(emit_gate(incidents, mode), out, batch_id)
 
     return start(anomalies, each_batch, checkpoint, once)
 
 
+def publish_blast(spark, manifests: str, blast_path: str) -> int:
+    """Computes the blast table of all models of the manifests under a path and adds it as a new version.
+
+    To be run when a manifest changes. Running readers keep the version they have; a version is complete once it has
+    its success mark, and the last two stay.
+    """
+    models, exposures, edges = read_manifest(spark, manifests)
+    names = models.select(F.col("name").alias("model_name")).distinct()
+    done = _versions(spark, blast_path)
+    version = max(done, default=0) + 1
+    lineage.blast_radius(names, models, edges, exposures, lists=False).write.mode("overwrite").parquet(f"{blast_path}/version={version}")
+    for old in sorted(done)[:-1]:
+        remove_folder(spark, f"{blast_path}/version={old}")
+    return version
+
+
+def _versions(spark, blast_path: str) -> list[int]:
+    return [int(name.split("=")[1]) for name in list_folder(spark, blast_path)
+            if name.startswith("version=") and "_SUCCESS" in list_folder(spark, f"{blast_path}/{name}")]
+
+
+def latest_blast(spark, blast_path: str) -> DataFrame:
+    """The newest complete version of the blast table."""
+    return spark.read.parquet(f"{blast_path}/version={max(_versions(spark, blast_path))}")
+
+
 def stream_messages(rows: DataFrame, key_column: str, format: str, checkpoint: str, mode: str,
                     once: bool = True, **options):
     """Publishes a stream as keyed JSON messages, e.g. format="kafka"."""
@@ -201,17 +235,19 @@ def late_signals(signals: DataFrame, delay_seconds: int, state: str, out: str,
                  checkpoint: str, once: bool = True):
     """Marks signals that arrive more than the delay behind the newest time seen before.
 
-    Sets the stream's watermark, and writes all rows with an is_late flag: late rows are
-    counted, not lost.
+    All rows are written, with an is_late flag: late rows are counted, not lost. (A watermark would
+    drop them; so none is set.)
     """
     clock = StateTable(signals.sparkSession, f"{state}/clock", "seen timestamp")
 
     def each_batch(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
         before = clock.before(batch_id)
         limit = F.unix_micros(before.select("seen").scalar()) - delay_seconds * 1_000_000
         append_history(batch.withColumn("is_late", F.coalesce(F.unix_micros("ts") < limit, F.lit(False))),
                        out, batch_id)
         clock.write(before.unionByName(batch.select(F.col("ts").alias("seen")))
                     .agg(F.max("seen").alias("seen")), batch_id)
+        batch.unpersist()
 
-    return start(signals.withWatermark("ts", f"{delay_seconds} seconds"), each_batch, checkpoint, once)
+    return start(signals, each_batch, checkpoint, once)
