@@ -3,6 +3,7 @@ import hashlib
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidewatch.operators import contracts
 
@@ -54,7 +55,17 @@ def test_drift_anomaly_lists_changes_in_report_order(spark):
     row = contracts.schema_drift_anomalies(diff, snapshot(spark, new)).first()
     assert row.severity == "CRITICAL" and row.total_changes == 5 and row.ts == T0
     assert row.summary == "Schema drift in 's': 1 dropped column, 1 type changed, 1 nullable changed, 2 new column"
-    assert [c["column_name"] for c in json.loads(row.details)["changes"]] == ["z", "a", "b", "n1", "n2"]
+    changes = json.loads(row.details)["changes"]
+    assert [c["column"] for c in changes] == ["z", "a", "b", "n1", "n2"]
+    assert [set(c) - {"column", "change_type", "severity", "impact"} for c in changes[:4]] == [
+        {"contract_type", "criticality"}, {"contract_type", "incoming_type", "criticality"},
+        {"contract_nullable", "incoming_nullable", "criticality"}, {"incoming_type", "incoming_nullable"}]
+    assert all(c["impact"] == contracts.IMPACT[c["change_type"]] for c in changes)
+    one = {"dropped_column": contracts.dropped_columns, "type_changed": contracts.type_changes,
+           "nullable_changed": contracts.nullable_changes, "new_column": contracts.new_columns}
+    for kind, operator in one.items():
+        want = contracts.column_changes(snapshot(spark, new), contract(spark, old)).filter(F.col("change_type") == kind)
+        assert sorted(map(str, operator(snapshot(spark, new), contract(spark, old)).collect())) == sorted(map(str, want.collect()))
 
 
 def test_sources_without_contract_are_not_diffed(spark):

@@ -156,3 +156,14 @@ def test_freshness_and_latency(spark):
     assert found == {"a": ("HIGH", 43200), "b": ("HIGH", 7200)}
     late = ingestion.arrival_latency(signals(spark, [("a", m, 1, None) for m in (0, 10, 20, 30, 61, 71)]), 3.0)
     assert [(r.run_id, r.gap_seconds, r.mean_gap_seconds) for r in late.collect()] == [("run-004", 1860, 600.0)]
+
+
+def test_details_have_the_keys_of_the_messages(spark):
+    import json
+    df = signals(spark, [("a", i, n, c) for i, (n, c) in enumerate([(10, "x"), (11, "x"), (9, "x"), (10, "x"), (90, "x"), (0, "y")])])
+    keys = lambda found: [sorted(json.loads(r.details)) for r in found.collect()]
+    assert keys(ingestion.row_count_anomalies(df)) == [
+        ["baseline_mean", "baseline_std_dev", "row_count", "sample_count", "threshold", "z_score"]]
+    assert keys(ingestion.zero_row_anomalies(df)) == [["interpretation", "row_count"]]
+    assert keys(ingestion.checksum_mismatches(df)) == [
+        ["current_checksum", "interpretation", "partition_date", "previous_checksum", "source"]]

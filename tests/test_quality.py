@@ -142,3 +142,12 @@ def test_bare_results_find_their_model_in_the_lineage(spark, tests):
 def test_histories_can_be_split_by_column(tests):
     names = {r.test_name for r in quality.per_column(tests).collect()}
     assert {"in_range:gauge", "in_range:height"} <= names
+
+
+def test_messages_list_the_failing_tests(tests):
+    scored = quality.test_severity(quality.failed_tests(tests), quality.flakiness(quality.test_history(tests)))
+    packed = quality.with_test_lists(quality.quality_anomalies(scored), quality.quality_anomaly_tests(scored))
+    details = {r.model_name: json.loads(r.details) for r in packed.collect()}
+    assert details["tide_daily"]["total_failed_tests"] == 1
+    assert {k: details["tide_daily"]["tests"][0][k] for k in ("test_name", "column", "failures", "severity", "is_flaky", "is_new_test")} == {
+        "test_name": "in_range", "column": "height", "failures": 77, "severity": "CRITICAL", "is_flaky": False, "is_new_test": True}

@@ -100,53 +100,68 @@ def _type_key(c) -> Column:
     return F.upper(F.regexp_replace(c, r"^\s+|\s+$", ""))
 
 
-def _compared(snapshot: DataFrame, contracts: DataFrame) -> DataFrame:
-    """Contract and snapshot columns side by side for every snapshot of a contracted source.
-
-    Each source's contract is laid against each of its snapshots, then one full outer
-    join per (source, run, column) shows what is on one side only. Both join keys of
-    the wide step spread a hot source over its runs.
-    """
-    runs = snapshot.select("source", "run_id").distinct()
-    wanted = (runs.join(contracts, "source")
-              .select("source", "run_id", "column_name", F.col("dtype").alias("contract_type"),
-                      F.col("nullable").alias("contract_nullable"), "criticality",
-                      F.lit(True).alias("in_contract")))
-    contracted = contracts.select("source").distinct()
-    given = (snapshot.join(contracted, "source", "left_semi")
-             .select("source", "run_id", "column_name", F.col("dtype").alias("incoming_type"),
-                     F.col("nullable").alias("incoming_nullable"), F.lit(True).alias("in_snapshot")))
-    return wanted.join(given, SNAPSHOT_KEY, "full_outer")
+def _wanted(snapshot: DataFrame, contracts: DataFrame) -> DataFrame:
+    """Each source's contract, laid against each of its snapshots."""
+    return (snapshot.select("source", "run_id").distinct().join(contracts, "source")
+            .select("source", "run_id", "column_name", F.col("dtype").alias("contract_type"),
+                    F.col("nullable").alias("contract_nullable"), "criticality"))
+
+
+def _given(snapshot: DataFrame, contracts: DataFrame) -> DataFrame:
+    """The columns of the snapshots whose source has a contract."""
+    return (snapshot.join(contracts.select("source").distinct(), "source", "left_semi")
+            .select("source", "run_id", "column_name", F.col("dtype").alias("incoming_type"),
+                    F.col("nullable").alias("incoming_nullable")))
+
+
+def _change(rows: DataFrame, kind: Column) -> DataFrame:
+    """Rows of the sides that there are, with the change's kind and severity."""
+    missing = {"contract_type": "string", "contract_nullable": "boolean", "criticality": "string",
+               "incoming_type": "string", "incoming_nullable": "boolean"}
+    for column, dtype in missing.items():
+        if column not in rows.columns:
+            rows = rows.withColumn(column, F.lit(None).cast(dtype))
+    rows = rows.withColumn("change_type", kind)
+    base = F.lit(None).cast("string")
+    for name, severity in CHANGE_SEVERITY.items():
+        base = F.when(F.col("change_type") == name, severity).otherwise(base)
+    return rows.withColumn("severity", escalate_critical(base, F.col("criticality"))).select(*CHANGE_COLUMNS)
 
 
 def column_changes(snapshot: DataFrame, contracts: DataFrame) -> DataFrame:
-    """Every change of every snapshot against its source's contract."""
-    both = _compared(snapshot, contracts)
-    change = (F.when(F.col("in_snapshot").isNull(), "dropped_column")
-              .when(F.col("in_contract").isNull(), "new_column")
-              .when(_type_key("contract_type") != _type_key("incoming_type"), "type_changed")
-              .when(~F.col("contract_nullable") & F.col("incoming_nullable"), "nullable_changed"))
-    changed = both.withColumn("change_type", change).filter(F.col("change_type").isNotNull())
-    base = F.when(F.col("change_type") == "dropped_column", CHANGE_SEVERITY["dropped_column"])
-    for kind in ("type_changed", "nullable_changed", "new_column"):
-        base = base.when(F.col("change_type") == kind, CHANGE_SEVERITY[kind])
-    return changed.withColumn("severity", escalate_critical(base, F.col("criticality"))).select(*CHANGE_COLUMNS)
+    """Every change of every snapshot against its source's contract, in one join.
+
+    Both join keys of the full outer join spread a hot source over its runs.
+    """
+    wanted = _wanted(snapshot, contracts).withColumn("in_contract", F.lit(True))
+    given = _given(snapshot, contracts).withColumn("in_snapshot", F.lit(True))
+    both = wanted.join(given, SNAPSHOT_KEY, "full_outer")
+    kind = (F.when(F.col("in_snapshot").isNull(), "dropped_column").when(F.col("in_contract").isNull(), "new_column")
+            .when(_type_key("contract_type") != _type_key("incoming_type"), "type_changed")
+            .when(~F.col("contract_nullable") & F.col("incoming_nullable"), "nullable_changed"))
+    return _change(both.filter(kind.isNotNull()), kind)
 
 
 def dropped_columns(snapshot: DataFrame, contracts: DataFrame) -> DataFrame:
-    return column_changes(snapshot, contracts).filter(F.col("change_type") == "dropped_column")
+    gone = _wanted(snapshot, contracts).join(snapshot.select(*SNAPSHOT_KEY), SNAPSHOT_KEY, "left_anti")
+    return _change(gone, F.lit("dropped_column"))
 
 
 def type_changes(snapshot: DataFrame, contracts: DataFrame) -> DataFrame:
-    return column_changes(snapshot, contracts).filter(F.col("change_type") == "type_changed")
+    both = _wanted(snapshot, contracts).join(_given(snapshot, contracts), SNAPSHOT_KEY)
+    return _change(both.filter(_type_key("contract_type") != _type_key("incoming_type")), F.lit("type_changed"))
 
 
 def nullable_changes(snapshot: DataFrame, contracts: DataFrame) -> DataFrame:
-    return column_changes(snapshot, contracts).filter(F.col("change_type") == "nullable_changed")
+    """Only of columns whose type is the same: a change of type is reported as that."""
+    both = _wanted(snapshot, contracts).join(_given(snapshot, contracts), SNAPSHOT_KEY)
+    return _change(both.filter((F.coalesce(_type_key("contract_type") == _type_key("incoming_type"), F.lit(True)))
+                               & ~F.col("contract_nullable") & F.col("incoming_nullable")), F.lit("nullable_changed"))
 
 
 def new_columns(snapshot: DataFrame, contracts: DataFrame) -> DataFrame:
-    return column_changes(snapshot, contracts).filter(F.col("change_type") == "new_column")
+    fresh = _given(snapshot, contracts).join(_wanted(snapshot, contracts).select(*SNAPSHOT_KEY), SNAPSHOT_KEY, "left_anti")
+    return _change(fresh, F.lit("new_column"))
 
 
 def schema_diff(snapshot: DataFrame, contracts: DataFrame) -> DataFrame:
@@ -157,6 +172,15 @@ def schema_diff(snapshot: DataFrame, contracts: DataFrame) -> DataFrame:
             .withColumn("overall_severity", severity_name(F.col("_top"))).drop("_top"))
 
 
+# What a message says a kind of change leads to.
+IMPACT = {
+    "dropped_column": "downstream models referencing this column will fail silently",
+    "type_changed": "silent cast failures or precision loss in downstream transforms",
+    "nullable_changed": "column previously guaranteed non-null, now allows nulls",
+    "new_column": "additive change — generally safe but contract should be updated",
+}
+
+
 def schema_drift_anomalies(diff: DataFrame, snapshot_times: DataFrame | None = None) -> DataFrame:
     """One anomaly per drifting snapshot, with its changes listed in report order.
 
@@ -164,9 +188,18 @@ def schema_drift_anomalies(diff: DataFrame, snapshot_times: DataFrame | None = N
     """
     order = F.when(F.col("change_type") == "dropped_column", 0).when(
         F.col("change_type") == "new_column", 2).otherwise(1)
-    change = F.struct(order.alias("ord"), "column_name", "change_type", "severity",
-                      "contract_type", "incoming_type", "contract_nullable",
-                      "incoming_nullable", "criticality")
+    kind = F.col("change_type")
+    impact = F.lit(None).cast("string")
+    for name, text in IMPACT.items():
+        impact = F.when(kind == name, text).otherwise(impact)
+
+    def of(column, *kinds):  # a null field is left out of the JSON
+        return F.when(kind.isin(*kinds), F.col(column)).alias(column)
+
+    change = F.struct(order.alias("ord"), F.col("column_name").alias("column"), "change_type", "severity",
+                      of("contract_type", "dropped_column", "type_changed"), of("incoming_type", "type_changed", "new_column"),
+                      of("contract_nullable", "nullable_changed"), of("incoming_nullable", "nullable_changed", "new_column"),
+                      of("criticality", "dropped_column", "type_changed", "nullable_changed"), impact.alias("impact"))
     grouped = diff.groupBy("source", "run_id").agg(
         max_severity(F.col("severity")).alias("severity"),
         F.count(F.lit(1)).alias("total_changes"),

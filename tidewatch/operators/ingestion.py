@@ -29,10 +29,18 @@ def _anomaly(df: DataFrame, kind: str, tag: str, severity: Column, confidence: C
         confidence.cast("double").alias("confidence"), "ts", details.alias("details"), *extra)
 
 
+# The explanations that messages carry.
+ZERO_ROWS = ("Zero rows ingested. Pipeline completed without error but produced no data. Possible API failure, empty feed, "
+             "or upstream source outage.")
+OTHER_CHECKSUM = ("Same source and partition produced different checksums. Possible causes: duplicate ingestion, data mutation, "
+                  "idempotency failure.")
+
+
 def zero_row_anomalies(signals: DataFrame) -> DataFrame:
     """A finished load without rows is CRITICAL; an unknown count is not checked."""
     return _anomaly(signals.filter(F.col("row_count") == 0), "row_count_anomaly", "zero",
-                    F.lit("CRITICAL"), F.lit(1.0), details_json(row_count=F.col("row_count")), [])
+                    F.lit("CRITICAL"), F.lit(1.0), details_json(
+                        row_count=F.col("row_count"), interpretation=F.lit(ZERO_ROWS)), [])
 
 
 def _counted() -> Column:
@@ -92,7 +100,7 @@ def _scored_anomalies(scored: DataFrame, value: str, kind: str, tag: str,
     z = F.col("z_score")
     confidence = F.round(F.least(F.lit(1.0), F.abs(z) / (2 * threshold)), 4)
     details = details_json(
-        value=F.col(value), baseline_mean=F.round("baseline_mean", 2),
+        **{value: F.col(value)}, baseline_mean=F.round("baseline_mean", 2),
         baseline_std_dev=F.round("baseline_std", 2), z_score=F.round(z, 4),
         threshold=F.lit(float(threshold)), sample_count=F.col("baseline_n"))
     hits = scored.filter((F.col("baseline_n") >= min_samples) & F.col("is_anomalous"))
@@ -130,7 +138,8 @@ def checksum_mismatches(signals: DataFrame, chunk_seconds: int = 3600,
     hits = compared.filter(F.col("previous_checksum") != F.col("checksum"))
     return _anomaly(hits, "checksum_mismatch", "checksum", F.lit("HIGH"), F.lit(1.0), details_json(
         source=F.col("source"), partition_date=F.col("partition_date"),
-        previous_checksum=F.col("previous_checksum"), current_checksum=F.col("checksum")),
+        previous_checksum=F.col("previous_checksum"), current_checksum=F.col("checksum"),
+        interpretation=F.lit(OTHER_CHECKSUM)),
         ["partition_date", "previous_checksum", F.col("checksum").alias("current_checksum")])
 
 

@@ -205,6 +205,18 @@ def quality_anomaly_tests(scored: DataFrame) -> DataFrame:
         "failures", "severity", "is_flaky", "is_new_test", "blast_radius", "oncall_team", "message")
 
 
+def with_test_lists(anomalies: DataFrame, tests: DataFrame) -> DataFrame:
+    """Anomalies as a sink sends them: the rows of `quality_anomaly_tests` as the list `tests` in details.
+
+    A message holds all failing tests of its run and model; steps in between use the rows.
+    """
+    entry = F.struct("test_name", F.col("column_name").alias("column"), "failures", "severity", "is_flaky", "is_new_test",
+                     "blast_radius", "oncall_team", "message")
+    lists = tests.groupBy("signal_id").agg(F.sort_array(F.collect_list(entry)).alias("tests"))
+    return (anomalies.join(lists, "signal_id", "left")
+            .withColumn("details", F.to_json(F.struct("total_failed_tests", "genuine_failures", "flaky_failures", "tests"))).drop("tests"))
+
+
 def run_summary(tests: DataFrame) -> DataFrame:
     failed = F.col("status").isin("fail", "error")
     return tests.groupBy("run_id").agg(
