@@ -18,7 +18,7 @@ HEADLINE = [
     "checksum_mismatches", "partition_checksum", "column_summary", "test_unique", "schema_diff",
     "schema_drift_anomalies", "flakiness", "quality_anomalies", "downstream_models", "downstream_models_tree",
     "blast_radius", "signal_buckets", "confirmed_incidents", "plan_actions", "lineage_incidents",
-    "quarantine_split", "reconcile_partitions"]
+    "quarantine_split", "reconcile_partitions", "stream_ingestion_anomalies", "stream_buckets"]
 
 
 def main():
