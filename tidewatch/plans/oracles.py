@@ -204,7 +204,7 @@ TEST_PARTS = [
     _check("lineitem", LINE_MONTH, 8, "not_null", "tax", "l_tax = 0"),
     _check("lineitem", LINE_MONTH, 9, "between", "l_extendedprice", "l_extendedprice > 104500"),
     UNIQUE]
-TESTS = "tests AS (SELECT *, strptime(substr(run_id, 9), '%Y%m%d%H%M%S') AS run_at, " \
+TESTS = "tests AS MATERIALIZED (SELECT *, strptime(substr(run_id, 9), '%Y%m%d%H%M%S') AS run_at, " \
         "CASE WHEN failures > 0 THEN 'fail' ELSE 'pass' END AS status, " \
         "CASE WHEN model_name = 'orders' AND test_name = 'not_null' THEN 'critical' " \
         "WHEN column_name = 'l_quantity' THEN 'low' ELSE '' END AS agent_severity " \
@@ -217,7 +217,7 @@ FLAKY = """recent AS (
          row_number() OVER (PARTITION BY run_id, model_name, test_name ORDER BY position DESC) AS rn
   FROM tests
   WINDOW w AS (PARTITION BY model_name, test_name ORDER BY run_at, position ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
-flaky AS (
+flaky AS MATERIALIZED (
   SELECT run_id, model_name, test_name, total_runs, failure_count, failure_count / total_runs::DOUBLE AS flakiness_rate,
          total_runs >= 5 AND failure_count / total_runs::DOUBLE > 0.20 AS is_flaky, total_runs < 5 AS is_new_test
   FROM recent WHERE rn = 1)"""
