@@ -20,13 +20,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from tidewatch.llm import countmin, graph, words
 from tidewatch.sources.storage import checkpointed, remove_folder
 
 #: Longest l tried, and what verifying costs per shingle of a set, in postings read.
 LONGEST, VERIFY_COST = 4, 0.1
+#: Keys of rows to drop that may be broadcast (24 bytes each); beyond that the join is shuffled.
+BROADCAST_ROWS = 1_000_000
 
 
 def _distinct(part: words.Slice, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,7 +66,7 @@ def shingle_sets(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str
 
     row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
     some = docs.select(F.col(text_col).alias("_text"), F.col(id_col).alias("id"), *row)
-    return some.mapInArrow(sets, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in some.schema.fields[1:]) + ", n_shingles long, fa long, fb long")
+    return some.mapInArrow(sets, T.StructType([*some.schema.fields[1:], *(T.StructField(c, T.LongType()) for c in ("n_shingles", "fa", "fb"))]))
 
 
 def _prefixes(docs: DataFrame, k: int, percent: int, text_col: str, sketch: countmin.Sketch) -> DataFrame:
@@ -157,7 +159,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
             yield _distinct(part, k)[0]
 
     info = checkpointed(shingle_sets(docs, k, id_col, text_col), "sets")
-    bits = max(16, countmin.width_bits(docs, text_col) - 2)
+    bits = countmin.width_bits(docs, text_col)
     sketch = countmin.build(docs.select(text_col), distinct_shingles, bits, levels=255)
     nodes = checkpointed(_prefixes(docs, k, percent, text_col, sketch).dropDuplicates(["fa", "fb"])
                          .withColumn("node", F.monotonically_increasing_id()), "nodes")
@@ -204,14 +206,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` without near duplicates: of each component the row of the smallest id, of equal such rows one.
 
-    Rows without words are linked with nothing and all stay.
+    Rows without words are linked with nothing and all stay. Only the keys of the rows to drop meet the texts.
     """
-    kept = (near_duplicates(docs, k, percent, id_col, text_col).where("first AND n_shingles > 0")
-            .select(F.col(id_col).alias("_id"), F.col("fa").alias("_fa"), F.col("fb").alias("_fb")).distinct())
+    found = checkpointed(near_duplicates(docs, k, percent, id_col, text_col).where("n_shingles > 0")
+                         .groupBy(F.col(id_col).alias("_id"), F.col("fa").alias("_fa"), F.col("fb").alias("_fb"))
+                         .agg(F.first("first").alias("first"), F.count("*").alias("c")).where("NOT first OR c > 1"), "dropped")
     rows = shingle_sets(docs, k, id_col, text_col, carry=True)
-    ones = (rows.join(kept, F.col("id").eqNullSafe(F.col("_id")) & (F.col("fa") == F.col("_fa")) & (F.col("fb") == F.col("_fb")), "left_semi")
-            .dropDuplicates(["id", "fa", "fb"]))
-    return ones.select("row.*").unionByName(rows.where("n_shingles = 0").select("row.*"))
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("fa") == F.col("_fa")) & (F.col("fb") == F.col("_fb"))
+    kept = rows.join(F.broadcast(found) if found.count() <= BROADCAST_ROWS else found, same, "left_anti").select("row.*")
+    equal = found.where("first")
+    if equal.isEmpty():
+        return kept
+    ones = rows.join(F.broadcast(equal) if equal.count() <= BROADCAST_ROWS else equal, same, "left_semi").dropDuplicates(["id", "fa", "fb"])
+    return kept.unionByName(ones.select("row.*"))
 
 
 def _open(entries: DataFrame) -> DataFrame:
