@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from tidewatch.llm import words
 from tidewatch.sources.storage import checkpointed
@@ -175,9 +175,8 @@ def predict(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str
 
     row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
     some = docs.select(F.col(text_col).alias("_text"), F.col(id_col).alias("id"), *row)
-    schema = some.schema.fields[1:]
-    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema) + ", probabilities array<double>, toxic boolean"
-    return some.mapInArrow(scored, ddl).withColumnRenamed("id", id_col)
+    schema = T.StructType([*some.schema.fields[1:], T.StructField("probabilities", T.ArrayType(T.DoubleType())), T.StructField("toxic", T.BooleanType())])
+    return some.mapInArrow(scored, schema).withColumnRenamed("id", id_col)
 
 
 #: The labels table's categories: junk (quality 0), then toxic.
