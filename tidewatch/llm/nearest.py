@@ -28,11 +28,11 @@ from tidewatch.llm import shared
 from tidewatch.sources.storage import checkpointed, fresh_folder
 
 #: Rows of a block, queries of a task's piece of work, factor by which windows widen.
-BLOCK_ROWS, PIECE, WIDEN = 4096, 32, 1.5
+BLOCK_ROWS, PIECE, WIDEN = 4096, 32, 2.0
 
 
 def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding",
-           projections: int = 48, threshold: float = 0.70, sure: float = 0.97, seed: int = 1) -> DataFrame:
+           projections: int = 48, threshold: float = 0.70, sure: float = 0.95, seed: int = 1) -> DataFrame:
     """(query_id, rank, id, score): for each row whose id is divisible by `every`, its k nearest other rows.
 
     Nearest is the largest inner product in double precision, ties to the smaller id. Rows with a null id or
@@ -106,40 +106,45 @@ def _piece(folder, names, own, mine, query_ids, queries, lines, largest, need, r
     centres = (queries * scale[:, None]) @ lines[:, :dim].T
     best = [(np.zeros(0), np.zeros(0, np.int64)) for _ in mine]
     for name, n in sorted(names, key=lambda x: x[0] != own):
-        ids, table = _block(folder, name, dim)
-        order = np.asarray(shared.read_array(f"{folder}/{name}-order", np.int64).reshape(m, n))
-        at = np.asarray(shared.read_array(f"{folder}/{name}-sorted", np.float64).reshape(m, n))
-        for q in range(len(mine)):
-            counts, seen = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=bool)
-            if name == own:
-                seen[mine[q]] = True
-            lo = hi = [int(x) for x in (np.searchsorted(a, c) for a, c in zip(at, centres[q]))]
-            width = 0.0
-            while not seen.all():
-                scores, _ = best[q]
-                far = np.sqrt(max(0.0, 2 * largest ** 2 - 2 * scale[q] * scores[-1])) if len(scores) == k else np.inf
-                want = max(far * reach, 1e-6 * largest)
-                if width >= want:
-                    break
-                width = min(want, max(width * WIDEN, largest * 0.8))
-                new_lo = [int(np.searchsorted(a, c - width, "left")) for a, c in zip(at, centres[q])]
-                new_hi = [int(np.searchsorted(a, c + width, "right")) for a, c in zip(at, centres[q])]
-                added = [order[j, a:b] for j in range(m) for a, b in ((new_lo[j], lo[j]), (hi[j], new_hi[j])) if a < b]
-                lo, hi = new_lo, new_hi
+        ids, table = map(np.asarray, _block(folder, name, dim))
+        order = np.asarray(shared.read_array(f"{folder}/{name}-order", np.int64)).reshape(m, n)
+        at = np.asarray(shared.read_array(f"{folder}/{name}-sorted", np.float64)).reshape(m, n)
+        counts, seen = np.zeros((len(mine), n), dtype=np.int64), np.zeros((len(mine), n), dtype=bool)
+        if name == own:
+            seen[np.arange(len(mine)), mine] = True
+        widths = np.zeros(len(mine))
+        lo = hi = np.stack([np.searchsorted(a, c) for a, c in zip(at, centres.T)])
+        while True:
+            far = np.array([np.sqrt(max(0.0, 2 * largest ** 2 - 2 * x * s[-1])) if len(s) == k else np.inf for (s, _), x in zip(best, scale)])
+            want = np.maximum(far * reach, 1e-6 * largest)
+            active = np.flatnonzero((widths < want) & ~seen.all(1))
+            if not len(active):
+                break
+            widths[active] = np.minimum(want, np.maximum(widths * WIDEN, largest * 0.8))[active]
+            new_lo = np.stack([np.searchsorted(a, c - widths, "left") for a, c in zip(at, centres.T)])
+            new_hi = np.stack([np.searchsorted(a, c + widths, "right") for a, c in zip(at, centres.T)])
+            for q in active:
+                added = [order[j, a:b] for j, (x, y, z, w) in enumerate(zip(new_lo[:, q].tolist(), lo[:, q].tolist(), hi[:, q].tolist(), new_hi[:, q].tolist()))
+                         for a, b in ((x, y), (z, w)) if a < b]
                 if added:
-                    counts += np.bincount(np.concatenate(added), minlength=n)
-                fresh = np.flatnonzero((counts >= need) & ~seen)
+                    counts[q] += np.bincount(np.concatenate(added), minlength=n)
+                fresh = np.flatnonzero((counts[q] >= need) & ~seen[q])
                 if len(fresh):
-                    seen[fresh] = True
-                    scores, those = np.concatenate([best[q][0], table[fresh] @ queries[q]]), np.concatenate([best[q][1], ids[fresh]])
-                    if len(scores) > 4 * k:
-                        some = np.flatnonzero(scores >= np.partition(scores, -k)[-k])
-                        scores, those = scores[some], those[some]
-                    first = np.lexsort((those, -scores))[:k]
-                    best[q] = scores[first], those[first]
+                    seen[q, fresh] = True
+                    best[q] = _top(np.concatenate([best[q][0], table[fresh] @ queries[q]]), np.concatenate([best[q][1], ids[fresh]]), k)
+            lo, hi = new_lo, new_hi
     return pd.DataFrame({"query_id": np.repeat(query_ids, [len(s) for s, _ in best]), "rank": np.concatenate([np.arange(1, len(s) + 1) for s, _ in best]).astype(np.int32),
                          "id": np.concatenate([i for _, i in best]), "score": np.concatenate([s for s, _ in best])})
 
 
+def _top(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k largest scores, ties to the smaller id."""
+    if len(scores) > 4 * k:
+        some = np.flatnonzero(scores >= np.partition(scores, -k)[-k])
+        scores, ids = scores[some], ids[some]
+    first = np.lexsort((ids, -scores))[:k]
+    return scores[first], ids[first]
+
+
 def op10_nearest(spark, sf_dir: str) -> DataFrame:
     return search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
