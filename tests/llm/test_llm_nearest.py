@@ -63,3 +63,17 @@ def test_query_on_table(spark):
     rows = [(r[0], r[1]) for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "embedding").collect()]
     got = nearest.op10_nearest(spark, "/root/testdata/sf0.01").collect()
     assert recall(got, brute(rows, 20, 20), 20) >= 0.9
+
+
+def test_recall_of_the_defaults_on_near_uniform_vectors(spark):
+    table = np.random.default_rng(4).normal(size=(20000, 64))
+    table /= np.sqrt((table ** 2).sum(1, keepdims=True))
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(table)]
+    got = nearest.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4, "vec_id"), every=50).collect()
+    worst = {}
+    for i in range(0, 20000, 50):
+        score = table @ table[i]
+        score[i] = -np.inf
+        worst[i] = np.partition(score, -20)[-20]
+    found = sum(r["score"] >= worst[r["query_id"]] - 1e-9 for r in got) / (20 * len(worst))
+    assert found >= 0.985
