@@ -42,3 +42,19 @@ def test_held_out_accuracy_on_table(spark):
     assert len(rows) == docs.count() and all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows)
     held = [r for r in rows if r["held_out"] and r["lang"]]
     assert sum(r["lang"] == r["lang_pred"] for r in held) >= 0.97 * len(held)
+
+
+def test_copies_count_once_in_the_sample(spark):
+    rng = random.Random(3)
+    texts = lambda letters, n: [" ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(20)) for _ in range(n)]
+    few = {lang: texts(letters, 3) for lang, letters in (("aa", "abcde"), ("bb", "fghij"), ("cc", "klmno"))}
+    rows = [(i, few[lang][i % 3], lang) for lang in few for i in range(1500)] + [(i, t, "dd") for i, t in enumerate(texts("pqrst", 300))]
+    rows += [(i, t, "dd") for i in range(500) for t in (rows[-1][1], "12 34")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    model = language_id.train(docs, sample=10)
+    assert set(model.languages) == {"aa", "bb", "cc", "dd"}
+    got = language_id.predict(spark.createDataFrame([(i, t, "") for i, t in enumerate(t for lang in few for t in few[lang])], SCHEMA), model)
+    assert [r["lang_pred"] for r in sorted(got.collect(), key=lambda r: r["doc_id"])] == ["aa"] * 3 + ["bb"] * 3 + ["cc"] * 3
+    kept = language_id.sample_texts(docs.select("text", "lang"), 10).collect()
+    assert {lang: len({r["text"] for r in kept if r["lang"] == lang}) for lang in model.languages} == {"aa": 3, "bb": 3, "cc": 3, "dd": 10}
+    assert len(kept) == 19 and all(r["text"] != "12 34" for r in kept)

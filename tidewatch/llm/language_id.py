@@ -2,7 +2,7 @@
 
 A text is a vector of hashed 1- to 3-grams of bytes (A-Z lower-cased, other ASCII than letters as one space), log
 counts times inverse document frequency, normalised. Document frequencies come from all training texts; the
-centroids of a language from spherical k-means over a bounded, seeded sample of its training texts. A text gets the language of
+centroids of a language from spherical k-means over a bounded sample of its distinct training texts. A text gets the language of
 the centroid with the largest cosine and is marked rejected if it is farther from it than the training texts are.
 """
 
@@ -13,17 +13,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tidewatch.llm import words
 from tidewatch.llm.lm_score import remainder
 from tidewatch.sources.storage import checkpointed
 
-#: Hashed n-grams; about how many training texts of a language the centroids are fitted on; centroids of a language.
+#: Hashed n-grams; how many distinct training texts of a language the centroids are fitted on at most; centroids of a language.
 DIMS, SAMPLE, CENTROIDS = 1 << 12, 1000, 4
 #: The share of a centroid's training texts that lies within its distance.
 WITHIN = 0.995
-#: Languages whose sampling rates may be broadcast; beyond that the join is shuffled.
+#: Languages whose sampling rates, and sampled hashes that, may be broadcast; beyond that the join is shuffled.
 BROADCAST_ROWS = 100_000
 _ROWS = 256
 
@@ -87,6 +87,33 @@ def _clustered(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"lang": group["lang"].iloc[0], "centroid": [c.astype(np.float32).tobytes() for c in centres], "edge": limits})
 
 
+def _few(table: DataFrame) -> DataFrame:
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
+def sample_texts(docs: DataFrame, sample: int) -> DataFrame:
+    """(text, lang, key) of (text, lang): of each language's distinct texts with a letter the `sample` of smallest hash, once each.
+
+    Copies count once, so no language is lost and none has more than `sample` texts.
+    """
+    key = F.xxhash64("text")
+
+    def lettered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, data, offsets in words.raw_slices(batch, "text", rows=_ROWS):
+                keep = pa.array(np.flatnonzero(_letters(data, offsets)))
+                yield pa.RecordBatch.from_arrays([batch.column(i).slice(first, len(offsets) - 1).take(keep) for i in (1, 2)], names=["lang", "key"])
+
+    texts = checkpointed(docs.select("text", "lang", key.alias("key")).mapInArrow(lettered, "lang string, key long").distinct(), "texts")
+    # some more than `sample` are let through by their hash alone, so that the ranking of a language is small
+    rates = checkpointed(texts.groupBy("lang").agg((F.lit(2.0 * sample + 100) / F.count("*")).alias("rate")), "rates")
+    near = texts.join(_few(rates), "lang").where(F.col("key") / 2.0 ** 64 + 0.5 <= F.col("rate"))
+    chosen = checkpointed(near.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("key")))
+                          .where(F.col("place") <= sample).select("lang", "key"), "chosen")
+    return (docs.select("text", "lang", key.alias("key")).join(_few(chosen), ["lang", "key"])
+            .groupBy("lang", "key").agg(F.min("text").alias("text")).select("text", "lang", "key"))
+
+
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
     """Learns from the rows of `docs` with a language and a letter."""
     docs = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
@@ -111,12 +138,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sampl
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(first, len(offsets) - 1).take(pa.array(keep)), batch.column(2).slice(first, len(offsets) - 1).take(pa.array(keep)),
                                                   pa.array([table[i].tobytes() for i in keep], pa.binary())], names=["lang", "key", "vector"])
 
-    # a language's rows are kept by a hash of the text with a probability that leaves about `sample` of them
-    rates = checkpointed(docs.groupBy("lang").agg((F.lit(sample) / F.count("*")).alias("rate")), "rates")
-    if rates.count() <= BROADCAST_ROWS:
-        rates = F.broadcast(rates)
-    key = F.xxhash64("text")
-    some = docs.join(rates, "lang").where(F.pmod(key, F.lit(1_000_000)) < F.col("rate") * 1_000_000).select("text", "lang", key.alias("key"))
+    some = sample_texts(docs, sample)
     rows = some.mapInArrow(sampled, "lang string, key long, vector binary").groupBy("lang").applyInPandas(_clustered, "lang string, centroid binary, edge double").collect()
     rows.sort(key=lambda r: (r["lang"], r["centroid"]))
     return Model(idf, [r["lang"] for r in rows], np.array([np.frombuffer(r["centroid"], np.float32) for r in rows]).reshape(-1, DIMS), np.array([r["edge"] for r in rows]))
