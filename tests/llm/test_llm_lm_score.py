@@ -85,3 +85,55 @@ def test_query_on_table(spark):
     got = lm_score.op4_lm_score(spark, "/root/testdata/sf0.001").collect()
     assert {r["train_tokens"] for r in got} == {n} and {r["doc_id"] for r in got if r["held_out"]} == held
     close(sorted(((r["doc_id"], r["n_tokens"], r["n_known"], r["base_score"], r["score"]) for r in got), key=str), want)
+
+
+def brute_of_order(train, rows, order):
+    pad = ["<s>"] * (order - 1)
+    counts = [None] * order + [collections.Counter()]
+    for t in map(tokens, train):
+        t = [*pad, *t]
+        counts[order].update(tuple(t[i - order + 1:i + 1]) for i in range(order - 1, len(t)))
+    for k in range(order - 1, 0, -1):
+        grams = {g[-k - 1:] for g in counts[k + 1]}
+        counts[k] = collections.Counter(g[1:] for g in grams)
+    after = [collections.defaultdict(list) for _ in range(order + 1)]
+    for k in range(1, order + 1):
+        for g, c in counts[k].items():
+            after[k][g[:-1]].append(c)
+    d = [None] + [discounts(list(c.values())) for c in counts[1:]]
+    sums = [None] + [{g: (sum(x), sum(map(d[k], x))) for g, x in after[k].items()} for k in range(1, order + 1)]
+
+    def p(context, w, k):
+        low = 1 / (len(counts[1]) + 1) if k == 1 else p(context[1:], w, k - 1)
+        if context not in sums[k]:
+            return low
+        total, rest = sums[k][context]
+        c = counts[k][(*context, w)]
+        return max(c - d[k](c), 0) / total + rest / total * low
+    out = {}
+    for i, t in rows:
+        t = [*pad, *tokens(t)]
+        out[i] = sum(math.log10(p(tuple(t[j - order + 1:j]), t[j], order)) for j in range(order - 1, len(t)))
+    one = [g[0] for g in counts[1]]
+    contexts = [*list(after[order])[:5], ("never", *pad[1:])]
+    return out, [sum(p(c, w, order) for w in [*one, "unseen"]) for c in contexts]
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_orders_equal_brute_force(spark, order):
+    rng = random.Random(order)
+    words = [f"w{i}" for i in range(25)]
+    rows = [(i, " ".join(rng.choice(words[:rng.randint(1, 25)]) for _ in range(rng.randint(0, 50)))) for i in range(60)]
+    rows += [(200, "hot pair of " * 700), (201, None), (202, ""), (203, "w1 never w2 seen w3 w1 w2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = lm_score.train(docs.where("doc_id <> 203 AND doc_id > 4"), order=order)
+    want, sums = brute_of_order([t for i, t in rows if i != 203 and i > 4], rows, order)
+    assert sums == pytest.approx([1] * len(sums))
+    assert {r["doc_id"]: r["score"] for r in lm_score.score(docs, model).collect()} == pytest.approx(want, rel=1e-9, abs=1e-9)
+
+
+def test_trigram_query_on_table(spark):
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    want, _ = brute_of_order([t for i, t in rows if zlib.crc32(str(i).encode()) % 10], rows, 3)
+    got = {r["doc_id"]: r["score"] for r in lm_score.op4_lm_score_trigram(spark, "/root/testdata/sf0.001").collect()}
+    assert got == pytest.approx(want, rel=1e-9, abs=1e-9)

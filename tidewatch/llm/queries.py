@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_format": chat_format.op2_chat_format,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_lm_score": lm_score.op4_lm_score,
+    "op4_lm_score_trigram": lm_score.op4_lm_score_trigram,
     "op5_jaccard_join": jaccard_join.op5_jaccard_join,
     "op6_language_id": language_id.op6_language_id,
     "op7_mixing": mixing.op7_mixing,
