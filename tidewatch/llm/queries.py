@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import (chat_format, decontaminate, jaccard_join, language_id, lm_score, mixing, nearest, sharding,
+from tidewatch.llm import (chat_format, decontaminate, jaccard_join, language_id, lm_score, mixing, nearest, quality_rules, sharding,
                            substring_dedup, toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": sharding.op8_sharding,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_nearest": nearest.op10_nearest,
+    "op13_quality_rules": quality_rules.op13_quality_rules,
 }
 
 ORACLES: dict[str, str] = {
@@ -28,4 +29,5 @@ ORACLES: dict[str, str] = {
     "op3_decontaminate": decontaminate.ORACLE,
     "op7_mixing": mixing.ORACLE,
     "op8_sharding": sharding.ORACLE,
+    "op13_quality_rules": quality_rules.ORACLE,
 }
