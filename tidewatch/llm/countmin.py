@@ -9,7 +9,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidewatch.llm import shared
-from tidewatch.sources.storage import fresh_folder
 
 #: Cells of one chunk of a sketch row; a chunk is merged and written by one task.
 CHUNK_BITS = 22
@@ -23,45 +22,45 @@ def cells(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
     return (hashes * np.uint64(_ODD[row])) >> np.uint64(64 - bits)
 
 
-def width_bits(docs: DataFrame, text_col: str = "text", least: int = 16, most: int = 33) -> int:
-    """log2 of a width of at least one cell a word (six bytes), so the error doesn't grow with the corpus.
+def corpus_words(docs: DataFrame, text_col: str = "text") -> int:
+    """About how many words all texts have together (six bytes each): what ranges and sketches are sized by."""
+    return (docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0) // 6
 
-    `most` bounds the sketch (8 GB a row); beyond it more items are taken for repeated, none for single.
-    """
-    total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    return min(most, max(least, int(np.ceil(np.log2(total / 6 + 1)))))
 
+def width_bits(docs: DataFrame, text_col: str = "text", least: int = 16) -> int:
+    """log2 of a width of at least one cell a word, so the error doesn't grow with the corpus, however large."""
+    return max(least, corpus_words(docs, text_col).bit_length())
+
+
+def range_bits(docs: DataFrame, text_col: str, words_a_range: int) -> int:
+    """log2 of the number of hash ranges (8 or more) of about so many words of the corpus each."""
+    return max(3, (corpus_words(docs, text_col) // words_a_range).bit_length())
 
-class Sketch:
-    """`bits`: log2 of the cells of a row; `levels`: what a cell can count to (1 bit a cell if 2, else a byte)."""
 
-    def __init__(self, folder: str, bits: int, depth: int, levels: int):
-        self.folder, self.bits, self.depth, self.levels = folder, bits, depth, levels
-        self._rows: dict[int, list[np.ndarray]] = {}
+#: Tasks that ranges or chunks are dealt to at most; a task takes its ranges one after another.
+MOST_TASKS = 1 << 15
 
-    def __getstate__(self):
-        return {**self.__dict__, "_rows": {}}
 
-    def _chunk(self, row: int, chunk: int) -> np.ndarray:
-        if row not in self._rows:
-            n = 1 << max(0, self.bits - CHUNK_BITS)
-            self._rows[row] = [shared.read_array(f"{self.folder}/{row}-{c}", np.uint8) for c in range(n)]
-        return self._rows[row][chunk]
+class Sketch:
+    """`bits`: log2 of the cells of a row, `span`: of a chunk; `levels`: what a cell can count to (1 bit a cell if 2, else a byte)."""
+
+    def __init__(self, folder: str, bits: int, span: int, depth: int, levels: int):
+        self.folder, self.bits, self.span, self.depth, self.levels = folder, bits, span, depth, levels
 
     def estimate(self, hashes: np.ndarray) -> np.ndarray:
         """Never less than an item's true count, up to `levels`."""
         out = np.full(len(hashes), self.levels, dtype=np.uint8)
         for row in range(self.depth):
             at = cells(hashes, row, self.bits)
-            chunks = (at >> np.uint64(CHUNK_BITS)).astype(np.uint16)
+            chunks = (at >> np.uint64(self.span)).astype(np.int64)
+            if self.bits - self.span <= 16:
+                chunks = chunks.astype(np.uint16)  # sorts in linear time
             order = np.argsort(chunks, kind="stable")
-            at, chunks = at[order] & np.uint64((1 << CHUNK_BITS) - 1), chunks[order]
-            first = np.flatnonzero(np.diff(chunks.astype(np.int32), prepend=-1))
+            at, chunks = at[order] & np.uint64((1 << self.span) - 1), chunks[order].astype(np.int64)
+            first = np.flatnonzero(np.diff(chunks, prepend=-1))
             for a, b in zip(first, [*first[1:], len(at)]):
-                table, cell = self._chunk(row, int(chunks[a])), at[a:b]
-                if not len(table):
-                    found = np.ones(b - a, dtype=np.uint8)
-                elif self.levels == 2:
+                table, cell = shared.array(f"{self.folder}/{row}-{chunks[a]}", np.uint8), at[a:b]
+                if self.levels == 2:
                     found = ((table[cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1) + 1
                 else:
                     found = table[cell]
@@ -72,8 +71,9 @@ class Sketch:
 def build(docs: DataFrame, items: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int,
           levels: int = 2, depth: int = 2) -> Sketch:
     """Counts the item hashes that `items` yields for each batch, over all rows of `docs`."""
-    folder = fresh_folder(docs.sparkSession, "sketch")
+    folder = shared.array_folder(docs.sparkSession, "sketch")
     span = np.uint64(min(bits, CHUNK_BITS))
+    chunks = 1 << (bits - int(span))
 
     def packed(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         hashes = np.concatenate(held)
@@ -120,7 +120,12 @@ def build(docs: DataFrame, items: Callable[[pa.RecordBatch], Iterator[np.ndarray
             write(key, counts)
         yield pa.RecordBatch.from_arrays([pa.array([written], pa.int64())], names=["chunks"])
 
-    (docs.mapInArrow(partial, "chunk long, counts binary")
-     .repartition(max(8, min(depth << max(0, bits - CHUNK_BITS), 4096)), "chunk").sortWithinPartitions("chunk")
-     .mapInArrow(merged, "chunks long").agg(F.sum("chunks")).collect())
-    return Sketch(folder, bits, depth, levels)
+    # an empty message for each chunk, so that each is written
+    every = docs.sparkSession.range(depth * chunks).select(
+        F.expr(f"(id div {chunks}) * {1 << 40} + id % {chunks}").alias("chunk"), F.lit(bytearray()).alias("counts"))
+    written = (docs.mapInArrow(partial, "chunk long, counts binary").unionByName(every)
+               .repartition(max(8, min(depth * chunks, MOST_TASKS)), "chunk").sortWithinPartitions("chunk")
+               .mapInArrow(merged, "chunks long").agg(F.sum("chunks")).first()[0])
+    if written != depth * chunks:
+        raise OSError(f"{written} of {depth * chunks} chunks of the sketch were written")
+    return Sketch(folder, bits, int(span), depth, levels)

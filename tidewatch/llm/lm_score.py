@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewatch.llm import countmin, shared, words
-from tidewatch.sources.storage import checkpointed, fresh_folder, remove_folder
+from tidewatch.sources.storage import checkpointed, remove_folder
 
 #: Tokens that a task counts before it sends counts on; words per range of the model.
 FLUSH_TOKENS, RANGE_WORDS = 4_000_000, 4_000_000
@@ -112,7 +112,7 @@ class Model:
     """
 
     def __init__(self, folder: str, shift: int, order: int):
-        self.folder, self.shift, self.order, self._arrays = folder, shift, order, {}
+        self.folder, self.shift, self.order = folder, shift, order
         self.offsets: list[int] = []
         self.vocabulary = self.types = self.tokens = 0
         self.begin = -1
@@ -123,17 +123,11 @@ class Model:
         self.per_range: dict[int, int] = {2: 1}
         self.high: dict[int, tuple[float, float, float]] = {}
 
-    def __getstate__(self):
-        return {**self.__dict__, "_arrays": {}}
-
     def array(self, name: str, dtype) -> np.ndarray:
-        if name not in self._arrays:
-            self._arrays[name] = shared.read_array(f"{self.folder}/{name}", dtype)
-        return self._arrays[name]
+        return shared.array(f"{self.folder}/{name}", dtype)
 
     def small(self, name: str, at: np.ndarray) -> np.ndarray:
-        table = self.array(name, np.uint8)
-        out = table[at].astype(np.int64) if len(table) else np.zeros(len(at), dtype=np.int64)
+        out = self.array(name, np.uint8)[at].astype(np.int64)
         large = np.flatnonzero(out == 255)
         if len(large):
             out[large] = self.array(f"{name}-value", np.int64)[shared.find(self.array(f"{name}-at", np.int64), at[large])]
@@ -229,9 +223,7 @@ class Model:
         first = np.flatnonzero(np.diff(ranges, prepend=-2))
         for a, b in zip(first, [*first[1:], len(ids)]):
             if ranges[a] >= 0:
-                table = self.array(f"{name}-{ranges[a]}", dtype)
-                if len(table):
-                    out[a:b] = table[ids[a:b] - bounds[ranges[a]]]
+                out[a:b] = self.array(f"{name}-{ranges[a]}", dtype)[ids[a:b] - bounds[ranges[a]]]
         return out
 
     def logs(self, tokens: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -262,10 +254,11 @@ def train(docs: DataFrame, text_col: str = "text", order: int = 2) -> Model:
     if order < 2:
         raise ValueError("the order is 2 or more")
     docs, spark = docs.select(text_col), docs.sparkSession
-    ranges = 1 << max(3, int(np.ceil(np.log2((1 << countmin.width_bits(docs, text_col)) / RANGE_WORDS))))
-    model = Model(fresh_folder(spark, "model"), 64 - int(np.log2(ranges)), order)
+    range_bits = countmin.range_bits(docs, text_col, RANGE_WORDS)
+    ranges = 1 << range_bits
+    model = Model(shared.array_folder(spark, "model"), 64 - range_bits, order)
     folder, shift = model.folder, np.uint64(model.shift)
-    reducers = min(ranges, 4096)
+    reducers = min(ranges, countmin.MOST_TASKS)
 
     def flushed(batches, keys_of, pack):
         held, n = [], 0
@@ -302,10 +295,10 @@ def train(docs: DataFrame, text_col: str = "text", order: int = 2) -> Model:
             shared.write_array(f"{folder}/word-count-{key}", counts)
             yield pa.RecordBatch.from_pydict({"range": [key], "size": [len(hashes)], "tokens": [int(counts.sum())], "types": [int((counts > 0).sum())], "begin": [int(begin)]})
 
-    # an empty message for the range of the begin mark makes its task insert the mark
-    mark = spark.createDataFrame([(int(_BEGIN >> shift), bytearray(), bytearray(), bytearray())], "range long, keys binary, more binary, counts binary")
+    none = [F.lit(bytearray()).alias(c) for c in ("keys", "more", "counts")]
+    every = spark.range(ranges).select(F.col("id").alias("range"), *none)  # an empty message for each range, so that each is written
     parts = (docs.mapInArrow(lambda it: flushed(it, lambda p: _sequence(p)[0], pack_words), "range long, keys binary, more binary, counts binary")
-             .unionByName(mark).repartition(reducers, "range").sortWithinPartitions("range")
+             .unionByName(every).repartition(reducers, "range").sortWithinPartitions("range")
              .mapInArrow(write_words, "range long, size long, tokens long, types long, begin long").collect())
     sizes = {p["range"]: p["size"] for p in parts}
     model.offsets = [int(x) for x in np.cumsum([0, *(sizes.get(r, 0) for r in range(ranges - 1))])]
@@ -314,13 +307,13 @@ def train(docs: DataFrame, text_col: str = "text", order: int = 2) -> Model:
         raise ValueError("word ids are 32 bits wide; the corpus has more distinct words")
     model.begin = next(model.offsets[p["range"]] + p["begin"] for p in parts if p["range"] == int(_BEGIN >> shift))
     for level in range(2, order + 1):
-        _count_level(docs, text_col, model, level, ranges, reducers, flushed, cut)
+        _count_level(docs, text_col, model, level, every, reducers, flushed, cut)
     return model
 
 
-def _count_level(docs: DataFrame, text_col: str, model: Model, level: int, ranges: int, reducers: int, flushed, cut) -> None:
+def _count_level(docs: DataFrame, text_col: str, model: Model, level: int, every: DataFrame, reducers: int, flushed, cut) -> None:
     """Writes the n-grams of `level` words, their counts if that is the order, and the continuation counts of the level below."""
-    folder, below, top = model.folder, level - 1, level == model.order
+    folder, below, top, ranges = model.folder, level - 1, level == model.order, every.count()
     contexts = model.vocabulary if level == 2 else model.grams[below] + 1
     if contexts * model.vocabulary >= 1 << 64:
         raise ValueError("n-gram keys are 64 bits wide; the corpus has more distinct n-grams")
@@ -385,7 +378,7 @@ def _count_level(docs: DataFrame, text_col: str, model: Model, level: int, range
             yield pa.RecordBatch.from_pydict({"stats": [[int((follows > 2).sum()), *_counts_of_counts(follows)]]})
 
     continued = checkpointed(docs.mapInArrow(lambda it: flushed(it, grams_of, pack_grams), "range long, keys binary, more binary, counts binary")
-                             .repartition(reducers, "range").sortWithinPartitions("range")
+                             .unionByName(every).repartition(reducers, "range").sortWithinPartitions("range")
                              .mapInArrow(write_grams, "range long, keys binary, more binary, counts binary, stats array<long>"), "continued")
     stats = [r[0] for r in continued.where("range < 0").select("stats").collect()]
     sizes = {x[0]: x[1] for x in stats}
@@ -393,7 +386,7 @@ def _count_level(docs: DataFrame, text_col: str, model: Model, level: int, range
     model.grams[level] = sum(sizes.values())
     if top:
         model.high[level] = discounts([sum(x) for x in zip(*(x[2:] for x in stats))] or [0] * 4)
-    stats = [r[0] for r in continued.where("range >= 0").select("range", "keys", "more", "counts").repartition(reducers, "range")
+    stats = [r[0] for r in continued.where("range >= 0").select("range", "keys", "more", "counts").unionByName(every).repartition(reducers, "range")
              .sortWithinPartitions("range").mapInArrow(write_follows, "stats array<long>").collect()]
     more, *low = [sum(x) for x in zip(*stats)] or [0] * 5
     if level > 2:

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from tidewatch.llm import shared
-from tidewatch.sources.storage import checkpointed, fresh_folder
+from tidewatch.sources.storage import checkpointed
 
 #: Rows of a block, queries of a task's piece of work, factor by which windows widen.
 BLOCK_ROWS, PIECE, WIDEN = 4096, 32, 1.5
@@ -51,7 +51,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
     if shape is None:
         return spark.createDataFrame([], result)
     dim, largest = shape["d"], shape["m"]
-    folder = fresh_folder(spark, "nearest")
+    folder = shared.array_folder(spark, "nearest")
     lines = np.random.default_rng(seed).standard_normal((projections, dim + 1))
     need = int(np.ceil(threshold * projections))
     p = next(p for p in np.arange(threshold, 1, 0.001) if p - NormalDist().inv_cdf(sure) * np.sqrt(p * (1 - p) / projections) >= threshold)

@@ -8,8 +8,9 @@
 3. Each text is read once more; words covered by a window found in that array go.
 
 No window is capped or dropped, and nothing is grouped by document or passage: a window that repeats
-a million times reaches its range once per task. The sketch has a cell per corpus word at least, so the
-share of single windows that pass it stays the same at any size.
+a million times reaches its range once per task, where copies are merged as they come. The sketch has a cell per corpus
+word at least and the number of ranges follows the corpus, both without a limit, so the share of single windows that
+pass and the size of a range stay the same at any size.
 """
 
 from __future__ import annotations
@@ -21,14 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidewatch.llm import countmin, shared, words
-from tidewatch.sources.storage import fresh_folder
 
 #: Distinct suspect windows that a task holds before it sends them on.
 FLUSH_WINDOWS = 2_000_000
+#: About how many corpus words one hash range of windows stands for.
+SHARD_WORDS = 4_000_000
 
 
-def repeated_windows(docs: DataFrame, window: int = 35, text_col: str = "text", bits: int | None = None,
-                     shard_words: int = 4_000_000) -> RepeatedWindows:
+def repeated_windows(docs: DataFrame, window: int = 35, text_col: str = "text", bits: int | None = None) -> RepeatedWindows:
     """All windows of `window` words that start at two or more places of `docs`."""
     docs = docs.select(text_col)
     bits = bits or countmin.width_bits(docs, text_col)
@@ -38,9 +39,9 @@ def repeated_windows(docs: DataFrame, window: int = 35, text_col: str = "text",
             yield part.grams(part.hashes(), window)[0]
 
     sketch = countmin.build(docs, hashed, bits)
-    shards = max(8, 1 << max(0, int(np.ceil(np.log2((1 << bits) / shard_words)))))
-    folder = fresh_folder(docs.sparkSession, "windows")
-    shift = np.uint64(64 - int(np.log2(shards)))
+    shard_bits = countmin.range_bits(docs, text_col, SHARD_WORDS)
+    shards, shift = 1 << shard_bits, np.uint64(64 - shard_bits)
+    folder = shared.array_folder(docs.sparkSession, "windows")
 
     def packed(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         pairs, twice = _distinct(np.concatenate(held), None)
@@ -75,23 +76,31 @@ def repeated_windows(docs: DataFrame, window: int = 35, text_col: str = "text",
             for half in ("a", "b"):
                 shared.write_array(f"{folder}/{shard}-{half}", pairs[half])
             return len(pairs)
-        key, pairs, twice, found = None, [], [], 0
+        key, pairs, twice, found, n, more = None, [], [], 0, 0, 0
         for batch in batches:
             for shard, data, marks in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 if shard != key and key is not None:
-                    found += write(key, pairs, twice)
-                    pairs, twice = [], []
+                    found, n = found + write(key, pairs, twice), n + 1
+                    pairs, twice, more = [], [], 0
                 key = shard
                 pairs.append(np.frombuffer(data, _PAIR))
                 twice.append(np.unpackbits(np.frombuffer(marks, np.uint8), count=len(pairs[-1])).astype(bool))
+                more += len(pairs[-1])
+                if more >= FLUSH_WINDOWS:  # windows that many tasks sent are merged as they come
+                    pairs, twice = ([x] for x in _distinct(np.concatenate(pairs), np.concatenate(twice)))
+                    more = 0
         if key is not None:
-            found += write(key, pairs, twice)
-        yield pa.RecordBatch.from_arrays([pa.array([found], pa.int64())], names=["found"])
+            found, n = found + write(key, pairs, twice), n + 1
+        yield pa.RecordBatch.from_arrays([pa.array([found], pa.int64()), pa.array([n], pa.int64())], names=["found", "shards"])
 
-    found = (docs.mapInArrow(suspects, "shard long, pairs binary, twice binary")
-             .repartition(min(shards, 4096), "shard").sortWithinPartitions("shard")
-             .mapInArrow(exact, "found long").agg(F.sum("found")).first()[0])
-    return RepeatedWindows(sketch, folder, int(shift), window, found or 0)
+    # an empty message for each shard, so that each is written
+    every = docs.sparkSession.range(shards).select(F.col("id").alias("shard"), F.lit(bytearray()).alias("pairs"), F.lit(bytearray()).alias("twice"))
+    found, written = (docs.mapInArrow(suspects, "shard long, pairs binary, twice binary").unionByName(every)
+                      .repartition(min(shards, countmin.MOST_TASKS), "shard").sortWithinPartitions("shard")
+                      .mapInArrow(exact, "found long, shards long").agg(F.sum("found"), F.sum("shards")).first())
+    if written != shards:
+        raise OSError(f"{written} of {shards} window ranges were written")
+    return RepeatedWindows(sketch, folder, int(shift), window, found)
 
 
 _PAIR = np.dtype([("a", np.uint64), ("b", np.uint64)])
@@ -99,6 +108,8 @@ _PAIR = np.dtype([("a", np.uint64), ("b", np.uint64)])
 
 def _distinct(pairs: np.ndarray, twice: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct pairs; whether a pair came more than once or was marked so."""
+    if not len(pairs):
+        return pairs, np.zeros(0, dtype=bool)
     order = np.argsort(pairs["a"], kind="stable")
     pairs = pairs[order]
     if len(pairs) > 1 and np.any((pairs["a"][1:] == pairs["a"][:-1]) & (pairs["b"][1:] != pairs["b"][:-1])):
@@ -116,10 +127,6 @@ class RepeatedWindows:
 
     def __init__(self, sketch: countmin.Sketch, folder: str, shift: int, window: int, count: int):
         self.sketch, self.folder, self.shift, self.window, self.count = sketch, folder, shift, window, count
-        self._shards: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-    def __getstate__(self):
-        return {**self.__dict__, "_shards": {}}
 
     def contain(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         out = np.zeros(len(a), dtype=bool)
@@ -128,10 +135,7 @@ class RepeatedWindows:
         ids = (a >> np.uint64(self.shift)).astype(np.int64)
         first = np.flatnonzero(np.diff(ids, prepend=-1))
         for lo, hi in zip(first, [*first[1:], len(a)]):
-            shard = int(ids[lo])
-            if shard not in self._shards:
-                self._shards[shard] = tuple(shared.read_array(f"{self.folder}/{shard}-{x}", np.uint64) for x in "ab")
-            keys, seconds = self._shards[shard]
+            keys, seconds = (shared.array(f"{self.folder}/{ids[lo]}-{x}", np.uint64) for x in "ab")
             if not len(keys):
                 continue
             at = np.searchsorted(keys, a[lo:hi])
