@@ -1,5 +1,6 @@
 import os
 import random
+import shutil
 
 import numpy as np
 import pytest
@@ -74,8 +75,10 @@ def test_lost_window_range_or_sketch_chunk_fails(spark, docs, name):
         marks()
 
 
-def test_lost_model_array_fails(spark, docs):
+def test_lost_model_array_fails(spark, docs, tmp_path):
     model = lm_score.train(docs)
+    shutil.copytree(shared.local(model.folder), tmp_path / "model")  # a folder that no worker has mapped yet
+    model.folder = f"file:{tmp_path}/model"
     for r in range(1 << (64 - model.shift)):
         gone(model.folder, f"word-hash-{r}")
     with pytest.raises(Exception, match="FileNotFoundError"):
