@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import (chat_format, decontaminate, jaccard_join, language_id, lm_score, mixing, nearest, quality_rules, sharding,
-                           substring_dedup, toxicity)
+from tidewatch.llm import (chat_format, decontaminate, jaccard_join, language_id, lm_score, merkle, mixing, nearest, quality_rules,
+                           sharding, substring_dedup, toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": sharding.op8_sharding,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_nearest": nearest.op10_nearest,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
     "op13_quality_rules": quality_rules.op13_quality_rules,
 }
 
@@ -29,5 +30,6 @@ ORACLES: dict[str, str] = {
     "op3_decontaminate": decontaminate.ORACLE,
     "op7_mixing": mixing.ORACLE,
     "op8_sharding": sharding.ORACLE,
+    "op11_merkle_manifest": merkle.ORACLE,
     "op13_quality_rules": quality_rules.ORACLE,
 }
