@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewatch.llm import (chat_format, decontaminate, jaccard_join, language_id, lm_score, merkle, mixing, nearest, quality_rules,
-                           sharding, substring_dedup, toxicity)
+                           sharding, substring_dedup, token_alignment, toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_nearest": nearest.op10_nearest,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_token_alignment": token_alignment.op12_token_alignment,
     "op13_quality_rules": quality_rules.op13_quality_rules,
 }
 
