@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -120,7 +121,7 @@ def tokenized(docs: DataFrame, tokenizers, id_col: str = "doc_id", text_col: str
         kinds = [_kind(two.a_bytes), _kind(two.b_bytes)]
         for batch in batches:
             texts = batch.column(1)
-            sizes = np.cumsum(pa.compute.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)).astype(np.int64)
+            sizes = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)).astype(np.int64)
             first = 0
             while first < len(texts):
                 last = max(first + 1, int(np.searchsorted(sizes, (sizes[first - 1] if first else 0) + TEXT_BYTES, "right")))
@@ -166,7 +167,7 @@ class Aligned:
 def _pieces(batch: pa.RecordBatch, two: Tokenizers, kinds, lengths) -> Iterator[tuple[int, int, Aligned]]:
     """A batch of `tokenized` in pieces of whole rows: first and last row, and their alignment."""
     a, b = batch.column(batch.schema.get_field_index("a")), batch.column(batch.schema.get_field_index("b"))
-    sizes = np.cumsum((pa.compute.binary_length(a).to_numpy(zero_copy_only=False) // kinds[0].itemsize).astype(np.int64))
+    sizes = np.cumsum((pc.binary_length(a).to_numpy(zero_copy_only=False) // kinds[0].itemsize).astype(np.int64))
     first = 0
     while first < batch.num_rows:
         last = max(first + 1, int(np.searchsorted(sizes, (sizes[first - 1] if first else 0) + TOKENS, "right")))
