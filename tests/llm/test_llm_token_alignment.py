@@ -1,6 +1,7 @@
 import collections
 import hashlib
 import json
+import random
 import re
 
 import numpy as np
@@ -66,6 +67,20 @@ TEXTS = [None, "", " ", "\n", "a", "Hello, world!", "  two  spaces ", "tab\tand\
          "<|endoftext|> and <s> </s> <unk>", "▁ is a mark", "<0x41> as text", "x" * 3000, "the the the the", "the the the the", "\x00 zero", "ﬁ ligature"]
 
 
+def test_faster_encoder_gives_the_same_ids(tokenizers):
+    two, rng = ta.Tokenizers.read(), random.Random(1)
+    letters = [chr(i) for i in range(1, 127)] + list("éèüßñ漢字🙂\u200d\u0301\u00a0\u2028") + ["'"] * 9 + [" "] * 20
+    texts = [" " + "".join(rng.choice(letters) for _ in range(rng.randint(1, 50))) for _ in range(5000)]
+    texts += [" " + "".join(chr(rng.choice([rng.randint(1, 0xD7FF), rng.randint(0xE000, 0x1FFFF)])) for _ in range(20)) for _ in range(5000)]
+    texts += [" " * 3_000_000, " a" + "\n" * 2_000_000 + "b", " " + "x" * 500_000]
+    assert two._a_ranks is not None
+    for text in texts:
+        assert two.encode_a(text).tolist() == tokenizers[0].encode(text, add_special_tokens=False).ids
+    other = json.loads(two.a_json)
+    other["model"]["merges"][:2] = other["model"]["merges"][1::-1]
+    assert ta.Tokenizers(json.dumps(other), two.b_model)._a_ranks is None
+
+
 def run(spark, rows, tmp_path, monkeypatch, **small):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     for c in ("id", "a", "b", "n_a", "key", "part"):

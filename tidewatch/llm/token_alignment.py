@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewatch.llm import perfect_hash, shared
+from tidewatch.llm import perfect_hash, shared, words
 from tidewatch.sources.storage import checkpointed
 
 BYTE_BPE, PIECES = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
@@ -57,8 +57,16 @@ def piece_bytes(pieces: list[str]) -> list[bytes]:
     return [bytes([int(m[1], 16)]) if (m := one.fullmatch(p)) else p.replace("▁", " ").encode() for p in pieces]
 
 
+# Fixed value: how byte-level BPE cuts a text into stretches that are merged each for itself.
+STRETCH = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 class Tokenizers:
-    """Two tokenizers from the contents of their files, so that workers need no file; each process loads them once."""
+    """Two tokenizers from the contents of their files, so that workers need no file; each process loads them once.
+
+    Where the merges of A's file stand in the order of their ids, as byte-level vocabularies have them, ids are ranks, and a
+    faster library gives the same ids from the same vocabulary; stretches of blanks beyond its stack go to the other one.
+    """
 
     def __init__(self, a_json: str, b_model: bytes):
         self.a_json, self.b_model = a_json, b_model
@@ -71,6 +79,10 @@ class Tokenizers:
     def __getstate__(self):
         return {"a_json": self.a_json, "b_model": self.b_model}
 
+    @functools.cached_property
+    def _spec(self) -> dict:
+        return json.loads(self.a_json)
+
     @functools.cached_property
     def _a(self):
         import os
@@ -82,6 +94,20 @@ class Tokenizers:
         loaded.encode_special_tokens = True
         return loaded
 
+    @functools.cached_property
+    def _a_ranks(self):
+        """The faster encoder of A, or None where ids are not ranks."""
+        model, cut = self._spec["model"], self._spec.get("pre_tokenizer") or {}
+        ids, merges = model["vocab"], [m if isinstance(m, list) else m.split(" ") for m in model.get("merges", [])]
+        plain = cut.get("type") == "ByteLevel" and cut.get("use_regex") and not cut.get("add_prefix_space") and not self._spec.get("normalizer")
+        if not plain or sorted(ids.values()) != list(range(len(ids))) or any(ids.get(x + y) != 256 + k for k, (x, y) in enumerate(merges)):
+            return None
+        import tiktoken
+
+        extra = {t["id"] for t in self._spec["added_tokens"]}
+        ranks = {self.a_bytes[i]: i for i in ids.values() if i not in extra}
+        return tiktoken.Encoding("a", pat_str=STRETCH, mergeable_ranks=ranks, special_tokens={})
+
     @functools.cached_property
     def _b(self):
         import sentencepiece
@@ -90,110 +116,173 @@ class Tokenizers:
 
     @functools.cached_property
     def a_bytes(self) -> list[bytes]:
-        spec = json.loads(self.a_json)
-        return byte_level_bytes(spec["model"]["vocab"] | {t["content"]: t["id"] for t in spec["added_tokens"]})
+        return byte_level_bytes(self._spec["model"]["vocab"] | {t["content"]: t["id"] for t in self._spec["added_tokens"]})
 
     @functools.cached_property
     def b_bytes(self) -> list[bytes]:
         return piece_bytes([self._b.id_to_piece(i) for i in range(self._b.get_piece_size())])
 
-    def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
-        """Ids of each text by both, empty where a text's bytes are not those of its tokens."""
-        whole = [" " + t for t in texts]
-        a = [e.ids for e in self._a.encode_batch(whole, add_special_tokens=False)]
-        b = self._b.encode(texts, num_threads=1)
-        out = []
-        for text, x, y in zip(whole, a, b):
-            raw = text.encode()
-            same = len(text) > 1 and b"".join(map(self.a_bytes.__getitem__, x)) == raw and b"".join(map(self.b_bytes.__getitem__, y)) == raw
-            out.append((x, y) if same else ([], []))
-        return out
-
-
-def _kind(vocabulary: list[bytes]):
-    return np.dtype("<u2" if len(vocabulary) <= 1 << 16 else "<u4")
+    @functools.cached_property
+    def vocabularies(self) -> list[Vocabulary]:
+        return [Vocabulary(self.a_bytes), Vocabulary(self.b_bytes)]
+
+    def encode_a(self, text: str) -> np.ndarray:
+        if self._a_ranks is not None:
+            try:
+                return self._a_ranks.encode_to_numpy(text, disallowed_special=())
+            except ValueError:
+                pass
+        return np.array(self._a.encode(text, add_special_tokens=False).ids, dtype=np.int64)
+
+    def encode(self, texts: list[str], raw: np.ndarray, sizes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """By each tokenizer the ids of all texts and how many each text has: none where the bytes of its tokens are not a space and
+        its own. `raw` holds the bytes of the texts, `sizes` how many each has."""
+        found = [[self.encode_a(" " + t) if t else _NONE for t in texts],
+                 [np.array(ids, dtype=np.int64) for ids in self._b.encode(texts, num_threads=1)]]
+        same, out = sizes > 0, []
+        for ids, vocabulary in zip(found, self.vocabularies):
+            counts = np.array([len(x) for x in ids], dtype=np.int64)
+            flat = np.concatenate([_NONE, *ids]).astype(np.int64)
+            same &= vocabulary.spells(flat, counts, raw, sizes)
+            out.append((flat, counts))
+        return [(flat[np.repeat(same, counts)].astype(v.kind), np.where(same, counts, 0)) for (flat, counts), v in zip(out, self.vocabularies)]
+
+
+_NONE = np.zeros(0, dtype=np.int64)
+
+
+class Vocabulary:
+    """The bytes of each id, and what numbers hold an id."""
+
+    def __init__(self, tokens: list[bytes]):
+        self.size, self.lengths = len(tokens), np.array([len(t) for t in tokens], dtype=np.int64)
+        self.starts, self.data = np.cumsum(self.lengths) - self.lengths, np.frombuffer(b"".join(tokens), np.uint8)
+        self.kind = np.dtype("<u2" if len(tokens) <= 1 << 16 else "<u4")
+
+    def spells(self, ids: np.ndarray, counts: np.ndarray, raw: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Which texts, given by their bytes and sizes, are what their tokens say after a space."""
+        lengths, rows = self.lengths[ids], np.repeat(np.arange(len(counts)), counts)
+        ends = np.cumsum(lengths)
+        total = np.bincount(rows, weights=lengths, minlength=len(counts)).astype(np.int64)
+        right = total == sizes + 1
+        if not right.any():
+            return right
+        said = self.data[np.repeat(self.starts[ids] - ends + lengths, lengths) + np.arange(ends[-1])]
+        begins = np.cumsum(total) - total
+        inner = np.ones(len(said), dtype=bool)
+        inner[begins[total > 0]] = False
+        right[right] = said[begins[right]] == 0x20
+        said, kept = said[inner & np.repeat(right, total)], np.repeat(right, sizes)
+        wrong = np.repeat(np.flatnonzero(right), sizes[right])[said != raw[kept]]
+        right[wrong] = False
+        return right
 
 
 def tokenized(docs: DataFrame, tokenizers, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, a, b): the ids of each text as packed little-endian numbers. `tokenizers` is a broadcast of Tokenizers."""
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         two = tokenizers.value
-        kinds = [_kind(two.a_bytes), _kind(two.b_bytes)]
         for batch in batches:
-            texts = batch.column(1)
-            sizes = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)).astype(np.int64)
-            first = 0
-            while first < len(texts):
-                last = max(first + 1, int(np.searchsorted(sizes, (sizes[first - 1] if first else 0) + TEXT_BYTES, "right")))
-                found = two.encode([t or "" for t in texts.slice(first, last - first).to_pylist()])
-                columns = [pa.array([np.array(f[k], dtype=kinds[k]).tobytes() for f in found], pa.binary()) for k in range(2)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), *columns], names=["id", "a", "b"])
-                first = last
+            for first, raw, offsets in words.raw_slices(batch, size=TEXT_BYTES):
+                n = len(offsets) - 1
+                found = two.encode(batch.column(1).slice(first, n).fill_null("").to_pylist(), raw, np.diff(offsets))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), *(_packed_rows(*f) for f in found)], names=["id", "a", "b"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(encoded, f"id {kind}, a binary, b binary")
 
 
+def _packed_rows(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    offsets = np.zeros(len(counts) + 1, dtype=np.int64)
+    np.cumsum(counts * values.itemsize, out=offsets[1:])
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(values)]).cast(pa.binary())
+
+
 # ---- alignment --------------------------------------------------------------------
 
 class Aligned:
-    """Some texts side by side: `a`, `b` their ids, `a_at`, `b_at` where each text's begin, `ends` of tokens as one running offset."""
+    """Some texts side by side: `a`, `b` their ids, `a_at`, `b_at` where each text's begin.
 
-    def __init__(self, a: list[bytes], b: list[bytes], kinds, lengths):
-        self.a, self.b = (np.frombuffer(b"".join(x), k).astype(np.int64) for x, k in zip((a, b), kinds))
-        self.a_at, self.b_at = (np.cumsum([0, *(len(t) // k.itemsize for t in x)]) for x, k in zip((a, b), kinds))
-        self.a_ends, self.b_ends = np.cumsum(lengths[0][self.a]), np.cumsum(lengths[1][self.b])
+    Of every byte it is marked whether a token of A, of B ends there; texts follow each other, as both spell each whole.
+    """
+
+    def __init__(self, columns: list[pa.Array], vocabularies: list[Vocabulary]):
+        (self.a, self.a_at), (self.b, self.b_at) = (_unpacked(c, v.kind) for c, v in zip(columns, vocabularies))
+        ends = [np.cumsum(v.lengths[ids]) for v, ids in zip(vocabularies, (self.a, self.b))]
+        self.marks = np.zeros((2, int(ends[0][-1]) + 1 if len(ends[0]) else 1), dtype=bool)
+        for mark, at in zip(self.marks, ends):
+            mark[at] = True
+        self.a_last, self.b_last = self.marks[1][ends[0]], self.marks[0][ends[1]]
 
     def links(self) -> tuple[np.ndarray, np.ndarray]:
         """Which token of A and which of B, for each stretch of bytes that no token's end cuts."""
-        ends = np.union1d(self.a_ends, self.b_ends)
-        return np.searchsorted(self.a_ends, ends), np.searchsorted(self.b_ends, ends)
-
-    def closing(self) -> tuple[np.ndarray, np.ndarray]:
-        """Which tokens of A and of B end where one of the other does."""
-        return np.isin(self.a_ends, self.b_ends), np.isin(self.b_ends, self.a_ends)
-
-    def groups(self, a_names: tuple[np.ndarray, np.ndarray], b_names: tuple[np.ndarray, np.ndarray]) -> list[str]:
-        """`a1,a2|b1;a3|b2,b3` for each text; names come with what follows inside a group and at its end."""
-        a_last, b_last = self.closing()
-        a_group, b_group = np.cumsum(a_last) - a_last, np.cumsum(b_last) - b_last
+        a_ends, b_ends = self.marks[:, np.flatnonzero(self.marks[0] | self.marks[1])]
+        return np.cumsum(a_ends) - a_ends, np.cumsum(b_ends) - b_ends
+
+    def groups(self, a_names: np.ndarray, b_names: np.ndarray) -> list[str]:
+        """`a1,a2|b1;a3|b2,b3` for each text; the names of all ids as they stand inside a group, then as they end one."""
+        a_group, b_group = np.cumsum(self.a_last) - self.a_last, np.cumsum(self.b_last) - self.b_last
+        a_until = np.append(np.flatnonzero(self.a_last) + 1, 0)  # tokens up to the end of each group
+        b_from = np.append(0, np.flatnonzero(self.b_last) + 1)
         out = np.empty(len(self.a) + len(self.b), dtype=object)
-        out[np.arange(len(self.a)) + np.searchsorted(b_group, a_group)] = np.where(a_last, a_names[1][self.a], a_names[0][self.a])
-        out[np.arange(len(self.b)) + np.searchsorted(a_group, b_group, "right")] = np.where(b_last, b_names[1][self.b], b_names[0][self.b])
+        out[np.arange(len(self.a)) + b_from[a_group]] = a_names[self.a + self.a_last * (len(a_names) // 2)]
+        out[np.arange(len(self.b)) + a_until[b_group]] = b_names[self.b + self.b_last * (len(b_names) // 2)]
         at = self.a_at + self.b_at
         return ["".join(out[i:j].tolist())[:-1] for i, j in zip(at[:-1], at[1:])]
 
 
-def _pieces(batch: pa.RecordBatch, two: Tokenizers, kinds, lengths) -> Iterator[tuple[int, int, Aligned]]:
+def _unpacked(column: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of a packed column, and where each row's begin."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int64, len(column) + column.offset + 1)[column.offset:]
+    values = np.frombuffer(data if data is not None else b"", np.uint8)[offsets[0]:offsets[-1]]
+    return values.view(kind).astype(np.int64), (offsets - offsets[0]) // kind.itemsize
+
+
+def _pieces(batch: pa.RecordBatch, vocabularies: list[Vocabulary]) -> Iterator[tuple[int, int, Aligned]]:
     """A batch of `tokenized` in pieces of whole rows: first and last row, and their alignment."""
-    a, b = batch.column(batch.schema.get_field_index("a")), batch.column(batch.schema.get_field_index("b"))
-    sizes = np.cumsum((pc.binary_length(a).to_numpy(zero_copy_only=False) // kinds[0].itemsize).astype(np.int64))
+    columns = [batch.column(batch.schema.get_field_index(c)) for c in "ab"]
+    sizes = np.cumsum((pc.binary_length(columns[0]).to_numpy(zero_copy_only=False) // vocabularies[0].kind.itemsize).astype(np.int64))
     first = 0
     while first < batch.num_rows:
         last = max(first + 1, int(np.searchsorted(sizes, (sizes[first - 1] if first else 0) + TOKENS, "right")))
-        yield first, last, Aligned(a.slice(first, last - first).to_pylist(), b.slice(first, last - first).to_pylist(), kinds, lengths)
+        yield first, last, Aligned([c.slice(first, last - first) for c in columns], vocabularies)
         first = last
 
 
-def _setting(tokenizers):
-    two = tokenizers.value
-    return two, [_kind(two.a_bytes), _kind(two.b_bytes)], [np.array([len(x) for x in v], dtype=np.int64) for v in (two.a_bytes, two.b_bytes)]
+def _numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the number of each key among them."""
+    bits = max(1, len(keys).bit_length())
+    if not len(keys) or int(keys.max()).bit_length() + bits > 63:
+        return np.unique(keys, return_inverse=True)
+    both = np.sort(keys << bits | np.arange(len(keys)))  # values alone sort faster than places do
+    sorted_keys, at = both >> bits, both & ((1 << bits) - 1)
+    new = np.diff(sorted_keys, prepend=-1) != 0
+    back = np.empty(len(keys), dtype=np.int64)
+    back[at] = np.cumsum(new) - 1
+    return sorted_keys[new], back
 
 
 def distinct_pairs(tokens: DataFrame, tokenizers, width: int) -> DataFrame:
     """(key): A id * width + B id of all pairs of tokens that overlap anywhere."""
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        two, kinds, lengths = _setting(tokenizers)
-        held = np.zeros(0, dtype=np.int64)
+        held, n = [_NONE], 0
+
+        def sent(keys):
+            return (pa.RecordBatch.from_arrays([pa.array(keys[at:at + (1 << 16)])], names=["key"]) for at in range(0, len(keys), 1 << 16))
         for batch in batches:
-            for _, _, part in _pieces(batch, two, kinds, lengths):
+            for _, _, part in _pieces(batch, tokenizers.value.vocabularies):
                 i, j = part.links()
-                held = np.union1d(held, part.a[i] * width + part.b[j])
-                if len(held) >= FLUSH_PAIRS:
-                    yield pa.RecordBatch.from_arrays([pa.array(held)], names=["key"])
-                    held = held[:0]
-        for at in range(0, len(held), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(held[at:at + (1 << 16)])], names=["key"])
+                held.append(np.unique(part.a[i] * width + part.b[j]))
+                n += len(held[-1])
+                if n >= FLUSH_PAIRS:
+                    held = [np.unique(np.concatenate(held))]
+                    n = len(held[0])
+                    if n >= FLUSH_PAIRS // 2:
+                        yield from sent(held[0])
+                        held, n = [_NONE], 0
+        yield from sent(np.unique(np.concatenate(held)))
 
     return tokens.select("a", "b").mapInArrow(found, "key long").distinct()
 
@@ -233,10 +322,9 @@ def count_pairs(tokens: DataFrame, tokenizers, width: int, part_keys: int | None
     folder, parts = shared.array_folder(spark, "counts"), len(hashed.sizes)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        two, kinds, lengths = _setting(tokenizers)
         task, held = TaskContext.get().partitionId(), {}
         for batch in batches:
-            for _, _, piece in _pieces(batch, two, kinds, lengths):
+            for _, _, piece in _pieces(batch, tokenizers.value.vocabularies):
                 i, j = piece.links()
                 keys, often = np.unique(piece.a[i] * width + piece.b[j], return_counts=True)
                 for part, some, at in hashed.spans(keys):
@@ -313,31 +401,27 @@ def align(docs: DataFrame, a_path: str = BYTE_BPE, b_path: str = PIECES, id_col:
     """
     spark = docs.sparkSession
     two = Tokenizers.read(a_path, b_path)  # a few MB, whatever the corpus
-    width = len(two.b_bytes)
+    width = two.vocabularies[1].size
     tokenizers = spark.sparkContext.broadcast(two)
     tokens = checkpointed(tokenized(docs, tokenizers, id_col, text_col), "tokens")
     counts = count_pairs(tokens, tokenizers, width, part_keys)
 
     def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, kinds, lengths = _setting(tokenizers)
-        a_names, b_names = (tuple(np.array([f"{i}{end}" for i in range(len(v))], dtype=object) for end in ends)
-                            for v, ends in ((own.a_bytes, ",|"), (own.b_bytes, ",;")))
+        own = tokenizers.value.vocabularies
+        a_names, b_names = (np.array([f"{i}{end}" for end in ends for i in range(v.size)], dtype=object) for v, ends in zip(own, (",|", ",;")))
+
+        def sums(values, ends):  # exact, of the values up to each row's end
+            return pa.array(np.diff(np.append(0, np.cumsum(values, dtype=np.int64))[np.append(0, ends)]))
         for batch in batches:
-            for first, last, part in _pieces(batch, own, kinds, lengths):
+            for first, last, part in _pieces(batch, own):
                 i, j = part.links()
-                keys, back = np.unique(part.a[i] * width + part.b[j], return_inverse=True)
+                keys, back = _numbered(part.a[i] * width + part.b[j])
                 count = counts.counts(keys)
-                best = (count == counts.best[keys % width])[back]
-                rows = np.searchsorted(part.a_at, i, "right") - 1
-                n = last - first
-                total = lambda x: pa.array(np.bincount(rows, weights=x, minlength=n).astype(np.int64))  # noqa: E731, B023
-                a_rows = np.repeat(np.arange(n), np.diff(part.a_at))
-                sums = np.zeros(n, dtype=np.int64)
-                np.add.at(sums, rows, count[back])
+                best = count == counts.best[keys % width]
+                a_ends, link_ends = part.a_at[1:], np.searchsorted(i, part.a_at[1:])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, n), pa.array(np.diff(part.a_at)), pa.array(np.diff(part.b_at)),
-                     pa.array(np.bincount(a_rows[part.closing()[0]], minlength=n).astype(np.int64)),
-                     pa.array(np.bincount(rows, minlength=n).astype(np.int64)), total(best), pa.array(sums),
+                    [batch.column(0).slice(first, last - first), pa.array(np.diff(part.a_at)), pa.array(np.diff(part.b_at)),
+                     sums(part.a_last, a_ends), pa.array(np.diff(link_ends, prepend=0)), sums(best[back], link_ends), sums(count[back], link_ends),
                      pa.array(part.groups(a_names, b_names), pa.string())],
                     names=["id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"])
 
