@@ -1,4 +1,6 @@
+import datetime
 import json
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -28,7 +30,7 @@ def test_ingestion_stream_equals_batch(spark, tmp_path):
     cut = F.lit("2026-04-23 00:00:00").cast("timestamp")
     base = str(tmp_path)
     feed(spark, base, [df.filter(F.col("ts") < cut), df.filter(F.col("ts") >= cut)],
-         lambda s: live.stream_ingestion_anomalies(s, f"{base}/state", f"{base}/out", f"{base}/cp"))
+         lambda s: live.stream_ingestion_anomalies(s, f"{base}/out", f"{base}/cp"))
     got = storage.read_history(spark, f"{base}/out", ANOMALY).select("signal_id", "severity", F.round("confidence", 4))
     want = ingestion.ingestion_anomalies(df).select("signal_id", "severity", F.round("confidence", 4))
     assert sorted(got.collect()) == sorted(want.collect()) and got.count() > 20
@@ -38,10 +40,10 @@ def test_shadow_mode_publishes_nothing_but_learns(spark, tmp_path):
     base = str(tmp_path)
     df = signals(spark, [("a", i, n, None) for i, n in enumerate([10, 11, 9, 0])])
     feed(spark, base, [df], lambda s: live.stream_ingestion_anomalies(
-        s, f"{base}/state", f"{base}/out", f"{base}/cp", mode="shadow"))
+        s, f"{base}/out", f"{base}/cp", mode="shadow"))
     assert storage.read_history(spark, f"{base}/out", ANOMALY).count() == 0
-    state = spark.read.parquet(f"{base}/state/baselines/data").first()
-    assert (state.mean, state.sample_count) == (10.0, 3)
+    state = live.stored_baselines(spark, f"{base}/cp").first()
+    assert (state.source, state.mean, state.std_dev, state.sample_count) == ("a", 10.0, 1.0, 3)
 
 
 INCIDENT = ("incident_id string, bucket_id string, run_id string, opened_at timestamp, root_cause string, "
@@ -58,17 +60,17 @@ def test_bucket_stream_equals_batch_and_joins_late_signals(spark, tmp_path):
     df = anomalies(spark, rows)
     bounds = [df.filter("signal_id < 's00070'"), df.filter("signal_id >= 's00070' and signal_id < 's00071'"),
               df.filter("signal_id >= 's00071'")]
-    feed(spark, base, bounds, lambda s: live.stream_buckets(s, f"{base}/state", f"{base}/out", f"{base}/cp"))
+    feed(spark, base, bounds, lambda s: live.stream_buckets(s, f"{base}/out", f"{base}/cp"))
     emitted = storage.read_history(spark, f"{base}/out", INCIDENT)
-    got = emitted.unionByName(live.flush_buckets(spark, f"{base}/state")).drop("bucket_id")
+    got = emitted.unionByName(live.flush_buckets(spark, f"{base}/cp")).drop("bucket_id")
     want = correlate.confirmed_incidents(correlate.signal_buckets(df)).drop("bucket_id")
     assert sorted(got.collect()) == sorted(want.collect())
 
     # a signal older than the open bucket of its run joins that bucket
     late = str(tmp_path / "late")
     feed(spark, late, [anomalies(spark, [simple("x", 1000), simple("x", 1100)]), anomalies(spark, [simple("x", 900)])],
-         lambda s: live.stream_buckets(s, f"{late}/state", f"{late}/out", f"{late}/cp"))
-    flushed = live.flush_buckets(spark, f"{late}/state").collect()
+         lambda s: live.stream_buckets(s, f"{late}/out", f"{late}/cp"))
+    flushed = live.flush_buckets(spark, f"{late}/cp").collect()
     assert [(r.n_signals, r.run_id) for r in flushed] == [(3, "x")]
 
 
@@ -85,7 +87,7 @@ def test_quality_stream_reads_each_artifact_once(spark, tmp_path):
 
     def run():
         stream = artifacts.new_artifacts(spark, f"{base}/runs/*/", RUN_RESULTS)
-        live.stream_quality(stream, f"{base}/state", f"{base}/out", f"{base}/cp").awaitTermination()
+        live.stream_quality(stream, f"{base}/out", f"{base}/cp").awaitTermination()
 
     for i in range(1, 5):
         publish(i, "pass")
@@ -104,39 +106,55 @@ def test_late_signals_are_flagged_and_kept(spark, tmp_path):
     base = str(tmp_path)
     feed(spark, base, [signals(spark, [("a", 0, 1, None), ("a", 600, 1, None)]),
                        signals(spark, [("a", 500, 1, None), ("a", 590, 1, None), ("a", 700, 1, None)])],
-         lambda s: live.late_signals(s, 1800, f"{base}/state", f"{base}/out", f"{base}/cp"))
-    rows = storage.read_history(spark, f"{base}/out", SIGNAL + ", is_late boolean").collect()
+         lambda s: live.late_signals(s, 1800, f"{base}/out", f"{base}/cp"))
+    rows = [r for part in ("on_time", "late") for r in storage.read_history(spark, f"{base}/out/{part}", SIGNAL + ", is_late boolean").collect()]
+    assert [r.is_late for r in rows] == [False] * 4 + [True]
+    assert [tuple(r) for r in live.late_counts(spark, f"{base}/cp").collect()] == [("a", 5, 1)]
     assert sorted((r.ts.hour * 60 + r.ts.minute - 180, r.is_late) for r in rows) == [
         (0, False), (500, True), (590, False), (600, False), (700, False)]
 
 
-def test_a_batch_rewrites_only_the_buckets_it_touches(spark, tmp_path):
-    table = storage.StateTable(spark, str(tmp_path), "k string, n bigint", ("k",))
-    many = spark.range(500).selectExpr("concat('k', id) AS k", "id AS n")
-    table.before(0, many)
-    table.write(many, 0)
-    for batch_id in range(1, 6):
-        one = spark.createDataFrame([("k7", 1000 + batch_id)], "k string, n bigint")
-        for _ in range(2):  # a replay changes nothing
-            stored = table.before(batch_id, one)
-            assert 0 < stored.count() < 50
-            table.write(stored.filter("k <> 'k7'").unionByName(one), batch_id)
-        assert len([n for n in storage.list_folder(spark, f"{tmp_path}/data/batch={batch_id}") if n.startswith("bucket=")]) == 1
-        state = {r.k: r.n for r in table.after(batch_id).collect()}
-        assert len(state) == 500 and state["k7"] == 1000 + batch_id and state["k8"] == 8
-    assert table.latest() == 5 and table.after(5, touched=True).count() < 50
-    gone = table.before(6, one).filter("false")
-    table.write(gone, 6)
-    assert 450 < table.after(6).count() < 500
-    assert storage.list_folder(spark, f"{tmp_path}/data/batch=3") in ([], ["_SUCCESS"]) or not [
-        n for n in storage.list_folder(spark, f"{tmp_path}/data/batch=3") if n.startswith("bucket=")]
-
-
-def test_old_checksum_days_leave_the_state(spark, tmp_path):
+def test_a_checksum_day_expires_by_its_time_to_live(spark, tmp_path):
+    first, again = signals(spark, [("a", 0, 1, "c")]), signals(spark, [("a", 60, 1, "d")])
+    for name, keep, wait in (("short", 1 / 86_400, 1.5), ("long", 35, 0)):
+        base = str(tmp_path / name)
+        run = lambda s: live.stream_ingestion_anomalies(s, f"{base}/out", f"{base}/cp", keep_days=keep)  # noqa: E731, B023
+        feed(spark, base, [first], run)
+        time.sleep(wait)
+        feed(spark, base, [again], run)
+        kinds = [r.anomaly_type for r in storage.read_history(spark, f"{base}/out", ANOMALY).collect()]
+        assert kinds == ([] if name == "short" else ["checksum_mismatch"])
+
+
+def test_an_idle_run_is_emitted_by_its_timer(spark, tmp_path):
+    base = str(tmp_path)
+    feed(spark, base, [anomalies(spark, [simple("idle", 0, model="m1"), simple("idle", 200, model="m2")]), anomalies(spark, [simple("busy", 250)])],
+         lambda s: live.stream_buckets(s, f"{base}/out", f"{base}/cp"))
+    emitted = lambda: sorted((r.run_id, r.n_signals, r.models) for r in storage.read_history(spark, f"{base}/out", INCIDENT).collect())
+    assert emitted() == []
+    feed(spark, base, [anomalies(spark, [simple("busy", 301)])], lambda s: live.stream_buckets(s, f"{base}/out", f"{base}/cp"))
+    assert emitted() == [("idle", 2, ["m1", "m2"])]  # no row of its own came
+    assert [r.run_id for r in live.flush_buckets(spark, f"{base}/cp").collect()] == ["busy"]
+    # after it was emitted, an old signal opens a new bucket
+    feed(spark, base, [anomalies(spark, [simple("idle", 100, model="m3")])], lambda s: live.stream_buckets(s, f"{base}/out", f"{base}/cp"))
+    assert emitted() == [("idle", 2, ["m1", "m2"])]
+    assert sorted((r.run_id, r.models) for r in live.flush_buckets(spark, f"{base}/cp").collect()) == [("busy", ["m"]), ("idle", ["m3"])]
+
+
+def test_contracts_are_handed_in_and_read_back(spark, tmp_path):
     base = str(tmp_path)
-    rows = signals(spark, [("a", 0, 1, "c"), ("a", 60 * 24 * 50, 1, "d"), ("a", 60 * 24 * 51, 1, "e")])
-    feed(spark, base, [rows], lambda s: live.stream_ingestion_anomalies(s, f"{base}/state", f"{base}/out", f"{base}/cp", keep_days=10))
-    assert {r.checksum for r in spark.read.parquet(f"{base}/state/checksums/data").collect()} == {"d", "e"}
+    schema = "source string, run_id string, ts timestamp, version_hash string, columns array<struct<name:string,type:string,dtype:string,nullable:boolean,criticality:string>>"
+    column = lambda name, kind: (name, kind, None, True, None)
+    signal = lambda run, *columns: spark.createDataFrame([("s", run, datetime.datetime(2026, 4, int(run)), "h", list(columns))], schema)
+    known = spark.createDataFrame([("s", "a", "INT", True, "critical"), ("s", "b", "INT", True, "standard")],
+                                  "source string, column_name string, dtype string, nullable boolean, criticality string")
+    parts = [signal("1", column("a", "INT"), column("b", "INT")), signal("2", column("a", "INT")), signal("3", column("b", "TEXT"))]
+    for part in parts:  # each time from the state alone
+        feed(spark, base, [part], lambda s: live.stream_schema_drift(s, f"{base}/out", f"{base}/cp", known=known))
+    found = storage.read_history(spark, f"{base}/out", ANOMALY).collect()
+    assert sorted((r.run_id, r.severity) for r in found) == [("2", "CRITICAL"), ("3", "CRITICAL")]
+    held = live.stored_contracts(spark, f"{base}/cp").collect()
+    assert sorted((r.column_name, r.dtype, r.criticality) for r in held) == [("a", "INT", "critical"), ("b", "INT", "standard")]
 
 
 def test_lineage_stream_follows_new_manifests(spark, tmp_path):

@@ -135,6 +135,10 @@ def checksum_mismatches(signals: DataFrame, chunk_seconds: int = 3600,
         compared = (compared.join(
             last_seen.select(*keys, F.col("checksum").alias("_seen")), keys, "left")
             .withColumn("previous_checksum", F.coalesce("previous_checksum", "_seen")))
+    return _mismatches(compared)
+
+
+def _mismatches(compared: DataFrame) -> DataFrame:
     hits = compared.filter(F.col("previous_checksum") != F.col("checksum"))
     return _anomaly(hits, "checksum_mismatch", "checksum", F.lit("HIGH"), F.lit(1.0), details_json(
         source=F.col("source"), partition_date=F.col("partition_date"),
@@ -157,6 +161,15 @@ def ingestion_anomalies(
     return first
 
 
+def loaded_anomalies(known: DataFrame, threshold: float = 2.5, min_samples: int = 3) -> DataFrame:
+    """The same checks of signals that carry what was known before each: baseline_n, baseline_mean, baseline_std, partition_date
+    and previous_checksum."""
+    scored = z_scores(known, threshold=threshold).filter(F.col("row_count") != 0)
+    return (zero_row_anomalies(known).select(*ANOMALY_COLUMNS)
+            .unionByName(_scored_anomalies(scored, "row_count", "row_count_anomaly", "rows", threshold, min_samples, []).select(*ANOMALY_COLUMNS))
+            .unionByName(_mismatches(known).select(*ANOMALY_COLUMNS)))
+
+
 def rolling_baseline(signals: DataFrame, days: int = 7, chunk_seconds: int = running.DAY) -> DataFrame:
     """Like running_baseline, over the previous `days` days only.
 

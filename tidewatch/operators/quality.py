@@ -147,10 +147,13 @@ def flakiness(history: DataFrame, window: int = 20, threshold: float = 0.20, min
                    taken, F.lit(0).cast("bigint"), lambda a, x: a + x)).otherwise(0)))
     last = (counted.groupBy("run_id", *keys)
             .agg(F.max(F.struct(*order, F.col("_total"), F.col("_all"))).alias("l")))
-    rate = F.col("failure_count") / F.col("total_runs")
-    return (last.select("run_id", *keys, F.col("l._total").cast("bigint").alias("total_runs"),
-                        F.col("l._all").alias("failure_count"))
-            .withColumn("flakiness_rate", rate)
+    return flaky_flags(last.select("run_id", *keys, F.col("l._total").cast("bigint").alias("total_runs"),
+                                   F.col("l._all").alias("failure_count")), threshold, min_runs)
+
+
+def flaky_flags(counted: DataFrame, threshold: float = 0.20, min_runs: int = 5) -> DataFrame:
+    """Adds the rate and the flags to rows with total_runs and failure_count."""
+    return (counted.withColumn("flakiness_rate", F.col("failure_count") / F.col("total_runs"))
             .withColumn("is_flaky", (F.col("total_runs") >= min_runs)
                         & (F.col("flakiness_rate") > threshold))
             .withColumn("is_new_test", F.col("total_runs") < min_runs))
@@ -158,13 +161,17 @@ def flakiness(history: DataFrame, window: int = 20, threshold: float = 0.20, min
 
 def test_severity(failed: DataFrame, scores: DataFrame) -> DataFrame:
     """Severity of failed tests: the owner's label, else by failure count; flaky ones are capped."""
+    return graded(failed.join(
+        scores.select("run_id", "model_name", "test_name", "is_flaky", "is_new_test"),
+        ["run_id", "model_name", "test_name"], "left"))
+
+
+def graded(scored: DataFrame) -> DataFrame:
+    """Severity of failed tests that carry their flags."""
     label = F.col("agent_severity")
     base = (F.when(label.isin("critical", "high", "medium", "low"), F.upper(label))
             .otherwise(failure_count_severity(F.col("failures"))))
     flaky = F.coalesce("is_flaky", F.lit(False))
-    scored = failed.join(
-        scores.select("run_id", "model_name", "test_name", "is_flaky", "is_new_test"),
-        ["run_id", "model_name", "test_name"], "left")
     return (scored
             .withColumn("severity", F.when(flaky & base.isin("HIGH", "CRITICAL"), "MEDIUM").otherwise(base))
             .withColumn("is_flaky", flaky)

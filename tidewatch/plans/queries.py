@@ -777,13 +777,13 @@ _ANOMALY_SCHEMA = ("signal_id string, anomaly_type string, source_agent string,
 
 def stream_ingestion_anomalies(spark, sf):
     base = _replayed(spark, "ingestion", inputs.signals(spark, sf), lambda s, b: live.stream_ingestion_anomalies(
-        s, f"{b}/state", f"{b}/out", f"{b}/checkpoint"))
+        s, f"{b}/out", f"{b}/checkpoint"))
     return flat_anomalies(storage.read_history(spark, f"{base}/out", _ANOMALY_SCHEMA))
 
 
 def stream_schema_drift(spark, sf):
     base = _replayed(spark, "drift", inputs.snapshot_signals(spark, sf), lambda s, b: live.stream_schema_drift(
-        s, f"{b}/state", f"{b}/out", f"{b}/checkpoint", gate=False), ("1997-01-01", "1999-01-01"))
+        s, f"{b}/out", f"{b}/checkpoint", gate=False), ("1997-01-01", "1999-01-01"))
     return flat_anomalies(storage.read_history(spark, f"{base}/out", _ANOMALY_SCHEMA + (
         ", total_changes bigint, summary string")), "total_changes", "summary")
 
@@ -796,9 +796,9 @@ _INCIDENT_SCHEMA = ("incident_id string, bucket_id string, run_id string, opened
 def stream_buckets(spark, sf):
     # the cuts fall inside a run, so buckets stay open from one micro-batch to the next
     base = _replayed(spark, "buckets", inputs.anomalies(spark, sf), lambda s, b: live.stream_buckets(
-        s, f"{b}/state", f"{b}/out", f"{b}/checkpoint"), ("2024-01-10 06:31:00", "2024-01-20 18:42:30"))
+        s, f"{b}/out", f"{b}/checkpoint"), ("2024-01-10 06:31:00", "2024-01-20 18:42:30"))
     emitted = storage.read_history(spark, f"{base}/out", _INCIDENT_SCHEMA)
-    return _flat_incidents(emitted.unionByName(live.flush_buckets(spark, f"{base}/state")))
+    return _flat_incidents(emitted.unionByName(live.flush_buckets(spark, f"{base}/checkpoint")))
 
 
 def _replayed_runs(spark, sf, name, start):
@@ -822,7 +822,7 @@ def new_artifacts(spark, sf):
 
 def stream_quality(spark, sf):
     base = _replayed_runs(spark, sf, "quality", lambda s, b: live.stream_quality(
-        s, f"{b}/state", f"{b}/out", f"{b}/checkpoint"))
+        s, f"{b}/out", f"{b}/checkpoint"))
     return flat_anomalies(storage.read_history(spark, f"{base}/out", _ANOMALY_SCHEMA + (
         ", total_failed_tests bigint, genuine_failures bigint, flaky_failures bigint")),
         "total_failed_tests", "genuine_failures", "flaky_failures")
@@ -852,8 +852,9 @@ def late_signals(spark, sf):
     shifted = F.when(F.hour("ts") % 3 == 0, F.col("ts") + F.expr("INTERVAL 10 DAYS")).otherwise(F.col("ts"))
     arrived = signals.withColumn("arrived", shifted)
     base = _replayed(spark, "late", arrived, lambda s, b: live.late_signals(
-        s, 86400, f"{b}/state", f"{b}/out", f"{b}/checkpoint"), column="arrived")
-    rows = storage.read_history(spark, f"{base}/out", "source string, ts timestamp, is_late boolean")
+        s, 86400, f"{b}/out", f"{b}/checkpoint"), column="arrived")
+    schema = "source string, ts timestamp, is_late boolean"
+    rows = storage.read_history(spark, f"{base}/out/on_time", schema).unionByName(storage.read_history(spark, f"{base}/out/late", schema))
     return tally(rows, "source", "is_late")
 
 

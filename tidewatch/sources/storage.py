@@ -1,7 +1,5 @@
-"""State tables on shared storage: checkpoints, upserts, idempotent appends."""
+"""Tables on shared storage: checkpoints, upserts, idempotent appends."""
 
-import functools
-import json
 import tempfile
 import uuid
 
@@ -79,70 +77,3 @@ def list_folder(spark: SparkSession, path: str) -> list[str]:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     store = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return [f.getPath().getName() for f in store.listStatus(target)] if store.exists(target) else []
-
-
-class StateTable:
-    """A keyed state table between micro-batches, cut into hash buckets of its key.
-
-    A batch reads and rewrites only the buckets its keys fall into, so it costs what the batch
-    touches and not the size of all state. The index of a batch says for each bucket which batch
-    wrote it last (as many entries as buckets). Batch n starts from the index of n - 1, so a
-    replay gives the same result; what batch n - 1 replaced is removed in batch n. Without a key
-    the table is one bucket, for states of a few rows.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, schema: str, key: tuple = (), buckets: int = 64):
-        self.spark, self.path, self.schema, self.key = spark, path.rstrip("/"), schema, key
-        self.buckets = buckets if key else 1
-        self._touched: dict[int, list[int]] = {}
-
-    def _bucket(self):
-        return F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int") if self.key else F.lit(0)
-
-    def _index(self, batch_id: int) -> dict[int, int]:
-        if batch_id < 0:
-            return {}
-        text = self.spark.read.text(f"{self.path}/index/{batch_id}").first()[0]
-        return {int(bucket): batch for bucket, batch in json.loads(text).items()}
-
-    def _read(self, index: dict[int, int]) -> DataFrame:
-        if not index:
-            return self.spark.createDataFrame([], self.schema)
-        by_batch: dict[int, list[int]] = {}
-        for bucket, batch in index.items():
-            by_batch.setdefault(batch, []).append(bucket)
-        valid = functools.reduce(lambda a, b: a | b, [
-            (F.col("batch") == batch) & F.col("bucket").isin(some) for batch, some in by_batch.items()])
-        rows = (self.spark.read.schema(f"{self.schema}, batch bigint, bucket int").option("basePath", f"{self.path}/data")
-                .parquet(*[f"{self.path}/data/batch={batch}" for batch in by_batch]))
-        return rows.filter(valid).drop("batch", "bucket")
-
-    def before(self, batch_id: int, batch: DataFrame | None = None) -> DataFrame:
-        """The state batch `batch_id` starts from; given its rows, only the buckets of their keys."""
-        index = self._index(batch_id - 1)
-        if batch is None:
-            self._touched[batch_id] = list(range(self.buckets))
-        else:  # at most `buckets` numbers
-            self._touched[batch_id] = [r[0] for r in batch.select(self._bucket().alias("b")).distinct().collect()]
-        return self._read({b: v for b, v in index.items() if b in self._touched[batch_id]})
-
-    def after(self, batch_id: int, touched: bool = False) -> DataFrame:
-        """The state after a batch: all of it, or only the buckets it touched."""
-        index = self._index(batch_id)
-        return self._read({b: v for b, v in index.items() if not touched or b in self._touched[batch_id]})
-
-    def latest(self) -> int:
-        """The last batch that was written."""
-        return max(map(int, list_folder(self.spark, f"{self.path}/index")), default=-1)
-
-    def write(self, df: DataFrame, batch_id: int) -> None:
-        """Replaces the buckets that `before` gave out by these rows."""
-        (df.withColumn("bucket", self._bucket()).repartition("bucket").write.mode("overwrite").partitionBy("bucket")
-         .parquet(f"{self.path}/data/batch={batch_id}"))
-        last, index = self._index(batch_id - 2), self._index(batch_id - 1)
-        for bucket, batch in last.items():
-            if index.get(bucket) != batch:
-                remove_folder(self.spark, f"{self.path}/data/batch={batch}/bucket={bucket}")
-        index.update({b: batch_id for b in self._touched[batch_id]})
-        (self.spark.createDataFrame([(json.dumps(index),)], "value string").coalesce(1)
-         .write.mode("overwrite").text(f"{self.path}/index/{batch_id}"))

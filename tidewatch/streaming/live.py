@@ -1,21 +1,33 @@
 """Structured Streaming forms of the detectors.
 
-Every micro-batch goes through the same distributed operators as the batch jobs, started
-from a small keyed state table (`StateTable`) instead of the whole history. A hot source or
-run is thus split inside a micro-batch as it is in batch. Sinks are written per batch id,
-so a replay after a failure changes nothing.
+What a key needs from earlier rows is in Spark's state store (`streaming.state`), next to the stream's checkpoint; the
+column expressions that judge the rows are those of the batch operators. Sinks are written per batch id, so a replay after
+a failure changes nothing.
 """
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from tidewatch.operators import contracts, correlate, ingestion, lineage, quality
+from tidewatch.functions.keys import stable_id
 from tidewatch.functions.severity import severity_name, severity_rank
+from tidewatch.operators import contracts, correlate, ingestion, lineage, quality
 from tidewatch.sources.artifacts import parse_test_results, read_manifest
 from tidewatch.sources.messages import encode_messages
-from tidewatch.sources.storage import StateTable, append_history, checkpointed, list_folder, remove_folder
-from tidewatch.types import ANOMALY_TYPES
+from tidewatch.sources.storage import append_history, list_folder, remove_folder
+from tidewatch.streaming import state
+from tidewatch.types import ANOMALY_TYPES, COLUMN_DEF
+
+_EXACT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+
+
+def _carried(df: DataFrame):
+    """A whole row as one text that comes back unchanged, so that a processor need not know its columns."""
+    return F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), _EXACT).alias("row")
+
+
+def _restored(df: DataFrame, schema: T.StructType) -> DataFrame:
+    return df.withColumn("row", F.from_json("row", schema, _EXACT)).select("row.*", *[c for c in df.columns if c != "row"])
 
 
 def emit_gate(df: DataFrame, mode: str) -> DataFrame:
@@ -24,164 +36,173 @@ def emit_gate(df: DataFrame, mode: str) -> DataFrame:
 
 
 def start(stream: DataFrame, each_batch: Callable, checkpoint: str, once: bool = True,
-          interval: str = "30 seconds"):
-    """Runs `each_batch(df, batch_id)` on a stream; once = all that is there, then stop."""
+          interval: str = "30 seconds", idle_batches: bool = True):
+    """Runs `each_batch(df, batch_id)` on a stream; once = all that is there, then stop.
+
+    Event-time timers need a batch without rows after the last one; state that expires by processing time would ask for
+    such batches for ever, so those streams go without (`idle_batches`).
+    """
+    conf, name = stream.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = conf.get(name)
+    conf.set(name, str(idle_batches).lower())
     writer = stream.writeStream.foreachBatch(each_batch).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)).start()
+    try:  # a query has the settings of the time it starts
+        return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)).start()
+    finally:
+        conf.set(name, before)
+
+
+def _settled(batch: DataFrame) -> DataFrame:
+    """The rows of a micro-batch, kept, all of them taken through the state: also where a mode publishes nothing of them."""
+    kept = batch.persist()
+    kept.write.format("noop").mode("overwrite").save()
+    return kept
 
 
 def stream_ingestion_anomalies(
-    signals: DataFrame, state: str, out: str, checkpoint: str, mode: str = "alert_only",
-    threshold: float = 2.5, keep_days: int = 35, once: bool = True,
+    signals: DataFrame, out: str, checkpoint: str, mode: str = "alert_only",
+    threshold: float = 2.5, keep_days: float = 35, once: bool = True,
 ):
-    """Ingestion checks on a signal stream. State: baseline per source, last checksum per
-    (source, day), of which days more than `keep_days` before the newest day of the batch are
-    dropped. Rows of a micro-batch are taken in (ts, event_id) order."""
-    spark = signals.sparkSession
-    baselines = StateTable(spark, f"{state}/baselines",
-                           "model_name string, source string, metric string, mean double, "
-                           "std_dev double, sample_count bigint", ("source",))
-    sightings = StateTable(spark, f"{state}/checksums",
-                           "source string, partition_date string, checksum string", ("source",))
+    """Ingestion checks on a signal stream. State: moments per source, last checksum per (source, day); a day
+    not seen again for `keep_days` is forgotten. Rows of a micro-batch are taken in (ts, event_id) order."""
+    state.use_state_store(signals.sparkSession)
+    loads = ingestion.ingestion_stage_only(signals).select(
+        "source", "event_id", "run_id", "ts", F.col("row_count").cast("string").alias("row_count"), "checksum",
+        F.date_format("ts", "yyyy-MM-dd").alias("partition_date"))
+    known = loads.groupBy("source").transformWithStateInPandas(
+        state.LoadHistory(int(keep_days * 86_400_000)),
+        "source string, event_id string, run_id string, ts timestamp, row_count string, checksum string, partition_date string, "
+        "baseline_n bigint, baseline_mean double, baseline_std double, previous_checksum string", "append", "ProcessingTime")
 
     def each_batch(batch: DataFrame, batch_id: int) -> None:
-        loads = ingestion.ingestion_stage_only(batch).persist()
-        stored, seen = baselines.before(batch_id, loads), sightings.before(batch_id, loads)
-        found = ingestion.ingestion_anomalies(loads, threshold, stored=stored, last_seen=seen)
-        append_history(emit_gate(found, mode), out, batch_id)
-        baselines.write(ingestion.merge_baselines(stored, loads), batch_id)
-        newest = (loads.filter(F.col("checksum").isNotNull())
-                  .groupBy("source", F.date_format("ts", "yyyy-MM-dd").alias("partition_date"))
-                  .agg(F.max_by("checksum", F.struct("ts", "event_id")).alias("_new")))
-        oldest = F.date_sub(F.lit(loads.agg(F.max(F.to_date("ts"))).scalar()), keep_days)
-        sightings.write(seen.join(newest, ["source", "partition_date"], "full_outer").select(
-            "source", "partition_date", F.coalesce("_new", "checksum").alias("checksum"))
-            .filter(F.coalesce(F.to_date("partition_date") >= oldest, F.lit(True))), batch_id)
-        loads.unpersist()
-
-    return start(signals, each_batch, checkpoint, once)
+        batch = _settled(batch.withColumn("row_count", F.col("row_count").cast("bigint")))
+        append_history(emit_gate(ingestion.loaded_anomalies(batch, threshold), mode), out, batch_id)
+        batch.unpersist()
+
+    return start(known, each_batch, checkpoint, once, idle_batches=False)
+
+
+def stored_baselines(spark, checkpoint: str) -> DataFrame:
+    """The baselines that a stream of ingestion checks has come to: (source, mean, std_dev, sample_count)."""
+    rows = state.read_state(spark, checkpoint, "moments").select("key.source", "value.*")
+    std = F.when((F.col("n") < 2) | (F.col("low") == F.col("high")), 0.0).otherwise(F.sqrt(F.col("m2") / F.nullif(F.col("n") - 1, F.lit(0))))
+    return rows.select("source", "mean", std.alias("std_dev"), F.col("n").alias("sample_count"))
+
+
+_COLUMNS = T.ArrayType(COLUMN_DEF)
 
 
 def stream_schema_drift(
-    signals: DataFrame, state: str, out: str, checkpoint: str, mode: str = "alert_only",
-    gate: bool = True, once: bool = True,
+    signals: DataFrame, out: str, checkpoint: str, mode: str = "alert_only",
+    gate: bool = True, once: bool = True, known: DataFrame | None = None,
 ):
-    """Schema drift on a stream of signals with snapshots. State: the contract of each
-    source; a source's first snapshot becomes its contract."""
-    registered = StateTable(signals.sparkSession, f"{state}/contracts",
-                            "source string, column_name string, dtype string, nullable boolean, "
-                            "criticality string", ("source",))
+    """Schema drift on a stream of signals with snapshots. State: the contract of each source; a source's first
+    snapshot becomes its contract, unless `known` (contract rows) has one when the stream first begins.
+    `gate` leaves snapshots whose declared hash is the contract's unchecked."""
+    spark = signals.sparkSession
+    state.use_state_store(spark)
+    rows = signals.select("source", "ts", "run_id", F.to_json("columns").alias("columns_json"), _carried(signals))
+    initial = None
+    if known is not None:
+        packed = F.to_json(F.sort_array(F.collect_list(F.struct(  # the width of one table
+            F.col("column_name").alias("name"), F.col("dtype").alias("type"), F.col("dtype").alias("dtype"), "nullable", "criticality"))))
+        initial = known.groupBy("source").agg(packed.alias("columns_json")).groupBy("source")
+    checked = rows.groupBy("source").transformWithStateInPandas(
+        state.SourceContracts(), "source string, ts timestamp, run_id string, row string, contract string", "append", "None", initial)
+    schema = signals.schema
 
     def each_batch(batch: DataFrame, batch_id: int) -> None:
-        snapshot = contracts.normalize_snapshot(batch).persist()
-        known = registered.before(batch_id, snapshot)
-        fresh = snapshot.join(known.select("source").distinct(), "source", "left_anti")
-        registered.write(known.unionByName(contracts.bootstrap_contracts(fresh)), batch_id)
-        current = registered.after(batch_id, touched=True)
-        checked = contracts.hash_gate(snapshot, current) if gate else snapshot
-        drift = contracts.schema_drift_anomalies(contracts.schema_diff(checked, current), snapshot)
+        batch = _settled(batch)
+        snapshot = contracts.normalize_snapshot(_restored(batch.select("row"), schema)).persist()
+        current = _contract_rows(batch.select("source", F.col("contract").alias("columns_json")))
+        judged = contracts.hash_gate(snapshot, current) if gate else snapshot
+        drift = contracts.schema_drift_anomalies(contracts.schema_diff(judged, current), snapshot)
         append_history(emit_gate(drift, mode), out, batch_id)
         snapshot.unpersist()
+        batch.unpersist()
 
-    return start(signals, each_batch, checkpoint, once)
-
-
-_FLAGS = [f"has_{kind}" for kind in ANOMALY_TYPES]
-_OPEN_SCHEMA = (
-    "bucket_id string, run_id string, opened_at timestamp, "
-    + ", ".join(f"{flag} boolean" for flag in _FLAGS)
-    + ", severity string, n_signals bigint, suppressed boolean, first struct<ts: timestamp, "
-      "signal_id: string, anomaly_type: string, confidence: double, model_name: string>, "
-      "models array<string>")
-_BUCKET_KEY = ["bucket_id", "run_id", "opened_at"]
-
-
-def _merge_facts(stored: DataFrame, new: DataFrame) -> DataFrame:
-    """Facts of buckets that got more signals: each fact merges with the stored one."""
-    merged = []
-    both = stored.alias("a").join(new.alias("b"), _BUCKET_KEY, "full_outer")
-    a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
-    for flag in _FLAGS:
-        merged.append((F.coalesce(a(flag), F.lit(False)) | F.coalesce(b(flag), F.lit(False))).alias(flag))
-    merged.append(severity_name(F.greatest(severity_rank(a("severity")), severity_rank(b("severity")))).alias("severity"))
-    merged.append((F.coalesce(a("n_signals"), F.lit(0)) + F.coalesce(b("n_signals"), F.lit(0))).alias("n_signals"))
-    merged.append((F.coalesce(a("suppressed"), F.lit(True)) & F.coalesce(b("suppressed"), F.lit(True))).alias("suppressed"))
-    merged.append(F.least(a("first"), b("first")).alias("first"))
-    none = F.array().cast("array<string>")
-    merged.append(F.sort_array(F.array_union(F.coalesce(a("models"), none), F.coalesce(b("models"), none))).alias("models"))
-    return both.select(*_BUCKET_KEY, *merged)
+    return start(checked, each_batch, checkpoint, once)
+
+
+def _contract_rows(rows: DataFrame) -> DataFrame:
+    none = F.lit(None)
+    packed = rows.filter(F.col("columns_json").isNotNull()).select(
+        "source", F.lit("contract").alias("run_id"), none.cast("timestamp").alias("ts"), none.cast("string").alias("version_hash"),
+        F.from_json("columns_json", _COLUMNS).alias("columns"))
+    return contracts.normalize_snapshot(packed).select(*contracts.CONTRACT_COLUMNS)
+
+
+def stored_contracts(spark, checkpoint: str) -> DataFrame:
+    """The contracts that a stream of schema checks holds, to be reviewed or replaced (`contracts.accept_contract`)."""
+    return _contract_rows(state.read_state(spark, checkpoint, "contract").select("key.source", "value.columns_json"))
+
+
+def _bucket_incidents(closed: DataFrame) -> DataFrame:
+    """Incidents of buckets as `state.OpenBuckets` emits or holds them."""
+    facts = closed.select(
+        stable_id(F.lit("bucket"), "run_id", F.col("opened_us").cast("string")).alias("bucket_id"), "run_id",
+        F.timestamp_micros("opened_us").alias("opened_at"), *[f"has_{kind}" for kind in ANOMALY_TYPES],
+        severity_name(F.col("rank")).alias("severity"), "n_signals", "suppressed",
+        F.struct(F.timestamp_micros("first_us").alias("ts"), F.col("first_id").alias("signal_id"), F.col("first_type").alias("anomaly_type"),
+                 F.col("first_confidence").alias("confidence"), F.col("first_model").alias("model_name")).alias("first"), "models")
+    return correlate.incidents_from_facts(facts)
 
 
 def stream_buckets(
-    anomalies: DataFrame, state: str, out: str, checkpoint: str, mode: str = "alert_only",
+    anomalies: DataFrame, out: str, checkpoint: str, mode: str = "alert_only",
     seconds: int = 300, delay_seconds: int = 0, once: bool = True,
 ):
-    """Incidents from an anomaly stream. State: the open bucket of each run, as facts of
-    fixed size and its distinct model names; all open buckets are looked at in every batch, as the
-    clock may close any. A bucket is emitted when the newest event time seen has passed its end by
-    `delay_seconds`, or its run has moved on to a later one. A signal older than its run's
-    open bucket joins that bucket; after the bucket was emitted it opens a new one.
+    """Incidents from an anomaly stream. State: the open bucket of each run, as facts of fixed size and its model names.
+
+    A bucket is emitted by its run's timer, when the newest event time seen has passed its end by `delay_seconds`, or when its
+    run moves on; runs that neither expire nor get rows are not visited. A signal older than its run's open
+    bucket joins it; after the bucket was emitted it opens a new one.
     """
-    spark = anomalies.sparkSession
-    opened = StateTable(spark, f"{state}/open", _OPEN_SCHEMA)
-    clock = StateTable(spark, f"{state}/clock", "seen timestamp")
+    state.use_state_store(anomalies.sparkSession)
+    buckets = state.OpenBuckets(ANOMALY_TYPES, seconds * 1_000_000, delay_seconds * 1_000_000)
+    low = (F.col("severity") == "LOW") & (F.col("confidence") < 0.6)
+    rows = anomalies.withWatermark("ts", state.TRAIL).select(
+        "run_id", "ts", F.unix_micros("ts").alias("us"), "signal_id", "anomaly_type", "model_name", "confidence",
+        F.coalesce(severity_rank(F.col("severity")), F.lit(1)).alias("rank"), F.coalesce(low, F.lit(True)).alias("low"))
+    closed = rows.groupBy("run_id").transformWithStateInPandas(buckets, buckets.result_schema(), "append", "EventTime")
 
     def each_batch(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()  # read once from the source
-        stored = opened.before(batch_id)
-        anchors = stored.select("run_id", F.col("opened_at").alias("_anchor"))
-        rows = (batch.join(anchors, "run_id", "left")
-                .withColumn("ts", F.greatest("ts", "_anchor")).withColumn("_real", F.lit(True)))
-        seeds = anchors.select("run_id", F.col("_anchor").alias("ts"), F.lit(False).alias("_real"))
-        bucketed = correlate.signal_buckets(
-            rows.drop("_anchor").unionByName(seeds, allowMissingColumns=True), seconds)
-        facts = correlate.bucket_facts(bucketed.filter("_real"))
-        current = checkpointed(_merge_facts(stored, facts))
-        clock.write(clock.before(batch_id).unionByName(batch.select(F.col("ts").alias("seen")))
-                    .agg(F.max("seen").alias("seen")), batch_id)
-        seen = clock.after(batch_id).select("seen").scalar()
-        newest = F.max("opened_at").over(Window.partitionBy("run_id"))
-        end = F.unix_micros("opened_at") + (seconds + delay_seconds) * 1_000_000
-        marked = current.withColumn("_done", (F.col("opened_at") < newest)
-                                    | F.coalesce(F.unix_micros(seen) >= end, F.lit(False)))
-        marked = checkpointed(marked)
-        incidents = correlate.incidents_from_facts(marked.filter("_done").drop("_done"))
-        append_history(emit_gate(incidents, mode), out, batch_id)
-        opened.write(marked.filter(~F.col("_done")).drop("_done"), batch_id)
+        batch = _settled(batch)
+        append_history(emit_gate(_bucket_incidents(batch), mode), out, batch_id)
         batch.unpersist()
 
-    return start(anomalies, each_batch, checkpoint, once)
+    return start(closed, each_batch, checkpoint, once)
 
 
-def flush_buckets(spark, state: str) -> DataFrame:
+def flush_buckets(spark, checkpoint: str) -> DataFrame:
     """Incidents of the buckets still open after the last batch, at the end of the input."""
-    opened = StateTable(spark, f"{state}/open", _OPEN_SCHEMA)
-    return correlate.incidents_from_facts(opened.after(opened.latest()))
+    opened = state.read_state(spark, checkpoint, "open").select("key.run_id", "value.*")
+    models = (state.read_state(spark, checkpoint, "models").groupBy("key.run_id")
+              .agg(F.sort_array(F.collect_set("user_map_key.model_name")).alias("models")))
+    none = F.array().cast("array<string>")
+    return _bucket_incidents(opened.join(models, "run_id", "left").withColumn("models", F.coalesce("models", none)))
 
 
 def stream_quality(
-    artifacts: DataFrame, state: str, out: str, checkpoint: str, mode: str = "alert_only",
+    artifacts: DataFrame, out: str, checkpoint: str, mode: str = "alert_only",
     window: int = 20, once: bool = True,
 ):
-    """Quality anomalies of newly published test results. State: the last `window` results
-    of each (model, test)."""
-    recent = StateTable(artifacts.sparkSession, f"{state}/history",
-                        "model_name string, test_name string, run_id string, passed boolean, "
-                        "failure_rate double, run_at timestamp, position int", ("model_name", "test_name"))
+    """Quality anomalies of newly published test results. State: the last `window` results of each (model, test)."""
+    state.use_state_store(artifacts.sparkSession)
+    tests = parse_test_results(artifacts)
+    rows = tests.select("model_name", "test_name", "run_id", F.unix_micros("run_at").alias("us"), "position",
+                        F.col("status").isin("fail", "error").alias("failed"), _carried(tests))
+    scored = rows.groupBy("model_name", "test_name").transformWithStateInPandas(
+        state.RecentResults(window), "row string, total_runs bigint, failure_count bigint", "append", "None")
+    schema = tests.schema
 
     def each_batch(batch: DataFrame, batch_id: int) -> None:
-        tests = parse_test_results(batch).persist()
-        new = quality.test_history(tests)
-        history = recent.before(batch_id, new).unionByName(new)
-        scores = quality.flakiness(history, window)
-        scored = quality.test_severity(quality.failed_tests(tests), scores)
-        append_history(emit_gate(quality.quality_anomalies(scored), mode), out, batch_id)
-        newest = Window.partitionBy("model_name", "test_name").orderBy(F.desc("run_at"), F.desc("position"))
-        recent.write(history.withColumn("_r", F.row_number().over(newest))
-                     .filter(F.col("_r") <= window).drop("_r"), batch_id)
-        tests.unpersist()
+        batch = _settled(batch)
+        failed = quality.failed_tests(quality.flaky_flags(_restored(batch, schema)))
+        append_history(emit_gate(quality.quality_anomalies(quality.graded(failed)), mode), out, batch_id)
+        batch.unpersist()
 
-    return start(artifacts, each_batch, checkpoint, once)
+    return start(scored, each_batch, checkpoint, once)
 
 
 def stream_lineage(anomalies: DataFrame, blast_path: str, out: str, checkpoint: str,
@@ -231,23 +252,27 @@ def stream_messages(rows: DataFrame, key_column: str, format: str, checkpoint: s
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def late_signals(signals: DataFrame, delay_seconds: int, state: str, out: str,
-                 checkpoint: str, once: bool = True):
-    """Marks signals that arrive more than the delay behind the newest time seen before.
+def late_signals(signals: DataFrame, delay_seconds: int, out: str, checkpoint: str, once: bool = True):
+    """Parts signals that arrive more than the delay behind the newest time seen before from the others.
 
-    All rows are written, with an is_late flag: late rows are counted, not lost. (A watermark would
-    drop them; so none is set.)
+    Spark drops what is behind its watermark; here the watermark only is the clock, and late rows go to
+    `out`/late, the others to `out`/on_time, so none is lost. Counts per source are in the state (`late_counts`).
     """
-    clock = StateTable(signals.sparkSession, f"{state}/clock", "seen timestamp")
+    state.use_state_store(signals.sparkSession)
+    rows = signals.withWatermark("ts", state.TRAIL).select("source", "ts", F.unix_micros("ts").alias("us"), _carried(signals))
+    marked = rows.groupBy("source").transformWithStateInPandas(
+        state.Lateness(delay_seconds * 1000), "row string, is_late boolean", "append", "EventTime")
+    schema = signals.schema
 
     def each_batch(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        before = clock.before(batch_id)
-        limit = F.unix_micros(before.select("seen").scalar()) - delay_seconds * 1_000_000
-        append_history(batch.withColumn("is_late", F.coalesce(F.unix_micros("ts") < limit, F.lit(False))),
-                       out, batch_id)
-        clock.write(before.unionByName(batch.select(F.col("ts").alias("seen")))
-                    .agg(F.max("seen").alias("seen")), batch_id)
+        batch = _settled(_restored(batch, schema))
+        append_history(batch.filter("NOT is_late"), f"{out}/on_time", batch_id)
+        append_history(batch.filter("is_late"), f"{out}/late", batch_id)
         batch.unpersist()
 
-    return start(signals, each_batch, checkpoint, once)
+    return start(marked, each_batch, checkpoint, once)
+
+
+def late_counts(spark, checkpoint: str) -> DataFrame:
+    """(source, n_rows, n_late) of all signals a stream of `late_signals` has seen."""
+    return state.read_state(spark, checkpoint, "counts").select("key.source", "value.*")
