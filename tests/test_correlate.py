@@ -45,6 +45,23 @@ def test_buckets_equal_a_plain_loop(spark):
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("partitions", [1, 3, 40])
+def test_runs_spread_over_many_partitions(spark, partitions):
+    rnd = random.Random(partitions)
+    rows = [simple("hot", rnd.randrange(40_000)) for _ in range(1500)] + [simple("hot", 50_000 + rnd.randrange(290)) for _ in range(700)]
+    rows += [simple(f"r{i % 7}", rnd.randrange(2000)) for i in range(200)] + [simple("aa", s) for s in (0, 299, 300, 599, 601)]
+    rows += [simple("zz", 100_000 * k) for k in range(30)] + [simple(None, 5)]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = {r.signal_id: (r.opened_at - T0).total_seconds() for r in correlate.signal_buckets(anomalies(spark, rows)).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == brute([r for r in rows if r[0] is not None])
+
+
 def one_bucket(spark, kinds, sev="HIGH", conf=0.9):
     rows = [simple("r", i, k, sev, conf, f"m{i}") for i, k in enumerate(kinds)]
     return correlate.signal_buckets(anomalies(spark, rows))

@@ -138,7 +138,7 @@ def test_an_idle_run_is_emitted_by_its_timer(spark, tmp_path):
     # after it was emitted, an old signal opens a new bucket
     feed(spark, base, [anomalies(spark, [simple("idle", 100, model="m3")])], lambda s: live.stream_buckets(s, f"{base}/out", f"{base}/cp"))
     assert emitted() == [("idle", 2, ["m1", "m2"])]
-    assert sorted((r.run_id, r.models) for r in live.flush_buckets(spark, f"{base}/cp").collect()) == [("busy", ["m"]), ("idle", ["m3"])]
+    assert sorted((r.run_id, r.models) for r in live.flush_buckets(spark, f"{base}/cp").collect()) == [("busy", ["tide_daily"]), ("idle", ["m3"])]
 
 
 def test_contracts_are_handed_in_and_read_back(spark, tmp_path):

@@ -5,8 +5,12 @@ covered by an earlier bucket. Neither `window` (clock-aligned) nor `session_wind
 (extends with every row) gives these.
 """
 
-import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidewatch.functions.keys import stable_id
@@ -26,85 +30,161 @@ RULES = [
 
 # ---- anchored windows -------------------------------------------------------
 
-def _jump_starts(times: DataFrame, blocks: DataFrame, width: int, most: int) -> DataFrame:
-    """Window starts of sessions of any size, by pointer doubling.
+_SCAN = "kind int, run_id string, part int, x bigint, y bigint, z bigint"
+#: Kinds of scanned rows: where a run stands as its partition ends (x: window start), what becomes of a start (x: the start, y: the last one
+#: that follows from it in the partition), a time (x), the window of a block (x: block, y: start in it, z: start before it).
+_OPEN, _LEADS, _TIME, _BLOCK = range(4)
 
-    Each time points to the first time at least `width` later: the start that would
-    follow if it were one. That time lies in the next block, or else is the first one
-    of the next block in use, so (run, block) groups are enough to find it. From the
-    session's first time the pointers are then followed in log2(windows) joins.
+
+def _chain(times: np.ndarray, at: int, width: int) -> np.ndarray:
+    """Window starts in sorted times, from the one at a place on."""
+    found = []
+    while at < len(times):
+        found.append(times[at])
+        at = int(np.searchsorted(times, times[at] + width))
+    return np.array(found, dtype=np.int64)
+
+
+def _leads(times: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The times that may be the first start of a part of a run, and the last start that each of them leads to.
+
+    A window that is open as the part begins ends before the part's first time plus a width, so the first start is
+    one of the times up to there or the next one.
     """
-    nodes = times.select("run_id", "us", F.floor(F.col("us") / width).alias("blk")).distinct()
-    asks = nodes.select("run_id", (F.col("blk") + 1).alias("blk"), (F.col("us") + width).alias("pos"),
-                        F.lit(1).alias("kind"), F.col("us").alias("asker"), F.lit(None).cast("bigint").alias("node"))
-    have = nodes.select("run_id", "blk", F.col("us").alias("pos"), F.lit(0).alias("kind"),
-                        F.lit(None).cast("bigint").alias("asker"), F.col("us").alias("node"))
-    backwards = (Window.partitionBy("run_id", "blk").orderBy(F.desc("pos"), "kind")
-                 .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    near = (asks.unionByName(have).withColumn("near", F.min("node").over(backwards))
-            .filter(F.col("kind") == 1)
-            .select("run_id", (F.col("blk") - 1).alias("blk"), F.col("asker").alias("us"), "near"))
-    in_order = Window.partitionBy("run_id", "session").orderBy("blk")
-    far = blocks.select(
-        "run_id", "blk",
-        F.when(F.lead("blk").over(in_order) > F.col("blk") + 1, F.lead("lo").over(in_order))
-        .otherwise(F.lead("lo", 2).over(in_order)).alias("far"))
-    hops = (near.join(far, ["run_id", "blk"])
-            .select("run_id", "us", F.coalesce("near", "far").alias("to"))
-            .filter(F.col("to").isNotNull()))
-    starts = blocks.select("run_id", F.col("s_lo").alias("us")).distinct()
-    for _ in range(max(1, math.ceil(math.log2(most + 1)))):
-        hops = checkpointed(hops)
-        further = starts.join(hops, ["run_id", "us"]).select("run_id", F.col("to").alias("us"))
-        starts = checkpointed(starts.unionByName(further).distinct())
-        second = hops.select("run_id", F.col("us").alias("to"), F.col("to").alias("to2"))
-        hops = hops.join(second, ["run_id", "to"]).select("run_id", "us", F.col("to2").alias("to"))
-    return starts.select("run_id", F.col("us").alias("start"))
+    following = np.searchsorted(times, times + width)
+    last = np.where(following == len(times), np.arange(len(times)), following)
+    while True:
+        further = last[last]
+        if np.array_equal(further, last):
+            break
+        last = further
+    few = min(len(times), int(np.searchsorted(times, times[0] + width)) + 1)
+    return times[:few], times[last[:few]]
+
+
+def _block_rows(run: str, part: int, times: np.ndarray, starts: np.ndarray, earlier: int | None, width: int) -> pa.RecordBatch:
+    """For each block with times of a run: the start in it, if any, and the one before."""
+    blocks, of = np.unique(times // width), starts // width
+    at = np.searchsorted(of, blocks)
+    own = (at < len(of)) & (np.append(of, 0)[at] == blocks)
+    before = np.where(at > 0, np.append(starts, 0)[at - 1], 0 if earlier is None else earlier)
+    return _scan_rows(_BLOCK, run, part, blocks, pa.array(np.append(starts, 0)[at], mask=~own),
+                      pa.array(before, mask=(at == 0) & (earlier is None)))
+
+
+def _scan_rows(kind: int, run: str, part: int, x: np.ndarray, y=None, z=None) -> pa.RecordBatch:
+    n = len(x)
+    fill = lambda v: pa.nulls(n, pa.int64()) if v is None else v if isinstance(v, pa.Array) else pa.array(v, pa.int64())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.full(n, kind, np.int32)), pa.repeat(pa.scalar(run, pa.string()), n), pa.array(np.full(n, part, np.int32)),
+         fill(x), fill(y), fill(z)], names=["kind", "run_id", "part", "x", "y", "z"])
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray]]:
+    """The times of each run of a partition sorted by (run_id, us), a run at a time."""
+    run, held = None, []
+    for batch in batches:
+        names, us = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False)
+        if not len(us):
+            continue
+        new = np.concatenate([[0], np.flatnonzero(pc.not_equal(names[1:], names[:-1]).to_numpy(zero_copy_only=False)) + 1, [len(us)]])
+        for i, j in zip(new[:-1], new[1:]):
+            name = names[int(i)].as_py()
+            if name != run and held:
+                yield run, np.concatenate(held)
+                held = []
+            run = name
+            held.append(us[i:j])
+    if held:
+        yield run, np.concatenate(held)
+
+
+def _scan(width: int):
+    """One pass over the sorted times of a partition. Every run but the first begins in it, so its windows are known; for the
+    first one, which may go on from the partition before, the pass keeps what each possible start leads to."""
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, run, starts = TaskContext.get().partitionId(), None, None
+        for n, (run, times) in enumerate(_runs(batches)):
+            if n == 0:
+                yield _scan_rows(_TIME, run, part, times)
+                yield _scan_rows(_LEADS, run, part, *_leads(times, width))
+                continue
+            starts = _chain(times, 0, width)
+            yield _block_rows(run, part, times, starts, None, width)
+        if starts is not None:
+            yield _scan_rows(_OPEN, run, part, starts[-1:])
+    return scan
+
+
+def _carry(width: int):
+    """Follows each run over its partitions: the window start that is open as each begins. A partition is one lookup in its leads."""
+    def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run, part, start, done = None, None, None, False
+        for batch in batches:
+            for kind, name, where, x, y in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if name != run:
+                    run, part, start = name, None, None
+                if kind == _OPEN:
+                    start = x
+                    continue
+                if where != part:
+                    part, done = where, False
+                    yield _scan_rows(_OPEN, run, part, pa.array([start], pa.int64()))
+                if not done and (start is None or x >= start + width):
+                    start, done = y, True
+    return carry
+
+
+def _settle(width: int):
+    """Windows of the first run of each partition, once the start is known that is open as it begins."""
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, run, start, held = None, None, None, []
+
+        def settled():
+            times = np.concatenate(held)
+            first = 0 if start is None else int(np.searchsorted(times, start + width))
+            return _block_rows(run, part, times, _chain(times, first, width), start, width)
+        for batch in batches:
+            parts, x = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
+            new = np.flatnonzero(np.diff(parts, prepend=-1 if part is None else part))
+            for i, j in zip([0, *new[new > 0]], [*new[new > 0], len(parts)]):
+                if i == j:
+                    continue
+                if parts[i] != part:  # its first row says what is open
+                    if held:
+                        yield settled()
+                    part, run, start = int(parts[i]), batch.column(1)[int(i)].as_py(), batch.column(3)[int(i)].as_py()
+                    held, i = [], i + 1
+                held.append(x[i:j].astype(np.int64))
+        if held:
+            yield settled()
+    return settle
 
 
 def signal_buckets(anomalies: DataFrame, seconds: int = 300) -> DataFrame:
     """Adds bucket_id and opened_at to every anomaly.
 
-    1. Rows are counted per (run, block), a block being a clock interval as long as a
-       window. A gap of a window's length or more always starts a new one, and only
-       shows between blocks, so sessions come from the small block table.
-    2. A session shorter than a window is one bucket. Longer ones need the chain of
-       starts, found by pointer doubling.
-    3. Two starts never share a block, so a row's start is that of its own block or the
-       one before: one join on (run, block) places all rows, and no run is ever
-       gathered in one task. Skewed (run, block) pairs can be split by AQE.
+    1. The distinct times of all runs are sorted by range, a run over as many partitions as its size asks for, and each
+       partition is passed once. Runs that begin in it are done. For the one that goes on from the partition before, the pass
+       keeps the window start that each possible carry leads to.
+    2. Carries are followed over the partitions of a run by one lookup each, and the partitions it runs through get
+       their windows.
+    3. A block being a clock interval as long as a window, two starts never share one, so a row's start is that of its own
+       block or the one before: one join on (run, block) places all rows. Skewed (run, block) pairs can be split by AQE.
     """
     width = seconds * 1_000_000
     rows = (anomalies.withColumn("_us", F.unix_micros("ts"))
             .withColumn("_blk", F.floor(F.col("_us") / width)))
-    blocks = rows.groupBy("run_id", F.col("_blk").alias("blk")).agg(
-        F.min("_us").alias("lo"), F.max("_us").alias("hi"))
-    by_run = Window.partitionBy("run_id").orderBy("blk")
-    before = F.lag("hi").over(by_run)
-    opens = F.when(before.isNull() | (F.col("lo") - before >= width), F.col("blk"))
-    blocks = blocks.withColumn("_opens", opens).withColumn(
-        "session", F.last("_opens", ignorenulls=True).over(
-            by_run.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_opens")
-    session = Window.partitionBy("run_id", "session")
-    blocks = (blocks.withColumn("s_lo", F.min("lo").over(session))
-              .withColumn("s_hi", F.max("hi").over(session)))
-    blocks = checkpointed(blocks)
-
-    is_long = F.col("s_hi") - F.col("s_lo") >= width
-    windows = F.floor((F.col("s_hi") - F.col("s_lo")) / width) + 1
-    # one row: the number of windows of the longest session, if any needs the chain
-    most = blocks.filter(is_long).agg(F.max(windows)).first()[0]
-    starts = blocks.filter(~is_long).select("run_id", F.col("s_lo").alias("start")).distinct()
-    if most is not None:
-        long = blocks.filter(is_long)
-        times = (rows.select("run_id", F.col("_us").alias("us"), F.col("_blk").alias("blk"))
-                 .join(long.select("run_id", "blk", "session"), ["run_id", "blk"]).distinct())
-        starts = starts.unionByName(_jump_starts(times, long, width, most))
-    starts = starts.select("run_id", F.floor(F.col("start") / width).alias("blk"), "start")
-    placed = (blocks.select("run_id", "blk").join(starts, ["run_id", "blk"], "left")
-              .withColumn("earlier", F.last("start", ignorenulls=True).over(
-                  by_run.rowsBetween(Window.unboundedPreceding, -1)))
-              .select("run_id", F.col("blk").alias("_blk"), "start", "earlier"))
+    times = rows.filter(F.col("run_id").isNotNull()).select("run_id", F.col("_us").alias("us")).distinct()
+    scanned = checkpointed(times.repartitionByRange("run_id", "us").sortWithinPartitions("run_id", "us").mapInArrow(_scan(width), _SCAN), "scan")
+    open_ = F.col("kind").isin(_OPEN, _LEADS)
+    carried = (scanned.filter(open_).repartition("run_id").sortWithinPartitions("run_id", "part", F.desc("kind"), "x")
+               .mapInArrow(_carry(width), _SCAN))
+    settled = (scanned.filter(F.col("kind") == _TIME).unionByName(carried).repartition("part").sortWithinPartitions("part", "kind", "x")
+               .mapInArrow(_settle(width), _SCAN))
+    # a block that two partitions share has a row of each
+    placed = (scanned.filter(F.col("kind") == _BLOCK).unionByName(settled)
+              .groupBy("run_id", F.col("x").alias("_blk")).agg(F.max("y").alias("start"), F.min("z").alias("earlier")))
     opened = F.when(F.col("_us") >= F.col("start"), F.col("start")).otherwise(F.col("earlier"))
     return (rows.join(placed, ["run_id", "_blk"])
             .withColumn("_opened", opened)
