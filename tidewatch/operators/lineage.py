@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidewatch.functions.keys import stable_id
 from tidewatch.functions.severity import escalate_by_blast, severity_multiplier
+from tidewatch.operators import reach
 from tidewatch.sources.storage import checkpointed
 
 MODEL_PREFIX = "model."
@@ -86,36 +87,27 @@ def resolve_model(names: DataFrame, all_models: DataFrame) -> DataFrame:
             .join(first, "name", "left").select("name", F.col("m.uid").alias("uid")))
 
 
+def _numbers(starts: DataFrame, all_edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Numbers of all nodes; edges and starts by number."""
+    ends = all_edges.select(F.col("parent").alias("uid")).unionByName(all_edges.select(F.col("child").alias("uid")))
+    numbers = reach.numbered(ends.unionByName(starts.select(F.col("start").alias("uid"))))
+    parent, child = (numbers.select(F.col("uid").alias(c), F.col("number").alias(f"_{c}")) for c in ("parent", "child"))
+    edges = all_edges.select("parent", "child").join(parent, "parent").join(child, "child").select(
+        F.col("_parent").alias("parent"), F.col("_child").alias("child"))
+    own = starts.select(F.col("start").alias("uid")).distinct().join(numbers, "uid")
+    return numbers, edges, own
+
+
 def reachable(starts: DataFrame, all_edges: DataFrame, hops: int = 4) -> DataFrame:
-    """All (start, node) with a path of at least one edge from start to node.
+    """All (start, node) with a path of at least one edge from start to node, from the bitmaps of `reach.closure`.
 
-    Breadth-first from all starts at once. A round walks `hops` edges and is written
-    out once, so a graph of depth d takes d/hops rounds and the plan does not grow.
-    Pairs found before are dropped, hence cycles end; a start on a cycle finds itself.
+    A start on a cycle finds itself.
     """
-    step = checkpointed(all_edges.select(F.col("parent").alias("node"), F.col("child").alias("_next")).distinct(), "steps")
-    frontier = starts.select("start").distinct().withColumn("node", F.col("start"))
-    found = None
-    while True:
-        layers, layer = [], frontier
-        for hop in range(1, hops + 1):
-            layer = layer.join(step, "node").select("start", F.col("_next").alias("node"))
-            if hop < hops:  # the last layer is made distinct by the grouping below
-                layer = layer.distinct()
-            layers.append(layer.withColumn("hop", F.lit(hop)))
-        candidates = layers[0]
-        for layer in layers[1:]:
-            candidates = candidates.unionByName(layer)
-        # the deepest hop tells whether the pair still has to be walked on from
-        fresh = candidates.groupBy("start", "node").agg(F.max("hop").alias("hop"))
-        if found is not None:
-            fresh = fresh.join(found, ["start", "node"], "left_anti")
-        fresh = checkpointed(fresh)
-        pairs = fresh.select("start", "node")
-        found = pairs if found is None else found.unionByName(pairs)
-        frontier = fresh.filter(F.col("hop") == hops).select("start", "node")
-        if frontier.isEmpty():
-            return found
+    numbers, edges, own = _numbers(starts, all_edges)
+    pairs = reach.members(reach.closure(edges, own, hops).join(own.select(F.col("number").alias("node")), "node", "left_semi"))
+    start, node = (numbers.select(F.col("number").alias(f"_{c}"), F.col("uid").alias(c)) for c in ("start", "node"))
+    return (pairs.select(F.col("node").alias("_start"), F.col("reached").alias("_node"))
+            .join(start, "_start").join(node, "_node").select("start", "node"))
 
 
 def downstream_models(starts: DataFrame, all_edges: DataFrame, hops: int = 4) -> DataFrame:
@@ -123,6 +115,14 @@ def downstream_models(starts: DataFrame, all_edges: DataFrame, hops: int = 4) ->
     return reachable(starts, all_edges, hops).filter(F.col("node").startswith(MODEL_PREFIX))
 
 
+def downstream_counts(starts: DataFrame, all_edges: DataFrame, hops: int = 4) -> DataFrame:
+    """(start, n): how many models lie downstream of each start that has any, counted in bitmaps."""
+    numbers, edges, own = _numbers(starts, all_edges)
+    marked = reach.marks(numbers, {"n": F.col("uid").startswith(MODEL_PREFIX)})
+    found = reach.counts(reach.closure(edges, own, hops), marked).filter("n > 0")
+    return own.join(found, F.col("number") == F.col("node")).select(F.col("uid").alias("start"), "n")
+
+
 def exposures_for_models(affected: DataFrame, all_exposures: DataFrame) -> DataFrame:
     """Exposures that depend on any node affected by a start."""
     needs = all_exposures.select(
@@ -167,41 +167,54 @@ def blast_members(model_names: DataFrame, all_models: DataFrame, all_edges: Data
             .select("model_name", "kind", "member"))
 
 
+def blast_counts(model_names: DataFrame, all_models: DataFrame, all_edges: DataFrame, all_exposures: DataFrame,
+                 hops: int = 4) -> DataFrame:
+    """(model_name, model_uid, n_downstream, n_dashboards, n_ml, n_sla) of each name, without the pairs behind them.
+
+    Exposures are nodes below the models they depend on, so one closure has models and exposures in its bitmaps.
+    """
+    named = resolve_model(model_names.select(F.col("model_name").alias("name")), all_models).select(
+        F.col("name").alias("model_name"), F.col("uid").alias("model_uid"))
+    named = checkpointed(named, "named")
+    starts = named.filter(F.col("model_uid").isNotNull()).select(F.col("model_uid").alias("start")).distinct()
+    reports = checkpointed(one_per_uid(all_exposures).withColumn("uid", F.concat(F.lit("exposure "), "uid")), "reports")
+    needs = reports.select(F.explode(F.array_distinct("depends_on")).alias("parent"), F.col("uid").alias("child"))
+    hits = needs.filter(F.col("parent").startswith(MODEL_PREFIX)).unionByName(
+        needs.join(starts.filter(~F.col("start").startswith(MODEL_PREFIX)).select(F.col("start").alias("parent")), "parent", "left_semi"))
+    numbers, edges, own = _numbers(starts, all_edges.select("parent", "child").unionByName(hits))
+    known = all_models.filter(F.col("uid").startswith(MODEL_PREFIX)).select("uid").distinct().withColumn("_known", F.lit(True))
+    described = (numbers.join(known, "uid", "left").join(reports.select("uid", "exposure_type", "sla"), "uid", "left"))
+    marked = reach.marks(described, {
+        "n_downstream": F.col("_known"), "n_dashboards": F.col("exposure_type").isin("dashboard", "analysis"),
+        "n_ml": F.col("exposure_type") == "ml", "n_sla": F.col("sla") != ""})
+    found = own.join(reach.counts(reach.closure(edges, own, hops), marked), F.col("number") == F.col("node")).drop("number", "node")
+    counts = ["n_downstream", "n_dashboards", "n_ml", "n_sla"]
+    return named.join(found.withColumnRenamed("uid", "model_uid"), "model_uid", "left").select(
+        "model_name", "model_uid", *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in counts])
+
+
 def blast_radius(model_names: DataFrame, all_models: DataFrame, all_edges: DataFrame,
                  all_exposures: DataFrame, hops: int = 4, lists: bool = True) -> DataFrame:
     """Impact of each failed model; unknown models have an empty one with multiplier 1.
 
     With `lists`, the sorted names are packed into arrays as the incident message wants
     them: their length is what one manifest has downstream of a model. Use lists=False
-    (counts only) with `blast_members` for graphs that grow with the data.
+    (counts only, from bitmaps) with `blast_members` for graphs that grow with the data.
     """
-    named, known, hit = _impact(model_names, all_models, all_edges, all_exposures, hops)
-    is_dash = F.col("exposure_type").isin("dashboard", "analysis")
-    is_ml = F.col("exposure_type") == "ml"
-    has_sla = F.coalesce(F.col("sla") != "", F.lit(False))
-
-    def names(condition, text):
-        return F.sort_array(F.collect_list(F.when(condition, text)))
-
-    down_aggs = [F.count(F.lit(1)).alias("n_downstream")]
-    hit_aggs = [F.count_if(is_dash).alias("n_dashboards"), F.count_if(is_ml).alias("n_ml"),
-                F.count_if(has_sla).alias("n_sla")]
-    if lists:
-        down_aggs.append(F.sort_array(F.collect_list("name")).alias("affected_models"))
-        hit_aggs += [names(is_dash, F.col("name")).alias("dashboards"),
-                     names(is_ml, F.col("name")).alias("ml_features"),
-                     names(has_sla, F.concat("name", F.lit(" ("), "sla", F.lit(")"))).alias("sla_breaches")]
-    down = known.groupBy(F.col("start").alias("model_uid")).agg(*down_aggs)
-    hits = hit.groupBy(F.col("start").alias("model_uid")).agg(*hit_aggs)
-    report = named.join(down, "model_uid", "left").join(hits, "model_uid", "left")
-    counts = ["n_downstream", "n_dashboards", "n_ml", "n_sla"]
-    arrays = ["affected_models", "dashboards", "ml_features", "sla_breaches"] if lists else []
+    multiplier = severity_multiplier(F.col("n_downstream"), F.col("n_dashboards"), F.col("n_sla")).alias("severity_multiplier")
+    if not lists:
+        return blast_counts(model_names, all_models, all_edges, all_exposures, hops).select("*", multiplier)
+    members = blast_members(model_names, all_models, all_edges, all_exposures, hops)
+    kinds = {"affected_models": "affected_model", "dashboards": "dashboard", "ml_features": "ml_feature", "sla_breaches": "sla_breach"}
+    packed = members.groupBy("model_name").agg(*[
+        F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.col("member")))).alias(c) for c, kind in kinds.items()])
+    named = resolve_model(model_names.select(F.col("model_name").alias("name")), all_models).select(
+        F.col("name").alias("model_name"), F.col("uid").alias("model_uid"))
     none = F.array().cast("array<string>")
-    return report.select(
-        "model_name", "model_uid", *[F.coalesce(c, F.lit(0)).alias(c) for c in counts],
-        *[F.coalesce(c, none).alias(c) for c in arrays],
-        severity_multiplier(F.coalesce("n_downstream", F.lit(0)), F.coalesce("n_dashboards", F.lit(0)),
-                            F.coalesce("n_sla", F.lit(0))).alias("severity_multiplier"))
+    report = named.join(packed, "model_name", "left").select("model_name", "model_uid", *[F.coalesce(c, none).alias(c) for c in kinds])
+    sizes = {"n_downstream": "affected_models", "n_dashboards": "dashboards", "n_ml": "ml_features", "n_sla": "sla_breaches"}
+    return (report.select("model_name", "model_uid", *[F.size(c).cast("bigint").alias(n) for n, c in sizes.items()], *kinds)
+            .select("*", multiplier))
 
 
 def lineage_incidents(anomalies: DataFrame, blast: DataFrame) -> DataFrame:

@@ -458,7 +458,7 @@ def downstream_models_tree(spark, sf):
     """Every order's descendants in the order tree: all nodes start at once, log-depth graph."""
     orders = inputs.table(spark, sf, "orders").select(
         F.concat(F.lit("model.o"), F.col("o_orderkey").cast("string")).alias("start"))
-    return tally(lineage.downstream_models(orders, inputs.tree_edges(spark, sf)), "start")
+    return lineage.downstream_counts(orders, inputs.tree_edges(spark, sf))
 
 
 def exposures_for_models(spark, sf):
