@@ -89,10 +89,11 @@ def resolve_model(names: DataFrame, all_models: DataFrame) -> DataFrame:
 
 def _numbers(starts: DataFrame, all_edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Numbers of all nodes; edges and starts by number."""
+    all_edges = checkpointed(all_edges.select("parent", "child"), "edges")
     ends = all_edges.select(F.col("parent").alias("uid")).unionByName(all_edges.select(F.col("child").alias("uid")))
     numbers = reach.numbered(ends.unionByName(starts.select(F.col("start").alias("uid"))))
     parent, child = (numbers.select(F.col("uid").alias(c), F.col("number").alias(f"_{c}")) for c in ("parent", "child"))
-    edges = all_edges.select("parent", "child").join(parent, "parent").join(child, "child").select(
+    edges = all_edges.join(parent, "parent").join(child, "child").select(
         F.col("_parent").alias("parent"), F.col("_child").alias("child"))
     own = starts.select(F.col("start").alias("uid")).distinct().join(numbers, "uid")
     return numbers, edges, own

@@ -49,7 +49,7 @@ def closure(edges: DataFrame, starts: DataFrame | None = None, hops: int = 4) ->
     of nodes that lie on ways from them are found.
     """
     step = checkpointed(edges.select("parent", "child").distinct(), "steps")
-    if starts is not None:
+    if starts is not None and not step.join(starts, F.col("parent") == F.col("number"), "left_anti").isEmpty():
         step = checkpointed(_below(starts, step, hops), "steps")
     own = (step.groupBy(F.col("parent").alias("node"), word_of(F.col("child")).alias("word"))
            .agg(F.bit_or(bit_of(F.col("child"))).alias("mask")))
