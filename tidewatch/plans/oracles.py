@@ -227,6 +227,46 @@ TEST_SCORED = """scored AS (
                CASE WHEN agent_severity <> '' THEN upper(agent_severity) WHEN failures >= 100000 THEN 'CRITICAL'
                     WHEN failures >= 10000 THEN 'HIGH' WHEN failures >= 100 THEN 'MEDIUM' ELSE 'LOW' END AS base
         FROM tests t JOIN flaky f USING (run_id, model_name, test_name) WHERE status = 'fail'))"""
+# the same scores with two aggregations a table and no join: counts side by side, unpivoted, flags by window
+_MONTHS = {"orders": "strftime(date_trunc('month', o_orderdate), 'dbt-run-%Y%m%d%H%M%S')",
+           "lineitem": "strftime(date_trunc('month', l_shipdate), 'dbt-run-%Y%m%d%H%M%S')"}
+_COUNTED = {  # position, test, column, failing rows
+    "orders": [(0, "not_null", "priority", "o_orderpriority = '4-NOT SPECIFIED'"), (1, "accepted_values", "o_orderstatus", "o_orderstatus NOT IN ('F', 'O')"),
+               (2, "between", "o_totalprice", "o_totalprice > 499000"), (3, "between", "o_totalprice", "o_totalprice < 1100"),
+               (4, "unique", "o_custkey", None)],
+    "lineitem": [(5, "accepted_values", "l_returnflag", "l_returnflag NOT IN ('A', 'N', 'R')"), (6, "between", "l_discount", "l_discount < 0 OR l_discount > 0.09"),
+                 (7, "between", "l_quantity", "l_quantity > 49"), (8, "not_null", "tax", "l_tax = 0"),
+                 (9, "between", "l_extendedprice", "l_extendedprice > 104500"), (10, "unique", "l_orderkey,l_linenumber", None)]}
+
+
+def _unpivoted(model: str) -> str:
+    checks, key = _COUNTED[model], _COUNTED[model][-1][2]
+    by_key = ", ".join(f"count(*) FILTER ({failing}) AS f{i}" for i, _, _, failing in checks if failing)
+    by_run = ", ".join(f"sum(f{i})::BIGINT AS f{i}" if failing else f"count(*) FILTER (n > 1) AS f{i}" for i, _, _, failing in checks)
+    rows = ", ".join(f"{{'position': {i}, 'test_name': '{test}', 'column_name': '{column}', 'failures': f{i}}}" for i, test, column, _ in checks)
+    return (f"{model}_tests AS (SELECT run_id, '{model}' AS model_name, unnest([{rows}]) AS t FROM (SELECT run_id, {by_run} FROM "
+            f"(SELECT {_MONTHS[model]} AS run_id, {key}, count(*) AS n, {by_key} FROM {model} GROUP BY run_id, {key}) GROUP BY run_id))")
+
+
+FLAT_SCORES = _with(
+    _unpivoted("orders"), _unpivoted("lineitem"),
+    """counted AS (
+  SELECT run_id, model_name, t.position AS position, t.test_name AS test_name, t.column_name AS column_name, t.failures AS failures
+  FROM (SELECT * FROM orders_tests UNION ALL SELECT * FROM lineitem_tests)),
+recent AS (
+  SELECT *, count(*) OVER w AS runs, sum(CASE WHEN failures > 0 THEN 1 ELSE 0 END) OVER w AS failed
+  FROM counted
+  WINDOW w AS (PARTITION BY model_name, test_name ORDER BY substr(run_id, 9), position ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
+flagged AS (
+  SELECT *, first_value(runs) OVER last AS total_runs, first_value(failed) OVER last AS failure_count
+  FROM recent WINDOW last AS (PARTITION BY run_id, model_name, test_name ORDER BY position DESC)),
+scored AS (
+  SELECT run_id, model_name, test_name, column_name, failures, total_runs < 5 AS is_new_test,
+         total_runs >= 5 AND failure_count > 0.20 * total_runs AS is_flaky,
+         CASE WHEN column_name = 'priority' THEN 'CRITICAL' WHEN column_name = 'l_quantity' THEN 'LOW' WHEN failures >= 100000 THEN 'CRITICAL'
+              WHEN failures >= 10000 THEN 'HIGH' WHEN failures >= 100 THEN 'MEDIUM' ELSE 'LOW' END AS base
+  FROM flagged WHERE failures > 0)""")
+FLAT_SEVERITY = "CASE WHEN is_flaky AND base IN ('HIGH', 'CRITICAL') THEN 'MEDIUM' ELSE base END AS severity"
 QUALITY = _with(TESTS, FLAKY, TEST_SCORED) + f"""
 SELECT sha256('quality|' || run_id || '|' || model_name) AS signal_id, 'quality_failure' AS anomaly_type,
        'quality_auditor' AS source_agent, run_id, model_name,
@@ -547,9 +587,9 @@ ORACLES = {
     "failed_tests": _with(TESTS) + f"SELECT {FLAT_TEST} FROM tests WHERE status = 'fail'",
     "test_history": _with(TESTS) + f"SELECT model_name, test_name, run_id, status = 'pass' AS passed, CAST(failures AS DOUBLE) AS failure_rate, {_ts('run_at')} AS run_at, position FROM tests",
     "flakiness": _with(TESTS, FLAKY) + "SELECT * REPLACE (round(flakiness_rate, 4) AS flakiness_rate) FROM flaky",
-    "test_severity": _with(TESTS, FLAKY, TEST_SCORED) + "SELECT run_id, model_name, test_name, column_name, failures, severity, is_flaky, is_new_test FROM scored",
+    "test_severity": FLAT_SCORES + f"SELECT run_id, model_name, test_name, column_name, failures, {FLAT_SEVERITY}, is_flaky, is_new_test FROM scored",
     "quality_anomalies": QUALITY, "stream_quality": QUALITY,
-    "quality_anomaly_tests": _with(TESTS, FLAKY, TEST_SCORED) + "SELECT sha256('quality|' || run_id || '|' || model_name) AS signal_id, run_id, model_name, test_name, column_name, failures, severity, is_flaky, 'high' AS blast_radius, 'data-platform' AS oncall_team, 'Got ' || failures || ' results' AS message FROM scored",
+    "quality_anomaly_tests": FLAT_SCORES + f"SELECT sha256('quality|' || run_id || '|' || model_name) AS signal_id, run_id, model_name, test_name, column_name, failures, {FLAT_SEVERITY}, is_flaky, 'high' AS blast_radius, 'data-platform' AS oncall_team, 'Got ' || failures || ' results' AS message FROM scored",
     "run_summary": _with(TESTS) + "SELECT run_id, count(*) AS total_tests, count(*) FILTER (status = 'fail') AS failed_tests, count(DISTINCT model_name) FILTER (status = 'fail') AS n_signals FROM tests GROUP BY 1",
     # F
     "models": _with(CATALOG) + "SELECT project, uid, name, 'analytics' AS schema, 'prod' AS database, 'The ' || name AS description, level AS tags, level FROM models",
