@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.functions.severity import escalate_by_blast, severity_multiplier
-from tidewatch.operators import lineage
+from tidewatch.operators import lineage, reach
 from tidewatch.sources import artifacts
 
 
@@ -157,3 +157,19 @@ def test_cycle_through_the_start_and_name_lookup(spark):
     models = spark.createDataFrame([("u2", "dup", 2), ("u1", "dup", 1)], "uid string, name string, pos int")
     got = lineage.resolve_model(spark.createDataFrame([("dup",), ("no",)], "name string"), models).collect()
     assert {r.name: r.uid for r in got} == {"dup": "u1", "no": None}
+
+
+def test_closure_updated_by_changed_edges_equals_a_new_one(spark):
+    rnd = random.Random(9)
+    def table(rows):
+        return spark.createDataFrame(sorted(rows), "parent bigint, child bigint")
+    edges = {(g * 200 + rnd.randrange(15), g * 200 + rnd.randrange(15)) for g in range(5) for _ in range(20)} | {(1000 + i, 1001 + i) for i in range(70)}
+    words = reach.closure(table(edges))
+    for _ in range(4):
+        gone = set(rnd.sample(sorted(edges), 6))
+        now = (edges - gone) | {(rnd.randrange(1000), rnd.randrange(1100)) for _ in range(3)} | {(1000 + rnd.randrange(60), 64 * rnd.randrange(30))}
+        words = reach.updated(words, table(edges), table(now))
+        edges = now
+        got = {(r.node, r.reached) for r in reach.members(words).collect()}
+        assert got == {(a, b) for a in {p for p, _ in edges} for b in brute(edges, a)}
+    assert words.filter("mask = 0").isEmpty()

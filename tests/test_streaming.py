@@ -174,4 +174,5 @@ def test_lineage_stream_follows_new_manifests(spark, tmp_path):
         rows = storage.read_history(spark, f"{base}/out", "run_id string, n_downstream bigint").collect()
         found = sorted((r.run_id, r.n_downstream) for r in rows)
     assert found == [("r0", 2), ("r1", 0), ("r2", 2)]
-    assert sorted(storage.list_folder(spark, f"{base}/blast")) == ["version=2", "version=3"]
+    assert sorted(storage.list_folder(spark, f"{base}/blast")) == ["graph=2", "graph=3", "version=2", "version=3"]
+    assert live.publish_blast(spark, f"{base}/m", f"{base}/blast") == 3  # the same content again

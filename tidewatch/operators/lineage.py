@@ -87,14 +87,21 @@ def resolve_model(names: DataFrame, all_models: DataFrame) -> DataFrame:
             .join(first, "name", "left").select("name", F.col("m.uid").alias("uid")))
 
 
+def _ends(all_edges: DataFrame) -> DataFrame:
+    return all_edges.select(F.col("parent").alias("uid")).unionByName(all_edges.select(F.col("child").alias("uid")))
+
+
+def _by_number(all_edges: DataFrame, numbers: DataFrame) -> DataFrame:
+    parent, child = (numbers.select(F.col("uid").alias(c), F.col("number").alias(f"_{c}")) for c in ("parent", "child"))
+    return all_edges.join(parent, "parent").join(child, "child").select(
+        F.col("_parent").alias("parent"), F.col("_child").alias("child"))
+
+
 def _numbers(starts: DataFrame, all_edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Numbers of all nodes; edges and starts by number."""
     all_edges = checkpointed(all_edges.select("parent", "child"), "edges")
-    ends = all_edges.select(F.col("parent").alias("uid")).unionByName(all_edges.select(F.col("child").alias("uid")))
-    numbers = reach.numbered(ends.unionByName(starts.select(F.col("start").alias("uid"))))
-    parent, child = (numbers.select(F.col("uid").alias(c), F.col("number").alias(f"_{c}")) for c in ("parent", "child"))
-    edges = all_edges.join(parent, "parent").join(child, "child").select(
-        F.col("_parent").alias("parent"), F.col("_child").alias("child"))
+    numbers = reach.numbered(_ends(all_edges).unionByName(starts.select(F.col("start").alias("uid"))))
+    edges = _by_number(all_edges, numbers)
     own = starts.select(F.col("start").alias("uid")).distinct().join(numbers, "uid")
     return numbers, edges, own
 
@@ -178,22 +185,56 @@ def blast_counts(model_names: DataFrame, all_models: DataFrame, all_edges: DataF
         F.col("name").alias("model_name"), F.col("uid").alias("model_uid"))
     named = checkpointed(named, "named")
     starts = named.filter(F.col("model_uid").isNotNull()).select(F.col("model_uid").alias("start")).distinct()
-    reports = checkpointed(one_per_uid(all_exposures).withColumn("uid", F.concat(F.lit("exposure "), "uid")), "reports")
+    reports = checkpointed(_reports(all_exposures), "reports")
+    numbers, edges, own = _numbers(starts, _with_reports(all_edges, reports, starts))
+    return _counted(named, reach.closure(edges, own, hops), numbers, all_models, reports)
+
+
+def _reports(all_exposures: DataFrame) -> DataFrame:
+    """Exposures under names that no node has."""
+    return one_per_uid(all_exposures).withColumn("uid", F.concat(F.lit("exposure "), "uid"))
+
+
+def _with_reports(all_edges: DataFrame, reports: DataFrame, starts: DataFrame) -> DataFrame:
+    """The edges, and those from models and starts to the exposures that depend on them."""
     needs = reports.select(F.explode(F.array_distinct("depends_on")).alias("parent"), F.col("uid").alias("child"))
-    hits = needs.filter(F.col("parent").startswith(MODEL_PREFIX)).unionByName(
-        needs.join(starts.filter(~F.col("start").startswith(MODEL_PREFIX)).select(F.col("start").alias("parent")), "parent", "left_semi"))
-    numbers, edges, own = _numbers(starts, all_edges.select("parent", "child").unionByName(hits))
+    other = starts.filter(~F.col("start").startswith(MODEL_PREFIX)).select(F.col("start").alias("parent"))
+    hits = needs.filter(F.col("parent").startswith(MODEL_PREFIX)).unionByName(needs.join(other, "parent", "left_semi"))
+    return all_edges.select("parent", "child").unionByName(hits).distinct()
+
+
+def _counted(named: DataFrame, words: DataFrame, numbers: DataFrame, all_models: DataFrame, reports: DataFrame) -> DataFrame:
+    """Impact counts of (model_name, model_uid) from the closure of models and exposures."""
     known = all_models.filter(F.col("uid").startswith(MODEL_PREFIX)).select("uid").distinct().withColumn("_known", F.lit(True))
     described = (numbers.join(known, "uid", "left").join(reports.select("uid", "exposure_type", "sla"), "uid", "left"))
     marked = reach.marks(described, {
         "n_downstream": F.col("_known"), "n_dashboards": F.col("exposure_type").isin("dashboard", "analysis"),
         "n_ml": F.col("exposure_type") == "ml", "n_sla": F.col("sla") != ""})
-    found = own.join(reach.counts(reach.closure(edges, own, hops), marked), F.col("number") == F.col("node")).drop("number", "node")
+    found = numbers.join(reach.counts(words, marked), F.col("number") == F.col("node")).drop("number", "node")
     counts = ["n_downstream", "n_dashboards", "n_ml", "n_sla"]
     return named.join(found.withColumnRenamed("uid", "model_uid"), "model_uid", "left").select(
         "model_name", "model_uid", *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in counts])
 
 
+def update_graph(all_models: DataFrame, all_edges: DataFrame, all_exposures: DataFrame,
+                 before: tuple[DataFrame, DataFrame, DataFrame] | None = None, hops: int = 4) -> tuple:
+    """((numbers, edges, closure), blast counts of all models by name) of a catalog.
+
+    Given the graph of the catalog as it was before, only what the added and removed edges change is found anew.
+    """
+    reports = checkpointed(_reports(all_exposures), "reports")
+    uids = all_models.select(F.col("uid").alias("start")).distinct()
+    text = checkpointed(_with_reports(all_edges, reports, uids), "edges")
+    names = _ends(text).unionByName(uids.select(F.col("start").alias("uid")))
+    numbers = reach.numbered(names) if before is None else checkpointed(reach.renumbered(before[0], names), "numbers")
+    edges = checkpointed(_by_number(text, numbers), "steps")
+    words = reach.closure(edges, hops=hops) if before is None else reach.updated(before[2], before[1], edges, hops)
+    words = checkpointed(words, "reached")
+    named = resolve_model(all_models.select("name"), all_models).select(F.col("name").alias("model_name"), F.col("uid").alias("model_uid"))
+    multiplier = severity_multiplier(F.col("n_downstream"), F.col("n_dashboards"), F.col("n_sla")).alias("severity_multiplier")
+    return (numbers, edges, words), _counted(named, words, numbers, all_models, reports).select("*", multiplier)
+
+
 def blast_radius(model_names: DataFrame, all_models: DataFrame, all_edges: DataFrame,
                  all_exposures: DataFrame, hops: int = 4, lists: bool = True) -> DataFrame:
     """Impact of each failed model; unknown models have an empty one with multiplier 1.

@@ -26,6 +26,14 @@ def numbered(names: DataFrame) -> DataFrame:
     return checkpointed(spread.withColumn("number", F.monotonically_increasing_id()), "numbers")
 
 
+def renumbered(numbers: DataFrame, names: DataFrame) -> DataFrame:
+    """`numbers` and further ones for the uids that have none yet; those given stay."""
+    last = numbers.agg(F.max("number")).first()[0]
+    fresh = numbered(names.select("uid").distinct().join(numbers, "uid", "left_anti"))
+    start = 0 if last is None else (last // BITS + 1) * BITS
+    return numbers.unionByName(fresh.select("uid", (F.col("number") + start).alias("number")))
+
+
 def _below(starts: DataFrame, step: DataFrame, hops: int) -> DataFrame:
     """The edges that lie behind any of the starts (number): what other nodes reach is not asked for."""
     seen = frontier = checkpointed(starts.select("number").distinct(), "seen")
@@ -51,8 +59,16 @@ def closure(edges: DataFrame, starts: DataFrame | None = None, hops: int = 4) ->
     step = checkpointed(edges.select("parent", "child").distinct(), "steps")
     if starts is not None and not step.join(starts, F.col("parent") == F.col("number"), "left_anti").isEmpty():
         step = checkpointed(_below(starts, step, hops), "steps")
-    own = (step.groupBy(F.col("parent").alias("node"), word_of(F.col("child")).alias("word"))
-           .agg(F.bit_or(bit_of(F.col("child"))).alias("mask")))
+    return _grow(step, _children(step), hops)
+
+
+def _children(step: DataFrame) -> DataFrame:
+    return (step.groupBy(F.col("parent").alias("node"), word_of(F.col("child")).alias("word"))
+            .agg(F.bit_or(bit_of(F.col("child"))).alias("mask")))
+
+
+def _grow(step: DataFrame, own: DataFrame, hops: int) -> DataFrame:
+    """Sets that hold `own` and all sets of the nodes that edges of `step` lead to."""
     known = frontier = checkpointed(own, "reached")
     while True:
         layer, layers = frontier.select("node", "word", "mask"), None
@@ -73,6 +89,27 @@ def closure(edges: DataFrame, starts: DataFrame | None = None, hops: int = 4) ->
             return known.groupBy("node", "word").agg(F.bit_or("mask").alias("mask"))
 
 
+def updated(words: DataFrame, before: DataFrame, edges: DataFrame, hops: int = 4) -> DataFrame:
+    """The closure of `edges`, from that of the edges `before` (all by the same numbers).
+
+    Only nodes that reach a parent of an added or removed edge can change. Their sets are found anew, from their children and the
+    sets of children that don't change; all other sets stay. So the work follows the change, not the graph.
+    """
+    pair = ["parent", "child"]
+    roots = edges.join(before, pair, "left_anti").select("parent").unionByName(before.join(edges, pair, "left_anti").select("parent"))
+    roots = checkpointed(roots.select(F.col("parent").alias("number")).distinct(), "changed")
+    asked = marks(roots, {"asked": F.lit(True)})
+    above = words.join(asked, "word").filter(F.col("mask").bitwiseAND(F.col("asked")) != 0).select(F.col("node").alias("number"))
+    affected = checkpointed(roots.unionByName(above).distinct(), "affected")
+    inner = checkpointed(edges.join(affected.withColumnRenamed("number", "parent"), "parent", "left_semi"), "steps")
+    child = affected.select(F.col("number").alias("child"))
+    settled = inner.join(child, "child", "left_anti").join(words, F.col("child") == F.col("node")).select(
+        F.col("parent").alias("node"), "word", "mask")
+    own = _children(inner).unionByName(settled).groupBy("node", "word").agg(F.bit_or("mask").alias("mask"))
+    grown = _grow(inner.join(child, "child", "left_semi"), own, hops)
+    return words.join(affected.withColumnRenamed("number", "node"), "node", "left_anti").unionByName(grown)
+
+
 def members(words: DataFrame) -> DataFrame:
     """(node, reached): the sets as pairs of numbers."""
     bits = F.filter(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda b: F.getbit(F.col("mask"), b) == 1)

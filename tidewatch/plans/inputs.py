@@ -285,13 +285,13 @@ SEGMENT_KIND = {"AUTOMOBILE": "dashboard", "BUILDING": "dashboard", "FURNITURE":
 SEGMENT_SLA = {"BUILDING": "by_breakfast", "MACHINERY": "hourly"}
 
 
-def manifests(spark, sf_dir) -> DataFrame:
+def manifests(spark, sf_dir, keep: str = "true") -> DataFrame:
     """One manifest per region, found from the customers: region > nation > snapshot >
-    (nation, segment) models, a test under each nation, and exposures on top.
+    (nation, segment) models, a test under each nation, and exposures on top. `keep` leaves customers out.
 
     Its size is the number of nations times segments, not that of the customer table.
     """
-    used = (table(spark, sf_dir, "customer").select("c_nationkey", "c_mktsegment").distinct()
+    used = (table(spark, sf_dir, "customer").filter(keep).select("c_nationkey", "c_mktsegment").distinct()
             .join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
             .select(_text("n_regionkey").alias("r"), _text("n_nationkey").alias("n"),
                     F.col("c_mktsegment").alias("s")))

@@ -411,6 +411,16 @@ LINEAGE_FLAT = f"""SELECT sha256('lineage|' || signal_id) AS incident_id, run_id
 FROM (SELECT a.*, coalesce(n_downstream, 0) AS n_downstream, coalesce(n_dashboards, 0) AS n_dashboards,
              coalesce(n_ml, 0) AS n_ml, coalesce(n_sla, 0) AS n_sla, coalesce(severity_multiplier, 1.0::DOUBLE) AS severity_multiplier
       FROM anomalies a LEFT JOIN blast b USING (model_name) WHERE model_name IS NOT NULL)"""
+CATALOG_VERSIONS = ["c_nationkey % 3 <> 1 OR c_mktsegment <> 'BUILDING'", "true", "c_nationkey % 4 <> 2 AND c_mktsegment <> 'MACHINERY'"]
+
+
+def _catalog_version(n: int, keep: str) -> str:
+    graph = [SMALL[0].replace("ON c_nationkey = n_nationkey", f"ON c_nationkey = n_nationkey WHERE {keep}"), *SMALL[1:]]
+    return (f"SELECT {n}::BIGINT AS version, * FROM (" + _with(*graph, BLAST, recursive=True)
+            + "SELECT model_name, model_uid, n_downstream, n_dashboards, n_ml, n_sla, severity_multiplier FROM blast)")
+
+
+MANIFEST_VERSIONS = "\nUNION ALL ".join(_catalog_version(n, keep) for n, keep in enumerate(CATALOG_VERSIONS, start=1))
 LINEAGE = _with(*SMALL, BLAST, ANOMALIES, recursive=True) + LINEAGE_FLAT
 NAMED_BLAST = """named AS (
   SELECT n.model_name, coalesce(model_uid, '') AS model_uid, coalesce(n_downstream, 0) AS n_downstream,
@@ -607,7 +617,7 @@ ORACLES = {
     "blast_radius_lists": _with(*SMALL, BLAST, ANOMALIES, NAMED_BLAST, recursive=True) + "SELECT * FROM named",
     "severity_multiplier": _with(*BIG, BLAST, recursive=True) + "SELECT severity_multiplier, count(*) AS n FROM blast GROUP BY 1",
     "escalate_by_blast": _with(*SMALL, BLAST, ANOMALIES, NAMED_BLAST, recursive=True) + f"SELECT severity, severity_multiplier, {ESCALATED} AS escalated, count(*) AS n FROM (SELECT a.severity, coalesce(n.severity_multiplier, 1.0::DOUBLE) AS severity_multiplier FROM anomalies a LEFT JOIN named n USING (model_name)) GROUP BY 1, 2, 3",
-    "lineage_incidents": LINEAGE, "stream_lineage": LINEAGE,
+    "lineage_incidents": LINEAGE, "stream_lineage": LINEAGE, "stream_manifests": MANIFEST_VERSIONS,
     "impact_text": _with(*SMALL, BLAST, ANOMALIES, NAMED_BLAST, recursive=True) + """SELECT model_name,
   CASE WHEN sla_breaches <> '' THEN 'SLA at risk: ' || replace(sla_breaches, ',', ', ') ELSE '' END AS sla_impact,
   concat_ws(chr(10), 'Model ''' || model_name || ''' failure affects:', '  • ' || n_downstream || ' downstream models',

@@ -839,6 +839,24 @@ def stream_lineage(spark, sf):
         "n_sla bigint, severity_multiplier double")))
 
 
+#: What of the customers the catalog is made of, version by version.
+CATALOG_VERSIONS = ["c_nationkey % 3 <> 1 OR c_mktsegment <> 'BUILDING'", "true", "c_nationkey % 4 <> 2 AND c_mktsegment <> 'MACHINERY'"]
+
+
+def stream_manifests(spark, sf):
+    """Blast counts after each of three publications of the manifests, the latter two updated from the one before."""
+    base = storage.fresh_folder(spark, "manifests")
+    parts = None
+    for n, keep in enumerate(CATALOG_VERSIONS, start=1):
+        rows = inputs.manifests(spark, sf, keep).withColumn("published_at", F.lit(f"2024-01-0{n} 00:00:00").cast("timestamp"))
+        rows.write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
+        live.stream_manifests(stream, f"{base}/blast", f"{base}/checkpoint").awaitTermination()
+        now = storage.checkpointed(live.latest_blast(spark, f"{base}/blast").withColumn("version", F.lit(n).cast("bigint")))
+        parts = now if parts is None else parts.unionByName(now)
+    return parts.select("version", "model_name", "model_uid", "n_downstream", "n_dashboards", "n_ml", "n_sla", "severity_multiplier")
+
+
 def emit_gate(spark, sf):
     found = inputs.anomalies(spark, sf)
     parts = [tally(live.emit_gate(found, mode), "severity").withColumn("mode", F.lit(mode))
@@ -903,5 +921,5 @@ QUERIES = {
     "reconcile_partitions": reconcile_partitions,
     "stream_ingestion_anomalies": stream_ingestion_anomalies, "stream_schema_drift": stream_schema_drift,
     "stream_buckets": stream_buckets, "stream_quality": stream_quality, "new_artifacts": new_artifacts,
-    "stream_lineage": stream_lineage, "emit_gate": emit_gate, "late_signals": late_signals,
+    "stream_lineage": stream_lineage, "stream_manifests": stream_manifests, "emit_gate": emit_gate, "late_signals": late_signals,
 }

@@ -60,9 +60,12 @@ def manifests_from(raw: DataFrame) -> tuple:
 
 def read_manifest(spark: SparkSession, path: str) -> tuple:
     """(models, exposures, edges) of all manifests under a path or glob; project = its file."""
-    raw = (spark.read.schema(MANIFEST).option("multiLine", "true").json(path)
-           .withColumn("project", F.col("_metadata.file_path")))
-    return manifests_from(raw)
+    return manifests_from(read_raw_manifests(spark, path))
+
+
+def read_raw_manifests(spark: SparkSession, path: str) -> DataFrame:
+    return (spark.read.schema(MANIFEST).option("multiLine", "true").json(path)
+            .withColumn("project", F.col("_metadata.file_path")))
 
 
 def new_artifacts(spark: SparkSession, path: str, schema, max_files: int | None = None) -> DataFrame:

@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from tidewatch.functions.keys import stable_id
 from tidewatch.functions.severity import severity_name, severity_rank
 from tidewatch.operators import contracts, correlate, ingestion, lineage, quality
-from tidewatch.sources.artifacts import parse_test_results, read_manifest
+from tidewatch.sources.artifacts import manifests_from, parse_test_results, read_raw_manifests
 from tidewatch.sources.messages import encode_messages
-from tidewatch.sources.storage import append_history, list_folder, remove_folder
+from tidewatch.sources.storage import append_history, checkpointed, list_folder, remove_folder, upsert_latest
 from tidewatch.streaming import state
 from tidewatch.types import ANOMALY_TYPES, COLUMN_DEF
 
@@ -218,22 +218,61 @@ def stream_lineage(anomalies: DataFrame, blast_path: str, out: str, checkpoint:
     return start(anomalies, each_batch, checkpoint, once)
 
 
-def publish_blast(spark, manifests: str, blast_path: str) -> int:
-    """Computes the blast table of all models of the manifests under a path and adds it as a new version.
+_GRAPH = ("numbers", "edges", "words")
 
-    To be run when a manifest changes. Running readers keep the version they have; a version is complete once it has
-    its success mark, and the last two stay.
+
+def publish_blast(spark, manifests: str | DataFrame, blast_path: str) -> int:
+    """Brings the blast table of all models of the manifests up to date, as a new version; returns its number.
+
+    `manifests` is a path, or rows as `artifacts.manifests_from` takes them. Manifests of the same content as
+    those of the newest version make no new one. The graph and its closure lie next to each version, and a changed manifest
+    only has the sets found anew that its added and removed edges reach. Running readers keep the version they have; a version
+    is complete once it has its success mark, and the last two stay.
     """
-    models, exposures, edges = read_manifest(spark, manifests)
-    names = models.select(F.col("name").alias("model_name")).distinct()
+    raw = checkpointed(read_raw_manifests(spark, manifests) if isinstance(manifests, str) else manifests, "manifests")
+    content = raw.select(F.sha2(F.to_json(F.struct("project", "nodes", "exposures", "child_map", "parent_map")), 256).alias("h"))
+    content = content.agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256)).first()[0]  # a hash per manifest
     done = _versions(spark, blast_path)
-    version = max(done, default=0) + 1
-    lineage.blast_radius(names, models, edges, exposures, lists=False).write.mode("overwrite").parquet(f"{blast_path}/version={version}")
+    last, before = max(done, default=0), None
+    if last:
+        graph = f"{blast_path}/graph={last}"
+        if spark.read.parquet(f"{graph}/content").first()[0] == content:
+            return last
+        before = tuple(spark.read.parquet(f"{graph}/{part}") for part in _GRAPH)
+    version, graph = last + 1, f"{blast_path}/graph={last + 1}"
+    models, exposures, edges = manifests_from(raw)
+    stored, blast = lineage.update_graph(models, edges, exposures, before)
+    for part, rows in zip(_GRAPH, stored):
+        rows.write.mode("overwrite").parquet(f"{graph}/{part}")
+    spark.createDataFrame([(content,)], "content string").write.mode("overwrite").parquet(f"{graph}/content")
+    blast.write.mode("overwrite").parquet(f"{blast_path}/version={version}")  # last: its mark makes the version complete
     for old in sorted(done)[:-1]:
         remove_folder(spark, f"{blast_path}/version={old}")
+        remove_folder(spark, f"{blast_path}/graph={old}")
     return version
 
 
+def stream_manifests(manifests: DataFrame, blast_path: str, checkpoint: str, once: bool = True):
+    """Publishes a new blast version whenever a manifest is published with other content than its project's last one.
+
+    `manifests` is a stream of rows (project, published_at, nodes, exposures, child_map, parent_map); of each project the
+    newest counts, and projects without a new manifest keep theirs.
+    """
+    spark, columns = manifests.sparkSession, manifests.columns
+
+    def each_batch(batch: DataFrame, batch_id: int) -> None:
+        kept = f"{blast_path}/manifests"
+        last = [b for b in (int(n.split("=")[1]) for n in list_folder(spark, kept)) if b < batch_id]
+        current = batch.select(*columns)
+        stored = spark.read.parquet(f"{kept}/batch={max(last)}") if last else current.limit(0)
+        upsert_latest(stored, current, ["project"], "published_at").write.mode("overwrite").parquet(f"{kept}/batch={batch_id}")
+        publish_blast(spark, spark.read.parquet(f"{kept}/batch={batch_id}"), blast_path)
+        for old in sorted(last)[:-1]:
+            remove_folder(spark, f"{kept}/batch={old}")
+
+    return start(manifests, each_batch, checkpoint, once)
+
+
 def _versions(spark, blast_path: str) -> list[int]:
     return [int(name.split("=")[1]) for name in list_folder(spark, blast_path)
             if name.startswith("version=") and "_SUCCESS" in list_folder(spark, f"{blast_path}/{name}")]
