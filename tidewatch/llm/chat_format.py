@@ -7,7 +7,10 @@ they hold for any tokenizer.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from tidewatch.llm.merkle import placed
+from tidewatch.sources.storage import checkpointed
 
 _TURNS = "array<struct<turn:bigint,role:string,text:string>>"
 
@@ -50,51 +53,75 @@ def preference_pairs(pairs: DataFrame, chosen: str = "chosen", rejected: str = "
 
     Turns are equal if role and text are (nulls equal each other); the turn number doesn't count. If one side is the
     beginning of the other, its completion is empty, as both are for equal sides. A null text or role is rendered empty, a
-    null side has no turns. Rows that repeat give a result each.
+    null side has no turns. Rows that repeat give a result each. Other columns stay, but for those with the name of a result,
+    which the result replaces. Sides are rendered whole, whatever their length: a row is as large as its conversation.
     """
-    sides = {x: F.coalesce(F.col(c), F.array().cast(_TURNS)) for x, c in (("chosen", chosen), ("rejected", rejected))}
-    kept = [c for c in pairs.columns if c not in (chosen, rejected)]
-    both = pairs.select(*kept, sides["chosen"].alias("_c"), sides["rejected"].alias("_r"))
-    n = F.least(F.size("_c"), F.size("_r"))
-    same = lambda i: F.get("_c", i)["role"].eqNullSafe(F.get("_r", i)["role"]) & F.get("_c", i)["text"].eqNullSafe(F.get("_r", i)["text"])
-    differ = F.filter(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), lambda i: (i >= n) | ~same(i))
-    both = both.withColumn("n_prompt_turns", F.get(differ, F.lit(0)))
-    rest = lambda c: F.slice(c, F.col("n_prompt_turns") + 1, F.greatest(F.size(c), F.lit(1)))
-    return both.select(*kept, "n_prompt_turns", _rendered(F.slice("_c", F.lit(1), F.col("n_prompt_turns"))).alias("prompt"),
-                       *[x.alias(name) for c, name in (("_c", "chosen"), ("_r", "rejected")) for x in (_rendered(rest(c)),)],
-                       *[x.alias(f"{name}_spans") for c, name in (("_c", "chosen"), ("_r", "rejected")) for x in (_spans(rest(c)),)])
+    sides = {x: F.coalesce(F.col(f"`{c}`"), F.array().cast(_TURNS)) for x, c in (("chosen", chosen), ("rejected", rejected))}
+    kept = [c for c in pairs.columns if c not in (chosen, rejected, *_RESULTS)]
+    both = pairs.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in kept]).alias("kept"), sides["chosen"].alias("c"), sides["rejected"].alias("r"))
+    n = F.least(F.size("c"), F.size("r"))
+    same = lambda i: F.get("c", i)["role"].eqNullSafe(F.get("r", i)["role"]) & F.get("c", i)["text"].eqNullSafe(F.get("r", i)["text"])
+    differ = F.filter(F.sequence(F.lit(0), n), lambda i: (i >= n) | ~same(i))
+    both = both.withColumn("n", F.get(differ, F.lit(0)))
+    rest = lambda c: F.slice(c, F.col("n") + 1, F.greatest(F.size(c), F.lit(1)))
+    values = [F.col("n"), _rendered(F.slice("c", F.lit(1), F.col("n"))), _rendered(rest("c")), _rendered(rest("r")), _spans(rest("c")), _spans(rest("r"))]
+    return both.select(*[F.col(f"kept.`{c}`") for c in kept], *[v.alias(name) for v, name in zip(values, _RESULTS)])
 
 
-def op2_chat_format(spark, sf_dir: str) -> DataFrame:
-    """Each conversation up to its last answer as chosen; as rejected the same with the last answer of the next conversation.
+_RESULTS = ("n_prompt_turns", "prompt", "chosen", "rejected", "chosen_spans", "rejected_spans")
+
 
-    Conversations without an answer, or without a next one that has an answer, make no pair.
+def exchanged_answers(turns: DataFrame, id_col: str = "conv_id") -> DataFrame:
+    """(id, chosen, rejected): each conversation that has an answer, and the same with the answers of the next one that has any.
+
+    Next is by id, the last one's next is the first; a single answered conversation makes no pair. The n-th answer of one takes
+    the place of the n-th of the other; where that has fewer, the own ones stay. All other turns, also after the last answer, are
+    those of both sides. So the sides part at the first answer that differs, and are equal if none does.
     """
-    talks = conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
-    last = F.array_max(F.filter(F.sequence(F.lit(1), F.size("turns")), lambda i: F.element_at("turns", i)["role"] == "assistant"))
-    talks = talks.withColumn("last", last).where("last IS NOT NULL")
-    answers = talks.select((F.col("conv_id") - 1).alias("conv_id"), F.element_at("turns", F.col("last"))["text"].alias("other"))
-    pairs = talks.join(answers, "conv_id").select(
-        "conv_id", F.slice("turns", 1, F.col("last")).alias("chosen"),
-        F.concat(F.slice("turns", F.lit(1), F.col("last") - 1),
-                 F.array(F.struct(F.element_at("turns", F.col("last"))["turn"].alias("turn"), F.lit("assistant").alias("role"), F.col("other").alias("text")))).alias("rejected"))
+    rows = turns.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    order = [F.asc_nulls_first(c) for c in ("turn", "role", "text")]
+    rows = checkpointed(rows.withColumn("at", F.row_number().over(Window.partitionBy("id").orderBy(*order)))
+                        .withColumn("answer", F.when(F.col("role") == "assistant", F.row_number().over(Window.partitionBy("id", "role").orderBy(*order)))), "turns")
+    answers = rows.where("answer IS NOT NULL").select("id", "answer", F.col("text").alias("other"))
+    ids = placed(answers.select(F.lit("").alias("tree"), "id").distinct(), ["id"]).where("n > 1")
+    following = ids.select("id", ((F.col("place") + 1) % F.col("n")).alias("place")).join(ids.select("place", F.col("id").alias("next")), "place").select("id", "next")
+    theirs = following.join(answers.withColumnRenamed("id", "next"), "next").select("id", "answer", "other", F.lit(True).alias("taken"))
+    both = rows.join(following.select("id"), "id", "left_semi").join(theirs, ["id", "answer"], "left")
+    side = lambda text: F.transform(F.sort_array(F.collect_list(F.struct("at", "turn", "role", text.alias("text")))), lambda t: t.dropFields("at"))
+    return both.groupBy("id").agg(side(F.col("text")).alias("chosen"), side(F.when(F.col("taken"), F.col("other")).otherwise(F.col("text"))).alias("rejected")
+                                  ).withColumnRenamed("id", id_col)
+
+
+def op2_chat_format(spark, sf_dir: str) -> DataFrame:
+    """Each answered conversation as chosen; as rejected the same with the answers of the next answered one."""
+    pairs = exchanged_answers(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
     text = lambda c: F.array_join(F.transform(c, lambda s: F.concat(s["begin"].cast("string"), F.lit("-"), s["end"].cast("string"))), ",").alias(c)
     return preference_pairs(pairs).select("conv_id", "n_prompt_turns", "prompt", "chosen", "rejected", text("chosen_spans"), text("rejected_spans"))
 
 
+def _side(name: str, text: str) -> str:
+    return f"""
+{name} AS (SELECT conv_id, string_agg(head || body, '' ORDER BY p) AS {name},
+    string_agg((till - length(body)) || '-' || till, ',' ORDER BY p) FILTER (role = 'assistant') AS {name}_spans
+  FROM (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id ORDER BY p)::BIGINT AS till
+        FROM (SELECT conv_id, p, role, '<|' || coalesce(role, '') || e'|>\n' AS head, coalesce({text}, '') || e'<|end|>\n' AS body
+              FROM side JOIN parts USING (conv_id) WHERE p >= parts)) GROUP BY conv_id)"""
+
+
 ORACLE = r"""
-WITH t AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS p
-           FROM conversations WHERE conv_id IS NOT NULL),
-last AS (SELECT conv_id, max(p) AS last FROM t WHERE role = 'assistant' GROUP BY conv_id),
-answer AS (SELECT conv_id, last, text FROM t JOIN last USING (conv_id) WHERE p = last),
-pair AS (SELECT a.conv_id, a.last, coalesce(a.text, '') AS mine, coalesce(b.text, '') AS other, a.text IS NOT DISTINCT FROM b.text AS same
-         FROM answer a JOIN answer b ON b.conv_id = a.conv_id + 1),
-prompt AS (SELECT conv_id, string_agg('<|' || coalesce(role, '') || e'|>\n' || coalesce(text, '') || e'<|end|>\n', '' ORDER BY p) AS prompt, count(*) AS n
-           FROM t JOIN pair USING (conv_id) WHERE p < last OR (p = last AND same) GROUP BY conv_id)
-SELECT conv_id, coalesce(n, 0)::INTEGER AS n_prompt_turns, coalesce(prompt, '') AS prompt,
-       CASE WHEN same THEN '' ELSE e'<|assistant|>\n' || mine || e'<|end|>\n' END AS chosen,
-       CASE WHEN same THEN '' ELSE e'<|assistant|>\n' || other || e'<|end|>\n' END AS rejected,
-       CASE WHEN same THEN '' ELSE '14-' || (22 + length(mine)) END AS chosen_spans,
-       CASE WHEN same THEN '' ELSE '14-' || (22 + length(other)) END AS rejected_spans
-FROM pair LEFT JOIN prompt USING (conv_id)
+WITH t AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS p,
+    row_number() OVER (PARTITION BY conv_id, role ORDER BY turn NULLS FIRST, text NULLS FIRST) AS j FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT conv_id, coalesce(lead(conv_id) OVER (ORDER BY conv_id), min(conv_id) OVER ()) AS next, count(*) OVER () AS n
+        FROM (SELECT DISTINCT conv_id FROM t WHERE role = 'assistant')),
+side AS (SELECT t.conv_id, t.p, t.role, t.text, CASE WHEN o.j IS NULL THEN t.text ELSE o.text END AS other
+         FROM t JOIN ids ON ids.conv_id = t.conv_id AND n > 1
+         LEFT JOIN t o ON o.conv_id = ids.next AND o.role = 'assistant' AND t.role = 'assistant' AND o.j = t.j),
+parts AS (SELECT conv_id, coalesce(min(p) FILTER (text IS DISTINCT FROM other), count(*) + 1) AS parts FROM side GROUP BY conv_id),
+prompt AS (SELECT conv_id, string_agg('<|' || coalesce(role, '') || e'|>
+' || coalesce(text, '') || e'<|end|>
+', '' ORDER BY p) AS prompt
+           FROM side JOIN parts USING (conv_id) WHERE p < parts GROUP BY conv_id),""" + _side("chosen", "text") + "," + _side("rejected", "other") + """
+SELECT conv_id, (parts - 1)::INTEGER AS n_prompt_turns, coalesce(prompt, '') AS prompt, coalesce(chosen, '') AS chosen, coalesce(rejected, '') AS rejected,
+       coalesce(chosen_spans, '') AS chosen_spans, coalesce(rejected_spans, '') AS rejected_spans
+FROM parts LEFT JOIN prompt USING (conv_id) LEFT JOIN chosen USING (conv_id) LEFT JOIN rejected USING (conv_id)
 """
