@@ -42,7 +42,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds the shard; equal rows of one document may lie in several pages of a shard."""
+    """Adds the shard, in place of an input column of that name; equal rows of one document may lie in several pages of a shard."""
     return sharding.shard(docs.drop("shard"), SHARD_BYTES, carry=True).select("row.*", "shard")
 
 

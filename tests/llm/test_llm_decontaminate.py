@@ -59,3 +59,14 @@ def test_empty_tables(spark):
     docs = some.withColumnRenamed("item_id", "doc_id")
     assert decontaminate.contaminated(docs, some.where("false")).collect() == []
     assert decontaminate.clean(docs, some.where("false")).count() == 1
+
+
+def test_clean_keeps_columns_of_any_name_and_very_long_texts(spark):
+    item = " ".join(f"i{k}" for k in range(12))
+    rows = [(1, "x " + item + " y"), (2, "clean"), (None, item), (3, None), (4, " ".join(f"w{k}" for k in range(60_000)) + " " + item)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for c in ("_id", "_hash", "id", "hash", "row", "own_id", "own_hash", "item", "text_hash", "a.b"):
+        docs = docs.withColumn(c, F.lit("kept"))
+    left = decontaminate.clean(docs, spark.createDataFrame([("a", item)], "item_id string, text string"))
+    assert left.columns == docs.columns
+    assert sorted((r.doc_id, r.hash, r["a.b"]) for r in left.collect()) == [(2, "kept", "kept"), (3, "kept", "kept")]

@@ -79,7 +79,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int
     same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
     some = candidates.select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
     found = F.col("found")
-    texts = (docs.select(*ids, F.col(text_col).alias("text")).join(some, same, "left_semi").dropDuplicates(["id", "text_hash"])
+    texts = (docs.select(*ids, F.col(f"`{text_col}`").alias("text")).join(some, same, "left_semi").dropDuplicates(["id", "text_hash"])
              .select("id", "text_hash", words(lower_ascii("text")).alias("found"))
              .select("id", "text_hash", F.explode(F.array_distinct(_texts(found, lengths))).alias("shingle")))
     wanted = items.select("item", "key", "n_item", F.explode("shingles").alias("shingle"))
@@ -91,9 +91,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that hold no item."""
-    found = contaminated(docs, benchmark, k, percent, id_col, text_col).select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    return docs.join(found, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_hash")), "left_anti")
+    """The rows of `docs` that hold no item, with all their columns, whatever their names."""
+    found = contaminated(docs, benchmark, k, percent, id_col, text_col).select(F.col(id_col).alias("id"), F.col("text_hash").alias("hash")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("own_id"), F.xxhash64(f"`{text_col}`").alias("own_hash"))
+    kept = rows.join(found, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_hash") == F.col("hash")), "left_anti")
+    return kept.select(*[F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def op3_decontaminate(spark, sf_dir: str) -> DataFrame:
