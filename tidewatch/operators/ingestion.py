@@ -217,10 +217,14 @@ def to_long_metrics(signals: DataFrame, metrics: list) -> DataFrame:
 
 def metric_anomalies(long: DataFrame, threshold: float = 2.5, min_samples: int = 3,
                      chunk_seconds: int = running.DAY) -> DataFrame:
-    """The z-score check for any metric, each with its own baseline per source."""
+    """The z-score check for any metric, each with its own baseline per source.
+
+    Of `row_count` only positive values are counted, and zero, which `zero_row_anomalies` reports, is not scored.
+    """
+    empty = (F.col("metric") == "row_count") & (F.col("value") <= 0)
     based = running.running_stats(long, ["source", "metric"], "ts", "event_id",
-                                  F.col("value"), chunk_seconds)
-    scored = z_scores(based, "value", threshold)
+                                  F.when(~empty, F.col("value")), chunk_seconds)
+    scored = z_scores(based, "value", threshold).filter(~((F.col("metric") == "row_count") & (F.col("value") == 0)))
     found = _scored_anomalies(scored, "value", "row_count_anomaly", "metric",
                               threshold, min_samples, ["metric"])
     return found.withColumn("signal_id", stable_id("signal_id", "metric"))

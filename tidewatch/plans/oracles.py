@@ -479,7 +479,8 @@ LOG = """log AS (
 
 
 def _long_metric(value, metric):
-    return f"SELECT event_id, source, run_id, ts, '{metric}' AS metric, CAST({value} AS DOUBLE) AS row_count FROM signals WHERE row_count > 0 AND {value} IS NOT NULL"
+    counted = "row_count > 0" if metric == "row_count" else f"{value} IS NOT NULL"
+    return f"SELECT event_id, source, run_id, ts, '{metric}' AS metric, CAST({value} AS DOUBLE) AS row_count FROM signals WHERE {counted}"
 
 
 ORACLES = {
@@ -496,15 +497,20 @@ ORACLES = {
     "decode_incidents": _with(*SMALL, BLAST, ANOMALIES, recursive=True) +
         f"SELECT 'i' || signal_id AS incident_id, run_id, {_ts('ts')} AS opened_at, anomaly_type AS root_cause, severity, "
         "1::BIGINT AS n_signals, a.model_name AS primary_model, coalesce(n_downstream, 0) AS n_affected, signal_id "
-        "FROM anomalies a LEFT JOIN blast b USING (model_name) WHERE model_name IS NOT NULL",
-    "encode_messages": _with(ANOMALIES) + "SELECT run_id AS key, signal_id, anomaly_type, severity, run_id FROM anomalies",
+        "FROM anomalies a LEFT JOIN blast b USING (model_name) WHERE model_name IS NOT NULL AND substr(md5('i' || signal_id), 1, 1) NOT IN ('0', '1')",
+    "encode_messages": f"""SELECT 'anomaly' AS kind, run_id AS key, concat(signal_id, '|', anomaly_type, '|', source_agent, '|', run_id, '|', model_name, '|', severity, '|',
+  CAST(confidence AS DECIMAL(9, 4)), '|', {_ts('ts')}, '|', details) AS fields FROM ({_with(ANOMALIES)} SELECT * FROM anomalies)
+UNION ALL SELECT 'incident', incident_id, concat(incident_id, '|', run_id, '|', opened_at, '|', root_cause, '|', severity, '|', CAST(confidence AS DECIMAL(9, 4)), '|',
+  CASE WHEN needs_llm THEN 'true' ELSE 'false' END, '|', n_signals, '|', models, '|', primary_model) FROM ({INCIDENTS})
+UNION ALL SELECT 'test', concat('test.', model_name, '.', test_name, '.', column_name), concat(run_id, '|', 'test.', model_name, '.', test_name, '.', column_name, '|', test_name, '|',
+  model_name, '|', column_name, '|', status, '|', failures, '|', {_ts('run_at')}) FROM ({_with(TESTS)} SELECT * FROM tests)""",
     "upsert_latest": f"SELECT o_custkey, o_orderkey, o_orderstatus, {_ts('o_orderdate')} AS o_orderdate FROM orders "
                      "QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1",
     "append_history": _with(TESTS) + "SELECT model_name, test_name, count(*) AS n FROM tests GROUP BY 1, 2",
     "run_ids": _with(TESTS) + f"SELECT DISTINCT run_id, {_ts('run_at')} AS generated_at, '1.8.0' AS dbt_version FROM tests",
-    "read_manifest": _with(CATALOG) + "SELECT project, 'models' AS kind, count(*) AS n FROM models GROUP BY 1 "
-                     "UNION ALL SELECT project, 'exposures', count(DISTINCT uid) FROM needs GROUP BY 1 "
-                     "UNION ALL SELECT project, 'edges', count(*) FROM links GROUP BY 1",
+    "read_manifest": _with(CATALOG) + """SELECT project, 'model' AS kind, uid AS item, concat(name, '|analytics|prod|The ', name, '|', level, '|', level) AS detail FROM models
+UNION ALL SELECT project, 'exposure', uid, concat(name, '|', kind, '|About ', name, '|', string_agg(node, ',' ORDER BY node), '|', owner, '|https://bi.example/|', sla) FROM needs GROUP BY project, uid, name, kind, owner, sla
+UNION ALL SELECT project, 'edge', parent, child FROM links""",
     # B
     "partition_row_count": _with(*SIG) + f"SELECT source, {_ts('ts')} AS partition, row_count FROM signals",
     "partition_checksum": _with(*SIG) + f"SELECT source, {_ts('part')} AS partition, checksum FROM hourly",
@@ -587,7 +593,7 @@ ORACLES = {
     "escalate_critical": _with(*SNAP) + "SELECT criticality, CASE WHEN criticality = 'critical' THEN 'CRITICAL' ELSE 'HIGH' END AS severity, count(*) AS n FROM snapshots GROUP BY 1, 2",
     "schema_diff": _with(*SNAP, DIFF) + f"SELECT {CHANGE_COLUMNS}, "
         f"{NAME.format('max(' + RANK.format('severity') + ') OVER (PARTITION BY source, run_id)')} AS overall_severity FROM changes",
-    "schema_drift_anomalies": DRIFT, "stream_schema_drift": DRIFT,
+    "schema_drift_anomalies": DRIFT, "stream_schema_drift": DRIFT, "schema_drift_ungated": DRIFT, "stream_schema_drift_ungated": DRIFT,
     # E
     "test_not_null": f"SELECT run_id, test_name, column_name, failures, CASE WHEN failures > 0 THEN 'fail' ELSE 'pass' END AS status FROM ({NOT_NULL})",
     "test_unique": f"SELECT run_id, test_name, column_name, failures, CASE WHEN failures > 0 THEN 'fail' ELSE 'pass' END AS status FROM ({UNIQUE})",
@@ -633,7 +639,8 @@ ORACLES = {
     "confirmed_incidents": INCIDENTS, "stream_buckets": INCIDENTS,
     "incident_signals": _with(*CORR, recursive=True) + "SELECT sha256('incident|' || bucket_id) AS incident_id, signal_id FROM bucketed",
     "hypothesis_requests": _with(*CORR, recursive=True) + f"""SELECT bucket_id, signal_id, {_ts('b.ts')} AS ts, anomaly_type,
-  coalesce(b.model_name, '') AS model_name, b.severity, round(b.confidence, 4) AS confidence, true AS details_object, true AS json_agrees
+  coalesce(b.model_name, '') AS model_name, b.severity, round(b.confidence, 4) AS confidence, json_extract_string(b.details, '$.k') AS detail_k,
+  anomaly_type AS json_anomaly_type, coalesce(b.model_name, '') AS json_model_name, b.severity AS json_severity, round(b.confidence, 4) AS json_confidence
 FROM bucketed b JOIN ruled r USING (bucket_id) WHERE r.root_cause = 'unknown'""",
     "enriched_incidents": _with(*RESPONSE, recursive=True) + """SELECT incident_id, root_cause, severity, n_downstream, n_dashboards, n_ml, n_sla, severity_multiplier,
   coalesce(sla_impact, '') AS sla_impact FROM enriched""",
@@ -686,3 +693,4 @@ SELECT {FLAT_TEST.replace(' position,', ' seq AS position,')} FROM (
 for _name in ("parse_test_results", "read_test_results", "new_artifacts"):
     ORACLES[_name] = _ARTIFACT_TESTS
 ORACLES["merge_baselines"] = ORACLES["baseline_table"]
+ORACLES["stream_freshness"] = ORACLES["freshness_violations"]

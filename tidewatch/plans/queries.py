@@ -77,17 +77,32 @@ def _incident_messages(spark, sf):
 
 
 def decode_incidents(spark, sf):
-    raw = messages.encode_messages(_incident_messages(spark, sf), "incident_id")
-    return messages.decode_incidents(raw.select("value")).select(
+    """One message in eight is cut short or has an unknown severity, by its id, and is left out."""
+    sent = messages.encode_messages(_incident_messages(spark, sf), "incident_id")
+    broken = F.substring(F.md5("key"), 1, 1)
+    value = (F.when(broken == "0", F.substring("value", 1, 60))
+             .when(broken == "1", F.regexp_replace("value", '"severity":"[A-Z]+"', '"severity":"SEVERE"')).otherwise(F.col("value")))
+    return messages.decode_incidents(sent.select(value.alias("value"))).select(
         "incident_id", "run_id", ts_text("opened_at").alias("opened_at"), "root_cause", "severity", "n_signals",
         "primary_model", F.size("blast_radius.affected_models").cast("bigint").alias("n_affected"),
         F.element_at("signals", 1)["signal_id"].alias("signal_id"))
 
 
 def encode_messages(spark, sf):
-    sent = messages.encode_messages(inputs.anomalies(spark, sf), "run_id")
-    return sent.select("key", *[F.get_json_object("value", f"$.{c}").alias(c)
-                                for c in ("signal_id", "anomaly_type", "severity", "run_id")])
+    """Anomalies, incidents and test results as messages, all fields read back from the JSON text."""
+    found = inputs.anomalies(spark, sf).withColumn("ts", ts_text("ts"))
+    incidents = confirmed_incidents(spark, sf)
+    tests = storage.checkpointed(inputs.test_results(spark, sf), "tests").withColumn("run_at", ts_text("run_at"))
+    parts = []
+    for kind, rows, key, fields in (
+            ("anomaly", found, "run_id", ("signal_id", "anomaly_type", "source_agent", "run_id", "model_name", "severity", "confidence", "ts", "details")),
+            ("incident", incidents, "incident_id", ("incident_id", "run_id", "opened_at", "root_cause", "severity", "confidence", "needs_llm", "n_signals", "models", "primary_model")),
+            ("test", tests, "unique_id", ("run_id", "unique_id", "test_name", "model_name", "column_name", "status", "failures", "run_at"))):
+        sent = messages.encode_messages(rows.select(*fields), key)
+        texts = [F.coalesce(F.get_json_object("value", f"$.{c}"), F.lit("")) for c in fields]
+        texts = [F.round(t.cast("double"), 4).cast("decimal(9,4)").cast("string") if c == "confidence" else t for t, c in zip(texts, fields)]
+        parts.append(sent.select(F.lit(kind).alias("kind"), "key", F.array_join(F.array(*texts), "|").alias("fields")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def _flat_tests(df):
@@ -127,10 +142,13 @@ def read_manifest(spark, sf):
     (inputs.manifests(spark, sf).repartition("project")
      .write.partitionBy("project").option("maxRecordsPerFile", 1).json(folder))
     found_models, found_exposures, found_edges = artifacts.read_manifest(spark, f"{folder}/*/")
-    name = lambda df: df.withColumn("project", F.regexp_extract("project", "project=([^/]+)/", 1))
-    parts = [tally(name(df), "project").select("project", F.lit(kind).alias("kind"), "n")
-             for df, kind in ((found_models, "models"), (found_exposures, "exposures"), (found_edges, "edges"))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    def rows(df, kind, item, *detail):
+        return df.select(F.regexp_extract("project", "project=([^/]+)/", 1).alias("project"), F.lit(kind).alias("kind"), F.col(item).alias("item"),
+                         F.array_join(F.array(*detail), "|", "").alias("detail"))
+
+    return (rows(found_models, "model", "uid", "name", "schema", "database", "description", F.array_join("tags", ","), F.element_at("meta", "level"))
+            .unionByName(rows(found_exposures, "exposure", "uid", "name", "exposure_type", "description", F.array_join("depends_on", ","), "owner", "url", "sla"))
+            .unionByName(rows(found_edges, "edge", "parent", "child")))
 
 
 def upsert_latest(spark, sf):
@@ -264,18 +282,24 @@ def rolling_baseline(spark, sf):
 
 
 def metric_anomalies(spark, sf):
-    long = ingestion.to_long_metrics(inputs.signals(spark, sf).filter("row_count > 0"), ["row_count", "null_rate"])
+    long = ingestion.to_long_metrics(inputs.signals(spark, sf), ["row_count", "null_rate"])
     return flat_anomalies(ingestion.metric_anomalies(long), "metric", r("value", 6), r("baseline_mean", 4),
                           r("baseline_std_dev", 4), r("z_score"), "sample_count").drop("signal_id")
 
 
-def freshness_violations(spark, sf):
-    """Users as sources: whose events have stopped for a day by the end of January."""
-    seen = inputs.events(spark, sf).select(
+MONTH_END = "2024-01-31 00:00:00"
+
+
+def _seen_users(spark, sf):
+    return inputs.events(spark, sf).select(
         F.col("user_id").cast("string").alias("source"), F.col("event_id").cast("string").alias("event_id"),
         F.col("event_type").alias("run_id"), "ts")
+
+
+def freshness_violations(spark, sf):
+    """Users as sources: whose events have stopped for a day by the end of January."""
     return flat_anomalies(ingestion.freshness_violations(
-        seen, F.to_timestamp(F.lit("2024-01-31 00:00:00")), 86400), "age_seconds")
+        _seen_users(spark, sf), F.to_timestamp(F.lit(MONTH_END)), 86400), "age_seconds")
 
 
 def arrival_latency(spark, sf):
@@ -349,12 +373,18 @@ def schema_diff(spark, sf):
     return _flat_changes(contracts.schema_diff(*_both(spark, sf)), "overall_severity")
 
 
-def schema_drift_anomalies(spark, sf):
+def schema_drift_anomalies(spark, sf, gate=True):
+    """Snapshots whose declared hash is their contract's are not compared; without the gate the result is the same, later."""
     rows, contract = _both(spark, sf)
-    return flat_anomalies(contracts.schema_drift_anomalies(contracts.schema_diff(rows, contract), rows),
+    judged = contracts.hash_gate(rows, contract) if gate else rows
+    return flat_anomalies(contracts.schema_drift_anomalies(contracts.schema_diff(judged, contract), rows),
                           "total_changes", "summary")
 
 
+def schema_drift_ungated(spark, sf):
+    return schema_drift_anomalies(spark, sf, gate=False)
+
+
 # ---- E tests and quality --------------------------------------------------------
 
 def test_not_null(spark, sf):
@@ -587,8 +617,9 @@ def hypothesis_requests(spark, sf):
     asked = correlate.hypothesis_requests(buckets, correlate.correlate(buckets))
     detail = F.get_json_object("signal_json", "$.details")
     return asked.select("bucket_id", "signal_id", ts_text("ts").alias("ts"), "anomaly_type", F.coalesce("model_name", F.lit("")).alias("model_name"),
-                        "severity", r("confidence"), (detail.startswith("{")).alias("details_object"),
-                        (F.get_json_object("signal_json", "$.severity") == F.col("severity")).alias("json_agrees"))
+                        "severity", r("confidence"), F.get_json_object(detail, "$.k").alias("detail_k"),
+                        *[F.coalesce(F.get_json_object("signal_json", f"$.{c}"), F.lit("")).alias(f"json_{c}") for c in ("anomaly_type", "model_name", "severity")],
+                        F.round(F.get_json_object("signal_json", "$.confidence").cast("double"), 4).alias("json_confidence"))
 
 
 def _members(spark, sf):
@@ -781,9 +812,21 @@ def stream_ingestion_anomalies(spark, sf):
     return flat_anomalies(storage.read_history(spark, f"{base}/out", _ANOMALY_SCHEMA))
 
 
-def stream_schema_drift(spark, sf):
+def stream_freshness(spark, sf):
+    """Silent users as the last watermark leaves them, which a clock that is no user brings to the end of January."""
+    users = _seen_users(spark, sf).filter(F.col("ts") < F.lit(MONTH_END).cast("timestamp"))
+    clock = spark.createDataFrame([("clock", "clock", "clock")], "source string, event_id string, run_id string").withColumn("ts", F.lit(MONTH_END).cast("timestamp"))
+    base = _replayed(spark, "fresh", users.unionByName(clock), lambda s, b: live.stream_freshness(s, 86400, f"{b}/out", f"{b}/checkpoint"))
+    return flat_anomalies(live.open_violations(spark, f"{base}/out", f"{base}/checkpoint", F.to_timestamp(F.lit(MONTH_END)), 86400), "age_seconds")
+
+
+def stream_schema_drift_ungated(spark, sf):
+    return stream_schema_drift(spark, sf, gate=False)
+
+
+def stream_schema_drift(spark, sf, gate=True):
     base = _replayed(spark, "drift", inputs.snapshot_signals(spark, sf), lambda s, b: live.stream_schema_drift(
-        s, f"{b}/out", f"{b}/checkpoint", gate=False), ("1997-01-01", "1999-01-01"))
+        s, f"{b}/out", f"{b}/checkpoint", gate=gate), ("1997-01-01", "1999-01-01"))
     return flat_anomalies(storage.read_history(spark, f"{base}/out", _ANOMALY_SCHEMA + (
         ", total_changes bigint, summary string")), "total_changes", "summary")
 
@@ -896,7 +939,7 @@ QUERIES = {
     "bootstrap_contracts": bootstrap_contracts, "accept_contract": accept_contract, "hash_gate": hash_gate,
     "dropped_columns": dropped_columns, "type_changes": type_changes, "nullable_changes": nullable_changes,
     "new_columns": new_columns, "escalate_critical": escalate_critical, "schema_diff": schema_diff,
-    "schema_drift_anomalies": schema_drift_anomalies,
+    "schema_drift_anomalies": schema_drift_anomalies, "schema_drift_ungated": schema_drift_ungated,
     "test_not_null": test_not_null, "test_unique": test_unique, "test_accepted_values": test_accepted_values,
     "test_between": test_between, "resolve_test_models": resolve_test_models, "parse_test_results": parse_test_results, "run_ids": run_ids,
     "failed_tests": failed_tests, "test_history": test_history, "flakiness": flakiness,
@@ -920,6 +963,7 @@ QUERIES = {
     "agent_status": agent_status, "missing_agents": missing_agents, "stage_counters": stage_counters,
     "reconcile_partitions": reconcile_partitions,
     "stream_ingestion_anomalies": stream_ingestion_anomalies, "stream_schema_drift": stream_schema_drift,
+    "stream_schema_drift_ungated": stream_schema_drift_ungated, "stream_freshness": stream_freshness,
     "stream_buckets": stream_buckets, "stream_quality": stream_quality, "new_artifacts": new_artifacts,
     "stream_lineage": stream_lineage, "stream_manifests": stream_manifests, "emit_gate": emit_gate, "late_signals": late_signals,
 }

@@ -14,7 +14,7 @@ from tidewatch.functions.severity import severity_name, severity_rank
 from tidewatch.operators import contracts, correlate, ingestion, lineage, quality
 from tidewatch.sources.artifacts import manifests_from, parse_test_results, read_raw_manifests
 from tidewatch.sources.messages import encode_messages
-from tidewatch.sources.storage import append_history, checkpointed, list_folder, remove_folder, upsert_latest
+from tidewatch.sources.storage import append_history, checkpointed, list_folder, read_history, remove_folder, upsert_latest
 from tidewatch.streaming import state
 from tidewatch.types import ANOMALY_TYPES, COLUMN_DEF
 
@@ -82,6 +82,32 @@ def stream_ingestion_anomalies(
     return start(known, each_batch, checkpoint, once, idle_batches=False)
 
 
+def stream_freshness(signals: DataFrame, max_age_seconds: int, out: str, checkpoint: str, mode: str = "alert_only", once: bool = True):
+    """Sources that have fallen silent, each reported by a timer when the newest time of any source is more than the age past its last
+    signal. The report is that signal; a source that speaks again can be reported again."""
+    state.use_state_store(signals.sparkSession)
+    rows = signals.withWatermark("ts", state.TRAIL).select("source", "ts", F.unix_micros("ts").alias("us"), "event_id", "run_id")
+    silent = rows.groupBy("source").transformWithStateInPandas(
+        state.SilentSources(max_age_seconds), "source string, us bigint, event_id string, run_id string", "append", "EventTime")
+
+    def each_batch(batch: DataFrame, batch_id: int) -> None:
+        batch = _settled(batch)
+        append_history(emit_gate(batch.withColumn("ts", F.timestamp_micros("us")).drop("us"), mode), out, batch_id)
+        batch.unpersist()
+
+    return start(silent, each_batch, checkpoint, once)
+
+
+SILENCE = "source string, event_id string, run_id string, ts timestamp"
+
+
+def open_violations(spark, out: str, checkpoint: str, as_of, max_age_seconds: int) -> DataFrame:
+    """Anomalies of the reported sources that have not spoken since, with their age at `as_of`."""
+    newest = state.read_state(spark, checkpoint, "newest").select("key.source", "value.event_id")
+    still = read_history(spark, out, SILENCE).join(newest, ["source", "event_id"], "left_semi")
+    return ingestion.freshness_violations(still, as_of, max_age_seconds)
+
+
 def stored_baselines(spark, checkpoint: str) -> DataFrame:
     """The baselines that a stream of ingestion checks has come to: (source, mean, std_dev, sample_count)."""
     rows = state.read_state(spark, checkpoint, "moments").select("key.source", "value.*")

@@ -233,6 +233,42 @@ class Lateness(StatefulProcessor):
         pass
 
 
+class SilentSources(StatefulProcessor):
+    """Per source: its newest signal. A timer fires when the clock is more than `max_age` whole seconds past it, though the source
+    says nothing, and gives that signal; a newer one sets the timer anew."""
+
+    def __init__(self, max_age: int):
+        self.max_age = max_age
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.newest = handle.getValueState("newest", "us bigint, event_id string, run_id string")
+
+    def _timer(self, us: int) -> int:
+        return (us // 1_000_000 + self.max_age + 1) * 1000 - 1 - TRAIL_MS
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        stored = self.newest.get()
+        newest = tuple(stored) if stored else None
+        for frame in rows:
+            seen = max(zip(frame["us"].tolist(), frame["event_id"], frame["run_id"]))
+            newest = seen if newest is None else max(newest, seen)
+        if stored is None or newest != tuple(stored):
+            if stored is not None:
+                self.handle.deleteTimer(self._timer(stored[0]))
+            self.newest.update(newest)
+            self.handle.registerTimer(self._timer(newest[0]))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        us, event_id, run_id = self.newest.get()
+        if self._timer(us) <= expiredTimerInfo.getExpiryTimeInMs():
+            yield pd.DataFrame({"source": [key[0]], "us": [us], "event_id": [event_id], "run_id": [run_id]})
+
+    def close(self) -> None:
+        pass
+
+
 class RecentResults(StatefulProcessor):
     """Per (model, test): its last `window` results, so a new one costs the same however long the history is.
 
