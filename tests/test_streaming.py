@@ -102,6 +102,45 @@ def test_quality_stream_reads_each_artifact_once(spark, tmp_path):
     assert [(r.severity, r.confidence, r.genuine_failures) for r in got] == [("HIGH", 0.95, 1), ("MEDIUM", 0.5, 0)]
 
 
+def test_an_artifact_is_read_once_per_content(spark, tmp_path):
+    from test_quality import result
+
+    def publish(folder, failures):
+        (tmp_path / "in" / folder).mkdir(parents=True)
+        (tmp_path / "in" / folder / "run_results.json").write_text(json.dumps({
+            "metadata": {"generated_at": "2026-04-01T00:00:00Z"}, "results": [result("unique", "m", "id", "fail", failures)]}))
+
+    def rows():
+        stream = artifacts.new_artifacts(spark, f"{tmp_path}/in/*/", RUN_RESULTS, once_within="7 days")
+        live.start(stream, lambda batch, n: storage.append_history(batch.select(F.explode("results.failures").alias("n")), f"{tmp_path}/out", n),
+                   f"{tmp_path}/cp").awaitTermination()
+        return sorted(r.n for r in storage.read_history(spark, f"{tmp_path}/out", "n bigint").collect())
+
+    publish("1", 5)
+    assert rows() == [5]
+    publish("2", 5)
+    assert rows() == [5]
+    publish("3", 6)
+    assert rows() == [5, 6]
+
+
+def test_silent_sources_are_reported_by_timers(spark, tmp_path):
+    base = str(tmp_path)
+    def run(rows):
+        feed(spark, base, [signals(spark, rows)], lambda s: live.stream_freshness(s, 3600, f"{base}/out", f"{base}/cp"))
+    reported = lambda: sorted((r.source, r.event_id) for r in storage.read_history(spark, f"{base}/out", live.SILENCE).collect())
+    run([("a", 0, 1, None), ("b", 0, 1, None)])
+    run([("a", 59, 1, None), ("b", 60, 1, None)])
+    assert reported() == []
+    run([("a", 121, 1, None)])
+    assert [s for s, _ in reported()] == ["b"]  # it said nothing
+    run([("b", 122, 1, None)])
+    as_of = lambda minutes: F.lit("2026-04-22 03:00:00").cast("timestamp") + F.make_interval(mins=F.lit(minutes))
+    assert live.open_violations(spark, f"{base}/out", f"{base}/cp", as_of(122), 3600).count() == 0
+    run([("b", 200, 1, None)])
+    assert [s for s, _ in reported()] == ["a", "b"]
+
+
 def test_late_signals_are_flagged_and_kept(spark, tmp_path):
     base = str(tmp_path)
     feed(spark, base, [signals(spark, [("a", 0, 1, None), ("a", 600, 1, None)]),

@@ -779,8 +779,8 @@ def reconcile_partitions(spark, sf):
 DAYS = ("2024-01-11", "2024-01-21")
 
 
-def _replayed(spark, name, df, start, bounds=DAYS, column="ts", format="parquet", schema=None, partition=None):
-    """Publishes df in three parts by time, running the stream to its end after each.
+def _replayed(spark, name, df, start, bounds=DAYS, column="ts", format="parquet", schema=None, partition=None, again=False):
+    """Publishes df in three parts by time, running the stream to its end after each; `again` publishes every file twice.
 
     Each run goes on from the checkpoint of the one before. Returns the stream's folders.
     """
@@ -795,7 +795,10 @@ def _replayed(spark, name, df, start, bounds=DAYS, column="ts", format="parquet"
         else:
             writer = rows.write
         writer.mode("append").format(format).save(f"{base}/in")
-        source = (artifacts.new_artifacts(spark, f"{base}/in/*/", schema) if partition
+        if again:
+            (rows.withColumn(partition, F.concat(partition, F.lit("-again"))).repartition(partition).write.partitionBy(partition)
+             .option("maxRecordsPerFile", 1).mode("append").format(format).save(f"{base}/in"))
+        source = (artifacts.new_artifacts(spark, f"{base}/in/*/", schema, once_within="3650 days" if again else None) if partition
                   else spark.readStream.schema(df.schema).format(format).load(f"{base}/in"))
         query = start(source, base)
         query.awaitTermination()
@@ -844,19 +847,19 @@ def stream_buckets(spark, sf):
     return _flat_incidents(emitted.unionByName(live.flush_buckets(spark, f"{base}/checkpoint")))
 
 
-def _replayed_runs(spark, sf, name, start):
+def _replayed_runs(spark, sf, name, start, again=False):
     """Test runs published as one artifact file each, in three rounds."""
     runs = inputs.run_artifacts(spark, sf).withColumn("run", F.substring("run_id", 9, 6))
-    return _replayed(spark, name, runs, start, ("199701", "199901"), "run", "json", RUN_RESULTS, "run_id")
+    return _replayed(spark, name, runs, start, ("199701", "199901"), "run", "json", RUN_RESULTS, "run_id", again)
 
 
 def new_artifacts(spark, sf):
-    """Test rows of the artifacts, each read once in the round it was published in."""
+    """Test rows of the artifacts, each read once though every file is published twice."""
     def begin(stream, base):
         return live.start(stream, lambda batch, batch_id: storage.append_history(
             artifacts.parse_test_results(batch), f"{base}/out", batch_id), f"{base}/checkpoint")
 
-    base = _replayed_runs(spark, sf, "published", begin)
+    base = _replayed_runs(spark, sf, "published", begin, again=True)
     return _flat_tests(storage.read_history(spark, f"{base}/out", (
         "run_id string, run_at timestamp, position int, unique_id string, test_name string, model_name string, "
         "column_name string, status string, failures bigint, message string, agent_severity string, "

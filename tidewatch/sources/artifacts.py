@@ -1,6 +1,6 @@
 """JSON artifacts of a transformation tool: test results and lineage manifests."""
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tidewatch.operators import lineage
 from tidewatch.types import MANIFEST, RUN_RESULTS
@@ -68,9 +68,18 @@ def read_raw_manifests(spark: SparkSession, path: str) -> DataFrame:
             .withColumn("project", F.col("_metadata.file_path")))
 
 
-def new_artifacts(spark: SparkSession, path: str, schema, max_files: int | None = None) -> DataFrame:
-    """Stream of artifacts, each read once as it is published under `path` (a glob of run folders)."""
+def new_artifacts(spark: SparkSession, path: str, schema: T.StructType, max_files: int | None = None, once_within: str | None = None) -> DataFrame:
+    """Stream of artifacts, each file read once as it is published under `path` (a glob of run folders).
+
+    With `once_within`, say "7 days", a file whose content was published before within that time gives no rows; one with
+    changed content does. What folder it lies in doesn't matter.
+    """
     reader = spark.readStream.schema(schema).option("multiLine", "true")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.json(path)
+    published = reader.json(path)
+    if once_within is None:
+        return published
+    content = F.sha2(F.to_json(F.struct(*schema.fieldNames())), 256)
+    marked = published.select("*", content.alias("_content"), F.col("_metadata.file_modification_time").alias("_published"))
+    return marked.withWatermark("_published", once_within).dropDuplicatesWithinWatermark(["_content"]).drop("_content", "_published")
