@@ -94,14 +94,6 @@ def test_append_is_idempotent_per_batch(spark, tmp_path):
     assert storage.read_history(spark, str(tmp_path / "h"), df.schema).count() == 10
 
 
-def test_state_table_replays(spark, tmp_path):
-    table = storage.StateTable(spark, str(tmp_path / "s"), "n bigint")
-    assert table.before(0).count() == 0
-    for batch in (0, 1, 1, 2, 3, 4, 4):
-        table.write(table.before(batch).unionByName(spark.range(1).select((F.col("id") + batch).alias("n"))), batch)
-    assert sorted(r.n for r in table.after(4).collect()) == [0, 1, 2, 3, 4]
-
-
 def test_profile(spark):
     df = spark.createDataFrame(
         [("a", 1, "x", None), ("a", 1, "y", 2.0), ("a", 3, "z", None), ("b", 1, "x", 1.0)],
