@@ -1,6 +1,9 @@
+import collections
+import math
 import random
 import zlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tidewatch.llm import language_id
@@ -58,3 +61,41 @@ def test_copies_count_once_in_the_sample(spark):
     kept = language_id.sample_texts(docs.select("text", "lang"), 10).collect()
     assert {lang: len({r["text"] for r in kept if r["lang"] == lang}) for lang in model.languages} == {"aa": 3, "bb": 3, "cc": 3, "dd": 10}
     assert len(kept) == 19 and all(r["text"] != "12 34" for r in kept)
+
+
+def plain_buckets(text):
+    """Buckets of all 1- to 3-grams of bytes: letters in lower case, other ASCII a blank."""
+    folded = [b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in text.encode()]
+    out = collections.Counter()
+    for n in (1, 2, 3):
+        for i in range(len(folded) - n + 1):
+            code = 0
+            for b in folded[i:i + n]:
+                code = code * 257 + b
+            out[(code + ((n - 1) << 40)) * 0x9E3779B97F4A7C15 % 2 ** 64 >> 52] += 1
+    return out
+
+
+def test_frequencies_and_predictions_equal_plain_python(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("n_chars < 3000").select("doc_id", "text", "lang")
+    rows = [tuple(r) for r in docs.collect()]
+    model = language_id.train(docs.where("doc_id % 3 <> 0"))
+    learned = [t for i, t, lang in rows if i % 3 and lang is not None and t is not None]
+    frequency = collections.Counter(b for t in learned for b in plain_buckets(t))
+    idf = [math.log((1 + len(learned)) / (1 + frequency[d])) + 1 for d in range(language_id.DIMS)]
+    assert np.allclose(idf, model.idf, rtol=1e-12)
+    asked = rows + [(-1, "", None), (-2, "123 !?", None), (-3, None, None), (-4, "Ж", None), (-5, "the and of " * 20_000, None)]
+    got = {r.doc_id: r for r in language_id.predict(spark.createDataFrame(asked, "doc_id long, text string, lang string"), model).collect()}
+    centroids = [list(map(float, c)) for c in model.centroids]
+    for i, text, _ in asked:
+        if text is None or not any(c.isalpha() for c in text):
+            assert (got[i].lang_pred, got[i].score, got[i].rejected) == ("und", 0.0, True)
+            continue
+        weights = {d: math.log1p(n) * idf[d] for d, n in plain_buckets(text).items()}
+        length = math.sqrt(sum(w * w for w in weights.values()))
+        cosines = [sum(w * c[d] for d, w in weights.items()) / length for c in centroids]
+        best = max(cosines)
+        near = {model.languages[k] for k, c in enumerate(cosines) if c > best - 1e-5}
+        assert got[i].lang_pred in near and abs(got[i].score - min(1, max(0, best))) < 1e-5
+        edge = model.limits[cosines.index(best)]
+        assert abs(1 - best - edge) < 1e-5 or got[i].rejected == (1 - best > edge)
