@@ -274,6 +274,7 @@ def lineage_incidents(anomalies: DataFrame, blast: DataFrame) -> DataFrame:
 
 def impact_text(blast: DataFrame) -> DataFrame:
     """Adds the SLA sentence and the multi-line summary of a blast radius with lists."""
+    # The sentences of the impact summary.
     def line(label, c):
         return F.when(F.size(c) > 0, F.concat(F.lit(f"  • {label}: "), F.array_join(c, ", ")))
 

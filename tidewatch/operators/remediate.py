@@ -26,6 +26,7 @@ def plan_actions(incidents: DataFrame, mode: str) -> DataFrame:
     (array; the playbook pauses at most five).
     """
     severity, cause, model = F.col("severity"), F.col("root_cause"), F.col("primary_model")
+    # The texts of targets, reasons and descriptions that action messages carry.
     critical = severity == "CRITICAL"
     notify = _action("notify_slack", F.lit("data-platform"),
                      F.concat(F.lit("Notify #data-platform about "), severity, F.lit(" incident")))
