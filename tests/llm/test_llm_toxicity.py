@@ -1,8 +1,11 @@
+import math
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tidewatch.llm import toxicity
+from tidewatch.llm import toxicity, words
 
 
 def table(n, seed):
@@ -53,3 +56,36 @@ def test_without_labels_or_rows(spark):
     one_class = toxicity.train(docs, spark.createDataFrame([(1, 0, 0)], "doc_id long, junk int, toxic int"), ["junk", "toxic"])
     assert not toxicity.predict(docs, one_class).collect()[0]["toxic"]
     assert toxicity.predict(docs.where("false"), chain).collect() == []
+
+
+def test_chain_equals_a_plain_one_fit_by_fit(spark):
+    """The same features, folds and order, fitted one after another in this process."""
+    sf, folds = "/root/testdata/sf0.001", toxicity.FOLDS
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", (1 - F.col("quality")).alias("junk"), "toxic")
+    table = docs.join(labels, "doc_id").select("doc_id", "text", "junk", "toxic", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(folds)).alias("fold"))
+    rows = sorted(map(tuple, table.collect()))
+
+    def cells_of(texts):
+        return [toxicity._features(next(words.slices(pa.RecordBatch.from_pydict({"text": [t]}), "text")))[0] if t else np.zeros(0, np.int32) for t in texts]
+
+    cells, fold = cells_of([r[1] for r in rows]), np.array([r[4] for r in rows])
+    earlier, models = np.zeros((len(rows), 0)), []
+    for k in (2, 3):
+        y, given, p = np.array([r[k] for r in rows], dtype=float), toxicity._logit(earlier), np.zeros(len(rows))
+        for f in range(folds):
+            held = np.flatnonzero(fold == f)
+            rest = np.flatnonzero(fold != f)
+            weights = toxicity._fit([cells[i] for i in rest], given[rest], y[rest])
+            for i in held:  # out of fold
+                p[i] = toxicity._squash(toxicity._margins(weights, cells[i], np.zeros(len(cells[i]), np.int64), 1, given[[i]]))[0]
+        models.append(toxicity._fit(cells, given, y).astype(np.float32).astype(float))
+        earlier = np.column_stack([earlier, p])
+    chain = toxicity.train(docs, labels, ["junk", "toxic"])
+    assert all(np.allclose(a, b, atol=1e-5) for a, b in zip(chain.weights, models))
+    assert abs(chain.threshold - toxicity._best_threshold(earlier[:, 1], np.array([r[3] for r in rows]))) < 1e-6
+    got = {r.doc_id: r.probabilities for r in toxicity.predict(docs, chain).collect()}
+    for r, own in list(zip(rows, cells))[:60]:
+        first = 1 / (1 + math.exp(-(sum(models[0][c] for c in own) + models[0][-1])))
+        second = toxicity._squash(toxicity._margins(models[1], own, np.zeros(len(own), np.int64), 1, toxicity._logit(np.array([[first]]))))[0]
+        assert abs(got[r[0]][1] - second) < 1e-4
