@@ -115,6 +115,28 @@ def test_profile(spark):
         ("source", "STRING"), ("day", "INT"), ("s", "STRING"), ("v", "DOUBLE")]
 
 
+def test_stored_sketches_merge_to_the_summary_of_the_whole(spark):
+    df = spark.range(40000).select(
+        F.when(F.col("id") % 3 > 0, F.concat(F.lit("s"), (F.col("id") % 3).cast("string"))).alias("source"), (F.col("id") % 7).alias("day"),
+        F.when(F.col("id") % 5 > 0, F.col("id") + 1e9).alias("v"), F.lit(None).cast("int").alias("none"))
+    stored = profile.summary_sketches(df, F.col("source"), F.col("day"), ["v", "none"])
+    assert stored.count() == 3 * 7 * 2
+    got = {(r.source, r.column_name): r for r in profile.merged_summary(stored, ["source"]).collect()}
+    assert set(got) == {(s, c) for s in (None, "s1", "s2") for c in ("v", "none")}
+    for source in (None, "s1", "s2"):
+        want = profile.column_summary(df.filter(F.col("source").eqNullSafe(F.lit(source))), ["v"], exact_distinct=True).first()
+        r = got[source, "v"]
+        assert (r.n, r.min, r.max, r.null_rate) == (want.n, want.min, want.max, want.null_rate)
+        assert abs(r["mean"] - want["mean"]) < 1e-4 and abs(r.std_dev / want.std_dev - 1) < 1e-9
+        assert abs(r.n_distinct / want.n_distinct - 1) < 4 * 1.04 / 64
+        empty = got[source, "none"]
+        assert (empty["mean"], empty.std_dev, empty["min"], empty.null_rate, empty.n_distinct) == (None, None, None, 1.0, 0)
+    days = profile.merged_summary(stored.filter("day < 3"), []).filter("column_name = 'v'").first()
+    want = profile.column_summary(df.filter("day < 3"), ["v"], exact_distinct=True).first()
+    assert days.n == want.n and abs(days.std_dev / want.std_dev - 1) < 1e-9
+    assert profile.merged_summary(stored.filter("false"), ["source"]).collect() == []
+
+
 def test_checksum_tells_nulls_apart(spark):
     df = spark.createDataFrame([("l", "a", None), ("r", None, "a")], "source string, x string, y string")
     got = [r.checksum for r in profile.partition_checksum(df, F.col("source"), F.lit(1), ["x", "y"]).collect()]

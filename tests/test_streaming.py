@@ -5,9 +5,9 @@ import time
 import numpy as np
 from pyspark.sql import functions as F
 
-from tidewatch.operators import correlate, ingestion
+from tidewatch.operators import correlate, ingestion, reports
 from tidewatch.sources import artifacts, storage
-from tidewatch.streaming import live
+from tidewatch.streaming import counters, live
 from tidewatch.types import RUN_RESULTS
 from test_correlate import ROW, anomalies, simple
 from test_ingestion import SIGNAL, signals
@@ -215,3 +215,28 @@ def test_lineage_stream_follows_new_manifests(spark, tmp_path):
     assert found == [("r0", 2), ("r1", 0), ("r2", 2)]
     assert sorted(storage.list_folder(spark, f"{base}/blast")) == ["graph=2", "graph=3", "version=2", "version=3"]
     assert live.publish_blast(spark, f"{base}/m", f"{base}/blast") == 3  # the same content again
+
+
+def test_live_counters_go_on_over_batches_streams_and_restarts(spark, tmp_path):
+    counted = counters.StageCounters()
+    spark.streams.addListener(counted)
+    base, queries = str(tmp_path), []
+
+    def start(stream):
+        for name in ("one", "two"):
+            rows = reports.observed(stream, name, big=F.col("v") > 5)
+            queries.append(live.start(rows, lambda b, _: b.write.format("noop").mode("overwrite").save(), f"{base}/{name}"))
+            queries[-1].awaitTermination()
+        return queries[-1]
+
+    try:
+        parts = [spark.range(n).select(F.when(F.col("id") != 0, F.col("id")).alias("v")) for n in (10, 3, 20)]
+        feed(spark, base, parts, start)
+        start(spark.readStream.schema("v long").parquet(f"{base}/in"))  # nothing new
+        for query in queries:
+            counted.until_end(query)
+    finally:
+        spark.streams.removeListener(counted)
+    assert sorted(map(tuple, counted.rows(spark).collect())) == [
+        ("one", "big", 18), ("one", "processed", 33), ("two", "big", 18), ("two", "processed", 33)]
+    assert reports.observed(parts[0], "batch").count() == 10

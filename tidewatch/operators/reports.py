@@ -53,9 +53,17 @@ def stage_counters(signals: DataFrame, anomalies: DataFrame, buckets: DataFrame,
             .unionByName(buckets_by).unionByName(actions_by))
 
 
-def observed(df: DataFrame, stage: str) -> DataFrame:
-    """Counts the rows passing a stage while the job runs; read from the query's metrics."""
-    return df.observe(f"{stage}_counters", F.count(F.lit(1)).alias("processed"))
+OBSERVED = "_counters"
+
+
+def observed(df: DataFrame, stage: str, **counters: Column) -> DataFrame:
+    """Counts the rows passing a stage while the job runs: all as `processed`, and those that meet each given condition.
+
+    The counts come with the metrics of the job or micro-batch, so they cost no pass of their own; `streaming.counters` sums
+    them up for streams. A condition that is NULL is not met.
+    """
+    return df.observe(stage + OBSERVED, F.count(F.lit(1)).alias("processed"),
+                      *[F.count_if(condition).alias(name) for name, condition in counters.items()])
 
 
 def reconcile_partitions(left: DataFrame, right: DataFrame, keys: list) -> DataFrame:

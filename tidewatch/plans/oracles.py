@@ -524,6 +524,13 @@ UNION ALL SELECT project, 'edge', parent, child FROM links""",
         f"count(DISTINCT {c}) AS n_distinct FROM lineitem"
         for name, c in (("l_quantity", "l_quantity"), ("l_extendedprice", "l_extendedprice"),
                         ("l_discount", "l_discount"), ("tax", "nullif(l_tax, 0.0)"))),
+    "merged_summary": " UNION ALL ".join(
+        f"SELECT l_returnflag AS source, '{name}' AS column_name, count(*) AS n, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std_dev, "
+        f"min({c})::DOUBLE AS min, max({c})::DOUBLE AS max, round(count(*) FILTER ({c} IS NULL) / count(*)::DOUBLE, 6) AS null_rate, "
+        f"{d} AS n_distinct FROM lineitem WHERE strftime(l_shipdate, '%Y%m') BETWEEN '199401' AND '199612' GROUP BY l_returnflag"
+        for name, c, d in (("l_quantity", "l_quantity", "count(DISTINCT l_quantity)"), ("l_extendedprice", "l_extendedprice", "-1::BIGINT"),
+                           ("l_discount", "l_discount", "count(DISTINCT l_discount)"), ("tax", "nullif(l_tax, 0.0)", "count(DISTINCT nullif(l_tax, 0.0))"),
+                           ("l_linenumber", "l_linenumber", "count(DISTINCT l_linenumber)"))),
     "schema_snapshot": " UNION ALL ".join(
         f"SELECT 'lineitem' AS source, {i}::BIGINT AS position, '{c}' AS column_name, '{t}' AS dtype, true AS nullable, "
         f"round(count(*) FILTER ({e} IS NULL) / count(*)::DOUBLE, 6) AS null_rate FROM lineitem"
@@ -676,6 +683,10 @@ UNION ALL SELECT 'remediation', CASE WHEN touching THEN 'skipped' ELSE 'executed
     "reconcile_partitions": _with(f"""sides AS (SELECT o_orderpriority AS source, strftime(o_orderdate, '%Y%m') AS partition, count(*) AS left_count,
   count(*) FILTER (o_totalprice <= 499000) AS right_count, count(*) FILTER (o_totalprice > 499000) AS lost FROM orders GROUP BY 1, 2)""")
         + "SELECT source, partition, left_count, right_count, left_count - right_count AS diff, lost = 0 AS checksum_equal FROM sides",
+    "live_counters": _with(*SIG) + f"""SELECT 'ingestion' AS stage, 'processed' AS counter, count(*) AS n FROM signals
+UNION ALL SELECT 'ingestion', 'empty', count(*) FROM signals WHERE row_count = 0
+UNION ALL SELECT 'correlation', 'processed', count(*) FROM ({INGESTION})
+UNION ALL SELECT 'correlation', 'critical', count(*) FROM ({INGESTION}) WHERE severity = 'CRITICAL'""",
     # J
     "stream_ingestion_anomalies": INGESTION,
     "emit_gate": _with(ANOMALIES) + "SELECT severity, count(*) AS n, mode FROM anomalies, (SELECT unnest(['alert_only', 'supervised', 'full_autonomy']) AS mode) GROUP BY 1, 3",

@@ -14,7 +14,7 @@ from tidewatch.operators import (
     contracts, correlate, ingestion, lineage, profile, quality, remediate, reports)
 from tidewatch.plans import inputs
 from tidewatch.sources import artifacts, messages, storage
-from tidewatch.streaming import live
+from tidewatch.streaming import counters, live
 from tidewatch.types import MODES, RUN_RESULTS
 
 MONTH = 30 * 86400  # chunk length for sources with one signal per day
@@ -198,6 +198,18 @@ def column_summary(spark, sf):
         "column_name", "n", r("mean"), r("std_dev"), "min", "max", r("null_rate", 6), "n_distinct")
 
 
+def merged_summary(spark, sf):
+    """Three years of lineitem by return flag, from the stored sketches of its months."""
+    columns = ["l_quantity", "l_extendedprice", "l_discount", "tax", "l_linenumber"]
+    stored = storage.checkpointed(profile.summary_sketches(
+        inputs.lines_tested(spark, sf), F.col("l_returnflag"), F.date_format("l_shipdate", "yyyyMM"), columns), "sketches")
+    years = stored.filter(F.col("partition").between("199401", "199612"))
+    # prices have too many values for a sketch to be exact
+    distinct = F.when(F.col("column_name") != "l_extendedprice", F.col("n_distinct")).otherwise(-1)
+    return profile.merged_summary(years, ["source"]).select(
+        "source", "column_name", "n", r("mean"), r("std_dev"), "min", "max", r("null_rate", 6), distinct.alias("n_distinct"))
+
+
 def schema_snapshot(spark, sf):
     """Declared columns of lineitem next to the NULLs measured in them."""
     line = inputs.lines_tested(spark, sf)
@@ -815,6 +827,29 @@ def stream_ingestion_anomalies(spark, sf):
     return flat_anomalies(storage.read_history(spark, f"{base}/out", _ANOMALY_SCHEMA))
 
 
+def live_counters(spark, sf):
+    """What the ingestion checks and the stage behind them count while their streams run."""
+    counted = counters.StageCounters()
+    spark.streams.addListener(counted)
+    queries = []
+
+    def kept(query):
+        queries.append(query)
+        return query
+
+    try:
+        base = _replayed(spark, "counted", inputs.signals(spark, sf), lambda s, b: kept(live.stream_ingestion_anomalies(
+            reports.observed(s, "ingestion", empty=F.col("row_count") == 0), f"{b}/out", f"{b}/checkpoint")))
+        found = spark.readStream.schema(_ANOMALY_SCHEMA).parquet(f"{base}/out")
+        kept(live.start(reports.observed(found, "correlation", critical=F.col("severity") == "CRITICAL"),
+                        lambda batch, _: batch.write.format("noop").mode("overwrite").save(), f"{base}/next"))
+        for query in queries:
+            counted.until_end(query)
+    finally:
+        spark.streams.removeListener(counted)
+    return counted.rows(spark)
+
+
 def stream_freshness(spark, sf):
     """Silent users as the last watermark leaves them, which a clock that is no user brings to the end of January."""
     users = _seen_users(spark, sf).filter(F.col("ts") < F.lit(MONTH_END).cast("timestamp"))
@@ -929,7 +964,7 @@ QUERIES = {
     "read_test_results": read_test_results, "read_manifest": read_manifest,
     "upsert_latest": upsert_latest, "append_history": append_history,
     "partition_row_count": partition_row_count, "partition_checksum": partition_checksum,
-    "partition_null_rate": partition_null_rate, "column_summary": column_summary,
+    "partition_null_rate": partition_null_rate, "column_summary": column_summary, "merged_summary": merged_summary,
     "schema_snapshot": schema_snapshot, "build_signals": build_signals,
     "zero_row_anomalies": zero_row_anomalies, "running_baseline": running_baseline,
     "running_baseline_orders": running_baseline_orders, "baseline_table": baseline_table,
@@ -963,7 +998,7 @@ QUERIES = {
     "action_disposition": action_disposition, "incident_fields": incident_fields,
     "quarantine_split": quarantine_split, "action_log": action_log, "incident_actions": incident_actions,
     "feedback_report": feedback_report, "open_incidents": open_incidents, "recent_actions": recent_actions,
-    "agent_status": agent_status, "missing_agents": missing_agents, "stage_counters": stage_counters,
+    "agent_status": agent_status, "missing_agents": missing_agents, "stage_counters": stage_counters, "live_counters": live_counters,
     "reconcile_partitions": reconcile_partitions,
     "stream_ingestion_anomalies": stream_ingestion_anomalies, "stream_schema_drift": stream_schema_drift,
     "stream_schema_drift_ungated": stream_schema_drift_ungated, "stream_freshness": stream_freshness,
