@@ -30,7 +30,7 @@ def test_odd_rows(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(60)]
     rows += [(100, None), (120, []), (140, [0.0] * 6), (160, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (180, [float("nan")] * 6), (200, [float("inf")] + [0.0] * 5),
-             (None, [1.0] * 6), rows[20], rows[7], (220, [9.0] * 6), (240, [1.0, 2.0])]
+             (None, [1.0] * 6), rows[20], rows[7], (220, [9.0] * 6), (240, [1.0, 2.0])]  # the last is alone of its length
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("id", F.lit("x")).withColumn("rank", F.lit(1))
     got = nearest.search(df, k=5, every=20).collect()
     want = brute([r for r in rows if r[0] != 240], 5, 20)
@@ -50,6 +50,43 @@ def test_ties_and_equal_vectors(spark):
     assert [(r["query_id"], r["vec_id"]) for r in got] == [(0, 1), (0, 2), (0, 3), (0, 4), (20, 0), (20, 1), (20, 2), (20, 3), (40, 0), (40, 1), (40, 2), (40, 3)]
 
 
+def exact(rows, k, every):
+    """By hand, each query among the vectors of its own length."""
+    out = []
+    for i, v in rows:
+        if i % every == 0:
+            with np.errstate(all="ignore"):
+                scored = [(float(np.array(w) @ np.array(v)), j) for j, w in rows if j != i and len(w) == len(v)]
+            out += [(i, n + 1, j, s) for n, (s, j) in enumerate(sorted(scored, key=lambda x: (-x[0], x[1]))[:k])]
+    return sorted(out)
+
+
+def same(got, want):
+    got = sorted(map(tuple, got))
+    assert [r[:3] for r in got] == [r[:3] for r in want]
+    assert np.allclose([r[3] for r in got], [r[3] for r in want], rtol=1e-12, atol=0)
+
+
+@pytest.mark.parametrize("sizes", [(1e-200, 1.0), (1.0, 1e200), (1e-320, 1e-310), (1e307, 1e308)])
+def test_components_of_any_size(spark, sizes):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) * s for x in rng.uniform(0.1, 1, 3)]) for i, s in enumerate(sizes * 10)]
+    got = nearest.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=19, every=5).collect()
+    same(got, exact(rows, 19, 5))
+    mixed = [(1, [1e200, 0.0]), (20, [1.0, 0.0]), (40, [1e-200, 0.0]), (60, [2e200, 0.0])]
+    got = nearest.search(spark.createDataFrame(mixed, "vec_id long, embedding array<double>"), k=3).collect()
+    same(got, exact(mixed, 3, 20))
+    assert len(got) == 9
+
+
+def test_several_lengths(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.normal(size=1 + i % 4)]) for i in range(0, 120)] + [(999, [1.0] * 9), (1000, [2.0] * 10)]
+    got = nearest.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=40, every=5).collect()
+    found, want = {tuple(r)[0::2] for r in got}, {t[0::2] for t in exact(rows, 40, 5)}
+    assert found == want and not any(r["query_id"] == 1000 for r in got)
+
+
 @pytest.mark.parametrize("spread", [0.0, 1.0])
 def test_recall(spark, spread):
     rng = np.random.default_rng(2)
