@@ -33,10 +33,10 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; where a block ends inside one, its first words as a row of their own."""
+    """Each document as often as the mix takes it; where a shard's blocks begin or end inside one, these words as a row of their own."""
     mixed = mixing.mix(docs, carry=True)
-    rows = mixed.select("size", "taken", "row", F.posexplode(mixing.taken_texts(mixed, F.col("row.text"))).alias("nth", "taken_text"))
-    cut = (F.col("nth") + 1) * F.col("size") > F.col("taken")
+    rows = mixed.select("row", F.explode(mixing.taken_texts(mixed, F.col("row.text"))).alias("taken_text"))
+    cut = F.col("taken_text") != F.col("row.text")
     new = {"text": F.col("taken_text"), "n_chars": F.when(cut, F.length("taken_text")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
     return rows.select(*[(new[c] if c in new else F.col(f"row.`{c}`")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
 

@@ -1,5 +1,7 @@
+import hashlib
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -81,5 +83,54 @@ def test_shard_quotas_follow_the_targets(spark):
             assert abs(running[r] - share[r] * (n + 1)) <= 2
 
 
+def by_hand(rows, block, shard_blocks):
+    """Per row: words taken and shards, word by word from the quotas on."""
+    names = sorted({s for _, _, s in rows}, key=lambda s: (s is None, (s or "").encode()))
+    count = lambda t: len(WORD.findall(t or ""))
+    sizes = {s: sum(count(t) for _, t, x in rows if x == s) for s in names}
+    target = goals(sizes)
+    order = sorted(((-target[s] / (2 * j - 1), i, s) for i, s in enumerate(names) if target[s] > 0 for j in range(1, -(-3 * sizes[s] // block) + 1)),
+                   key=lambda x: x[:2])[:(2 * sum(sizes.values()) + block) // (2 * block)]
+    taken, shards = {}, {}
+    for rank, s in enumerate(names, 1):
+        line = [n for n in sorted((n for n, r in enumerate(rows) if r[2] == s), key=lambda n: hashlib.md5(f"mix:{rows[n][0]}".encode()).hexdigest())
+                for _ in range(count(rows[n][1]))]
+        quotas = Counter(n // shard_blocks for n, seat in enumerate(order) if seat[2] == s)
+        words = min(sum(quotas.values()) * block, 3 * sizes[s])
+        passes, part = divmod(words, max(1, sizes[s]))
+        done = 0
+        for shard in sorted(quotas):
+            until = min(done + quotas[shard] * block, words)
+            chosen = list(range(done, min(until, passes * sizes[s])))
+            first = max(done, passes * sizes[s])
+            if until > first:
+                lo, hi = ((x - passes * sizes[s]) * sizes[s] // part for x in (first, until))
+                places = (hi - lo - (until - first)) // block + 1
+                at = lo + block * (int(hashlib.md5(f"mix:{rank}:{shard}".encode()).hexdigest()[:8], 16) % places)
+                assert at + until - first <= hi
+                chosen += range(at, at + until - first)
+            for x in chosen:
+                n = line[x % sizes[s]]
+                taken[n] = taken.get(n, 0) + 1
+                shards.setdefault(n, set()).add(shard)
+            done = until
+    return sorted((i, count(t), taken.get(n, 0), min(shards[n]) if n in shards else -1, len(shards.get(n, ()))) for n, (i, t, _) in enumerate(rows))
+
+
+@pytest.mark.parametrize("seed,block,shard_blocks", [(1, 4, 10), (2, 1, 50), (3, 32, 3), (4, 7, 1), (5, 5, 4096)])
+def test_blocks_by_hand(spark, seed, block, shard_blocks):
+    rng = random.Random(seed)
+    rows = [(i, " ".join(["w"] * rng.randint(0, 40)), rng.choice(["a", "a", "a", "b", "c", None])) for i in range(120)]
+    rows += [(500, "u " * 2500, "big"), (501, "x y", "tiny"), (502, "", "empty"), (503, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("uid", F.lit(1)).withColumn("shard", F.lit("x"))
+    got = mixing.mix(docs, block_words=block, shard_blocks=shard_blocks)
+    flat = lambda d: sorted(map(tuple, d.select("doc_id", "size", "taken", F.coalesce("first_shard", F.lit(-1)), "n_shards").collect()))
+    assert flat(got) == by_hand(rows, block, shard_blocks)
+    carried = mixing.mix(docs, block_words=block, shard_blocks=shard_blocks, carry=True)
+    assert flat(carried) == flat(got)
+    texts = carried.select("size", "taken", mixing.taken_texts(carried, F.col("row.text")).alias("t")).collect()
+    assert all(sum(len(WORD.findall(t or "")) for t in r["t"]) == r["taken"] <= 3 * r["size"] for r in texts)
+
+
 def test_empty_table(spark):
     assert mixing.mix(spark.createDataFrame([], "doc_id long, text string, source string")).collect() == []
