@@ -107,3 +107,34 @@ def test_bootstrap_history_accept_and_gate(spark):
     gated = contracts.hash_gate(rows.withColumn("version_hash", F.when(F.col("run_id") == "r2", declared)
                                                 .otherwise("x")), current)
     assert {r.run_id for r in gated.collect()} == {"r1"}
+
+
+def test_packed_snapshots_give_the_changes_of_their_rows(spark):
+    old = [column("z"), column("a", "INT", False), column("b", nullable=False), column("k", criticality="critical")]
+    rows = snapshot(spark, [column("a", "TEXT"), column("b"), column("n1")], "r1").unionByName(snapshot(spark, [column("z")], "r2"))
+    packed = rows.groupBy("source", "run_id", "ts", "version_hash").agg(F.collect_list(F.struct(
+        "column_name", "position", "dtype", "nullable", "criticality")).alias("columns"))
+    diff = contracts.schema_diff(rows, contract(spark, old))
+    assert sorted(map(str, contracts.schema_diff(packed, contract(spark, old)).collect())) == sorted(map(str, diff.collect()))
+    want = contracts.schema_drift_anomalies(diff, rows).collect()
+    assert len(want) == 2 and sorted(map(str, contracts.packed_drift_anomalies(packed, contract(spark, old)).collect())) == sorted(map(str, want))
+
+
+def test_comparison_shuffles_a_snapshot_once_and_never_its_columns(spark):
+    rows = snapshot(spark, [column("a"), column("b")])
+    packed = rows.groupBy("source", "run_id", "ts", "version_hash").agg(F.collect_list(F.struct(
+        "column_name", "position", "dtype", "nullable", "criticality")).alias("columns")).localCheckpoint()
+    plan = contracts.schema_diff(packed, contract(spark, [column("a")]))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and "Window" not in plan
+
+
+def test_last_of_equal_names_also_across_signals_of_a_run(spark):
+    signals = spark.createDataFrame(
+        [("s", "r", T0, [("a", "INT"), ("b", "INT"), ("a", "TEXT")], "h"), ("s", "r", T0, [("b", "DATE"), ("c", "INT")], "i"),
+         ("s", "q", T0, [("a", "X"), ("a", "Y")], "j")],
+        "source string, run_id string, ts timestamp, columns array<struct<name:string,type:string>>, version_hash string").withColumn(
+        "columns", F.transform("columns", lambda c: F.struct(
+            c["name"].alias("name"), c["type"].alias("type"), F.lit(None).cast("string").alias("dtype"),
+            F.lit(None).cast("boolean").alias("nullable"), F.lit(None).cast("string").alias("criticality"))))
+    got = {(r.run_id, r.column_name): (r.dtype, r.position, r.version_hash) for r in contracts.normalize_snapshot(signals).collect()}
+    assert got == {("r", "a"): ("TEXT", 2, "h"), ("r", "b"): ("INT", 1, "h"), ("r", "c"): ("INT", 1, "i"), ("q", "a"): ("Y", 1, "j")}
