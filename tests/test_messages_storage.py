@@ -141,3 +141,10 @@ def test_checksum_tells_nulls_apart(spark):
     df = spark.createDataFrame([("l", "a", None), ("r", None, "a")], "source string, x string, y string")
     got = [r.checksum for r in profile.partition_checksum(df, F.col("source"), F.lit(1), ["x", "y"]).collect()]
     assert got[0] != got[1]
+
+
+def test_messages_are_parsed_once_per_row(spark):
+    raw = spark.createDataFrame([("{}",)], "value string")
+    for decode in (messages.decode_signals, messages.decode_anomalies, messages.decode_incidents):
+        plan = decode(raw)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.lower().count("from_json") + plan.lower().count("jsontostructs") == 1

@@ -7,7 +7,7 @@ kept by `split_malformed`.
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tidewatch.functions.keys import stable_id
+from tidewatch.functions.keys import once, stable_id
 from tidewatch.types import (
     ANOMALY_MESSAGE, ANOMALY_TYPES, INCIDENT_MESSAGE, SEVERITIES, SIGNAL_MESSAGE, STAGES)
 
@@ -24,10 +24,16 @@ def _bad_time(field: str) -> Column:
     return F.col(f"m.{field}").isNull() & F.get_json_object("value", f"$.{field}").isNotNull()
 
 
+def _with_message(raw: DataFrame, schema: T.StructType, options: dict) -> DataFrame:
+    """The rows with their message `m`: texts are made and read once, however many fields are checked and used."""
+    texts = raw.select(*[c for c in raw.columns if c != "value"], once(F.col("value")).alias("value"))
+    return texts.select("*", once(F.from_json("value", schema, options)).alias("m"))
+
+
 def _parsed_signals(raw: DataFrame) -> DataFrame:
     # text that is no JSON object, or ends inside one, also fills the corrupt field
     kept = T.StructType([*SIGNAL_MESSAGE.fields, T.StructField("_corrupt", T.StringType())])
-    parsed = raw.withColumn("m", F.from_json("value", kept, {**_JSON, "columnNameOfCorruptRecord": "_corrupt"}))
+    parsed = _with_message(raw, kept, {**_JSON, "columnNameOfCorruptRecord": "_corrupt"})
     snapshot = F.col("m.schema_snapshot")
     broken = F.col("m").isNull() | (F.col("m._corrupt").isNotNull() & F.try_parse_json("value").isNull())
     reason = (
@@ -67,7 +73,7 @@ def split_malformed(raw: DataFrame) -> DataFrame:
 def decode_anomalies(raw: DataFrame, received_at: Column | None = None) -> DataFrame:
     """JSON text -> anomaly rows; confidence must lie in [0, 1], enums must be known."""
     now = F.current_timestamp() if received_at is None else received_at
-    parsed = raw.withColumn("m", F.from_json("value", ANOMALY_MESSAGE, _JSON))
+    parsed = _with_message(raw, ANOMALY_MESSAGE, _JSON)
     valid = (F.col("m.anomaly_type").isin(ANOMALY_TYPES) & F.col("m.severity").isin(SEVERITIES)
              & F.col("m.confidence").between(0.0, 1.0) & F.col("m.source_agent").isNotNull()
              & F.col("m.pipeline_run_id").isNotNull() & F.col("m.details").startswith("{")
@@ -81,7 +87,7 @@ def decode_anomalies(raw: DataFrame, received_at: Column | None = None) -> DataF
 def decode_incidents(raw: DataFrame, received_at: Column | None = None) -> DataFrame:
     """JSON text -> incident rows with their nested signals and blast radius."""
     now = F.current_timestamp() if received_at is None else received_at
-    parsed = raw.withColumn("m", F.from_json("value", INCIDENT_MESSAGE, _JSON))
+    parsed = _with_message(raw, INCIDENT_MESSAGE, _JSON)
     sound = F.forall("m.correlated_signals", lambda s: (
         F.coalesce(s["anomaly_type"].isin(ANOMALY_TYPES) & s["severity"].isin(SEVERITIES)
                    & s["confidence"].between(0.0, 1.0) & s["source_agent"].isNotNull()
