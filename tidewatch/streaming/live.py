@@ -127,24 +127,26 @@ def stream_schema_drift(
     `gate` leaves snapshots whose declared hash is the contract's unchecked."""
     spark = signals.sparkSession
     state.use_state_store(spark)
-    rows = signals.select("source", "ts", "run_id", F.to_json("columns").alias("columns_json"), _carried(signals))
+    rows = signals.select("source", "ts", "run_id", F.to_json("columns").alias("columns_json"), _carried(signals.drop("columns")))
     initial = None
     if known is not None:
         packed = F.to_json(F.sort_array(F.collect_list(F.struct(  # the width of one table
             F.col("column_name").alias("name"), F.col("dtype").alias("type"), F.col("dtype").alias("dtype"), "nullable", "criticality"))))
         initial = known.groupBy("source").agg(packed.alias("columns_json")).groupBy("source")
     checked = rows.groupBy("source").transformWithStateInPandas(
-        state.SourceContracts(), "source string, ts timestamp, run_id string, row string, contract string", "append", "None", initial)
-    schema = signals.schema
+        state.SourceContracts(), "source string, ts timestamp, run_id string, columns_json string, row string, contract string", "append", "None", initial)
+    schema, columns_type = signals.drop("columns").schema, signals.schema["columns"].dataType
 
     def each_batch(batch: DataFrame, batch_id: int) -> None:
-        batch = _settled(batch)
-        snapshot = contracts.normalize_snapshot(_restored(batch.select("row"), schema)).persist()
+        given = _restored(batch.select("row", "columns_json", "contract"), schema).withColumn("columns", F.from_json("columns_json", columns_type))
+        batch = _settled(given.drop("columns_json"))
         current = _contract_rows(batch.select("source", F.col("contract").alias("columns_json")))
-        judged = contracts.hash_gate(snapshot, current) if gate else snapshot
-        drift = contracts.schema_drift_anomalies(contracts.schema_diff(judged, current), snapshot)
+        gated = lambda snapshot: contracts.hash_gate(snapshot, current) if gate else snapshot
+        alone, several = contracts.only_signals(batch.drop("contract"))
+        packed, rows = contracts.packed_signals(alone), contracts.normalize_snapshot(several)
+        drift = contracts.packed_drift_anomalies(gated(packed), current).unionByName(
+            contracts.schema_drift_anomalies(contracts.schema_diff(gated(rows), current), rows))
         append_history(emit_gate(drift, mode), out, batch_id)
-        snapshot.unpersist()
         batch.unpersist()
 
     return start(checked, each_batch, checkpoint, once)
@@ -155,7 +157,7 @@ def _contract_rows(rows: DataFrame) -> DataFrame:
     packed = rows.filter(F.col("columns_json").isNotNull()).select(
         "source", F.lit("contract").alias("run_id"), none.cast("timestamp").alias("ts"), none.cast("string").alias("version_hash"),
         F.from_json("columns_json", _COLUMNS).alias("columns"))
-    return contracts.normalize_snapshot(packed).select(*contracts.CONTRACT_COLUMNS)
+    return contracts.as_rows(contracts.packed_signals(packed)).select(*contracts.CONTRACT_COLUMNS)
 
 
 def stored_contracts(spark, checkpoint: str) -> DataFrame:

@@ -102,13 +102,14 @@ class SourceContracts(StatefulProcessor):
         stored, first = self.contract.get(), None
         if stored is None:
             frame = _gathered(rows, ["ts", "run_id"])
-            known = frame["columns_json"].dropna()
-            if len(known):
-                stored = (known.iloc[0],)
+            known = next((c for c in frame["columns_json"] if _none(c) is not None), None)
+            if known is not None:
+                stored = (known,)
                 self.contract.update(stored)
             rows = iter([frame])
         for frame in rows:
-            yield frame.drop(columns=["columns_json"]).assign(contract=[stored[0] if stored and first is None else None] + [None] * (len(frame) - 1))
+            frame["contract"] = [stored[0] if stored and first is None else None] + [None] * (len(frame) - 1)
+            yield frame
             first = True
 
     def close(self) -> None:
