@@ -173,3 +173,14 @@ def test_closure_updated_by_changed_edges_equals_a_new_one(spark):
         got = {(r.node, r.reached) for r in reach.members(words).collect()}
         assert got == {(a, b) for a in {p for p, _ in edges} for b in brute(edges, a)}
     assert words.filter("mask = 0").isEmpty()
+
+
+def test_members_read_the_stored_closure(spark):
+    """The pairs behind the members are found once, though models and exposures both need them."""
+    models = spark.createDataFrame([("model.a", "a", 0), ("model.b", "b", 1)], "uid string, name string, pos int")
+    edges = spark.createDataFrame([("model.a", "model.b")], "parent string, child string")
+    views = spark.createDataFrame([("exposure.v", "v", "dashboard", ["model.b"], None)],
+                                  "uid string, name string, exposure_type string, depends_on array<string>, sla string")
+    found = lineage.blast_members(models.select(models.name.alias("model_name")), models, edges, views)
+    assert "bit_or" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == [("a", "affected_model", "b"), ("a", "dashboard", "v"), ("b", "dashboard", "v")]
