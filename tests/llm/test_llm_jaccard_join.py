@@ -75,6 +75,22 @@ def test_keeps_one_of_each_component(spark):
     assert sorted((str(r["doc_id"]), str(r["text"])) for r in got.collect()) == sorted((str(i), str(t)) for i, t in [rows[1], *rows[4:]])
 
 
+def test_keep_one_takes_texts_of_repeated_ids_alone_to_python(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(3, base), (1, base + " end"), (2, "quite different words stand here"), (4, None), (5, ""), (6, base + " END")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_id", F.lit("x"))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    got = jaccard_join.keep_one(docs, 5, 80)
+    assert got.columns == docs.columns and "MapInArrow" not in plan(got)
+    assert sorted(r["doc_id"] for r in got.collect()) == [1, 2, 4, 5]
+
+    rows += [(6, "another text"), (6, "another text"), (None, base), (None, "w1 w2"), (4, None), (4, " "), (2, "quite different words stand  HERE")]
+    got = jaccard_join.keep_one(docs.sparkSession.createDataFrame(rows, "doc_id long, text string").withColumn("_id", F.lit("x")), 5, 80)
+    assert "MapInArrow" in plan(got)
+    kept = sorted((str(r["doc_id"]), (r["text"] or "").lower().split()) for r in got.collect())
+    assert kept == sorted((str(i), (t or "").lower().split()) for i, t in [*rows[1:5], rows[6], rows[9], *rows[10:12]])
+
+
 def test_empty_table(spark):
     assert run(spark, [], 3, 90) == []
 

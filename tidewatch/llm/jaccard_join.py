@@ -56,17 +56,18 @@ def shingle_sets(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str
     """id, n_shingles and fingerprint (fa, fb) of each row's set of k-word shingles, with `carry` also the row as struct `row`."""
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in words.slices(batch, "_text"):
+            for part in words.slices(texts(batch), "_text"):
                 hashes, rows = _distinct(part, k)
                 counts = np.bincount(rows, minlength=part.rows)
                 fa, fb = _fingerprint(hashes, np.cumsum(counts) - counts, counts)
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(part.first, part.rows) for i in range(1, batch.num_columns)),
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(part.first, part.rows) for c in kept),
                                                   pa.array(counts.astype(np.int64)), pa.array(fa), pa.array(fb)],
-                                                 names=[*batch.schema.names[1:], "n_shingles", "fa", "fb"])
+                                                 names=[*kept, "n_shingles", "fa", "fb"])
 
-    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
-    some = docs.select(F.col(text_col).alias("_text"), F.col(id_col).alias("id"), *row)
-    return some.mapInArrow(sets, T.StructType([*some.schema.fields[1:], *(T.StructField(c, T.LongType()) for c in ("n_shingles", "fa", "fb"))]))
+    taken, texts = words.carried(docs, text_col, carry)
+    kept = ["id", "row"] if carry else ["id"]
+    some = docs.select(F.col(id_col).alias("id"), *taken)
+    return some.mapInArrow(sets, T.StructType([*some.select(*kept).schema.fields, *(T.StructField(c, T.LongType()) for c in ("n_shingles", "fa", "fb"))]))
 
 
 def _prefixes(docs: DataFrame, k: int, percent: int, text_col: str, sketch: countmin.Sketch) -> DataFrame:
@@ -206,18 +207,28 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` without near duplicates: of each component the row of the smallest id, of equal such rows one.
 
-    Rows without words are linked with nothing and all stay. Only the keys of the rows to drop meet the texts.
+    Rows without words are linked with nothing and all stay. Only the keys of the rows to drop meet the texts: the id of a
+    single row; only where an id has several rows its rows are told apart by their sets, which takes them to Python.
     """
-    found = checkpointed(near_duplicates(docs, k, percent, id_col, text_col).where("n_shingles > 0")
-                         .groupBy(F.col(id_col).alias("_id"), F.col("fa").alias("_fa"), F.col("fb").alias("_fb"))
+    near = near_duplicates(docs, k, percent, id_col, text_col).select(F.col(id_col).alias("_id"), "n_shingles", "fa", "fb", "first")
+    ids = checkpointed(near.groupBy("_id").agg(F.count("*").alias("c"), F.every("first").alias("stays"), F.max("n_shingles").alias("n"))
+                       .where("NOT stays OR (c > 1 AND n > 0)").select("_id", "c"), "dropped")
+    small = lambda keys: F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+    kept = docs.join(small(ids), docs[f"`{id_col}`"].eqNullSafe(ids["_id"]), "left_anti")
+    several = ids.where("c > 1").select("_id")
+    if several.isEmpty():
+        return kept
+    same_id = F.col("id").eqNullSafe(F.col("_id"))
+    found = checkpointed(near.withColumnRenamed("_id", "id").join(several, same_id, "left_semi").where("n_shingles > 0")
+                         .groupBy(F.col("id").alias("_id"), F.col("fa").alias("_fa"), F.col("fb").alias("_fb"))
                          .agg(F.first("first").alias("first"), F.count("*").alias("c")).where("NOT first OR c > 1"), "dropped")
-    rows = shingle_sets(docs, k, id_col, text_col, carry=True)
-    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("fa") == F.col("_fa")) & (F.col("fb") == F.col("_fb"))
-    kept = rows.join(F.broadcast(found) if found.count() <= BROADCAST_ROWS else found, same, "left_anti").select("row.*")
+    rows = shingle_sets(docs.join(small(several), docs[f"`{id_col}`"].eqNullSafe(several["_id"]), "left_semi"), k, id_col, text_col, carry=True)
+    same = same_id & (F.col("fa") == F.col("_fa")) & (F.col("fb") == F.col("_fb"))
+    kept = kept.unionByName(rows.join(small(found), same, "left_anti").select("row.*"))
     equal = found.where("first")
     if equal.isEmpty():
         return kept
-    ones = rows.join(F.broadcast(equal) if equal.count() <= BROADCAST_ROWS else equal, same, "left_semi").dropDuplicates(["id", "fa", "fb"])
+    ones = rows.join(small(equal), same, "left_semi").dropDuplicates(["id", "fa", "fb"])
     return kept.unionByName(ones.select("row.*"))
 
 

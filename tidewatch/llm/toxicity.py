@@ -166,16 +166,17 @@ def predict(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str
     """
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in words.slices(batch, "_text"):
+            for part in words.slices(texts(batch), "_text"):
                 p = chain.probabilities(*_features(part), part.rows)
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(part.first, part.rows) for i in range(1, batch.num_columns)),
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(part.first, part.rows) for c in kept),
                                                   pa.ListArray.from_arrays(pa.array(np.arange(part.rows + 1) * p.shape[1], pa.int32()), pa.array(p.reshape(-1))),
                                                   pa.array((p[:, -1] >= chain.threshold) & (part.counts > 0))],
-                                                 names=[*batch.schema.names[1:], "probabilities", "toxic"])
+                                                 names=[*kept, "probabilities", "toxic"])
 
-    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
-    some = docs.select(F.col(text_col).alias("_text"), F.col(id_col).alias("id"), *row)
-    schema = T.StructType([*some.schema.fields[1:], T.StructField("probabilities", T.ArrayType(T.DoubleType())), T.StructField("toxic", T.BooleanType())])
+    taken, texts = words.carried(docs, text_col, carry)
+    kept = ["id", "row"] if carry else ["id"]
+    some = docs.select(F.col(id_col).alias("id"), *taken)
+    schema = T.StructType([*some.select(*kept).schema.fields, T.StructField("probabilities", T.ArrayType(T.DoubleType())), T.StructField("toxic", T.BooleanType())])
     return some.mapInArrow(scored, schema).withColumnRenamed("id", id_col)
 
 

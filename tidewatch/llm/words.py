@@ -6,10 +6,11 @@ works on UTF-8 bytes. Hashes are 64 bits wide; operators that group exactly take
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: A slice holds about so many bytes of text at once; a longer text is a slice of its own.
 SLICE_BYTES = 1 << 20
@@ -134,3 +135,15 @@ def slices(batch: pa.RecordBatch, column: str = "text", lower: bool = True,
     """The batch in slices of whole rows; a null text has no words."""
     for first, data, offsets in raw_slices(batch, column, size):
         yield Slice(data, offsets, first, lower)
+
+
+def carried(docs: DataFrame, text_col: str, carry: bool) -> tuple[list[Column], Callable[[pa.RecordBatch], pa.RecordBatch]]:
+    """Columns that take a row's text to Python, as `_text` or with `carry` within the whole row as struct `row`, and what gets
+    the texts of a batch of them. A carried text goes over once."""
+    if not carry:
+        return [F.col(text_col).alias("_text")], lambda batch: batch
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    if docs.columns.count(text_col) != 1:  # an expression, or a name in other letters
+        return [F.col(text_col).alias("_text"), row], lambda batch: batch
+    at = docs.columns.index(text_col)
+    return [row], lambda batch: pa.RecordBatch.from_arrays([batch.column("row").field(at)], names=["_text"])
