@@ -4,7 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.llm import jaccard_join
+from tidewatch.llm import graph, jaccard_join
 
 WORD = re.compile("[^\x20\x09-\x0D]+")
 
@@ -99,3 +99,44 @@ def test_query_on_table_equals_brute_force(spark):
     rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
     got = jaccard_join.op5_jaccard_join(spark, "/root/testdata/sf0.01").collect()
     assert sorted(map(tuple, got), key=str) == brute(rows, 3, 90)
+
+
+def test_components_of_few_links_take_no_rounds(spark, monkeypatch):
+    rng = random.Random(4)
+    links = [(rng.randrange(900), rng.randrange(900)) for _ in range(700)] + [(i, i + 1) for i in range(2000, 2400)] + [(5000 - i, 4000) for i in range(300)]
+    near = {}
+    for a, b in links:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    want = {}
+    for first in sorted(near):
+        todo = [] if first in want else [first]
+        while todo:
+            x = todo.pop()
+            if x not in want:
+                want[x] = first
+                todo += near[x]
+    steps, kept = [], graph.checkpointed
+    monkeypatch.setattr(graph, "checkpointed", lambda df, name: steps.append(name) or kept(df, name))
+    df = spark.createDataFrame(links, "a long, b long").repartition(5)
+    got = graph.components(df).collect()
+    assert len(got) == len(want) and {r["node"]: r["label"] for r in got} == want
+    assert steps == ["edges", "labels"]
+    monkeypatch.setattr(graph, "LINKS_A_TASK", 100)  # several tasks: rounds of stars
+    got = graph.components(df).collect()
+    assert len(got) == len(want) and {r["node"]: r["label"] for r in got} == want and len(steps) > 4
+
+
+@pytest.mark.parametrize("pairs", [0, 4, 1 << 40])
+def test_same_components_whether_stars_are_linked_first_or_not(spark, monkeypatch, pairs):
+    monkeypatch.setattr(jaccard_join, "PAIRS_AN_ENTRY", pairs)
+    rng, rows = random.Random(pairs), []
+    for size in (1, 2, 40):
+        base = [f"{size}w{i}" for i in range(60)]
+        for _ in range(size):
+            copy = list(base)
+            for _ in range(rng.choice([0, 1, 2, 4])):
+                copy[rng.randrange(60)] = f"x{rng.randrange(9)}"
+            rows.append((len(rows), " ".join(copy)))
+    assert run(spark, rows, 3, 80) == brute(rows, 3, 80)

@@ -8,8 +8,8 @@
   plus verifications they can lead to, falls; a pair then needs as many common prefix shingles as the smaller l of
   the two before it is verified. The join finds pairs by the first common one, which stands within n - need + 1.
   Shingles estimated to occur once have no partner and are not emitted.
-- Copies would meet in all pairs. So before the join, each node is verified against one node of its posting lists,
-  the one that looks nearest to all; lists whose nodes are already in one component are done. The join then
+- Near copies would meet in all pairs. So before the join, while the lists hold many pairs, each node is verified against one node
+  of its posting lists, the one that looks nearest to all; lists whose nodes are already in one component are done. The join then
   emits only pairs of different components that pass the size, position and count filters, and verifies all.
 - Verification intersects the whole sets.
 """
@@ -27,6 +27,8 @@ from tidewatch.sources.storage import checkpointed, remove_folder
 
 #: Longest l tried, and what verifying costs per shingle of a set, in postings read.
 LONGEST, VERIFY_COST = 4, 0.1
+#: Pairs an entry of the posting lists may stand for on average when all are joined; while there are more, stars are linked first.
+PAIRS_AN_ENTRY = 4
 #: Keys of rows to drop that may be broadcast (24 bytes each); beyond that the join is shuffled.
 BROADCAST_ROWS = 1_000_000
 
@@ -136,9 +138,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             .select("a", "b"))
 
 
-def _labelled(entries: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return entries.withColumn("label", F.col("node"))
+def _labelled(entries: DataFrame, labels: DataFrame) -> DataFrame:
     return (entries.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
 
 
@@ -171,24 +171,27 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     shared = entries.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
     entries = checkpointed(entries.join(shared, "token", "left_semi"), "entries")
 
-    links, labels = None, None
-    for _ in range(rounds):
-        open_ = _open(_labelled(entries, labels))
+    links, labels, open_ = None, None, entries.withColumn("label", F.col("node"))
+    for left in range(rounds, -1, -1):
+        most = checkpointed(open_.groupBy("token", "label").agg(F.count("*").alias("c")).groupBy("token")
+                            .agg(F.max_by("label", F.struct("c", "label")).alias("most"), (F.sum("c").cast("double") * (F.sum("c") - F.max("c"))).alias("pairs")), "most")
+        size = most.agg(F.sum("pairs")).first()[0] or 0
+        if not left or size <= PAIRS_AN_ENTRY * entries.count():
+            break
         centres = open_.groupBy("token").agg(F.min_by(F.struct("node", "n", "place", "label"), F.struct("place", "node")).alias("r")).select("token", "r.*")
         pairs = (_joined(open_, centres, percent).groupBy("a_node", "b_node").agg(F.count("*").alias("c"))
                  .groupBy(F.col("a_node").alias("a")).agg(F.max_by("b_node", F.struct("c", "b_node")).alias("b")))
         found = checkpointed(_verified(pairs, nodes, percent), "links")
         links = found if links is None else links.unionByName(found)
         labels = graph.components(links)
+        open_ = checkpointed(_open(_labelled(entries, labels)), "open")
 
-    open_ = checkpointed(_open(_labelled(entries, labels)), "open")
-    most = (open_.groupBy("token", "label").agg(F.count("*").alias("c")).groupBy("token")
-            .agg(F.max_by("label", F.struct("c", "label")).alias("most")))
-    rest = open_.join(most, "token").where("label <> most")  # every pair of two labels has a row outside the largest
+    rest = open_.join(most.select("token", "most"), "token").where("label <> most")  # every pair of two labels has a row outside the largest
     pairs = (_joined(rest, open_, percent).where("b_label = a_most OR a_node < b_node")
              .select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct())
-    links = links.unionByName(checkpointed(_verified(pairs, nodes, percent), "links"))
-    labels = graph.components(links)
+    found = checkpointed(_verified(pairs, nodes, percent), "links")
+    if links is None or not found.isEmpty():
+        labels = graph.components(found if links is None else links.unionByName(found))
 
     smallest = info.groupBy("fa", "fb").agg(F.min("id").alias("least"))
     labelled = (smallest.join(nodes.select("fa", "fb", "node"), ["fa", "fb"]).join(labels, "node")
